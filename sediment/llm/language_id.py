@@ -14,8 +14,9 @@ from .common import bound_arrow, hash128
 
 #: Buckets of hashed n-grams; labelled rows for each language at most; languages at most; centroids for each.
 BUCKETS, SAMPLE, LANGUAGES, CENTROIDS = 4096, 400, 256, 4
-#: A text whose cosine distance to its centroid is this many times the largest of the centroid's own sample is rejected.
-MARGIN = 1.5
+#: A text is rejected when its cosine distance to its centroid is this many times the largest of the centroid's own
+#: sample, and not below the least nor above the most that a reach may be.
+MARGIN, LEAST_REACH, MOST_REACH = 1.5, 0.85, 0.97
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -111,7 +112,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
             far = 1 - (unit[own == j] @ c[j]) if (own == j).any() else np.zeros(1)
             centroids.append(c[j])
             langs.append(x)
-            reach.append(min(margin * float(far.max()), 0.97) if len(far) > 1 else 0.97)
+            reach.append(min(max(margin * float(far.max()), LEAST_REACH), MOST_REACH))
     return Model(idf, np.stack(centroids), langs, np.array(reach))
 
 

@@ -19,7 +19,7 @@ WINDOW, PIECE, GROUP, REMEMBERED = 2048, 512, 2048, 1 << 20
 
 #: Characters for which white space bounds words and case is one letter for one: printable ASCII but the apostrophe, and the letters of Latin-1.
 _ODD = re.compile(r"[^ \t-\r!-&(-~À-ÖØ-öø-ÿ]|<\|")
-_PART = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[^ \t-\ra-z0-9à-öø-ÿ]+")
+_PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-z0-9ß-öø-ÿ]+")
 
 
 class WordIds:

@@ -84,14 +84,30 @@ def flight(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     return np.array([float(x > 0.5) if x <= _TINY or x >= 1 - _TINY else x for x in p])
 
 
-def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rounds the last two or fewer open documents to what comes nearest to their expected words."""
+def landing(p: np.ndarray, size: np.ndarray, want: float, swaps: int = 8) -> np.ndarray:
+    """Rounds the last two or fewer open documents to what comes nearest to ``want`` words, then mends the rest.
+
+    What no rounding reaches is mended by exchanging one taken document for
+    one that is not, or by taking or leaving one, the best such step first.
+    """
     at = np.flatnonzero((p > 0) & (p < 1))
-    if not len(at):
-        return p
-    want = float((p[at] * size[at]).sum())
+    fixed = float(np.dot(np.where((p > 0) & (p < 1), 0, p), size))
     ways = [[m >> k & 1 for k in range(len(at))] for m in range(1 << len(at))]
-    p[at] = min(ways, key=lambda w: (abs(float(np.dot(w, size[at])) - want), w))
+    p[at] = min(ways, key=lambda w: (abs(fixed + float(np.dot(w, size[at])) - want), w))
+    for _ in range(swaps):
+        off = want - float(np.dot(p, size))
+        # a step takes ``b`` and leaves ``a``; either may be no document, of size 0
+        a, b = np.append(np.flatnonzero(p == 1), -1), np.append(np.flatnonzero(p == 0), -1)
+        sa, sb = np.where(a < 0, 0, size[a]), np.where(b < 0, 0, size[b])
+        order = np.argsort(sb, kind="stable")
+        near = np.searchsorted(sb[order], sa + off)
+        best = min((abs(off - (sb[order[j]] - sa[i])), i, order[j]) for i, n in enumerate(near.tolist()) for j in (max(n - 1, 0), min(n, len(b) - 1)))
+        if best[0] >= abs(off) - 0.5:
+            break
+        if a[best[1]] >= 0:
+            p[a[best[1]]] = 0.0
+        if b[best[2]] >= 0:
+            p[b[best[2]]] = 1.0
     return p
 
 
@@ -101,7 +117,7 @@ def _balanced(last: bool):
         order = np.lexsort((k2, k1))
         moved = flight(p[order], size[order], int(k1[order[0]]))
         if last:
-            moved = landing(moved, size[order])
+            moved = landing(moved, size[order], float(np.dot(p, size)))
         out = np.empty(len(p))
         out[order] = moved
         return group.set_column(group.schema.get_field_index("p"), "p", pa.array(out))
@@ -118,8 +134,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     null space of two constraints, words and documents, until at most two
     documents of a block are open. Open documents go on to the next level in
     fewer blocks, until one block a source is left, where the last two or
-    fewer are landed on the nearest word total. So a source misses its target
-    by less than one long document. A hot source is many blocks. Only hashes
+    fewer are landed on the nearest word total and what is missing is mended
+    by exchanges. A hot source is many blocks. Only hashes
     and sizes move; the order inside a block is that of the hashes, so reruns
     agree.
 
