@@ -52,8 +52,9 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_doc
     drops = hits.groupBy(F.col("__id").alias("d_id"), F.col("__k1").alias("d_k1"), F.col("__k2").alias("d_k2")).agg(F.collect_set(F.col("pos") + 1).alias("__drop"))
     joined = base.join(drops, F.col("__id").eqNullSafe(F.col("d_id")) & (F.col("__k1") == F.col("d_k1")) & (F.col("__k2") == F.col("d_k2")), "left")
     lines = _lines(F.col("__text"))
-    stay = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("__drop"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i - 1)), "\n")
+    # a lambda's body is evaluated for each element, so the split lines are bound to an outer variable first
+    stay = lambda own: F.array_except(F.sequence(F.lit(1), F.size(own)), F.col("__drop"))
+    kept = F.array_join(F.flatten(F.transform(F.array(lines), lambda own: F.transform(stay(own), lambda i: F.get(own, i - 1)))), "\n")
     return joined.select(
         F.col("__id").alias(id),
         F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(kept).alias("kept_text"),
