@@ -60,6 +60,16 @@ class WordIds:
         return b"".join(map(self._chunk, re.split(r"[ \t-\r]+", text))) if _ODD.search(text) else self._plain(text)
 
 
+#: Encoders of this worker process, by tokenizer file: what one task has encoded serves the next.
+_ENCODERS: dict[str, WordIds] = {}
+
+
+def encoder(path: str) -> WordIds:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordIds(path)
+    return _ENCODERS[path]
+
+
 def piece_bounds(n: int, window: int = WINDOW, piece: int = PIECE) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole windows, then what is left in parts of ``piece``."""
     full = n // window * window
@@ -75,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(tokenizer)
+        encode = encoder(tokenizer)
         for b in batches:
             doc, start, length, ids, total = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
