@@ -75,3 +75,14 @@ def hash128(*cols: Column) -> tuple[Column, Column]:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def hash_sample(df: DataFrame, n: int, *by: Column) -> DataFrame:
+    """About ``n`` rows, twice as many at most: those whose hash of ``by`` lies under a bound set from the row count.
+
+    Rows are chosen where they are read; only chosen ones move.
+    """
+    rows = df.count()
+    if rows <= n:
+        return df
+    return df.filter(F.abs(F.xxhash64(*by) % 1_000_003) < int(1_000_003 * n / rows) + 1).limit(2 * n)
