@@ -14,7 +14,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go; the rest keep their columns, with the predicted language as lang."""
-    model = language_id.fit(docs.select("text", "lang"))
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
     found = language_id.identify(docs.select(*COLUMNS), model)
     return found.filter(~F.col("rejected")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, hash128
+from .common import bound_arrow
 
 #: Buckets of hashed n-grams; labelled rows for each language at most; languages at most; centroids for each.
 BUCKETS, SAMPLE, LANGUAGES, CENTROIDS = 4096, 400, 256, 4
@@ -69,32 +69,28 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nd
     return c, (x @ c.T).argmax(1)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES, k: int = CENTROIDS, margin: float = MARGIN) -> Model:
+def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES, k: int = CENTROIDS, margin: float = MARGIN) -> Model:
     """Fits on at most ``sample`` rows of each of the ``languages`` most frequent labels.
 
-    The rows are those with the smallest text hashes under each label: chosen
-    in a first pass that carries hashes only and keeps ``sample`` of them in
-    each task and label, then counted into n-gram vectors on the executors;
-    at most sample x languages vectors reach the driver. Rows whose text or
-    label is null, or whose text has no letter, are not used; repeated rows
-    count as often as they occur, within the bound.
+    Labels are counted, which sets for each a bound on the hash of id and
+    text; rows under it are counted into n-gram vectors where they are read,
+    and about sample x languages vectors, twice as many at most, reach the
+    driver. Rows whose text or label is null, or whose text has no letter,
+    are not used; repeated rows count as often as they occur.
     """
-    from pyspark.sql import Window
-
     bound_arrow(labelled.sparkSession)
-    h1, h2 = hash128(F.col(text))
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), h1.alias("h1"), h2.alias("h2"))
-    top = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(languages).select("l")
-    order = F.row_number().over(Window.partitionBy("l").orderBy("h1", "h2"))
-    ids = rows.select("l", "h1", "h2").withColumn("r", order).filter(F.col("r") <= sample).join(F.broadcast(top), "l").select("l", "h1", "h2").distinct()
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    top = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(languages).select(F.col("l").alias("of"), (F.floor(1.2 * sample * 1_000_003 / F.col("n")) + 1).alias("bound"))
+    chosen = F.abs(F.xxhash64("i", "t") % 1_000_003) < F.col("bound")
+    # one row a label, at most ``languages``: a proven bound
+    picked = rows.join(F.broadcast(top), F.col("l") == F.col("of")).filter(chosen).select("l", "t")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[pdf["t"].map(lambda t: _LETTER.search(t) is not None)]
             yield pd.DataFrame({"l": pdf["l"], "v": [ngram_counts(t).tobytes() for t in pdf["t"]]})
 
-    # at most sample x languages ids: a proven bound
-    found = rows.join(F.broadcast(ids), ["l", "h1", "h2"]).select("l", "t").mapInPandas(count, "l string, v binary").collect()
+    found = picked.mapInPandas(count, "l string, v binary").limit(2 * sample * languages).collect()
     by_lang: dict[str, list[bytes]] = {}
     for r in sorted(found, key=lambda r: (r["l"], bytes(r["v"]))):
         if len(own := by_lang.setdefault(r["l"], [])) < sample:

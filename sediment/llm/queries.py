@@ -61,7 +61,7 @@ def held_out() -> F.Column:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language_id.fit(docs.filter(~held_out()).select("text", "lang"))
+    model = language_id.fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     return language_id.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
