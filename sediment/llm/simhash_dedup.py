@@ -81,16 +81,22 @@ def _long(x: int) -> int:
 
 
 def _linked(f: np.ndarray, start: int, seg: np.ndarray, max_bits: int) -> np.ndarray:
-    """Which pairs of ``f`` pass every chain from ``start``; the last chain, all segments, is the full Hamming check."""
-    ok = np.ones((len(f), len(f)), bool)
+    """Which pairs of ``f`` pass every chain from ``start`` and then the full Hamming check.
+
+    The chain of three segments prunes all pairs at once; longer ones and the
+    full check see what is left.
+    """
     x = f[:, None] ^ f[None, :]
-    total = np.zeros(x.shape, np.uint8)
+    near = np.bitwise_count(x & np.bitwise_or.reduce(seg[[(start + k) % len(seg) for k in range(min(3, len(seg)))]])) < min(3, len(seg))
+    a, b = np.nonzero(near)
+    left, total = x[a, b], np.zeros(len(a), np.uint8)
+    fits = np.ones(len(a), bool)
     for k in range(len(seg)):
-        total += np.bitwise_count(x & seg[(start + k) % len(seg)])
-        ok &= total <= k
-        if k == 2 and not (ok.sum() > len(f)):
-            break
-    return ok & (np.bitwise_count(x) <= max_bits)
+        total += np.bitwise_count(left & seg[(start + k) % len(seg)])
+        fits &= total <= k
+    ok = np.zeros_like(near)
+    ok[a, b] = fits & (np.bitwise_count(left) <= max_bits)
+    return ok
 
 
 def _chained(x: int, start: int, seg: list[int], max_bits: int) -> bool:

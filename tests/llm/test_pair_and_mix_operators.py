@@ -77,7 +77,7 @@ def test_near_duplicates_edge_rows(spark):
     assert sorted(kept, key=repr) == sorted({1, 4, 5, 6, None} & {*kept, 1, 4}, key=repr) and kept.count(4) == 1
 
 
-@pytest.mark.parametrize("bits,block", [(2, 1024), (4, 1024), (4, 8), (7, 16)])
+@pytest.mark.parametrize("bits,block", [(2, 1024), (4, 1024), (4, 8), (7, 16), (8, 1024)])
 def test_links_connect_what_brute_force_connects(spark, bits, block):
     rng = random.Random(bits)
     prints = set()
@@ -254,6 +254,6 @@ def test_pipeline_stages(spark, sf):
         if name == "language_id":
             assert docs.count() == n
         if name == "simhash_dedup":
-            want = brute_components({r.doc_id: brute_print(r.text) for r in before.collect()}, 4)
+            want = brute_components({r.doc_id: brute_print(r.text, 5) for r in before.collect()}, cp.NEAR_BITS)
             assert {r.doc_id for r in docs.collect()} == set(want.values())
     assert docs.count() > 0 and cp.run(spark, sf).count() == docs.count()
