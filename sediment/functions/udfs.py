@@ -7,6 +7,7 @@ import re
 import shlex
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,34 +59,33 @@ def unescape(t: pd.Series) -> pd.Series:
     return t.map(html.unescape, na_action="ignore")
 
 
-def word_similarity(query: str, text: str) -> float:
-    """Share of the query's padded trigrams in the stretch of the text's words that holds them best.
+def _word_trigrams(s: str) -> list[str]:
+    return [f"  {w} "[i : i + 3] for w in re.findall(r"\w+", s.lower()) for i in range(len(w) + 1)]
 
-    Trigrams are those of each word with two blanks before and one after; the
-    stretch is found by moving over the text's trigrams from the first to the
-    last that the query has.
-    """
 
-    def of(s: str) -> list[str]:
-        return [f"  {w} "[i : i + 3] for w in re.findall(r"\w+", s.lower()) for i in range(len(w) + 1)]
+def word_similarity(query: str, text: str) -> float:
+    """Shared trigrams over all trigrams of the query and the stretch of the text that holds most of them.
 
-    want = set(of(query))
-    if not want:
+    Trigrams are those of each word with two blanks before and one after.
+    Stretches of half, one and two times the query's length slide over the
+    text; a trigram counts once in a stretch, where it has not occurred since
+    the stretch began. This stands in for a search over all stretches.
+    """
+    want = {t: i for i, t in enumerate(dict.fromkeys(_word_trigrams(query)))}
+    ids = np.array([want.get(t, -1) for t in _word_trigrams(text)])
+    if not want or not (ids >= 0).any():
         return 0.0
-    row = of(text)
-    hits = [i for i, x in enumerate(row) if x in want]
+    before, last = np.full(len(ids), -1), {}
+    for i in np.flatnonzero(ids >= 0).tolist():
+        before[i] = last.get(ids[i], -1)
+        last[ids[i]] = i
     best = 0.0
-    for a, i in enumerate(hits):
-        seen: set[str] = set()
-        all_: set[str] = set()
-        at = i
-        for j in hits[a:]:
-            if j - i + 1 > 2 * len(want):
-                break
-            all_.update(row[at : j + 1])
-            at = j + 1
-            seen.add(row[j])
-            best = max(best, len(seen) / len(want | all_))
+    for n in {max(1, len(want) // 2), len(want), 2 * len(want)}:
+        n = min(n, len(ids))
+        start = np.arange(len(ids) - n + 1)
+        hit, prev = (np.lib.stride_tricks.sliding_window_view(x, n) for x in (ids >= 0, before))
+        shared = (hit & (prev < start[:, None])).sum(1)
+        best = max(best, float((shared / (len(want) + n - hit.sum(1))).max()))
     return best
 
 
