@@ -130,6 +130,8 @@ def identify(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "tex
         for batch in texts:
             yield pd.DataFrame(share.value.predict(list(batch)), columns=["lang_pred", "score", "rejected"])
 
+    # marked so that the optimiser does not run it once for a filter and again for its columns
+    of = of.asNondeterministic()
     names = ("lang_pred", "score", "rejected")
     out = docs.select(*[c for c in docs.columns if c not in names], of(F.col(text)).alias("__of"))
     return out.select(*[F.col(c) for c in out.columns if c != "__of"], *[F.col(f"__of.{c}").alias(c) for c in names])
