@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import bound_arrow, materialize
 
 #: Tokens in a window, in the longest piece that shares one, pieces that one task differences, words that a task remembers.
-WINDOW, PIECE, GROUP, REMEMBERED = 2048, 512, 2048, 1 << 20
+WINDOW, PIECE, GROUP, REMEMBERED = 2048, 512, 2048, 1 << 19
 
 #: Characters for which white space bounds words and case is one letter for one: printable ASCII but the apostrophe, and the letters of Latin-1.
 _ODD = re.compile(r"[^ \t-\r!-&(-~À-ÖØ-öø-ÿ]|<\|")
