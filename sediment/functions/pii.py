@@ -16,7 +16,7 @@ NOT_ACCOUNT = (
     "com net org io kr co jp cn us eu ai app cloud gov edu ac info biz local internal dev test stage prod"
 ).split()
 #: A word, a dot and a word, not part of a longer dotted token. \w takes Hangul too, so a particle right after ends the match.
-ACCOUNT = r"(?U)(?<![.\w-])[A-Za-z][A-Za-z0-9_-]{1,15}\.(?!(?i:" + "|".join(NOT_ACCOUNT) + r")(?![\w-]))[A-Za-z][A-Za-z0-9_-]{1,30}(?!\.?[\w-])"
+ACCOUNT = r"(?U)(?<![.A-Za-z0-9_-])(?<!\w)[A-Za-z][A-Za-z0-9_-]{1,15}\.(?!(?i:" + "|".join(NOT_ACCOUNT) + r")(?![\w-]))[A-Za-z][A-Za-z0-9_-]{1,30}(?!\.?[\w-])"
 ADDRESS = r"(?:[A-Za-z][A-Za-z0-9+.\-]*://|www\.)[^\s<>\"')\]]+"
 
 #: Surnames, titles, labels before a name, and organisation endings.
@@ -37,9 +37,9 @@ def _outside_addresses(t: Column, change) -> Column:
     the neighbouring piece stay visible as a mark so that look-around holds.
     """
     addresses = F.regexp_extract_all(t, F.lit(f"({ADDRESS})"), F.lit(1))
-    rest = F.split(t, ADDRESS, -1)
-    masked = F.transform(rest, change)
-    return F.array_join(F.transform(masked, lambda x, i: F.concat(x, F.coalesce(F.get(addresses, i), F.lit("")))), "")
+    masked = F.transform(F.split(t, ADDRESS, -1), change)
+    apart = F.array_join(F.zip_with(masked, addresses, lambda x, a: F.concat(x, F.coalesce(a, F.lit("")))), "")
+    return F.when(F.contains(t, F.lit("://")) | F.contains(t, F.lit("www.")), apart).otherwise(change(t))
 
 
 def mask_email(t: Column) -> Column:
@@ -57,9 +57,10 @@ def mask_accounts(t: Column) -> Column:
 
 def mask_pii(t: Column) -> Column:
     """Accounts, then labelled names, names before a title, and organisations."""
-    t = F.regexp_replace(mask_accounts(t), LABELLED, "$1: " + _quoted(NAME))
-    t = F.regexp_replace(t, TITLED, _quoted(NAME))
-    return F.regexp_replace(t, ORGANISATION, "{$1명}")
+    own = mask_accounts(t)
+    named = F.regexp_replace(F.regexp_replace(own, LABELLED, "$1: " + _quoted(NAME)), TITLED, _quoted(NAME))
+    # what the text's own letters rule out is not searched for
+    return F.when(~t.rlike("[가-힣]"), own).otherwise(F.regexp_replace(named, ORGANISATION, "{$1명}"))
 
 
 def find_accounts(t: Column) -> Column:

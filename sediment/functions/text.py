@@ -128,18 +128,17 @@ def labelled_cells(*cells: tuple[str, Column]) -> Column:
 
 
 def strip_suffix(token: Column) -> Column:
-    """The longest known ending goes, once, if two characters or more stay."""
-    by_length = sorted(set(SUFFIXES), key=lambda s: (-len(s), s))
-    out = token
-    for s in reversed(by_length):
-        out = F.when(F.endswith(token, F.lit(s)) & (F.length(token) - len(s) >= 2), F.substr(token, F.lit(1), F.length(token) - len(s))).otherwise(out)
-    return out
+    """The longest known ending goes, once, if two characters or more stay: the shortest start before an ending."""
+    return F.regexp_replace(token, "^(..+?)(?:" + "|".join(SUFFIXES) + ")$", "$1")
 
 
 def distinct_folded(tokens: Column) -> Column:
-    """Tokens without those that repeat an earlier one but for case; the first form stays."""
-    low = F.transform(tokens, lambda x: F.lower(x))
-    return F.filter(tokens, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    """Tokens without those that repeat an earlier one but for case; the first form stays.
+
+    Tokens and their folded forms are bound to outer variables: a lambda's body is evaluated for each element.
+    """
+    both = F.transform(F.array(tokens), lambda t: F.struct(t.alias("t"), F.transform(t, lambda x: F.lower(x)).alias("low")))
+    return F.flatten(F.transform(both, lambda b: F.filter(b["t"], lambda x, i: F.array_position(b["low"], F.lower(x)) == i + 1)))
 
 
 def tokens(query: Column) -> Column:

@@ -103,7 +103,8 @@ def foreign_accounts(answer: Column, user: Column) -> Column:
 
 def drop_lines(answer: Column, bad: Column) -> Column:
     """The answer without the lines that hold a bad value, ends stripped."""
-    kept = F.filter(F.split(answer, "\n", -1), lambda x: ~F.exists(bad, lambda b: F.contains(x, b)))
+    # the bad values are bound to an outer variable, else each line would find them anew
+    kept = F.flatten(F.transform(F.array(bad), lambda own: F.filter(F.split(answer, "\n", -1), lambda x: ~F.exists(own, lambda b: F.contains(x, b)))))
     return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
 
 

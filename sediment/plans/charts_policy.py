@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import charts, ingest, policy
 from .registry import load, query
 
-_POINTS = "points AS (SELECT strftime(o_orderdate, '%Y-%m') AS label, CAST(substr(o_orderpriority, 1, 1) AS INT) AS series_no, round(sum(CASE WHEN o_orderkey % 5 = 0 THEN -o_totalprice ELSE o_totalprice END), 2) AS value FROM orders GROUP BY 1, 2)"
+_POINTS = "points AS (SELECT strftime(o_orderdate, '%Y-%m') AS label, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS series_no, round(sum(CASE WHEN o_orderkey % 5 = 0 THEN -o_totalprice ELSE o_totalprice END), 2) AS value FROM orders GROUP BY 1, 2)"
 
 
 def points(spark, sf_dir):
@@ -122,32 +122,32 @@ def sheet(spark, sf_dir):
 
 
 @query(f"""WITH {_SHEET}, f AS (SELECT file, row_no, list_filter(cells, lambda x: x <> '') AS c FROM sheet), n AS (SELECT *, len(c) AS n, lead(len(c), 1) OVER w AS n1, lead(len(c), 2) OVER w AS n2, lead(len(c), 3) OVER w AS n3 FROM f WINDOW w AS (PARTITION BY file ORDER BY row_no)),
-s AS (SELECT file, row_no, round(n + len(list_distinct(c)) / n * 2 + 1.5 * (CAST(coalesce(n1, 0) >= greatest(2, n * 0.6) AS INT) + CAST(coalesce(n2, 0) >= greatest(2, n * 0.6) AS INT) + CAST(coalesce(n3, 0) >= greatest(2, n * 0.6) AS INT)) - 3 * len(list_filter(c, lambda x: length(x) > 40)), 6) AS score FROM n WHERE n >= 2)
+s AS (SELECT file, row_no, round(n + len(list_distinct(c)) / n * 2 + 1.5 * (CAST(coalesce(n1, 0) >= greatest(2, n * 0.6) AS BIGINT) + CAST(coalesce(n2, 0) >= greatest(2, n * 0.6) AS BIGINT) + CAST(coalesce(n3, 0) >= greatest(2, n * 0.6) AS BIGINT)) - 3 * len(list_filter(c, lambda x: length(x) > 40)), 6) AS score FROM n WHERE n >= 2)
 SELECT file, row_no, score FROM s""")
 def header_row_score(spark, sf_dir):
     return ingest.header_scores(sheet(spark, sf_dir))
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS file, CAST(2 + s_suppkey % 2 AS INT) AS header FROM supplier")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS file, CAST(2 + s_suppkey % 2 AS BIGINT) AS header FROM supplier")
 def header_row_detect(spark, sf_dir):
     return ingest.header_row(sheet(spark, sf_dir))
 
 
-@query(f"WITH {_SHEET} SELECT file, row_no, cells[1] AS name, cells[2] AS value FROM sheet WHERE row_no > 2 + CAST(file AS INT) % 2")
+@query(f"WITH {_SHEET} SELECT file, row_no, cells[1] AS name, cells[2] AS value FROM sheet WHERE row_no > 2 + CAST(file AS BIGINT) % 2")
 def table_load(spark, sf_dir):
     s = sheet(spark, sf_dir)
     t = ingest.table_rows(s, ingest.header_row(s))
     return t.select("file", "row_no", F.try_element_at("row", F.lit("name")).alias("name"), F.try_element_at("row", F.lit("value")).alias("value"))
 
 
-@query(f"WITH {_SHEET} SELECT file, row_no, cells[1] AS question, CASE WHEN cells[2] = '' THEN 'blank' END AS skipped FROM sheet WHERE row_no > 2 + CAST(file AS INT) % 2")
+@query(f"WITH {_SHEET} SELECT file, row_no, cells[1] AS question, CASE WHEN cells[2] = '' THEN 'blank' END AS skipped FROM sheet WHERE row_no > 2 + CAST(file AS BIGINT) % 2")
 def record_import(spark, sf_dir):
     s = sheet(spark, sf_dir)
     t = ingest.table_rows(s, ingest.header_row(s))
     return ingest.import_records(t, "name", "value").select("file", "row_no", "question", "skipped")
 
 
-_FILES = "f AS (SELECT p_partkey AS file_id, p_brand AS title, CAST(p_partkey % 5 + 1 AS INT) AS version, CASE WHEN p_partkey % 7 = 0 THEN 'draft' WHEN p_partkey % 3 = 0 THEN 'archived' ELSE 'published' END AS status FROM part)"
+_FILES = "f AS (SELECT p_partkey AS file_id, p_brand AS title, CAST(p_partkey % 5 + 1 AS BIGINT) AS version, CASE WHEN p_partkey % 7 = 0 THEN 'draft' WHEN p_partkey % 3 = 0 THEN 'archived' ELSE 'published' END AS status FROM part)"
 
 
 def part_files(spark, sf_dir):
@@ -167,7 +167,7 @@ def delete_guard(spark, sf_dir):
     return ingest.guard(part_files(spark, sf_dir), "delete").select("file_id", "problem")
 
 
-@query(f"WITH {_FILES}, d AS (SELECT file_id, title, row_number() OVER (PARTITION BY title ORDER BY file_id) AS k FROM f WHERE status = 'draft') SELECT d.file_id, d.title, CAST(m.v + d.k AS INT) AS version FROM d JOIN (SELECT title, max(version) AS v FROM f GROUP BY 1) m USING (title)")
+@query(f"WITH {_FILES}, d AS (SELECT file_id, title, row_number() OVER (PARTITION BY title ORDER BY file_id) AS k FROM f WHERE status = 'draft') SELECT d.file_id, d.title, CAST(m.v + d.k AS BIGINT) AS version FROM d JOIN (SELECT title, max(version) AS v FROM f GROUP BY 1) m USING (title)")
 def draft_versions(spark, sf_dir):
     f = part_files(spark, sf_dir)
     d = f.filter("status = 'draft'").select("file_id", "title", F.col("file_id").alias("draft_no"))

@@ -89,7 +89,7 @@ def line_budget(spark, sf_dir):
 
 
 @query(f"""WITH {CHUNKS_SQL}, s AS (SELECT chunk_id, file_id, chunk_text, sum(length(chunk_text)) OVER w AS used, coalesce(sum(length(chunk_text)) OVER (PARTITION BY file_id ORDER BY seq, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks WINDOW w AS (PARTITION BY file_id ORDER BY seq, chunk_id ROWS UNBOUNDED PRECEDING))
-SELECT chunk_id, file_id, CASE WHEN used <= 8000 THEN md5(chunk_text) ELSE md5(substr(chunk_text, 1, CAST(8000 - before AS INT)) || '…') END AS body, used > 8000 AS partial FROM s WHERE used <= 8000 OR (before < 7800 AND before <= 8000)""")
+SELECT chunk_id, file_id, CASE WHEN used <= 8000 THEN md5(chunk_text) ELSE md5(substr(chunk_text, 1, CAST(8000 - before AS BIGINT)) || '…') END AS body, used > 8000 AS partial FROM s WHERE used <= 8000 OR (before < 7800 AND before <= 8000)""")
 def read_through(spark, sf_dir):
     """Chunks of a file in order under a budget of characters; the first that does not fit is cut if over 200 are left.
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .registry import load
 
 FILES_SQL = """files AS (SELECT source AS file_id, 'Title ' || source AS title, CASE WHEN source IN ('src3', 'src7') THEN 'archived' WHEN source = 'src5' THEN 'draft' ELSE 'published' END AS status,
-  CAST(max(doc_id) % 3 + 1 AS INT) AS version, count(*) AS n_chunks FROM documents GROUP BY source)"""
-CHUNKS_SQL = """chunks AS (SELECT d.doc_id AS chunk_id, d.source AS file_id, CAST(floor(d.doc_id / 20) AS BIGINT) AS seq, d.lang AS doc_title, CAST(d.doc_id % 7 + 1 AS INT) AS page_no,
+  CAST(max(doc_id) % 3 + 1 AS BIGINT) AS version, count(*) AS n_chunks FROM documents GROUP BY source)"""
+CHUNKS_SQL = """chunks AS (SELECT d.doc_id AS chunk_id, d.source AS file_id, CAST(floor(d.doc_id / 20) AS BIGINT) AS seq, d.lang AS doc_title, CAST(d.doc_id % 7 + 1 AS BIGINT) AS page_no,
   d.text AS chunk_text, e.embedding, CASE WHEN e.embedding IS NULL THEN NULL WHEN d.doc_id % 5 = 0 THEN 'old-model' ELSE 'bge-m3' END AS embed_model, len(e.embedding) AS embed_dim
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 QUERIES_SQL = """queries AS (SELECT b.item_id AS qid, substr(b.text, 1, 60) AS query, e.embedding AS qvec FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id * 7 + 3 WHERE b.item_id < 8)"""

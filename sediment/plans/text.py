@@ -146,7 +146,7 @@ def fence_length(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.fence_length(F.replace("text", F.lit("th"), F.lit("``"))).alias("fence"))
 
 
-@query("SELECT doc_id, round((length(text) - length(regexp_replace(text, '[가-힣]', '', 'g'))) + 0.55 * length(regexp_replace(text, '[가-힣]', '', 'g')), 4) AS width FROM documents")
+@query("SELECT doc_id, CAST(round((length(text) - length(regexp_replace(text, '[가-힣]', '', 'g'))) + 0.55 * length(regexp_replace(text, '[가-힣]', '', 'g')), 4) AS DOUBLE) AS width FROM documents")
 def text_width(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.round(text.text_width(F.col("text"), 1.0), 4).alias("width"))
 

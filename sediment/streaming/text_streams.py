@@ -42,8 +42,8 @@ class Deltas:
 
 
 MARK = "chart://"
-LONGEST_ID = 32
-_TOKEN = re.compile(re.escape(MARK) + r"([0-9a-f]{6,32})")
+LONGEST_ID = 64
+_TOKEN = re.compile(re.escape(MARK) + r"([0-9a-f]{16,64})")
 
 
 class Markers:
@@ -53,12 +53,12 @@ class Markers:
         self.replace, self.held = replace, held
 
     def _safe(self) -> int:
-        for n in range(len(MARK) - 1, 0, -1):
-            if self.held.endswith(MARK[:n]):
-                return len(self.held) - n
+        """How much may go: not an id that may go on, nor a tail that may begin a marker."""
         at = self.held.rfind(MARK)
         tail = self.held[at + len(MARK) :]
-        return at if at >= 0 and len(tail) < LONGEST_ID and re.fullmatch("[0-9a-f]*", tail) else len(self.held)
+        if at >= 0 and len(tail) < LONGEST_ID and re.fullmatch("[0-9a-f]*", tail):
+            return at
+        return next((len(self.held) - n for n in range(len(MARK) - 1, 0, -1) if self.held.endswith(MARK[:n])), len(self.held))
 
     def _put(self, text: str) -> str:
         return _TOKEN.sub(lambda m: self.replace(m[1]) or "", text)
