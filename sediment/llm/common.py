@@ -56,7 +56,7 @@ def discard(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bound_arrow(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
+def bound_arrow(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Bounds the batches that Python workers get, by rows and by bytes.
 
     Texts may be long; Spark's default of 10,000 rows sets no bound in bytes.

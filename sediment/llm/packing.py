@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +15,29 @@ from pyspark.sql import functions as F
 from .common import bound_arrow, materialize
 
 #: Tokens in a window, in the longest piece that shares one, pieces that one task differences, words that a task remembers.
-WINDOW, PIECE, GROUP, REMEMBERED = 2048, 512, 2048, 1 << 19
+WINDOW, PIECE, GROUP, REMEMBERED = 2048, 512, 2048, 1 << 18
 
 #: Characters for which white space bounds words and case is one letter for one: printable ASCII but the apostrophe, and the letters of Latin-1.
 _ODD = re.compile(r"[^ \t-\r!-&(-~À-ÖØ-öø-ÿ]|<\|")
 _PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-z0-9ß-öø-ÿ]+")
 
 
+class Remembered(dict):
+    """Results of ``make`` by key, in two generations of ``most`` keys: one that is full becomes the older, and what is asked for again moves up."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int = REMEMBERED) -> None:
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, w: str) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        out = self.older.pop(w, None)
+        self[w] = out = self.make(w) if out is None else out
+        return out
+
+
 class WordIds:
     """Token ids of whole texts by a tokenizer whose words don't cross white space.
 
@@ -33,31 +49,24 @@ class WordIds:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.parts, self.chunks = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts, self.chunks = Remembered(self._part), Remembered(self._chunk)
 
-    def _part(self, w: str) -> bytes:
-        if len(self.parts) >= REMEMBERED:
-            self.parts.clear()
-        ids = (t.id for t in self.tokenizer.model.tokenize(w)) if w.isascii() else self.tokenizer.encode(w, add_special_tokens=False).ids
-        self.parts[w] = out = array("I", ids).tobytes()
-        return out
+    def _encode(self, w: str) -> bytes:
+        return array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
 
-    def _plain(self, text: str) -> bytes:
-        get = self.parts.get
-        return b"".join([get(w) or self._part(w) for w in _PART.findall(text.lower())])
+    def _part(self, w: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(w)]).tobytes() if w.isascii() else self._encode(w)
 
     def _chunk(self, w: str) -> bytes:
-        if not _ODD.search(w):
-            return self._plain(w)
-        if len(self.chunks) >= REMEMBERED:
-            self.chunks.clear()
-        if w not in self.chunks:
-            self.chunks[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-        return self.chunks[w]
+        return self._encode(w) if _ODD.search(w) else self._plain(w)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PART.findall(text.lower())))
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self._chunk, re.split(r"[ \t-\r]+", text))) if _ODD.search(text) else self._plain(text)
+        return b"".join(map(self.chunks.__getitem__, re.split(r"[ \t-\r]+", text))) if _ODD.search(text) else self._plain(text)
 
 
 #: Encoders of this worker process, by tokenizer file: what one task has encoded serves the next.

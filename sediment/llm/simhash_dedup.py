@@ -17,7 +17,7 @@ from .components import components
 
 BITS = 64
 #: Members of a bucket that one task compares with one another, or with as many others.
-BLOCK = 1024
+BLOCK = 512
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
