@@ -67,8 +67,11 @@ def self_named(words: Column, names: tuple[str, ...]) -> Column:
 
 
 def cast_argument(value: Column, kind: Column, choices: Column) -> Column:
-    """(value, problem): whole numbers for int, one of the values of "value: label" choices for enum, text else."""
-    allowed = F.transform(choices, lambda c: F.btrim(F.regexp_extract(c, r"^([^:]*)", 1)))
+    """(value, problem): whole numbers for int, one of the choices for enum, text else.
+
+    A choice "value: label" has one word, a colon and a blank before its label; any other is a value as it stands.
+    """
+    allowed = F.transform(choices, lambda c: F.regexp_replace(F.btrim(c), r"(?s)^(\S+):\s+\S.*$", "$1"))
     bad = F.when((kind == "int") & value.try_cast("long").isNull(), "int").when((kind == "enum") & ~F.array_contains(allowed, value), "enum")
     return F.struct(F.when(bad.isNull(), F.when(kind == "int", value.try_cast("long").cast("string")).otherwise(value)).alias("value"), bad.alias("problem"))
 

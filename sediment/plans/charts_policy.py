@@ -98,7 +98,7 @@ def type_cast(spark, sf_dir):
     k = F.col("c_custkey") % 3
     v = F.when(k == 0, "7").when(k == 1, "a").otherwise("zz")
     kind = F.when(F.col("c_custkey") % 2 == 0, "int").otherwise("enum")
-    return load(spark, sf_dir, "customer").select("c_custkey", policy.cast_argument(v, kind, F.array(F.lit("a: first"), F.lit("7:seven")))["problem"].alias("problem"))
+    return load(spark, sf_dir, "customer").select("c_custkey", policy.cast_argument(v, kind, F.array(F.lit("a: first"), F.lit("7: seven")))["problem"].alias("problem"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 0 WHEN c_custkey % 4 = 1 THEN 1 ELSE 2 END AS n, CASE WHEN c_custkey % 4 >= 2 THEN 2 ELSE 0 END AS n_choices FROM customer")
@@ -177,3 +177,38 @@ def draft_versions(spark, sf_dir):
 @query()
 def batch_embedding(spark, sf_dir):
     return ingest.embed(load(spark, sf_dir, "documents"), ingest.hash_embedder(), "doc_id", "text")
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_custkey % 6 < 4 THEN 'denied' WHEN c_custkey % 6 = 5 THEN 'missing' WHEN c_custkey % 4 = 0 THEN 'unused' END AS problem FROM (SELECT c_custkey, {_LINE} AS line FROM customer)")
+def definition_check(spark, sf_dir):
+    from ..operators import registry
+
+    arg = F.struct(F.lit("n").alias("name"), F.lit("int").alias("type"), F.array().cast("array<string>").alias("choices"))
+    given = F.when((F.col("c_custkey") % 4 == 0) | (F.col("c_custkey") % 6 == 5), F.array(arg)).otherwise(F.array().cast("array<struct<name:string,type:string,choices:array<string>>>"))
+    return command_lines(spark, sf_dir).select("c_custkey", registry.definition_problem(F.lit("tool"), F.col("line"), given, F.lit("login_server")).alias("problem"))
+
+
+@query("WITH a AS (SELECT trim(p_name) AS title, p_type AS d, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS c, 0 AS k FROM part UNION ALL SELECT trim(s_name), 'supplier', '한글', 1 FROM supplier), f AS (SELECT * FROM a WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY title ORDER BY k, d, c) = 1) SELECT title, d AS description, coalesce(nullif(c, ''), title) AS exec_command, c <> '한글' AS enabled FROM f WHERE title NOT IN (SELECT p_name FROM part WHERE p_partkey % 5 = 0)")
+def merge_catalogs(spark, sf_dir):
+    from ..operators import registry
+
+    part = load(spark, sf_dir, "part")
+    a = part.select(F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_brand")).alias("exec_command"))
+    b = load(spark, sf_dir, "supplier").select(F.col("s_name").alias("title"), F.lit("supplier").alias("description"), F.lit("한글").alias("exec_command"))
+    return registry.merge_catalogs(part.filter("p_partkey % 5 = 0").select(F.col("p_name").alias("title")), a, b)
+
+
+@query("SELECT c_custkey, '[VOC 제목] ' || c_name || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN '[시스템] ' || c_mktsegment || ' / -' || chr(10) ELSE '' END || '[문의 내용]' || chr(10) || 'a b' AS message FROM customer")
+def record_messages(spark, sf_dir):
+    from ..operators import messages
+
+    none = F.lit(None).cast("string")
+    system = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))
+    return load(spark, sf_dir, "customer").select("c_custkey", messages.record_message(F.col("c_name"), system, none, F.lit(""), none, messages.body_text(F.lit(" "), F.lit("<p>a<br>b</p>"))).alias("message"))
+
+
+@query("SELECT doc_id, substr(trim(text), 1, 150) || CASE WHEN length(trim(text)) > 150 THEN '…' ELSE '' END AS reason FROM documents")
+def similar_reasons(spark, sf_dir):
+    from ..operators import messages
+
+    return load(spark, sf_dir, "documents").select("doc_id", messages.similar_reason(F.col("text"), F.lit(0.5)).alias("reason"))

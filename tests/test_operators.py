@@ -197,3 +197,41 @@ def test_publish_rolls_back(spark):
     out = {r.file_id: r.status for r in ingest.publish(f, f.filter("file_id = '1'"), F.current_timestamp()).collect()}
     assert out == {"1": "published", "2": "archived", "3": "published"}
     assert counters.request_counters  # run as a query in test_queries
+
+
+@pytest.mark.parametrize(
+    "said,want",
+    [
+        ('<think>{}</think>```json\n{"mode": "Execute", "sources": ["VOC", "x"], "queries": ["a", " ", "b", "c", "d"]}\n```', ("execute", ["voc"], ["a", "b", "c"])),
+        ('{"mode": "look"}', ("search", ["manual", "voc"], [])),
+        ("no json", None),
+    ],
+)
+def test_plans(spark, said, want):
+    from sediment.operators import messages
+
+    got = spark.createDataFrame([(said,)], "t string").select(messages.parse_plan(F.col("t")).alias("p")).first().p
+    assert (got and tuple(got)) == want
+
+
+def test_message_parts(spark):
+    from sediment.operators import messages
+
+    rows = ['"plain"', '[{"type": "text", "text": "a"}, "b", {"type": "image"}]', None]
+    df = spark.createDataFrame([(x,) for x in rows], "t string").select(messages.content_text(F.col("t")).alias("r"))
+    assert [r.r for r in df.collect()] == ["plain", "a\nb", ""]
+    inner = '{"content": [{"type": "text", "text": "{\\"stdout\\": \\"x\\"}"}]}'
+    assert messages.unwrapped(inner) == '{"stdout": "x"}' and messages.unwrapped('{"result": []}') == "[]" and messages.unwrapped("x") == "x"
+
+
+def test_registry(spark):
+    from sediment.operators import registry
+
+    c = spark.createDataFrame([("My Quota", "x"), ("My quota now", "x"), ("할당량", "quota report -u {user_id}"), ("한글", "한글"), ("9 lives", None)], "title string, exec_command string")
+    taken = spark.createDataFrame([("my_quota",)], "tool_name string")
+    got = {r.title: r.tool_name for r in registry.tool_names(c, taken).collect()}
+    assert got["My Quota"] == "my_quota_2" and got["My quota now"] == "my_quota_3" and got["할당량"] == "quota_report" and got["9 lives"] == "lives" and got["한글"].startswith("k")
+    assert registry.guess_column(["Id", "질문 내용", "Answer"], ["질문", "question"]) == "질문 내용" and registry.guess_column(["a"], ["b"]) == ""
+    rec = spark.createDataFrame([(1, "q", "a", "user"), (2, "q", "a", "user")], "id long, question string, answer string, handled_by string")
+    out = {r.id: (r.answer, r.handled_by) for r in registry.edit_records(rec, rec.filter("id = 1").withColumn("answer", F.lit("new"))).collect()}
+    assert out == {1: ("new", None), 2: ("a", "user")}
