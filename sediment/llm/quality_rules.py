@@ -88,11 +88,11 @@ BASE_RULES = (
     Rule("few_words", lambda d: d.n_words < 50),
     Rule("repeated_words", lambda d: 100 * d.n_repeat_words > 50 * d.n_words),
 )
-#: Words of odd length on average, a tenth or more symbols, a third or more repeated lines.
+#: Words of odd length on average, more than a symbol to ten words, three or more repeated lines that are 0.3 of all.
 RULES = BASE_RULES + (
     Rule("word_length", lambda d: not 2 * d.n_words <= d.word_chars <= 15 * d.n_words),
-    Rule("symbols", lambda d: 10 * d.n_symbols > d.word_chars),
-    Rule("repeated_lines", lambda d: 10 * d.n_dup_lines > 3 * d.n_lines),
+    Rule("symbols", lambda d: 10 * d.n_symbols > d.n_words),
+    Rule("repeated_lines", lambda d: d.n_dup_lines >= 3 and 10 * d.n_dup_lines > 3 * d.n_lines),
 )
 
 

@@ -126,7 +126,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_su
   FROM w LEFT JOIN cover USING (rid)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines) AS kept
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words OR n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) AS kept
 FROM v
 """
 
