@@ -135,10 +135,13 @@ def strip_suffix(token: Column) -> Column:
 def distinct_folded(tokens: Column) -> Column:
     """Tokens without those that repeat an earlier one but for case; the first form stays.
 
-    Tokens and their folded forms are bound to outer variables: a lambda's body is evaluated for each element.
+    Sorted by folded form and place, so that long texts cost n log n; the
+    sorted list is bound to an outer variable, since a lambda's body is
+    evaluated for each element.
     """
-    both = F.transform(F.array(tokens), lambda t: F.struct(t.alias("t"), F.transform(t, lambda x: F.lower(x)).alias("low")))
-    return F.flatten(F.transform(both, lambda b: F.filter(b["t"], lambda x, i: F.array_position(b["low"], F.lower(x)) == i + 1)))
+    placed = F.sort_array(F.transform(tokens, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("t"))))
+    first = F.flatten(F.transform(F.array(placed), lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["low"] != x["low"]))))
+    return F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t")))), lambda x: x["t"])
 
 
 def tokens(query: Column) -> Column:

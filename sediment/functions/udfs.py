@@ -6,6 +6,7 @@ import html
 import re
 import shlex
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -59,7 +60,9 @@ def unescape(t: pd.Series) -> pd.Series:
     return t.map(html.unescape, na_action="ignore")
 
 
+@lru_cache(maxsize=256)
 def _word_trigrams(s: str) -> list[str]:
+    """Remembered for the texts and queries of a batch, which meet many times."""
     return [f"  {w} "[i : i + 3] for w in re.findall(r"\w+", s.lower()) for i in range(len(w) + 1)]
 
 

@@ -121,9 +121,9 @@ def verdict_validate(spark, sf_dir):
     return answers.valid_verdicts(v, load(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")))
 
 
-@query(r"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b'), lambda v: NOT contains(substr(text, 1, 500), v)))) AS n FROM documents")
+@query(r"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b'), lambda v: NOT contains(split_part(text, chr(10), 1), v)))) AS n FROM documents")
 def ungrounded_values(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.size(answers.ungrounded(F.col("text"), F.substring("text", 1, 500), (answers.IP,))).alias("n"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.size(answers.ungrounded(F.col("text"), F.split_part("text", F.lit("\n"), F.lit(1)), (answers.IP,))).alias("n"))
 
 
 @query(r"""WITH b AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')) AS bad FROM documents)

@@ -113,11 +113,11 @@ def rerank_overlap(spark, sf_dir):
 @query(f"""WITH {CHUNKS_SQL}, {FILES_SQL}, {_PUBLISHED},
 n AS (SELECT a.chunk_id, a.file_id, a.seq, string_agg(b.chunk_text, chr(10) ORDER BY b.seq, b.chunk_id) AS body, min(b.page_no) AS lo, max(b.page_no) AS hi, count(*) AS k
 FROM chunks a JOIN chunks b ON a.file_id = b.file_id AND b.seq BETWEEN a.seq - 1 AND a.seq + 1 AND (a.chunk_id = b.chunk_id OR a.doc_title IS NOT DISTINCT FROM b.doc_title AND a.seq <> b.seq)
-WHERE a.chunk_id % 3 = 0 GROUP BY 1, 2, 3)
+GROUP BY 1, 2, 3)
 SELECT chunk_id, sha256(body) AS body_hash, CASE WHEN k > 1 THEN lo END AS first_page, CASE WHEN k > 1 THEN hi END AS last_page, k > 1 AS expanded FROM n""")
 def neighbor_expand(spark, sf_dir):
     c = corpus.chunks(spark, sf_dir)
-    hits = c.filter("chunk_id % 3 = 0").withColumn("qid", F.col("chunk_id"))
+    hits = c.withColumn("qid", F.col("chunk_id"))
     out = R.expand_neighbors(hits, c, 1)
     return out.select("chunk_id", F.sha2("chunk_text", 256).alias("body_hash"), F.get("page_range", 0).alias("first_page"), F.get("page_range", 1).alias("last_page"), "expanded")
 

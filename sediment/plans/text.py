@@ -103,19 +103,19 @@ def clip_text(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.sha2(text.clip(F.col("text"), 300), 256).alias("h"))
 
 
-_TOK = r"""t AS (SELECT doc_id, unnest(regexp_extract_all(substr(text, 1, 300), '[0-9A-Za-z가-힣_.-]+')) AS tok, unnest(range(len(regexp_extract_all(substr(text, 1, 300), '[0-9A-Za-z가-힣_.-]+')))) AS pos FROM documents),
+_TOK = r"""t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9A-Za-z가-힣_.-]+')) AS tok, unnest(range(len(regexp_extract_all(text, '[0-9A-Za-z가-힣_.-]+')))) AS pos FROM documents),
 f AS (SELECT doc_id, tok, pos FROM t WHERE length(tok) >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, lower(tok) ORDER BY pos) = 1)"""
 
 
-@query(f"WITH {_TOK} SELECT d.doc_id, coalesce(string_agg(f.tok, ' ' ORDER BY f.pos), '') AS tokens FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY 1")
+@query(f"WITH {_TOK} SELECT d.doc_id, md5(coalesce(string_agg(f.tok, ' ' ORDER BY f.pos), '')) AS tokens FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY 1")
 def tokens_with_suffix(spark, sf_dir):
     """The documents have no Hangul, so that SQL may leave the endings out; tests cover them."""
-    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(text.tokens(F.substring("text", 1, 300)), " ").alias("tokens"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(text.tokens(F.col("text")), " ")).alias("tokens"))
 
 
-@query(f"WITH {_TOK}, s AS (SELECT doc_id, pos, regexp_replace(tok, '[^0-9A-Za-z가-힣_]', '', 'g') AS p FROM f) SELECT d.doc_id, coalesce(string_agg(s.p || ':*', ' | ' ORDER BY s.pos), '') AS q FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id AND length(s.p) >= 2 GROUP BY 1")
+@query(f"WITH {_TOK}, s AS (SELECT doc_id, pos, regexp_replace(tok, '[^0-9A-Za-z가-힣_]', '', 'g') AS p FROM f) SELECT d.doc_id, md5(coalesce(string_agg(s.p || ':*', ' | ' ORDER BY s.pos), '')) AS q FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id AND length(s.p) >= 2 GROUP BY 1")
 def prefix_query(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(text.prefixes(F.substring("text", 1, 300)), lambda x: F.concat(x, F.lit(":*"))), " | ").alias("q"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(F.transform(text.prefixes(F.col("text")), lambda x: F.concat(x, F.lit(":*"))), " | ")).alias("q"))
 
 
 @query(r"SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '{사용자 id}', 'g')) AS h FROM documents")
