@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -56,16 +57,16 @@ def discard(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bound_arrow(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+def bound_arrow(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Bounds the batches that Python workers get, by rows and by bytes.
 
     Texts may be long; Spark's default of 10,000 rows sets no bound in bytes.
     Values that the session has already lowered are left alone.
     """
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        number, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] <= most:
+            spark.conf.set(key, str(most))
 
 
 def hash128(*cols: Column) -> tuple[Column, Column]:

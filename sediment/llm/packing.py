@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
 
     Texts are encoded whole and get ``end_id`` at the end; a null text is empty.
     """
-    bound_arrow(docs.sparkSession, rows=256, size="8m")
+    bound_arrow(docs.sparkSession, rows=256, size=8 << 20)
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
