@@ -13,6 +13,8 @@ from .common import hash128, materialize
 
 #: Documents that one task balances at a time.
 BLOCK = 4096
+#: A document is long if it has more than MEANS times the mean words of its source and more than one part in SHARE of all of them.
+MEANS, SHARE = 8, 1024
 _TINY = 1e-9
 
 
@@ -84,43 +86,85 @@ def flight(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     return np.array([float(x > 0.5) if x <= _TINY or x >= 1 - _TINY else x for x in p])
 
 
-def landing(p: np.ndarray, size: np.ndarray, want: float, swaps: int = 8) -> np.ndarray:
+def longest_first(size: np.ndarray, fraction: float, total: float, seed: int) -> tuple[np.ndarray, float]:
+    """Decides the documents of ``size``, longest first: (taken, fraction of the source's other words to take).
+
+    Each is taken with the fraction that is wanted of what is left, which
+    keeps inclusion probabilities, unless only one choice leaves a rest that
+    the other documents can fill; where none does, the nearer one is made.
+    """
+    rng, want, left = random.Random(seed), fraction * total, float(total)
+    taken = np.zeros(len(size))
+    for i, s in enumerate(size.tolist()):
+        left -= s
+        miss = [max(0.0, -w, w - left) for w in (want, want - s)]
+        taken[i] = rng.random() * (left + s) < want if miss[0] == miss[1] else miss[1] < miss[0]
+        want -= s * taken[i]
+    return taken, min(1.0, max(0.0, want / left)) if left > 0 else 0.0
+
+
+def _decided(group: pa.Table) -> pa.Table:
+    k1, k2, size, p = (group.column(c).to_numpy() for c in ("k1", "k2", "size", "p"))
+    order = np.lexsort((k2, k1, -size))
+    taken, rest = longest_first(size[order], float(p[0]), float(group.column("source_size")[0].as_py()), int(k1[order[0]]))
+    out = np.empty(len(p))
+    out[order] = taken
+    group = group.set_column(group.schema.get_field_index("p"), "p", pa.array(out))
+    return group.append_column("rest", pa.array(np.full(len(p), rest)))
+
+
+def landing(p: np.ndarray, size: np.ndarray, want: float) -> np.ndarray:
     """Rounds the last two or fewer open documents to what comes nearest to ``want`` words, then mends the rest.
 
     What no rounding reaches is mended by exchanging one taken document for
-    one that is not, or by taking or leaving one, the best such step first.
+    one that is not, or by taking or leaving one, the best such step first,
+    until none comes nearer by half a word.
     """
     at = np.flatnonzero((p > 0) & (p < 1))
     fixed = float(np.dot(np.where((p > 0) & (p < 1), 0, p), size))
     ways = [[m >> k & 1 for k in range(len(at))] for m in range(1 << len(at))]
     p[at] = min(ways, key=lambda w: (abs(fixed + float(np.dot(w, size[at])) - want), w))
-    for _ in range(swaps):
-        off = want - float(np.dot(p, size))
+    while abs(off := want - float(np.dot(p, size))) > 0.5:
         # a step takes ``b`` and leaves ``a``; either may be no document, of size 0
         a, b = np.append(np.flatnonzero(p == 1), -1), np.append(np.flatnonzero(p == 0), -1)
         sa, sb = np.where(a < 0, 0, size[a]), np.where(b < 0, 0, size[b])
         order = np.argsort(sb, kind="stable")
         near = np.searchsorted(sb[order], sa + off)
-        best = min((abs(off - (sb[order[j]] - sa[i])), i, order[j]) for i, n in enumerate(near.tolist()) for j in (max(n - 1, 0), min(n, len(b) - 1)))
-        if best[0] >= abs(off) - 0.5:
+        to = order[np.stack([np.maximum(near - 1, 0), np.minimum(near, len(b) - 1)], 1)]
+        miss = np.abs(off - (sb[to] - sa[:, None]))
+        i, j = divmod(int(miss.argmin()), 2)
+        if miss[i, j] >= abs(off) - 0.5:
             break
-        if a[best[1]] >= 0:
-            p[a[best[1]]] = 0.0
-        if b[best[2]] >= 0:
-            p[b[best[2]]] = 1.0
+        if a[i] >= 0:
+            p[a[i]] = 0.0
+        if b[to[i, j]] >= 0:
+            p[b[to[i, j]]] = 1.0
     return p
 
 
-def _balanced(last: bool):
+def spread(p: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Marks up to ``n`` settled documents, half of them taken ones, evenly over the order of size."""
+    marked = np.zeros(len(p), bool)
+    for side in (np.flatnonzero(p == 0), np.flatnonzero(p == 1)):
+        side = side[np.argsort(size[side], kind="stable")]
+        marked[side[np.unique(np.linspace(0, len(side) - 1, min(n // 2, len(side))).astype(int))]] = True
+    return marked
+
+
+def _balanced(block: int, first: bool):
     def run(group: pa.Table) -> pa.Table:
         k1, k2, size, p = (group.column(c).to_numpy() for c in ("k1", "k2", "size", "p"))
+        blocks, own = group.column("blocks")[0].as_py(), group.column("block")[0].as_py()
         order = np.lexsort((k2, k1))
-        moved = flight(p[order], size[order], int(k1[order[0]]))
-        if last:
+        moved, spare = flight(p[order], size[order], int(k1[order[0]])), np.zeros(len(p), bool)
+        if blocks == 1:
             moved = landing(moved, size[order], float(np.dot(p, size)))
+        elif first and own * (share := max(2, block // blocks)) < block:
+            spare[order] = spread(moved, size[order], share)
         out = np.empty(len(p))
         out[order] = moved
-        return group.set_column(group.schema.get_field_index("p"), "p", pa.array(out))
+        group = group.set_column(group.schema.get_field_index("p"), "p", pa.array(out))
+        return group.set_column(group.schema.get_field_index("spare"), "spare", pa.array(spare))
 
     return run
 
@@ -129,15 +173,18 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     """One row per row of ``docs``: id, k1, k2 (hashes of the row), size, source_size, target, copies, taken.
 
     A source whose target is r times its size takes each of its documents
-    floor(r) times, and once more with probability r - floor(r), decided by
-    the cube method: in blocks of one source, probabilities move inside the
-    null space of two constraints, words and documents, until at most two
-    documents of a block are open. Open documents go on to the next level in
-    fewer blocks, until one block a source is left, where the last two or
-    fewer are landed on the nearest word total and what is missing is mended
-    by exchanges. A hot source is many blocks. Only hashes
-    and sizes move; the order inside a block is that of the hashes, so reruns
-    agree.
+    floor(r) times, and once more with probability r - floor(r). The few long
+    documents of a source are decided first, and what they leave of the target
+    is the probability of the others. Those are decided by the cube method: in
+    blocks of one source, probabilities move inside the null space of two
+    constraints, words and documents, until at most two documents of a block
+    are open. Open documents go on to the next level in fewer blocks, until
+    one block of the source is left; levels are counted for each source by
+    itself. There the last two or fewer are landed on the nearest word total,
+    and what is missing is mended by exchanges among the block's documents and
+    a spread of at most ``block`` documents that the first level has settled.
+    A hot source is many blocks. Only hashes and sizes move; the order inside
+    a block is that of the hashes, so reruns agree.
 
     Null and empty texts have size 0, are taken as 0 words and take no part in
     the balancing. A null source is a source of its own, the last. Repeated
@@ -149,21 +196,34 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     targets = source_targets(sizes, weights, most)
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     copies = F.least(F.floor(ratio + _TINY), F.lit(most))
-    rows = sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rows = rows.withColumn("whole", copies.cast("long")).withColumn("p", F.when((ratio - copies > _TINY) & (F.col("size") > 0), ratio - copies).otherwise(0.0))
-    names = ["id", "source", "k1", "k2", "size", "source_size", "target", "whole", "p", "blocks"]
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / block)).select(*names)
+    targets = targets.withColumn("whole", copies.cast("long")).withColumn("part", F.when(ratio - copies > _TINY, ratio - copies).otherwise(0.0)).withColumnRenamed("source", "of")
+    names = ["id", "source", "k1", "k2", "size", "source_size", "target", "whole", "p", "blocks", "spare"]
+
+    def joined(to: DataFrame, part: Column) -> DataFrame:
+        rows = sizes.join(to, F.col("source").eqNullSafe(F.col("of"))).withColumn("p", F.when(F.col("size") > 0, part).otherwise(0.0))
+        long_ = (F.col("part") > 0) & (F.col("size") * F.col("n") > MEANS * F.col("source_size")) & (F.col("size") * SHARE > F.col("source_size"))
+        return rows.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("spare", F.lit(False)).withColumn("long", long_).select(*names, "long")
+
+    # fewer than SHARE rows a source
+    longs = joined(targets, F.col("part")).filter("long").select(*names)
+    longs = materialize(longs.groupBy("source").applyInArrow(_decided, longs.withColumn("rest", F.lit(0.0)).schema), "long")
+    rests = longs.groupBy(F.col("source").alias("over")).agg(F.min("rest").alias("rest"))
+    rows = joined(targets.join(rests, F.col("of").eqNullSafe(F.col("over")), "left").drop("over"), F.coalesce("rest", "part")).filter("not long").select(*names)
     open_ = F.col("p").between(_TINY, 1 - _TINY)
     most_rows = (targets.agg(F.max("n")).first()[0] or 0)
-    settled, live, n = rows.filter(~open_), rows.filter(open_), max(1, -(-most_rows // block))
+    settled, live, n, level = longs.drop("rest").unionByName(rows.filter(~open_)), rows.filter(open_), max(1, -(-most_rows // block)), 0
     while True:
-        dealt = live.withColumn("block", F.pmod(F.xxhash64("k2", F.lit(n)), F.col("blocks")))
-        moved = materialize(dealt.groupBy("source", "block").applyInArrow(_balanced(n == 1), dealt.schema).drop("block"), "flight")
-        settled = settled.unionByName(moved.filter(~open_))
+        # what the first level has settled waits for its source's last block
+        ready, waiting = live.filter(open_ | (F.col("blocks") == 1)), live.filter(~open_ & (F.col("blocks") > 1))
+        dealt = ready.withColumn("block", F.pmod(F.xxhash64("k2", F.lit(level)), F.col("blocks")))
+        moved = materialize(dealt.groupBy("source", "block").applyInArrow(_balanced(block, level == 0), dealt.schema).drop("block"), "flight")
+        goes_on = (F.col("blocks") > 1) & (open_ | F.col("spare"))
+        settled = settled.unionByName(moved.filter(~goes_on))
         if n == 1:
             break
         # at most two documents of a block are open
-        live, n = moved.filter(open_).withColumn("blocks", F.ceil(2 * F.col("blocks") / block)), -(-2 * n // block)
+        live = moved.filter(goes_on).unionByName(waiting).withColumn("blocks", F.ceil(2 * F.col("blocks") / block))
+        n, level = -(-2 * n // block), level + 1
     total = (F.col("whole") + F.round("p").cast("long")).alias("copies")
     return settled.select(F.col("id").alias(id), "k1", "k2", "size", "source_size", "target", total).withColumn("taken", F.col("size") * F.col("copies"))
 

@@ -144,6 +144,25 @@ def test_mix_targets_and_totals(spark):
         assert abs(taken[s] - want[s]) <= longest[s] / 2 + 1
 
 
+@pytest.mark.parametrize("block", [64, 4096])
+def test_mix_reaches_targets_with_a_giant_and_beside_a_larger_source(spark, block):
+    rng = random.Random(8)
+    rows = [("a", 100_000), *[("a", rng.randint(50, 1000)) for _ in range(300)], *[("b", rng.randint(50, 1000)) for _ in range(40)], *[("c", rng.randint(50, 1000)) for _ in range(900)]]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+    taken, want = defaultdict(int), {}
+    for r in source_mix.mix(df, block=block).collect():
+        s = rows[r.doc_id][0]
+        taken[s], want[s] = taken[s] + r.taken, r.target
+    assert len(want) == 3 and all(abs(taken[s] - want[s]) <= 2 for s in want), (taken, want)
+
+
+def test_longest_first_keeps_probabilities_and_fillable_rests():
+    got = [source_mix.longest_first(np.array([100_000, 40_000]), 0.5, 300_000, k) for k in range(2000)]
+    assert np.mean([t for t, _ in got], 0) == pytest.approx([0.5, 0.5], abs=0.05)
+    assert all(t @ [100_000, 40_000] + rest * 160_000 == pytest.approx(150_000) for t, rest in got)
+    assert all(source_mix.longest_first(np.array([900]), 0.9, 1000, k)[0][0] == 1 for k in range(50))
+
+
 def test_mix_edge_rows(spark):
     out = source_mix.mix(frame(spark, EDGE, ("s", None))).collect()
     assert len(out) == len(EDGE) and all(r.taken <= 3 * r.size for r in out)
