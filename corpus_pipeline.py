@@ -9,8 +9,10 @@ from sediment.llm import language_id, line_dedup, packing, simhash_dedup, source
 from sediment.llm.common import materialize, table
 from sediment.llm.queries import tokenizer_path
 
-#: Five-word shingle sets that are 0.8 alike differ in about ten of 64 bits; wider links join strangers.
+#: Fingerprints this near are candidates, beside those that share a min-hash key.
 NEAR_BITS = 8
+#: Near copies are documents whose sets of five-word shingles are so alike (Jaccard).
+NEAR = 0.8
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -28,8 +30,8 @@ def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: shingles of five words, fingerprints within NEAR_BITS bits."""
-    return simhash_dedup.keep_one(docs.select(*COLUMNS), words=5, max_bits=NEAR_BITS)
+    """One document of each group of near copies stays: sets of five-word shingles NEAR alike or more."""
+    return simhash_dedup.keep_one(docs.select(*COLUMNS), words=5, max_bits=NEAR_BITS, likeness=NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,12 +12,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from .common import bound_arrow, materialize
 from .components import components
 
 BITS = 64
 #: Members of a bucket that one task compares with one another, or with as many others.
 BLOCK = 512
+#: Min-hash keys of a document, each over so many minima: pairs 0.8 alike share a key with probability 0.999, at 0.3 with 0.02.
+BANDS, ROWS = 24, 6
+#: Documents of one block whose shingle sets one task compares, with one another or with another block.
+SETS = 256
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -203,13 +209,125 @@ def fingerprint_components(rows: DataFrame, max_bits: int) -> DataFrame:
     return materialize(node_root.join(smallest, "root").select("fp", "component_id"), "classes")
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes, in order, of the word shingles that ``fingerprint`` takes."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(w) - words + 1) if w else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[k : k + words]), seed) for k in range(n)), np.uint64, n))
+
+
+_MIXERS = np.random.default_rng(20111).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def set_keys(shingles: np.ndarray) -> tuple[int, list[int]]:
+    """A hash of the set, and its min-hash keys; none for an empty set."""
+    whole = xxhash.xxh64_intdigest(shingles.tobytes())
+    if not len(shingles):
+        return whole, []
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), 1024):
+        x = shingles[k : k + 1024, None] * _MIXERS[0] + _MIXERS[1]
+        low = np.minimum(low, ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).min(0))
+    return whole, [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def _keys(text: Column, words: int) -> Column:
+    @F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            made = [set_keys(shingle_set(t, words)) for t in batch]
+            yield pd.DataFrame({"node": np.array([n for n, _ in made], np.uint64).view(np.int64), "bands": [np.array(b, np.uint64).view(np.int64) for _, b in made]})
+
+    return of(text)
+
+
+def _sets(text: Column, words: int) -> Column:
+    @F.pandas_udf("binary")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([shingle_set(t, words).tobytes() for t in batch], dtype=object)
+
+    return of(text)
+
+
+def alike(sets: list[np.ndarray], likeness: float) -> np.ndarray:
+    """Which pairs of sets (distinct values, in order) have a Jaccard similarity of ``likeness`` or more."""
+    n, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    shared = np.zeros((n, n), np.int64)
+    if n < 8:
+        for i, j in combinations(range(n), 2):
+            shared[i, j] = shared[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    else:
+        own, (value, at, times) = np.repeat(np.arange(n), size), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(times > 1) - 1
+        keep = times[at] > 1
+        own, at = own[keep], place[at[keep]]
+        order = np.argsort(at, kind="stable")
+        own, at = own[order], at[order]
+        # values that two sets hold or more, some columns at a time
+        for k in range(0, int((times > 1).sum()), 4096):
+            x, y = np.searchsorted(at, (k, k + 4096))
+            m = np.zeros((n, 4096), np.float32)
+            m[own[x:y], at[x:y] - k] = 1
+            shared += (m @ m.T).astype(np.int64)
+    union = size[:, None] + size[None, :] - shared
+    return (shared >= likeness * union - 1e-9) & (union > 0)
+
+
+def _confirmed(likeness: float):
+    def run(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        root = _forest(alike([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], likeness) | np.eye(len(node), dtype=bool))
+        tied = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"a": node[tied], "b": node[root[tied]]})
+
+    return run
+
+
+def alike_classes(rows: DataFrame, words: int, max_bits: int, likeness: float) -> DataFrame:
+    """(node, component_id) of ``rows`` (id, text, fp, node, bands): components of pairs whose shingle sets are ``likeness`` alike.
+
+    Documents with one shingle set are one node. Fingerprints within
+    ``max_bits`` bits and shared min-hash keys only say which nodes may be
+    alike; in each component of those, all pairs of sets are compared, in
+    blocks of SETS against one another, and only pairs that are alike link.
+    """
+    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    keys = nodes.select(F.explode("bands").alias("k"), "node")
+    by_key = keys.join(keys.groupBy("k").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "k").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    to = lambda x, y: prints.select(F.col("fp").alias(x), F.col("lead").alias(y))
+    by_print = links(prints.select("fp"), "fp", max_bits).withColumnsRenamed({"a": "fa", "b": "fb"}).join(to("fa", "a"), "fa").join(to("fb", "b"), "fb").select("a", "b")
+    same_print = nodes.join(prints, "fp").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    may = materialize(components(materialize(by_key.unionByName(by_print).unionByName(same_print).filter("a <> b").distinct(), "may")), "groups")
+    blocks = may.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SETS).alias("nb"))
+    texts = rows.select("node", "text").join(may.select("node"), "node").dropDuplicates(["node"])
+    sets = materialize(texts.select("node", _sets(F.col("text"), words).alias("shingles")), "sets")
+    placed = may.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = sets.join(placed, "node").select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "shingles")
+    pairs = materialize(dealt.groupBy("root", "lo", "hi").applyInArrow(_confirmed(likeness), "a long, b long"), "confirmed")
+    roots = components(pairs)
+    node_root = materialize(nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "roots")
+    smallest = node_root.groupBy("root").agg(F.min("first").alias("component_id"))
+    return materialize(node_root.join(smallest, "root").select("node", "component_id"), "classes")
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, max_bits: int = 4, likeness: float | None = None) -> DataFrame:
     """Rows of ``docs``, all columns, of which one stays in each component: that with the smallest id.
 
-    Rows that repeat an id and fingerprint are one document. Where a component
+    With ``likeness`` links join documents whose sets of word shingles have
+    that Jaccard similarity or more; without, fingerprints within
+    ``max_bits``. Rows that repeat an id and fingerprint are one document. Where a component
     has null ids only, one row of each of its fingerprints stays.
     """
     bound_arrow(docs.sparkSession)
+    if likeness is not None:
+        printed = docs.withColumn("__fp", fingerprints(F.col(text), words)).withColumn("__keys", _keys(F.col(text), words))
+        printed = materialize(printed.withColumns({"__node": F.col("__keys.node"), "__bands": F.col("__keys.bands")}).drop("__keys"), "printed")
+        rows = printed.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col("__fp").alias("fp"), F.col("__node").alias("node"), F.col("__bands").alias("bands"))
+        classes = alike_classes(rows, words, max_bits, likeness).select(F.col("node").alias("__node"), F.col("component_id").alias("__component"))
+        chosen = printed.drop("__bands").join(classes, "__node").filter(F.col(id).eqNullSafe(F.col("__component")))
+        return chosen.dropDuplicates([id, "__node"]).select(*docs.columns)
     with_fp = materialize(docs.withColumn("__fp", fingerprints(F.col(text), words)), "printed")
     classes = fingerprint_components(with_fp.select(F.col(id).alias("id"), F.col("__fp").alias("fp")), max_bits)
     joined = with_fp.join(classes.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__component")), "__fp")

@@ -99,6 +99,35 @@ def test_links_connect_what_brute_force_connects(spark, bits, block):
     assert {frozenset(v) for v in by_got.values()} == {frozenset(v) for v in by_want.values()}
 
 
+def test_near_copies_of_the_pipeline_are_those_of_the_shingle_sets(spark, sf):
+    import corpus_pipeline as cp
+
+    rng, rows = random.Random(12), []
+    for k in range(40):
+        base = [f"w{k}x{rng.randrange(10**6)}" for _ in range(300)]
+        for cut in (0, 5, 9, 16):
+            w = list(base)
+            for at in rng.sample(range(300), cut):
+                w[at] = f"n{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    # one large group: copies of one text with one word changed
+    rows += [(1000 + k, " ".join([*base[:k], "other", *base[k + 1 :]])) for k in range(280)]
+    rows += [(2000, None), (2001, ""), (2002, "one two"), (2003, "ONE two"), (2002, "one two")]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = root[i], root[j]
+                if a != b:
+                    root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+    got = [r.doc_id for r in cp.drop_near_copies(spark, frame(spark, rows), sf).collect()]
+    assert sorted(got) == sorted(set(root.values()))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 200 + k) for k in range(40)] + [(7, 7), (300, 301), (301, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
