@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str], order: str = "__order") -> DataFrame:
     """Rows of ``delta`` replace those of ``base`` with the same keys; the last of several in ``delta`` by ``order`` wins.
@@ -30,21 +32,23 @@ def delete(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def append_with_ids(base: DataFrame, new: DataFrame, id: str, order: list[str]) -> DataFrame:
-    """``new`` after ``base`` with ids that follow the largest one, in ``order``.
+    """``new`` after ``base`` with ids that follow the largest one, in ``order``: unique and without gaps.
 
-    Ids come from range partitions: each knows how many rows the ones before
-    it have, so no single task numbers all rows.
+    Rows are written once in ranges of ``order``, each file sorted; a row's
+    id is its place in its file after the rows of all files before it. So no
+    task numbers all rows, and partitions that adaptive execution merges
+    can't disagree with those that were counted. Rows that tie in ``order``
+    follow each other in any order; an empty ``new`` adds nothing.
     """
+    rows = materialize(new.repartitionByRange(*order).sortWithinPartitions(*order), "appended")
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
+    placed = rows.select("*", file.alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    # one row a file
+    sizes = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    start = sizes.select("__file", (F.sum("__n").over(Window.orderBy("__file")) - F.col("__n")).alias("__start"))
     top = base.agg(F.coalesce(F.max(id), F.lit(0))).first()[0]
-    parts = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    parts = parts.withColumn("__k", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
-    sizes = {r["__p"]: r["n"] for r in parts.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, at = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        before.append(at)
-        at += sizes.get(p, 0)
-    start = F.get(F.array(*map(F.lit, before)), F.col("__p")) if before else F.lit(0)
-    return base.unionByName(parts.withColumn(id, (F.lit(top) + start + F.col("__k") + 1).cast(base.schema[id].dataType)).select(*base.columns))
+    numbered = placed.join(start, "__file").withColumn(id, (F.lit(top) + F.col("__start") + F.col("__at") + 1).cast(base.schema[id].dataType))
+    return base.unionByName(numbered.select(*base.columns))
 
 
 def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 50, most: int = 500) -> DataFrame:
@@ -52,6 +56,11 @@ def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 50, m
     return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
 
 
+def first_rows(df: DataFrame, order: list[Column], limit: int = 0) -> DataFrame:
+    """The first ``limit`` rows in a total order; 0 or less means all rows, which are then not sorted."""
+    return df.orderBy(*order).limit(limit) if limit > 0 else df
+
+
 def envelope(df: DataFrame, returned: DataFrame, offset: int) -> DataFrame:
     """total, offset, returned, has_more and next_offset of a page."""
     total, n = df.agg(F.count(F.lit(1)).alias("total")), returned.agg(F.count(F.lit(1)).alias("returned"))

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path
 from ..streaming import counters, text_streams
 from .registry import load, query
 
 
-def _folder(spark: SparkSession) -> str:
-    """Under the shared checkpoint folder of the session; a folder of our own where none is set."""
-    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='sediment-')}"
-    return f"{set_.rstrip('/')}/sediment/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of files; the file source wants a folder, so a table of one file is picked out of its folder."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
@@ -28,7 +20,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drained(spark: SparkSession, out: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there and reads what it wrote."""
-    top = _folder(spark)
+    top = scratch_path(spark, "stream")
 
     def put(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{top}/out/{batch}")
