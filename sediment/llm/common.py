@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, materialize, scratch_path  # noqa: F401
+
 #: The white space of every operator here: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,45 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    A folder of our own is taken only where none is set, as in tests.
-    """
-    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_:
-        set_ = tempfile.mkdtemp(prefix="sediment-")
-        spark.sparkContext.setCheckpointDir(f"file://{set_}")
-        set_ = spark.sparkContext.getCheckpointDir()
-    return set_.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path under the shared folder; all of a job's paths share the application's id."""
-    return f"{scratch_dir(spark)}/sediment/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back.
-
-    This cuts lineage, so that a lost executor costs no more than its own
-    files' share of work, and gives later joins plain exchanges on both sides,
-    which adaptive execution can split when a key is hot, with a size that the
-    optimiser knows. The folder ``sediment/<application id>`` may be deleted
-    once the job's results are written; ``discard`` does so.
-    """
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession) -> None:
-    """Deletes this application's scratch tables."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/sediment/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bound_arrow(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Bounds the batches that Python workers get, by rows and by bytes.
 
@@ -78,12 +39,24 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def share_of(n: Column | int, *by: Column) -> Column:
+    """True for about the ``n``-th part of all values of ``by``: ``n`` is a share from 0 to 1, met to 64 bits."""
+    return F.xxhash64(*by).cast("double") / F.lit(2.0**64) + 0.5 < n
+
+
 def hash_sample(df: DataFrame, n: int, *by: Column) -> DataFrame:
-    """About ``n`` rows, twice as many at most: those whose hash of ``by`` lies under a bound set from the row count.
+    """About ``n`` rows: those whose hash of ``by`` lies under a bound set from the row count.
 
-    Rows are chosen where they are read; only chosen ones move.
+    Rows are chosen where they are read; only chosen ones move. Rows that
+    repeat their values of ``by`` are all chosen or none.
     """
     rows = df.count()
-    if rows <= n:
-        return df
-    return df.filter(F.abs(F.xxhash64(*by) % 1_000_003) < int(1_000_003 * n / rows) + 1).limit(2 * n)
+    return df if rows <= n else df.filter(share_of(F.lit(n / rows), *by))
+
+
+def row_place() -> Column:
+    """A number for each row of a table that ``materialize`` has just read: task, file of the task and row in one long."""
+    name = F.col("_metadata.file_name")
+    part = F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
+    piece = F.coalesce(F.nullif(F.regexp_extract(name, r"-c(\d+)", 1), F.lit("")), F.lit("0")).cast("long")
+    return F.shiftleft(part, 42) + F.shiftleft(piece, 32) + F.col("_metadata.row_index")

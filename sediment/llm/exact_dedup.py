@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_place
 
-#: Chunks end after a space that stands between marked letters (every third of the alphabet, and digits likewise): two
-#: before it and one after. In prose that is about one space in forty. Least and most code points of a chunk.
-MIN_CHUNK, MAX_CHUNK = 64, 8192
-_MARK = "[adgjmpsvyADGJMPSVY0369]"
+#: Least and most bytes of a chunk.
+MIN_CHUNK, MAX_CHUNK = 64, 16384
+#: Chunks are cut in the bytes of UTF-8, each read as one character, so that one rule holds for every script: after four
+#: characters in a row that are marked, which a character is by the last two bits of its last byte (3, about every fourth).
+_ASCII = "".join(rf"\x{b:02x}" for b in range(3, 0x80, 4))
+_TRAIL = "".join(rf"\x{b:02x}" for b in range(0x83, 0xC0, 4))
+_MARKED = rf"(?:[{_ASCII}]|[\xc0-\xff][\x80-\xbf]{{0,2}}[{_TRAIL}](?![\x80-\xbf]))"
 
 
 def normalize_space(text: Column) -> Column:
@@ -18,12 +21,17 @@ def normalize_space(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\t-\r][ \t-\r]*| [ \t-\r]+", " ")
 
 
+def bytes_of(text: Column) -> Column:
+    """The bytes of UTF-8 as characters from U+0000 to U+00FF."""
+    return F.decode(text.cast("binary"), "ISO-8859-1")
+
+
 def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
-    """Cuts a text at places that its content defines, so that equal passages give equal chunks wherever they stand.
+    """Cuts a text (as ``bytes_of`` gives it) at places that its content defines, so that equal passages give equal chunks wherever they stand.
 
-    Where no such place comes in ``most`` code points, the cut is made there.
+    Where no such place comes in ``most`` bytes, the cut is made there.
     """
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most}}}?(?<={_MARK}{_MARK} )(?={_MARK})|.{{1,{most}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most}}}?{_MARKED}{{4}}|.{{1,{most}}}"), F.lit(0))
 
 
 def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
@@ -38,12 +46,13 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     hold it carry the SHA-256 of each chunk beside their list.
 
     A null text counts as empty, and its list of chunks is empty. Of equal
-    texts the smallest id stays; nulls come after all ids, and a group of null
-    ids only has a null keep_id. Rows that repeat the id that stays are that
-    document again and are marked kept too. Other columns are not read.
+    texts one row stays, one with the smallest id; nulls come after all ids,
+    and a group of null ids only has a null keep_id. Of rows that repeat the
+    id that stays one is marked kept, the first in the files of the recipes.
+    Other columns are not read.
     """
     base = docs.select(F.col(id).alias("id"), normalize_space(F.col(text)).alias("text"))
-    cut = base.withColumn("chunks", chunks(F.col("text"), least, most))
+    cut = base.withColumn("chunks", chunks(bytes_of(F.col("text")), least, most))
     store = cut.select(F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
     clashes = materialize(store.groupBy(F.xxhash64("chunk").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "clashes")
     recipe = F.transform("chunks", lambda c: F.xxhash64(c))
@@ -53,8 +62,7 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     else:
         held = rows.select(F.col("recipe").alias("held"), F.explode("recipe").alias("h")).join(clashes, "h").select("held").distinct()
         rows = rows.join(held, F.col("recipe") == F.col("held"), "left").select("id", "text_sha256", "recipe", F.when(F.col("held").isNotNull(), F.array_join("__proof", "")).otherwise("").alias("proof"))
-    rows = materialize(rows, "recipes")
-    groups = materialize(rows.groupBy("recipe", "proof").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    return rows.join(groups, ["recipe", "proof"]).select(
-        F.col("id").alias(id), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    rows = materialize(rows, "recipes").select("*", row_place().alias("place"))
+    first = F.coalesce(F.min_by("place", "id"), F.min("place"))
+    groups = materialize(rows.groupBy("recipe", "proof").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), first.alias("first")), "groups")
+    return rows.join(groups, ["recipe", "proof"]).select(F.col("id").alias(id), "keep_id", "group_size", (F.col("place") == F.col("first")).alias("kept"), "text_sha256")

@@ -109,7 +109,7 @@ FROM q LEFT JOIN f ON q.payload_digest = f.payload_digest AND q.payload_bytes >=
 _OP7 = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+', ' ', 'g') AS n FROM documents),
 g AS (SELECT n, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n)
-SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.n) AS text_sha256
+SELECT t.doc_id, g.keep_id, g.group_size, row_number() OVER (PARTITION BY t.n ORDER BY t.doc_id NULLS LAST) = 1 AS kept, sha256(t.n) AS text_sha256
 FROM t JOIN g ON t.n = g.n
 """
 

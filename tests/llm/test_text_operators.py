@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from sediment.llm import exact_dedup, language_id, license_scan, line_dedup, quality_rules
 from sediment.llm.license_texts import LICENSES
 
@@ -45,27 +49,37 @@ def brute_exact(rows):
     by = defaultdict(list)
     for i, t in rows:
         by[norm(t)].append(i)
-    out = []
+    out, stays = [], set()
     for i, t in rows:
         own = by[norm(t)]
         keep = min((x for x in own if x is not None), default=None)
-        out.append((i, keep, len(own), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+        kept = i == keep and norm(t) not in stays
+        stays |= {norm(t)} if kept else set()
+        out.append((i, keep, len(own), kept, hashlib.sha256(norm(t).encode()).hexdigest()))
     return out
 
 
 def test_exact_groups_match_brute_force(spark):
     long = " ".join(f"Word{k}. Then, more; of it" for k in range(4000))
-    rows = [*EDGE, (7, "a b\na b  c"), (8, "a  b a b c"), (9, long), (10, long.replace(" ", "\n")), (11, long + "!"), (12, "z" * 30_000), (13, "z" * 30_000)]
+    rows = [*EDGE, (7, "a b\na b  c"), (8, "a  b a b c"), (9, long), (10, long.replace(" ", "\n")), (11, long + "!"), (12, "z" * 30_000), (13, "z" * 30_000), (7, "a b\na b c"), (None, "only nulls"), (None, "only nulls"), (14, "漢字" * 9000), (15, "漢字" * 9000), (16, "漢字" * 8999 + "漢")]
     got = [tuple(r) for r in exact_dedup.exact_groups(frame(spark, rows)).collect()]
-    assert sorted(got, key=repr) == sorted(brute_exact(rows), key=repr)
+    assert sorted(got, key=repr) == sorted(brute_exact(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))), key=repr)
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
 
 
-def test_chunks_rebuild_the_text_and_realign(spark):
-    text = " ".join(hashlib.md5(str(k).encode()).hexdigest()[: 2 + k % 7] for k in range(9000))
-    rows = spark.createDataFrame([(text,), ("Inserted words first. " + text,)], "t string").select(exact_dedup.chunks("t").alias("c")).collect()
-    assert "".join(rows[0].c) == text and len(rows[0].c) > 40
-    assert len(set(rows[0].c) & set(rows[1].c)) >= len(rows[0].c) - 3
+SCRIPTS = {"latin": (97, 26), "cyrillic": (0x430, 32), "greek": (0x3B1, 24), "arabic": (0x628, 34), "devanagari": (0x905, 50), "hangul": (0xAC00, 11172), "han": (0x4E00, 20000), "emoji": (0x1F300, 500), "base64": (0x2F, 76)}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_chunks_rebuild_the_text_and_realign_in_every_script(spark, script):
+    first, n = SCRIPTS[script]
+    rng = random.Random(script)
+    text = "".join(chr(first + rng.randrange(n)) for _ in range(40_000))
+    at = 20_000
+    rows = spark.createDataFrame([(text,), (text[:at] + text[0] + text[at:],)], "t string").select(exact_dedup.chunks(exact_dedup.bytes_of(F.col("t"))).alias("c")).collect()
+    assert "".join(rows[0].c).encode("latin-1").decode() == text and len(rows[0].c) > 40
+    assert len(set(rows[0].c) - set(rows[1].c)) <= 3
+    assert sum(len(c) == exact_dedup.MAX_CHUNK for c in rows[0].c) == 0
 
 
 def test_clashing_chunk_identifiers_are_told_apart(spark, monkeypatch):
