@@ -39,9 +39,9 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def share_of(n: Column | int, *by: Column) -> Column:
-    """True for about the ``n``-th part of all values of ``by``: ``n`` is a share from 0 to 1, met to 64 bits."""
-    return F.xxhash64(*by).cast("double") / F.lit(2.0**64) + 0.5 < n
+def in_share(share: Column, *by: Column) -> Column:
+    """True for about ``share`` (0 to 1) of all values of ``by``, by their hash."""
+    return F.xxhash64(*by).cast("double") / F.lit(2.0**64) + 0.5 < share
 
 
 def hash_sample(df: DataFrame, n: int, *by: Column) -> DataFrame:
@@ -51,7 +51,7 @@ def hash_sample(df: DataFrame, n: int, *by: Column) -> DataFrame:
     repeat their values of ``by`` are all chosen or none.
     """
     rows = df.count()
-    return df if rows <= n else df.filter(share_of(F.lit(n / rows), *by))
+    return df if rows <= n else df.filter(in_share(F.lit(n / rows), *by))
 
 
 def row_place() -> Column:

@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow
+from .common import bound_arrow, in_share, materialize
 
-#: Buckets of hashed n-grams; labelled rows for each language at most; languages at most; centroids for each.
-BUCKETS, SAMPLE, LANGUAGES, CENTROIDS = 4096, 400, 256, 4
+#: Buckets of hashed n-grams; about so many labelled texts are fitted for each language; languages at most (a model has 64 KB
+#: for each, on the driver and in each worker); centroids for each.
+BUCKETS, SAMPLE, LANGUAGES, CENTROIDS = 4096, 400, 512, 4
 #: A text is rejected when its cosine distance to its centroid is this many times the largest of the centroid's own
 #: sample, and not below the least nor above the most that a reach may be.
 MARGIN, LEAST_REACH, MOST_REACH = 1.5, 0.85, 0.97
@@ -69,47 +70,70 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nd
     return c, (x @ c.T).argmax(1)
 
 
-def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES, k: int = CENTROIDS, margin: float = MARGIN) -> Model:
-    """Fits on at most ``sample`` rows of each of the ``languages`` most frequent labels.
+def _packed(counts: np.ndarray) -> bytes:
+    """The buckets that are not empty and their counts."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n, out = len(data) // 6, np.zeros(BUCKETS, np.float32)
+    out[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f4", n, 2 * n)
+    return out
+
 
-    Labels are counted, which sets for each a bound on the hash of id and
-    text; rows under it are counted into n-gram vectors where they are read,
-    and about sample x languages vectors, twice as many at most, reach the
-    driver. Rows whose text or label is null, or whose text has no letter,
-    are not used; repeated rows count as often as they occur.
+def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES, k: int = CENTROIDS, margin: float = MARGIN) -> Model:
+    """Fits on about ``sample`` texts of each label.
+
+    Labels are counted, which sets for each a bound on the hash of the text;
+    texts under it are counted into n-gram vectors where they are read. One
+    sum gives the inverse document frequencies, and one task a label finds
+    its centroids; only these, 64 KB a label, reach the driver. More than
+    ``languages`` labels are an error. Rows whose text or label is null, or
+    whose text has no letter, are not used; a text that is repeated under one
+    label is used once. ``id`` is not read.
     """
-    bound_arrow(labelled.sparkSession)
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    top = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(languages).select(F.col("l").alias("of"), (F.floor(1.2 * sample * 1_000_003 / F.col("n")) + 1).alias("bound"))
-    chosen = F.abs(F.xxhash64("i", "t") % 1_000_003) < F.col("bound")
-    # one row a label, at most ``languages``: a proven bound
-    picked = rows.join(F.broadcast(top), F.col("l") == F.col("of")).filter(chosen).select("l", "t")
+    spark = labelled.sparkSession
+    bound_arrow(spark)
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    labels = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(languages + 1).collect()
+    if len(labels) > languages:
+        raise ValueError(f"more than {languages} labels; fit with a larger ``languages``")
+    if not labels:
+        return Model(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
+    shares = spark.createDataFrame([(r["l"], min(1.0, 1.2 * sample / r["n"])) for r in labels], "of string, share double")
+    # one row a label, at most ``languages``
+    picked = rows.join(F.broadcast(shares), F.col("l") == F.col("of")).filter(in_share(F.col("share"), F.col("t"))).select("l", "t")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[pdf["t"].map(lambda t: _LETTER.search(t) is not None)]
-            yield pd.DataFrame({"l": pdf["l"], "v": [ngram_counts(t).tobytes() for t in pdf["t"]]})
-
-    found = picked.mapInPandas(count, "l string, v binary").limit(2 * sample * languages).collect()
-    by_lang: dict[str, list[bytes]] = {}
-    for r in sorted(found, key=lambda r: (r["l"], bytes(r["v"]))):
-        if len(own := by_lang.setdefault(r["l"], [])) < sample:
-            own.append(bytes(r["v"]))
-    vectors = {x: np.stack([np.frombuffer(v, np.float32) for v in own]) for x, own in by_lang.items()}
-    if not vectors:
-        return Model(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
-    df, n = sum((v > 0).sum(0) for v in vectors.values()), sum(map(len, vectors.values()))
-    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    centroids, langs, reach = [], [], []
-    for x, v in sorted(vectors.items()):
-        unit = _unit(np.sqrt(v) * idf)
+            yield pd.DataFrame({"l": pdf["l"], "v": [_packed(ngram_counts(t)) for t in pdf["t"]]})
+
+    vectors = materialize(picked.mapInPandas(count, "l string, v binary").distinct(), "grams")
+
+    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n = np.zeros(BUCKETS, np.int64), 0
+        for pdf in batches:
+            for v in pdf["v"]:
+                df[np.frombuffer(v, "<u2", len(v) // 6)] += 1
+            n += len(pdf)
+        yield pd.DataFrame({"bucket": np.arange(BUCKETS + 1), "n": np.append(df, n)})
+
+    sums = vectors.mapInPandas(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(BUCKETS + 1)
+    df[[r["bucket"] for r in sums]] = [r["n"] for r in sums]
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
+
+    def centroids(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        unit = _unit(np.sqrt(np.stack([_unpacked(v) for v in sorted(pdf["v"])])) * idf)
         c, own = _cluster(unit, k)
-        for j in range(len(c)):
-            far = 1 - (unit[own == j] @ c[j]) if (own == j).any() else np.zeros(1)
-            centroids.append(c[j])
-            langs.append(x)
-            reach.append(min(max(margin * float(far.max()), LEAST_REACH), MOST_REACH))
-    return Model(idf, np.stack(centroids), langs, np.array(reach))
+        far = [float((1 - unit[own == j] @ c[j]).max()) if (own == j).any() else 0.0 for j in range(len(c))]
+        return pd.DataFrame({"l": key[0], "c": [x.astype("<f4").tobytes() for x in c], "reach": [min(max(margin * x, LEAST_REACH), MOST_REACH) for x in far]})
+
+    # about ``sample`` vectors a group
+    found = sorted(vectors.groupBy("l").applyInPandas(centroids, "l string, c binary, reach double").collect(), key=lambda r: (r["l"], bytes(r["c"])))
+    return Model(idf, np.array([np.frombuffer(r["c"], "<f4") for r in found]).reshape(-1, BUCKETS), [r["l"] for r in found], np.array([r["reach"] for r in found]))
 
 
 def identify(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
