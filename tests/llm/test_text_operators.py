@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -107,10 +108,56 @@ def test_language_accuracy_and_rejection(spark, sf):
     by = {r.doc_id: r for r in odd}
     assert by[1].lang_pred == by[2].lang_pred == by[20].lang_pred == "und" and by[1].score == 0 and by[21].rejected
     assert len(odd) == len(EDGE) + 2 and all(0 <= r.score <= 1 for r in odd)
+    again = language_id.fit(docs.filter("doc_id % 2 = 0").repartition(7))
+    assert again.langs == model.langs and abs(again.centroids - model.centroids).max() < 1e-5
     empty = language_id.fit(docs.limit(0))
     assert {r.lang_pred for r in language_id.identify(docs, empty).select("lang_pred").collect()} == {"und"}
 
 
+def brute_vector(text):
+    """Square roots of byte n-gram counts by bucket, the slow way."""
+    letters = "".join(c if c.isalpha() or not (c.isdigit() or c == "_" or re.match(r"\W", c)) else " " for c in text.lower())
+    b = (" " + re.sub(" +", " ", letters).strip() + " ").encode()
+    out = Counter()
+    for k in range(len(b) - 1):
+        out[((b[k] << 8 | b[k + 1]) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+    for k in range(len(b) - 2):
+        out[((b[k] << 16 | b[k + 1] << 8 | b[k + 2] | 1 << 24) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+    return {k: n**0.5 for k, n in out.items()}
+
+
+def test_predictions_are_those_of_the_nearest_centroid(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(docs)
+    assert len(model.langs) == 4 * docs.select("lang").distinct().count()
+    # a document's frequency counts in few texts are checked by hand
+    rows = [r for r in docs.collect() if r.text]
+    vectors = [brute_vector(r.text) for r in rows]
+    used = {t for t in {r.text for r in rows if r.lang}}
+    df = Counter(k for t in used for k in brute_vector(t))
+    for k in list(df)[:200]:
+        assert model.idf[k] == pytest.approx(math.log((1 + len(used)) / (1 + df[k])) + 1, rel=1e-4)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
+    for r, v in zip(rows, vectors, strict=True):
+        w = {k: x * float(model.idf[k]) for k, x in v.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        cos = [sum(x * float(c[k]) for k, x in w.items()) / norm for c in model.centroids]
+        best = max(range(len(cos)), key=lambda j: cos[j])
+        near = {model.langs[j] for j in range(len(cos)) if cos[j] > cos[best] - 1e-5}
+        assert got[r.doc_id][0] in near and got[r.doc_id][1] == pytest.approx(min(1.0, cos[best]), abs=1e-4)
+
+
+def test_many_labels_ties_and_the_bound_on_labels(spark):
+    rows = [(k, f"{chr(97 + k % 26) * 3} {chr(97 + k // 26) * 4} tail", f"l{k:03}", "s", None, "x", "y") for k in range(300)] + [(900, "same words", "b", "s", None, "x", "y"), (901, "same words", "a", "s", None, "x", "y")] * 2
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language_id.fit(docs)
+    out = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert len(set(model.langs)) == 302 and sum(out[r[0]].lang_pred == r[2] for r in rows[:300]) == 300
+    assert out[900].lang_pred == out[901].lang_pred == "a"
+    with pytest.raises(ValueError, match="labels"):
+        language_id.fit(docs, languages=100)
+
+
 def brute_quality(t):
     t = t or ""
     w = re.findall(r"[^ \t-\r]+", t)
@@ -140,4 +187,15 @@ def test_cascade_orders_by_rejection_per_cost(spark):
     sharp = quality_rules.Rule("sharp", lambda d: True)
     docs = frame(spark, [(k, f"text {k}") for k in range(50)])
     assert [x[0] for x in quality_rules.cascade_order(docs, (slow, sharp))] == ["sharp", "slow"]
-    assert {r.failed_rule for r in quality_rules.quality_cascade(docs, rules=(slow, sharp)).collect()} == {"sharp"}
+    assert {r.failed_rule for r in quality_rules.quality_cascade(docs, rules=(slow, sharp), order=["sharp", "slow"]).collect()} == {"sharp"}
+    assert {r.kept for r in quality_rules.quality_cascade(docs, rules=(slow, sharp)).collect()} == {False}
+
+
+def test_kept_matches_rules_written_out(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(-1, "word " * 60), (-2, " ".join(f"w{k}" for k in range(60))), (-3, "# " * 9 + " ".join(f"w{k}" for k in range(60)))]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_cascade(frame(spark, rows)).collect()}
+    for i, t in rows:
+        words, chars, symbols, again, covered = brute_quality(t)
+        lines = sum(1 for x in (t or "").split("\n") if x.strip(WS))
+        bad = words < 50 or 100 * covered > 50 * words or chars < 2 * words or chars > 15 * words or 10 * symbols > words or again >= 3 and 10 * again > 3 * lines
+        assert got[i] == (not bad), i
