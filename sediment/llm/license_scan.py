@@ -1,14 +1,17 @@
-"""Operator 8: licence texts by the digest of their canonical form. DataFrame functions only."""
+"""Operator 8: licence texts and notices by the digest of their canonical form. DataFrame functions only."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER
-from .license_texts import LICENSES
+from .license_texts import names, registry
 
-#: Equivalent spellings, applied in this order after lower-casing: (pattern, replacement), in syntax that RE2 shares.
+#: Equivalent spellings, applied in this order after lower-casing: (pattern, replacement).
 SPELLINGS = (
     (r"https?://", "http "),
     (r"licen[cs]e", "license"),
@@ -21,34 +24,73 @@ SPELLINGS = (
     (r"per cent", "percent"),
     (r"whilst", "while"),
 )
-#: Lines that only name a holder or reserve rights, with any comment sign before them.
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright( \(c\)|:| ©| [0-9<\[{])|\(c\)|©|all rights reserved)[^\n]*$"
+#: The addresses that the Free Software Foundation has had, as they stand in words; all become one.
+ADDRESS = r"(?:675 mass ave cambridge ma 02139|59 temple place(?: suite 330)? boston ma 02111 1307|51 franklin st(?:reet)?(?: fifth floor)? boston ma 02110 1301)(?: usa)?"
+#: Lines that only name a holder or reserve rights, with any comment sign before them, wherever they stand.
+HOLDER = r"^[^a-z0-9]*(?:copyright(?: \(c\)|:| ©| [0-9<\[{(])|\(c\)|©|all rights reserved)[^\n]{0,200}\z"
+#: Among the first HEAD lines also those that name a holder without a sign or year; a sentence goes on otherwise.
+HEAD_HOLDER = r"^[^a-z0-9]*copyright (?!(?:notices?|holders?|owners?|laws?|licenses?|statements?|interests?|and|or|in|is|to|of|as)\b)[^\n]{0,200}\z"
+HEAD = 8
+#: How a notice of one line leads up to a licence's name, in canonical words.
+LEAD = r"^(?:spdx license identifier |(?:this [a-z]+ is )?(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?)"
 
+#: What any line with such a lead has before it is brought to canonical words.
+LED = r"(?:licen[cs]ed|released|distributed|available|published|provided)[^a-z0-9]+under|identifier"
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling, and words of letters and digits with one space between."""
-    t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    t = F.regexp_replace(t, COPYRIGHT, "")
+
+def _words(t: Column) -> Column:
     for pattern, to in SPELLINGS:
         t = F.regexp_replace(t, pattern, to)
     return F.btrim(F.regexp_replace(t, r"[\x00-\x2f\x3a-\x60\x7b-\x{bf}\x{2000}-\x{206f}]+", " "), F.lit(" "))
 
 
-def known_digests(spark: SparkSession, texts: dict[str, str] = LICENSES) -> DataFrame:
-    """(digest, license_id) of the registry, a fixed table of some ten rows."""
-    known = spark.createDataFrame([(k, v) for k, v in texts.items()], "license_id string, text string")
+def canonical(text: Column) -> Column:
+    """Lower case, no copyright lines, one spelling, and words of letters and digits with one space between."""
+    t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    lines = F.filter(F.split(t, "\n", -1), lambda x, i: ~(x.rlike(HOLDER) | ((i < HEAD) & x.rlike(HEAD_HOLDER))))
+    marked = F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("(c)")) | F.contains(t, F.lit("©")) | F.contains(t, F.lit("all rights reserved"))
+    words = _words(F.when(marked, F.array_join(lines, "\n")).otherwise(t))
+    return F.when(F.contains(words, F.lit(" boston ma ")) | F.contains(words, F.lit(" mass ave ")), F.regexp_replace(words, ADDRESS, "fsf address")).otherwise(words)
+
+
+def known_digests(spark: SparkSession) -> DataFrame:
+    """(digest, license_id) of the registry, a fixed table of some fifty rows."""
+    known = spark.createDataFrame(registry(), "license_id string, text string")
     return known.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", texts: dict[str, str] = LICENSES) -> DataFrame:
-    """One row per row of ``docs``: id, text_digest, license_id (null where no known text equals the whole text), is_license.
+def name_digests() -> dict[str, str]:
+    """Digest of each known name in canonical words, and its licence; a fixed table made by rule."""
+    return {hashlib.sha256(" ".join(re.findall("[a-z0-9]+", n.lower())).encode()).hexdigest(): i for i, n in names()}
+
+
+def notices(text: Column) -> Column:
+    """Identifiers of the licences that some whole line of the text is a notice of, in order, without repeats, comma-joined.
+
+    A line is lower-cased and brought to canonical words, what leads up to
+    the licence's name is dropped, and the digest of the rest is looked up
+    among those of the known names.
+    """
+    known = F.create_map(*[F.lit(x) for pair in sorted(name_digests().items()) for x in pair])
+    t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    lines = F.transform(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(LED)), _words)
+    found = F.transform(F.filter(lines, lambda x: x.rlike(LEAD)), lambda x: F.try_element_at(known, F.sha2(F.regexp_replace(x, LEAD, ""), 256)))
+    listed = F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",")
+    return F.when(F.contains(t, F.lit("under")) | F.contains(t, F.lit("identifier")), listed).otherwise("")
+
+
+def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, text_digest, license_id (null where no known text equals the whole text), is_license, notices.
 
     The digest of the canonical form of each whole text is looked up by a hash
     join among the digests of known licences, which are broadcast: the
-    registry is a fixed table of some ten rows. A null or empty text has the
-    digest of the empty string. Repeated rows repeat their result; null ids
-    are kept; other columns are not read. Documents are not shuffled.
+    registry is a fixed table of some fifty rows. ``notices`` are the licences
+    that some line of the text, as a whole, says it is under ("Released under
+    the MIT License."), comma-joined; they are found by the same digests of
+    canonical forms. A null or empty text has the digest of the empty string
+    and no notices. Repeated rows repeat their result; null ids are kept;
+    other columns are not read. Documents are not shuffled.
     """
-    rows = docs.select(F.col(id).alias("id"), F.sha2(canonical(F.col(text)), 256).alias("text_digest"))
-    known = known_digests(docs.sparkSession, texts)
-    return rows.join(F.broadcast(known), F.col("text_digest") == F.col("digest"), "left").select(F.col("id").alias(id), "text_digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
+    rows = docs.select(F.col(id).alias("id"), F.sha2(canonical(F.col(text)), 256).alias("text_digest"), notices(F.col(text)).alias("notices"))
+    known = known_digests(docs.sparkSession)
+    return rows.join(F.broadcast(known), F.col("text_digest") == F.col("digest"), "left").select(F.col("id").alias(id), "text_digest", "license_id", F.col("license_id").isNotNull().alias("is_license"), "notices")

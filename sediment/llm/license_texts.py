@@ -1,4 +1,9 @@
-"""Public licence texts, without titles and copyright lines, as published."""
+"""Public licence texts and names, as published. Short texts stand here, long ones in the folder ``licenses``."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
 
 _BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 
@@ -46,22 +51,79 @@ _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
 """
 
-#: Identifier, then text; the same licence with its usual title follows under the same identifier and a mark.
-LICENSES = {
-    "MIT": _MIT,
-    "MIT#titled": "MIT License\n\n" + _MIT,
-    "MIT#long-title": "The MIT License (MIT)\n\n" + _MIT,
-    "ISC": _ISC,
-    "ISC#titled": "ISC License\n\n" + _ISC,
-    "0BSD": _ZERO_BSD,
-    "0BSD#titled": "BSD Zero Clause License\n\n" + _ZERO_BSD,
-    "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL,
-    "BSD-2-Clause#titled": "BSD 2-Clause License\n\n" + _BSD_HEAD + _BSD_TAIL,
-    "BSD-3-Clause": _BSD_HEAD + _BSD_THIRD + _BSD_TAIL,
-    "BSD-3-Clause#titled": "BSD 3-Clause License\n\n" + _BSD_HEAD + _BSD_THIRD + _BSD_TAIL,
-    "Zlib": _ZLIB,
-    "Zlib#titled": "zlib License\n\n" + _ZLIB,
-    "BSL-1.0": _BOOST,
-    "BSL-1.0#titled": "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BOOST,
-    "Apache-2.0#notice": _APACHE_NOTICE,
-}
+_MIT_0 = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>
+"""
+
+#: (identifier, title, text) of licences that are short.
+SHORT = (
+    ("MIT", "MIT License", _MIT),
+    ("MIT", "The MIT License (MIT)", _MIT),
+    ("MIT-0", "MIT No Attribution", _MIT_0),
+    ("ISC", "ISC License", _ISC),
+    ("0BSD", "BSD Zero Clause License", _ZERO_BSD),
+    ("BSD-2-Clause", "BSD 2-Clause License", _BSD_HEAD + _BSD_TAIL),
+    ("BSD-3-Clause", "BSD 3-Clause License", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
+    ("Zlib", "zlib License", _ZLIB),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003", _BOOST),
+    ("Unlicense", "The Unlicense", _UNLICENSE),
+    ("Apache-2.0", "Apache License, Version 2.0", _APACHE_NOTICE),
+)
+#: Where the terms of a long licence end; what follows is advice on how to apply it.
+END = "END OF TERMS AND CONDITIONS"
+
+
+def registry() -> list[tuple[str, str]]:
+    """(identifier, text): every text with and without its title, long ones also without what follows their end."""
+    out = [(i, t) for i, title, text in SHORT for t in (text, f"{title}\n\n{text}")]
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text("utf-8")
+        out += [(path.stem, t) for t in ((text, text[: text.index(END) + len(END)]) if END in text else (text,))]
+    return out
+
+
+#: Names of licences in a notice of one line: (identifier, names).
+NAMES = (
+    ("MIT", "MIT License, MIT"),
+    ("ISC", "ISC License, ISC"),
+    ("BSD-2-Clause", "BSD 2-Clause License, BSD-2-Clause, Simplified BSD License"),
+    ("BSD-3-Clause", "BSD 3-Clause License, BSD-3-Clause, New BSD License"),
+    ("Apache-2.0", "Apache License; Version 2.0, Apache License 2.0, Apache-2.0, Apache 2.0, Apache 2.0 License, Apache 2 License"),
+    ("MPL-2.0", "Mozilla Public License; Version 2.0, Mozilla Public License 2.0, MPL-2.0, MPL 2.0"),
+    ("EPL-2.0", "Eclipse Public License; Version 2.0, Eclipse Public License 2.0, EPL-2.0"),
+    ("CC0-1.0", "CC0, CC0 1.0, CC0-1.0, CC0 1.0 Universal"),
+    ("Unlicense", "Unlicense"),
+    ("BSL-1.0", "Boost Software License; Version 1.0, Boost Software License 1.0, BSL-1.0"),
+    ("Zlib", "zlib License, zlib"),
+)
+#: The GNU licences by short name, long name and versions; the Creative Commons licences by parts, words of the parts and versions.
+GNU = (("GPL", "General Public License", ("1", "2", "3")), ("LGPL", "Lesser General Public License", ("2.1", "3")), ("AGPL", "Affero General Public License", ("3",)), ("GFDL", "Free Documentation License", ("1.2", "1.3")))
+COMMONS = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+
+
+def names() -> list[tuple[str, str]]:
+    """(identifier, name) of every name in use for a licence; those of families are made by rule."""
+    out = [(i, n.strip()) for i, all_ in NAMES for n in all_.replace(";", "").split(",")]
+    for short, long, versions in GNU:
+        for v in versions:
+            own = f"{short}-{v}" + ("" if "." in v else ".0")
+            out += [(own, f"{front}{long}{mid}{v}") for front in ("GNU ", "") for mid in (" version ", " v", " ")]
+            out += [(own, f"{front}{short}{mid}{v}") for front in ("GNU ", "") for mid in (" version ", " v", "v", " ", "-")]
+            out += [(own, own), (own, f"{own}-only"), (own, f"{own}-or-later")]
+    for parts, words in COMMONS:
+        for v in COMMONS_VERSIONS:
+            own = f"CC-{parts}-{v}"
+            out += [(own, own), (own, f"CC {parts} {v}"), (own, f"Creative Commons {words} {v}"), (own, f"Creative Commons {words} {v} International License"), (own, f"Creative Commons {words} {v} License")]
+    return out

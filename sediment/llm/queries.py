@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash_dedup, source_mix, warc
+from . import exact_dedup, language_id, license_oracle, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash_dedup, source_mix, warc
 from .common import table
 
 
@@ -131,21 +131,5 @@ FROM v
 """
 
 
-def _op8() -> str:
-    def canonical(x: str) -> str:
-        x = f"translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        for pattern, to in ((license_scan.COPYRIGHT, ""), *license_scan.SPELLINGS):
-            x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
-        return rf"sha256(trim(regexp_replace({x}, '[\x00-\x2f\x3a-\x60\x7b-\x{{bf}}\x{{2000}}-\x{{206f}}]+', ' ', 'g'), ' '))"
-
-    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.LICENSES.items())
-    return f"""
-WITH known AS (SELECT {canonical("text")} AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS v(license_id, text) GROUP BY 1),
-d AS (SELECT doc_id, {canonical("text")} AS text_digest FROM documents)
-SELECT d.doc_id, d.text_digest, known.license_id, known.license_id IS NOT NULL AS is_license
-FROM d LEFT JOIN known ON d.text_digest = known.digest
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op5_warc": _OP5, "op7_exact_dedup": _OP7, "op8_license_scan": _op8(), "op10_quality_rules": _OP10}
+    return {"op2_line_dedup": _OP2, "op5_warc": _OP5, "op7_exact_dedup": _OP7, "op8_license_scan": license_oracle.sql(), "op10_quality_rules": _OP10}
