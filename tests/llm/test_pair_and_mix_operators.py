@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import glob
+import gzip
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,6 +14,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from sediment.llm import packing, simhash_dedup, source_mix, warc
@@ -289,6 +293,92 @@ def test_warc_round_trip(spark, segment, chunk):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def placed(spark, name, data):
+    """A folder with one archive of these bytes."""
+    out = scratch_path(spark, "changed").removeprefix("file://").removeprefix("file:")
+    os.makedirs(out)
+    with (gzip.open if name.endswith(".gz") else open)(f"{out}/{name}", "wb") as f:
+        f.write(data)
+    return out
+
+
+@pytest.fixture(scope="module")
+def archive(spark):
+    """The bytes of an archive of pages of 300 to 3000 bytes, most in segments, and the pages."""
+    rng = random.Random(9)
+    texts = [(k, "".join(rng.choice(["<p>word</p>", "\r\n\r\n", "\n", "é", "WARC/1.1\r\n"]) for _ in range(rng.randint(100, 600)))) for k in range(60)]
+    path = scratch_path(spark, "archive")
+    warc.write_warc(spark.createDataFrame([(i, "u", t, "f", "d") for i, t in texts], PAGES), path, segment=700)
+    return b"".join(gzip.open(f).read() for f in sorted(glob.glob(path.removeprefix("file://").removeprefix("file:") + "/part-*.gz"))), texts
+
+
+def test_warc_cut_and_damaged_archives_are_told(spark, archive):
+    whole, texts = archive
+    rng = random.Random(3)
+    for cut in [len(whole) // 2, *(rng.randrange(1, len(whole) - 8) for _ in range(4))]:
+        p = placed(spark, "x.gz", whole[:cut])
+        try:
+            got = warc.read_warc(spark, p, strict=False).filter("last").collect()
+        except PythonException:
+            continue  # cut inside a header
+        assert got and [r.problem for r in got[:-1]] == [None] * (len(got) - 1)
+        complete = sum(r.payload_digest == hashlib.sha256(texts[int(r.page_id)][1].encode()).hexdigest() for r in got)
+        assert complete == sum(r.problem is None for r in got) < len(texts)
+        if any(r.problem for r in got):
+            with pytest.raises(PythonException, match="bytes"):
+                warc.read_warc(spark, p).collect()
+    at = whole.index(b"<p>word", len(whole) // 3)
+    bad = placed(spark, "x.gz", whole[:at] + b"<q>" + whole[at + 3 :])
+    assert [r.problem for r in warc.read_warc(spark, bad, strict=False).filter("problem is not null").collect()] == ["payload differs from its digest"]
+    with pytest.raises(PythonException, match="differs from its digest"):
+        warc.read_warc(spark, bad).collect()
+    # the second segment of a page goes
+    first = whole.index(b"WARC-Segment-Number: 2\r\n")
+    first = whole.rindex(b"WARC/1.1\r\nWARC-Type: continuation", 0, first)
+    third = whole.index(b"WARC/1.1\r\nWARC-Type: ", first + 20)
+    with pytest.raises(PythonException, match="continuation|payload of"):
+        warc.read_warc(spark, placed(spark, "x.gz", whole[:first] + whole[third:])).collect()
+    with pytest.raises(PythonException, match="starts with"):
+        warc.read_warc(spark, placed(spark, "x.gz", b"HTTP/1.1 200 OK\r\n\r\n" + whole)).collect()
+
+
+def test_warc_uncompressed_archives_are_put_together(spark, archive):
+    whole, texts = archive
+    plain = placed(spark, "x.warc", whole)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = warc.read_warc(spark, plain, chunk=500)
+        assert spark.read.text(plain).rdd.getNumPartitions() > 8
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {int(r.page_id): r.payload_digest for r in rows if r["last"]} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts}
+    one = b"".join(bytes(r.chunk) for r in sorted((r for r in rows if r.page_id == "5"), key=lambda r: r.chunk_no))
+    assert one == texts[5][1].encode()
+
+
+def test_warc_awkward_ids_and_long_lines(spark):
+    ids = ["a\r\nWARC-Type: x", " lead", "", "é%41+b", "plain", None, "a:b\tc"]
+    texts = ["x" * 3_000_000, "y" * 200, "z" * 200, "y" * 200, "v", "u", "z" * 200]
+    pages = spark.createDataFrame([(i, "u", t, "f", "d") for i, t in zip(ids, texts, strict=True)], PAGES.replace("page_id long", "page_id string"))
+    got = {r.page_id: r for r in warc.archive_and_read(pages).collect()}
+    assert set(got) == set(ids) and got["a\r\nWARC-Type: x"].payload_digest == hashlib.sha256(texts[0].encode()).hexdigest()
+    assert got["é%41+b"].refers_to == " lead" and got["a:b\tc"].refers_to == "" and got[" lead"].record_type == "response"
+
+
+def test_warc_reader_gives_the_same_for_any_pieces(archive):
+    whole, texts = archive
+    rng = random.Random(4)
+    for most in (1, 7, 1000, 10**6):
+        reader, at, rows = warc._Reader("f", 400, True), 0, []
+        while at < len(whole):
+            n = rng.randint(1, most)
+            rows += reader.feed(whole[at : at + n])
+            at += n
+        rows += reader.close()
+        assert [hashlib.sha256(texts[int(r[7])][1].encode()).hexdigest() for r in rows if r[5]] == [r[10] for r in rows if r[5]] and len([r for r in rows if r[5]]) == 60
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as cp
 
