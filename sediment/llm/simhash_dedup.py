@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from .common import bound_arrow, materialize
+from .common import bound_arrow, materialize, row_place
 from .components import components
 
 BITS = 64
@@ -22,27 +22,34 @@ BITS = 64
 BLOCK = 512
 #: Min-hash keys of a document, each over so many minima: pairs 0.8 alike share a key with probability 0.999, at 0.3 with 0.02.
 BANDS, ROWS = 24, 6
-#: Documents of one block whose shingle sets one task compares, with one another or with another block.
-SETS = 256
+#: Shingle sets of one block, and about the bytes of them, that one task compares with one another or with another block.
+SETS, SET_BYTES = 256, 16 << 20
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """SimHash of the word shingles (repeats included) of the text with A-Z lower-cased; 0 without words."""
+def hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included, of the text with A-Z lower-cased; fewer words are one shingle, no words none."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     n = max(1, len(w) - words + 1)
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    stops = ends[len(w) - n :].tolist()
-    ones = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_intdigest
-    for k in range(0, n, 1 << 15):
-        part = zip(starts[k : k + (1 << 15)], stops[k : k + (1 << 15)], strict=True)
-        h = np.fromiter((digest(line[i:j], seed) for i, j in part), "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
+    return np.fromiter((digest(line[i:j], seed) for i, j in zip(starts, ends[len(w) - n :].tolist(), strict=True)), np.uint64, n)
+
+
+def simhash(h: np.ndarray) -> int:
+    """Each bit is 1 if it is set in over half of ``h``; as a signed long."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(h), 1 << 15):
+        ones += np.unpackbits(h[k : k + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """SimHash of the word shingles of the text; 0 without words."""
+    return simhash(hashes(text, words, seed))
 
 
 def fingerprints(text: Column, words: int = 4) -> Column:
@@ -209,11 +216,9 @@ def fingerprint_components(rows: DataFrame, max_bits: int) -> DataFrame:
     return materialize(node_root.join(smallest, "root").select("fp", "component_id"), "classes")
 
 
-def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
-    """The distinct hashes, in order, of the word shingles that ``fingerprint`` takes."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(w) - words + 1) if w else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[k : k + words]), seed) for k in range(n)), np.uint64, n))
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct hashes of the word shingles, in order."""
+    return np.unique(hashes(text, words))
 
 
 _MIXERS = np.random.default_rng(20111).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -231,14 +236,25 @@ def set_keys(shingles: np.ndarray) -> tuple[int, list[int]]:
     return whole, [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(low.reshape(BANDS, ROWS))]
 
 
+_KEYS = T.StructType([T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+
 def _keys(text: Column, words: int) -> Column:
-    @F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+    """Fingerprint, hash and size of the shingle set, and its min-hash keys, from one pass over the words."""
+
+    @F.pandas_udf(_KEYS)
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            made = [set_keys(shingle_set(t, words)) for t in batch]
-            yield pd.DataFrame({"node": np.array([n for n, _ in made], np.uint64).view(np.int64), "bands": [np.array(b, np.uint64).view(np.int64) for _, b in made]})
+            rows = []
+            for t in batch:
+                h = hashes(t, words)
+                own = np.unique(h)
+                node, bands = set_keys(own)
+                rows.append((simhash(h), _long(node), len(own), np.array(bands, np.uint64).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["fp", "node", "size", "bands"])
 
-    return of(text)
+    # marked so that the optimiser does not run it once for each field
+    return of.asNondeterministic()(text)
 
 
 def _sets(text: Column, words: int) -> Column:
@@ -256,7 +272,8 @@ def alike(sets: list[np.ndarray], likeness: float) -> np.ndarray:
     shared = np.zeros((n, n), np.int64)
     if n < 8:
         for i, j in combinations(range(n), 2):
-            shared[i, j] = shared[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if min(size[i], size[j]) >= likeness * max(size[i], size[j]) - 1e-9:
+                shared[i, j] = shared[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
     else:
         own, (value, at, times) = np.repeat(np.arange(n), size), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         place = np.cumsum(times > 1) - 1
@@ -274,39 +291,87 @@ def alike(sets: list[np.ndarray], likeness: float) -> np.ndarray:
     return (shared >= likeness * union - 1e-9) & (union > 0)
 
 
-def _confirmed(likeness: float):
-    def run(group: pa.Table) -> pa.Table:
-        node = group.column("node").to_numpy()
-        root = _forest(alike([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], likeness) | np.eye(len(node), dtype=bool))
+def confirmed(dealt: DataFrame, sets: DataFrame, group: list[str], likeness: float) -> DataFrame:
+    """Edges (a, b) that connect, in each group of ``dealt`` (node and ``group``), all pairs of sets that are alike."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        root = _forest(alike([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], likeness) | np.eye(len(node), dtype=bool))
         tied = np.flatnonzero(root != np.arange(len(node)))
         return pa.table({"a": node[tied], "b": node[root[tied]]})
 
-    return run
+    return materialize(dealt.join(sets.select("node", "shingles"), "node").groupBy(*group).applyInArrow(run, "a long, b long"), "confirmed")
+
+
+def _blocks(n: Column, size: Column) -> Column:
+    """So many blocks that one has about SETS sets and SET_BYTES bytes of them at most."""
+    return F.greatest(F.lit(1), F.ceil(n / SETS), F.ceil(8 * size / SET_BYTES)).cast("long")
+
+
+def _each(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
-def alike_classes(rows: DataFrame, words: int, max_bits: int, likeness: float) -> DataFrame:
-    """(node, component_id) of ``rows`` (id, text, fp, node, bands): components of pairs whose shingle sets are ``likeness`` alike.
+def candidates(nodes: DataFrame, max_bits: int, likeness: float) -> tuple[DataFrame, DataFrame]:
+    """(stars, members) of ``nodes`` (node, size, fp, bands): edges (a, b, size of a) to be compared, and the buckets they come from.
 
-    Documents with one shingle set are one node. Fingerprints within
-    ``max_bits`` bits and shared min-hash keys only say which nodes may be
-    alike; in each component of those, all pairs of sets are compared, in
-    blocks of SETS against one another, and only pairs that are alike link.
+    A bucket is the nodes that share a min-hash key; its lead is the smallest,
+    and a star is its other nodes with the lead, without those whose size
+    alone rules a similarity out. Buckets with the same nodes are one. Nodes
+    with fingerprints within ``max_bits`` bits, which the chains of ``links``
+    find, are added to the stars.
     """
-    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
-    keys = nodes.select(F.explode("bands").alias("k"), "node")
-    by_key = keys.join(keys.groupBy("k").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "k").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    keys = nodes.select(F.explode("bands").alias("k"), "node", "size")
+    sums = [F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(20111), "node")).alias("s2")]
+    shared = keys.groupBy("k").agg(F.min("node").alias("lead"), F.min_by("size", "node").alias("lead_size"), F.count(F.lit(1)).alias("n"), *sums).filter("n > 1")
+    buckets = shared.groupBy("n", "s1", "s2", "lead", "lead_size").agg(F.min("k").alias("k")).drop("s1", "s2")
+    members = materialize(keys.join(materialize(buckets, "buckets"), "k"), "members")
+    fits = F.least("size", "lead_size") >= likeness * F.greatest("size", "lead_size") - 1e-9
     prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
     to = lambda x, y: prints.select(F.col("fp").alias(x), F.col("lead").alias(y))
     by_print = links(prints.select("fp"), "fp", max_bits).withColumnsRenamed({"a": "fa", "b": "fb"}).join(to("fa", "a"), "fa").join(to("fb", "b"), "fb").select("a", "b")
     same_print = nodes.join(prints, "fp").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    may = materialize(components(materialize(by_key.unionByName(by_print).unionByName(same_print).filter("a <> b").distinct(), "may")), "groups")
-    blocks = may.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SETS).alias("nb"))
-    texts = rows.select("node", "text").join(may.select("node"), "node").dropDuplicates(["node"])
-    sets = materialize(texts.select("node", _sets(F.col("text"), words).alias("shingles")), "sets")
-    placed = may.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = sets.join(placed, "node").select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "shingles")
-    pairs = materialize(dealt.groupBy("root", "lo", "hi").applyInArrow(_confirmed(likeness), "a long, b long"), "confirmed")
-    roots = components(pairs)
+    edges = members.filter(fits).select(F.col("node").alias("a"), F.col("lead").alias("b")).unionByName(by_print).unionByName(same_print).filter("a <> b").distinct()
+    return materialize(edges.join(nodes.select(F.col("node").alias("a"), "size"), "a"), "stars"), members
+
+
+def alike_classes(rows: DataFrame, text: DataFrame, words: int, max_bits: int, likeness: float) -> DataFrame:
+    """(node, component_id) of ``rows`` (id, place, fp, node, size, bands): components of pairs whose shingle sets are ``likeness`` alike.
+
+    ``text`` (place, text) has the texts. Documents with one shingle set are
+    one node. Stars are compared first, in blocks of their nodes with the
+    lead, and pairs that are alike link. What is left to compare is pairs of
+    one bucket that no links connect: in each bucket the nodes outside its
+    largest component meet all others, in blocks. So a group of copies costs
+    its size, however large it is, and no pair of a bucket is passed over.
+    """
+    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("place").alias("place"), F.first("bands").alias("bands")), "nodes")
+    stars, members = candidates(nodes, max_bits, likeness)
+    several = members.filter((F.col("n") > 2) & (F.col("node") != F.col("lead")))
+    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(several.select("node")).distinct()
+    wanted = materialize(nodes.select("node", "place").join(wanted, "node"), "wanted")
+    sets = materialize(text.join(wanted, "place").select("node", _sets(F.col("text"), words).alias("shingles")), "sets")
+
+    per = materialize(stars.groupBy("b").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("nb")), "blocks")
+    rays = stars.join(per, "b").select(F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), F.col("nb")).alias("block"), F.col("a").alias("node"))
+    first = confirmed(rays.unionByName(per.select(F.col("b").alias("lead"), _each(F.col("nb")).alias("block"), F.col("b").alias("node"))), sets, ["lead", "block"], likeness)
+
+    labels = materialize(components(first), "labels")
+    open_ = materialize(several.join(labels, "node", "left").select("k", "node", "size", F.coalesce("root", "node").alias("label")), "open")
+    shares = open_.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    mixed = shares.groupBy("k").agg(F.max(F.struct("n", "size", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum("size").alias("size")).filter("labels > 1")
+    of_most, of_rest = _blocks(F.col("most.n"), F.col("most.size")), _blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size"))
+    mixed = materialize(mixed.select("k", F.col("most.label").alias("most"), of_most.alias("nm"), of_rest.alias("nr")), "mixed")
+    left = open_.join(mixed, "k").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("label") == F.col("most"), F.col("nm")).otherwise(F.col("nr"))))
+    large, small = left.filter("label = most"), left.filter("label <> most")
+    dealt = large.select("k", F.lit(0).alias("part"), _each(F.col("nr")).alias("x"), F.col("own").alias("y"), "node")
+    dealt = dealt.unionByName(small.select("k", F.lit(0).alias("part"), F.col("own").alias("x"), _each(F.col("nm")).alias("y"), "node"))
+    # one block of the rest is compared within itself in each of the former
+    among = small.filter("nr > 1").select("k", F.lit(1).alias("part"), "own", _each(F.col("nr")).alias("other"), "node")
+    dealt = dealt.unionByName(among.select("k", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node"))
+    second = confirmed(dealt, sets, ["k", "part", "x", "y"], likeness)
+
+    roots = components(first.unionByName(second))
     node_root = materialize(nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "roots")
     smallest = node_root.groupBy("root").agg(F.min("first").alias("component_id"))
     return materialize(node_root.join(smallest, "root").select("node", "component_id"), "classes")
@@ -316,20 +381,19 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     """Rows of ``docs``, all columns, of which one stays in each component: that with the smallest id.
 
     With ``likeness`` links join documents whose sets of word shingles have
-    that Jaccard similarity or more; without, fingerprints within
-    ``max_bits``. Rows that repeat an id and fingerprint are one document. Where a component
-    has null ids only, one row of each of its fingerprints stays.
+    that Jaccard similarity or more, and fingerprints within ``max_bits``
+    bits only name candidates, beside min-hash keys; without, fingerprints
+    within ``max_bits`` link. Null and empty texts are alike. Of rows that
+    repeat an id and text one stays. Where a component has null ids only, one
+    row of each of its texts stays (without ``likeness``: fingerprints).
     """
     bound_arrow(docs.sparkSession)
+    keys = _keys(F.col(text), words) if likeness is not None else F.struct(fingerprints(F.col(text), words).alias("fp"))
+    printed = materialize(docs.withColumn("__keys", keys), "printed").select("*", row_place().alias("__place"))
+    rows = printed.select(F.col(id).alias("id"), F.col("__place").alias("place"), "__keys.*")
     if likeness is not None:
-        printed = docs.withColumn("__fp", fingerprints(F.col(text), words)).withColumn("__keys", _keys(F.col(text), words))
-        printed = materialize(printed.withColumns({"__node": F.col("__keys.node"), "__bands": F.col("__keys.bands")}).drop("__keys"), "printed")
-        rows = printed.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col("__fp").alias("fp"), F.col("__node").alias("node"), F.col("__bands").alias("bands"))
-        classes = alike_classes(rows, words, max_bits, likeness).select(F.col("node").alias("__node"), F.col("component_id").alias("__component"))
-        chosen = printed.drop("__bands").join(classes, "__node").filter(F.col(id).eqNullSafe(F.col("__component")))
-        return chosen.dropDuplicates([id, "__node"]).select(*docs.columns)
-    with_fp = materialize(docs.withColumn("__fp", fingerprints(F.col(text), words)), "printed")
-    classes = fingerprint_components(with_fp.select(F.col(id).alias("id"), F.col("__fp").alias("fp")), max_bits)
-    joined = with_fp.join(classes.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__component")), "__fp")
-    chosen = joined.filter(F.col(id).eqNullSafe(F.col("__component"))).drop("__component")
-    return chosen.dropDuplicates([id, "__fp"]).drop("__fp")
+        classes, of = alike_classes(rows, printed.select(F.col("__place").alias("place"), F.col(text).alias("text")), words, max_bits, likeness), "node"
+    else:
+        classes, of = fingerprint_components(rows.select("id", "fp"), max_bits).select("fp", "component_id"), "fp"
+    stay = rows.join(classes, of).filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", of).agg(F.min("place").alias("__stays"))
+    return printed.join(materialize(stay.select("__stays"), "stay"), F.col("__place") == F.col("__stays"), "left_semi").select(*docs.columns)
