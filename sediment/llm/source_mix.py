@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import number_rows
 from .common import hash128, materialize
 
 #: Documents that one task balances at a time.
@@ -29,20 +30,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
     Sources in code point order, null last, take ``weights`` in turn and share
     the total by weight; a target stops at ``most`` times its source's size
-    and what it can't take is shared again. That ends where every open source
-    stands at one level for each unit of weight: with sources ordered by the
-    level at which they stop, it is the largest level left after the stopped
-    ones. The table has one row a source; windows over it are small.
+    and what it can't take is shared again. Each round shares what the stopped
+    sources leave among the others, which raises their level for a unit of
+    weight and may stop more of them; the rounds end when none is stopped any
+    more. A round is one sum over the table of sources, which may have very
+    many rows: they are numbered in ranges, and the driver holds one number.
     """
     per = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    per = per.withColumn("w", F.get(F.array(*map(F.lit, weights)), turn).cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    rest = F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    per = per.withColumn("level", rest / F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    level = F.max(F.when(F.col("level") * F.col("w") < F.col("cap"), F.col("level"))).over(Window.partitionBy())
-    per = per.withColumn("top", level)
-    target = F.when(F.col("top").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("top") * F.col("w")))
+    per = number_rows(per, [F.col("source").asc_nulls_last()], "no")
+    weight = F.get(F.array(*map(F.lit, weights)), F.pmod(F.col("no"), F.lit(len(weights))).cast("int")).cast("double")
+    per = materialize(per.withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))), "weights")
+    level = 0.0
+    while True:
+        over = F.col("cap") < level * F.col("w")
+        left = F.sum("source_size") - F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0))
+        rest, open_ = per.agg(left, F.sum(F.when(~over, F.col("w")))).first()
+        now = rest / open_ if open_ else None
+        # every source is stopped, or none more than before
+        if now is None or now <= level * (1 + 1e-12):
+            break
+        level = now
+    target = F.least(F.col("cap"), F.lit(level) * F.col("w"))
     return materialize(per.select("source", "n", "source_size", target.alias("target")), "targets")
 
 
@@ -169,7 +177,13 @@ def _balanced(block: int, first: bool):
     return run
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = BLOCK, seed: int = 17) -> DataFrame:
+def _hashes(docs: DataFrame, seed: int, columns: tuple[str, ...]) -> tuple[Column, Column]:
+    """Hashes of a row by ``columns``; nulls and empty texts differ by their place."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return hash128(F.lit(seed), *parts)
+
+
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = BLOCK, seed: int = 17, identity: tuple[str, ...] | None = None) -> DataFrame:
     """One row per row of ``docs``: id, k1, k2 (hashes of the row), size, source_size, target, copies, taken.
 
     A source whose target is r times its size takes each of its documents
@@ -188,10 +202,13 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
     Null and empty texts have size 0, are taken as 0 words and take no part in
     the balancing. A null source is a source of its own, the last. Repeated
-    rows are documents of their own. Null ids are kept; other columns are not
-    read.
+    rows are documents of their own. Null ids are kept. The hashes are of id
+    and text, or of the columns named in ``identity``; others are not read.
+    ``block`` must be 8 or more, so that each level has fewer open documents.
     """
-    k1, k2 = hash128(F.lit(seed), F.col(id), F.coalesce(F.col(text), F.lit("")))
+    if block < 8:
+        raise ValueError("block must be 8 or more")
+    k1, k2 = _hashes(docs, seed, identity or (id, text))
     sizes = materialize(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), k1.alias("k1"), k2.alias("k2"), word_count(F.col(text)).alias("size")), "sizes")
     targets = source_targets(sizes, weights, most)
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
@@ -229,15 +246,21 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
 
 def mixed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, **options) -> DataFrame:
-    """The mix itself: rows of ``docs``, all columns, each as often as ``mix`` takes it."""
-    k1, k2 = hash128(F.lit(seed), F.col(id), F.coalesce(F.col(text), F.lit("")))
-    taken = mix(docs, id, text, source, seed=seed, **options)
-    # rows that share id and text are one entry with the copies of all of them
-    taken = taken.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "source_size").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    taken = materialize(taken.groupBy("__k1", "__k2").agg(F.sum("__copies").alias("__copies"), F.sum("__rows").alias("__rows")), "taken")
-    rows = docs.withColumn("__a", k1).withColumn("__b", k2)
-    joined = rows.join(taken, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")))
-    # repeated rows are alike, so their copies are dealt evenly, rounded up for none by more than one
-    each = F.ceil(F.col("__copies") / F.col("__rows"))
-    times = F.when(F.col("__rows") == 1, F.col("__copies")).otherwise(each).cast("int")
-    return joined.filter(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    """The mix itself: rows of ``docs``, all columns, each as often as ``mix`` takes it.
+
+    Rows that are equal in every column are one entry, which comes out as
+    often as all of them together were taken.
+    """
+    columns = tuple(docs.columns)
+    taken = mix(docs, id, text, source, seed=seed, identity=columns, **options)
+    taken = materialize(taken.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.sum("copies").cast("int").alias("__copies"), F.count(F.lit(1)).alias("__rows")), "taken")
+    k1, k2 = _hashes(docs, seed, columns)
+    hashed = docs.withColumn("__a", k1).withColumn("__b", k2)
+    same = (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2"))
+    out = hashed.join(taken.filter("__copies > 0 and __rows = 1"), same)
+    repeated = taken.filter("__copies > 0 and __rows > 1")
+    if not repeated.isEmpty():
+        # equal rows are made one where they are read, so that one that fills a third of the table is counted, not moved
+        once = hashed.join(repeated.select("__k1", "__k2"), same, "left_semi").groupBy("__a", "__b").agg(F.first(F.struct(*map(F.col, columns))).alias("__row"))
+        out = out.unionByName(once.select("__row.*", "__a", "__b").join(repeated, same))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)

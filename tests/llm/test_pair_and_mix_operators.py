@@ -238,11 +238,40 @@ def test_longest_first_keeps_probabilities_and_fillable_rests():
 def test_mix_edge_rows(spark):
     out = source_mix.mix(frame(spark, EDGE, ("s", None))).collect()
     assert len(out) == len(EDGE) and all(r.taken <= 3 * r.size for r in out)
+    with pytest.raises(ValueError, match="block"):
+        source_mix.mix(frame(spark, EDGE), block=2)
     assert source_mix.mix(frame(spark, [])).count() == 0
     rows = source_mix.mixed_rows(frame(spark, EDGE, ("s", None)))
     assert rows.columns == frame(spark, []).columns and rows.count() >= 1
 
 
+def test_mixed_rows_are_those_of_the_mix(spark):
+    """Also where rows are equal, or equal but for a column that the mix does not weigh."""
+    rows = [(k % 7, f"w{k % 7} " * 40, "a", k % 2) for k in range(400)] + [(100 + k, "x " * (20 + k), "b", 0) for k in range(90)] + [(1, None, None, 0)] * 3 + [(2, "", None, 0), (3, "one two", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang long").select("doc_id", "text", "source", F.col("lang").alias("__row"))
+    taken = Counter()
+    for r in source_mix.mix(docs, block=64, identity=tuple(docs.columns)).collect():
+        taken[r.doc_id] += r.copies
+    got = [tuple(r) for r in source_mix.mixed_rows(docs, block=64).collect()]
+    assert Counter(r[0] for r in got) == +taken and set(got) <= set(rows)
+    n = Counter(rows)
+    assert all(k <= 3 * n[r] for r, k in Counter(got).items())
+    words = sum(len(r[1].split()) for r in got if r[2] == "b")
+    assert abs(words - brute_targets({"a": 16000, "b": sum(20 + k for k in range(90)), None: 2})["b"]) <= 55
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_of_many_sources(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{k:04}{chr(rng.choice([97, 233, 0x4E00, 0x1F600]))}": rng.choice([0, 1, 5, 100, 10**6]) * rng.randint(1, 9) for k in range(500)} | {None: rng.randint(0, 50), "": 3}
+    if seed == 3:
+        sizes = {"a": 0, None: 0}
+    rows = [(s, n) for s, n in sizes.items() if n < 2] + [(s, x) for s, n in sizes.items() if n >= 2 for x in (n // 2, n - n // 2)]
+    got = {r.source: (r.source_size, r.target) for r in source_mix.source_targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s][0] == sizes[s] and got[s][1] == pytest.approx(want[s], rel=1e-9) for s in sizes)
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(1)
     p, s = rng.uniform(0.05, 0.95, 500), rng.integers(1, 900, 500).astype(float)
