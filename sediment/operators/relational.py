@@ -31,24 +31,29 @@ def delete(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return base.join(gone.select(*keys), keys, "left_anti")
 
 
-def append_with_ids(base: DataFrame, new: DataFrame, id: str, order: list[str]) -> DataFrame:
-    """``new`` after ``base`` with ids that follow the largest one, in ``order``: unique and without gaps.
+def number_rows(df: DataFrame, order: list[Column], into: str) -> DataFrame:
+    """``df`` with a column that numbers its rows from 0 in ``order``, without gaps.
 
     Rows are written once in ranges of ``order``, each file sorted; a row's
-    id is its place in its file after the rows of all files before it. So no
-    task numbers all rows, and partitions that adaptive execution merges
+    number is its place in its file after the rows of all files before it. So
+    no task numbers all rows, and partitions that adaptive execution merges
     can't disagree with those that were counted. Rows that tie in ``order``
-    follow each other in any order; an empty ``new`` adds nothing.
+    follow each other in any order.
     """
-    rows = materialize(new.repartitionByRange(*order).sortWithinPartitions(*order), "appended")
+    rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order), "ranges")
     file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
     placed = rows.select("*", file.alias("__file"), F.col("_metadata.row_index").alias("__at"))
     # one row a file
     sizes = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
     start = sizes.select("__file", (F.sum("__n").over(Window.orderBy("__file")) - F.col("__n")).alias("__start"))
+    return placed.join(start, "__file").withColumn(into, F.col("__start") + F.col("__at")).drop("__file", "__at", "__start")
+
+
+def append_with_ids(base: DataFrame, new: DataFrame, id: str, order: list[str]) -> DataFrame:
+    """``new`` after ``base`` with ids that follow the largest one, in ``order``: unique and without gaps. An empty ``new`` adds nothing."""
     top = base.agg(F.coalesce(F.max(id), F.lit(0))).first()[0]
-    numbered = placed.join(start, "__file").withColumn(id, (F.lit(top) + F.col("__start") + F.col("__at") + 1).cast(base.schema[id].dataType))
-    return base.unionByName(numbered.select(*base.columns))
+    numbered = number_rows(new, [F.col(c) for c in order], "__no")
+    return base.unionByName(numbered.withColumn(id, (F.lit(top) + F.col("__no") + 1).cast(base.schema[id].dataType)).select(*base.columns))
 
 
 def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 50, most: int = 500) -> DataFrame:

@@ -90,6 +90,21 @@ def test_upsert_with_nulls_and_ties(spark):
     assert O.append_with_ids(base, base.limit(0), "k", ["v"]).count() == 2
 
 
+def test_appended_ids_have_no_gaps_when_partitions_are_merged(spark):
+    base = spark.range(1, 6).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    new = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("v"), F.repeat(F.lit("y"), 40).alias("wide"))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        rows = O.append_with_ids(base, new, "k", ["v"]).orderBy("k").collect()
+        assert [r.k for r in rows] == list(range(1, 20_006)) and [r.v for r in rows[5:]] == sorted(r.v for r in rows[5:])
+        few = O.append_with_ids(base, new.unionByName(new), "k", ["v"]).agg(F.count_distinct("k"), F.max("k")).first()
+        assert tuple(few) == (40_005, 40_005)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿제목;x\n값;1\n;\n".encode())
     (tmp_path / "b.tsv").write_bytes("가\t나\n".encode("cp949"))
