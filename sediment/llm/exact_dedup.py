@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .common import materialize, row_place
 
 #: Least and most bytes of a chunk.
-MIN_CHUNK, MAX_CHUNK = 64, 16384
-#: Chunks are cut in the bytes of UTF-8, each read as one character, so that one rule holds for every script: after four
-#: characters in a row that are marked, which a character is by the last two bits of its last byte (3, about every fourth).
-_ASCII = "".join(rf"\x{b:02x}" for b in range(3, 0x80, 4))
-_TRAIL = "".join(rf"\x{b:02x}" for b in range(0x83, 0xC0, 4))
-_MARKED = rf"(?:[{_ASCII}]|[\xc0-\xff][\x80-\xbf]{{0,2}}[{_TRAIL}](?![\x80-\xbf]))"
+MIN_CHUNK, MAX_CHUNK = 256, 16384
+#: Chunks are cut after eight marked characters in a row, which come about once in a few hundred in every script. ASCII is
+#: marked by its last two bits (0 and 3), any other character by the last bit of its last byte in UTF-8.
+_ASCII = "[" + "".join(rf"\x{b:02x}" for b in range(128) if b % 4 in (0, 3)) + "]"
+_LAST, _NEXT = "[" + "".join(rf"\x{b:02x}" for b in range(0x81, 0xC0, 2)) + "]", r"[\x80-\xbf]"
+_OTHER = rf"[\xc0-\xdf]{_LAST}|[\xe0-\xef]{_NEXT}{_LAST}|[\xf0-\xff]{_NEXT}{_NEXT}{_LAST}"
 
 
 def normalize_space(text: Column) -> Column:
@@ -27,11 +27,13 @@ def bytes_of(text: Column) -> Column:
 
 
 def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
-    """Cuts a text (as ``bytes_of`` gives it) at places that its content defines, so that equal passages give equal chunks wherever they stand.
+    """Cuts a text, as ``bytes_of`` gives it, at places that its content defines, so that equal passages give equal chunks wherever they stand.
 
-    Where no such place comes in ``most`` bytes, the cut is made there.
+    Where no such place comes in ``most`` bytes, the cut is made there. A
+    text of ASCII only needs no bytes and a shorter pattern that cuts alike.
     """
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most}}}?{_MARKED}{{4}}|.{{1,{most}}}"), F.lit(0))
+    cut = lambda t, marked: F.regexp_extract_all(t, F.lit(rf"(?s).{{{least},{most}}}?{marked}{{8}}|.{{1,{most}}}"), F.lit(0))
+    return F.when(F.octet_length(text) == F.length(text), cut(text, _ASCII)).otherwise(cut(bytes_of(text), f"(?:{_ASCII}|{_OTHER})"))
 
 
 def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
@@ -52,7 +54,7 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     Other columns are not read.
     """
     base = docs.select(F.col(id).alias("id"), normalize_space(F.col(text)).alias("text"))
-    cut = base.withColumn("chunks", chunks(bytes_of(F.col("text")), least, most))
+    cut = base.withColumn("chunks", chunks(F.col("text"), least, most))
     store = cut.select(F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
     clashes = materialize(store.groupBy(F.xxhash64("chunk").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "clashes")
     recipe = F.transform("chunks", lambda c: F.xxhash64(c))

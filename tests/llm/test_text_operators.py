@@ -79,12 +79,19 @@ def test_chunks_rebuild_the_text_and_realign_in_every_script(spark, script):
     rng = random.Random(script)
     text = "".join(chr(first + rng.randrange(n)) for _ in range(40_000))
     at = 20_000
-    rows = spark.createDataFrame([(text,), (text[:at] + text[0] + text[at:],)], "t string").select(exact_dedup.chunks(exact_dedup.bytes_of(F.col("t"))).alias("c")).collect()
-    assert "".join(rows[0].c).encode("latin-1").decode() == text and len(rows[0].c) > 40
-    assert len(set(rows[0].c) - set(rows[1].c)) <= 3
+    rows = spark.createDataFrame([(text,), (text[:at] + text[0] + text[at:],)], "t string").select(exact_dedup.chunks(F.col("t")).alias("c")).collect()
+    assert "".join(rows[0].c).encode("latin-1").decode() == text and len(rows[0].c) > 20
+    assert len(set(rows[0].c) - set(rows[1].c)) <= 6
     assert sum(len(c) == exact_dedup.MAX_CHUNK for c in rows[0].c) == 0
 
 
+def test_ascii_passages_are_cut_alike_beside_other_letters(spark):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(8000))
+    one, two = (r.c for r in spark.createDataFrame([(text,), ("é" + text,)], "t string").select(exact_dedup.chunks(F.col("t")).alias("c")).collect())
+    assert len(one) > 40 and len(set(one) - set(two)) <= 6
+
+
 def test_clashing_chunk_identifiers_are_told_apart(spark, monkeypatch):
     real = exact_dedup.F.xxhash64
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: real(*c) * 0)
