@@ -15,9 +15,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def squeezed(t: Column) -> Column:
+    """Lower case, one space for each run of white space, none at the ends."""
+    return F.btrim(F.regexp_replace(F.lower(t), r"\s+", " "))
+
+
 def trigrams(t: Column) -> Column:
     """Distinct character trigrams of the lower-case text with white space squeezed; shorter texts are their own."""
-    s = F.btrim(F.regexp_replace(F.lower(t), r"\s+", " "))
+    s = squeezed(t)
     # one pass of the pattern engine; cutting by position would count characters anew for each
     return F.when(F.length(s) < 3, F.array(s)).otherwise(F.array_distinct(F.regexp_extract_all(s, F.lit("(?s)(?=(...))"), F.lit(1))))
 

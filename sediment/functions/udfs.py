@@ -6,13 +6,13 @@ import html
 import re
 import shlex
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import grams
 from .text import COMMENT, CONTROL, HEADER, IMAGE, LINK, TAG, URL
 
 _CODE = re.compile(r"```.*?```|`[^`\n]+`", re.S)
@@ -60,36 +60,9 @@ def unescape(t: pd.Series) -> pd.Series:
     return t.map(html.unescape, na_action="ignore")
 
 
-@lru_cache(maxsize=256)
-def _word_trigrams(s: str) -> list[str]:
-    """Remembered for the texts and queries of a batch, which meet many times."""
-    return [f"  {w} "[i : i + 3] for w in re.findall(r"\w+", s.lower()) for i in range(len(w) + 1)]
-
-
 def word_similarity(query: str, text: str) -> float:
-    """Shared trigrams over all trigrams of the query and the stretch of the text that holds most of them.
-
-    Trigrams are those of each word with two blanks before and one after.
-    Stretches of half, one and two times the query's length slide over the
-    text; a trigram counts once in a stretch, where it has not occurred since
-    the stretch began. This stands in for a search over all stretches.
-    """
-    want = {t: i for i, t in enumerate(dict.fromkeys(_word_trigrams(query)))}
-    ids = np.array([want.get(t, -1) for t in _word_trigrams(text)])
-    if not want or not (ids >= 0).any():
-        return 0.0
-    before, last = np.full(len(ids), -1), {}
-    for i in np.flatnonzero(ids >= 0).tolist():
-        before[i] = last.get(ids[i], -1)
-        last[ids[i]] = i
-    best = 0.0
-    for n in {max(1, len(want) // 2), len(want), 2 * len(want)}:
-        n = min(n, len(ids))
-        start = np.arange(len(ids) - n + 1)
-        hit, prev = (np.lib.stride_tricks.sliding_window_view(x, n) for x in (ids >= 0, before))
-        shared = (hit & (prev < start[:, None])).sum(1)
-        best = max(best, float((shared / (len(want) + n - hit.sum(1))).max()))
-    return best
+    """Shared trigrams over all trigrams of the query and the best stretch of the text; those of each word with two blanks before and one after."""
+    return grams.best_extent(np.unique(grams.word_trigrams(query)), grams.Text(text))
 
 
 @F.pandas_udf(T.DoubleType())

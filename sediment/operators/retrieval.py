@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Options
-from ..functions import similarity, text
+from ..functions import grams, similarity, text
+from ..scratch import materialize
 
 
 def bounded(queries: DataFrame, options: Options = DEFAULT) -> DataFrame:
@@ -32,6 +33,26 @@ def rank(df: DataFrame, *order: Column, limit: int, group: str = "qid") -> DataF
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rn") <= limit)
 
 
+class _Best:
+    """The best ``limit`` rows of each query so far: by ``value`` upwards, ids break ties."""
+
+    def __init__(self, queries: int, limit: int) -> None:
+        self.limit = limit
+        self.value, self.id = [np.zeros(0)] * queries, [np.zeros(0, np.int64)] * queries
+        self.worst = np.full(queries, np.inf)
+
+    def add(self, q: int, value: np.ndarray, ids: np.ndarray) -> None:
+        v, i = np.concatenate((self.value[q], value)), np.concatenate((self.id[q], ids))
+        top = np.lexsort((i, v))[: self.limit]
+        self.value[q], self.id[q] = v[top], i[top]
+        if len(top) == self.limit:
+            self.worst[q] = v[top[-1]]
+
+    def rows(self, qids: np.ndarray) -> pd.DataFrame:
+        n = [len(v) for v in self.value]
+        return pd.DataFrame({"qid": np.repeat(qids, n).astype(np.int64), "chunk_id": np.concatenate([np.zeros(0, np.int64), *self.id]), "value": np.concatenate([np.zeros(0), *self.value])})
+
+
 def vector_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, block: int = 2048) -> DataFrame:
     """(qid, chunk_id, dist, rn): nearest by cosine distance, rounded to 6 places, ids break ties.
 
@@ -51,7 +72,7 @@ def vector_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAUL
     share = corpus.sparkSession.sparkContext.broadcast(by_dim)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}
+        best = {d: _Best(len(qids), limit) for d, (qids, _) in share.value.items()}
         for pdf in batches:
             for d, own in pdf.groupby(pdf["embedding"].map(len)):
                 qids, q = share.value.get(d, (np.zeros(0, np.int64), None))
@@ -61,50 +82,92 @@ def vector_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAUL
                     norm = np.sqrt((m * m).sum(1))
                     ids, m = part["chunk_id"].to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
                     dist = np.round(1 - q @ m.T, 6) + 0.0
-                    for i, qid in enumerate(qids.tolist()):
-                        top = np.lexsort((ids, dist[i]))[:limit]
-                        new = pd.DataFrame({"qid": qid, "chunk_id": ids[top], "dist": dist[i][top]})
-                        best[qid] = pd.concat([best[qid], new]).nsmallest(limit, ["dist", "chunk_id"]) if qid in best else new
-        yield pd.concat(best.values()) if best else pd.DataFrame({"qid": [], "chunk_id": [], "dist": []}).astype({"qid": "int64", "chunk_id": "int64"})
+                    near_enough = dist <= best[d].worst[:, None]
+                    for i in np.flatnonzero(near_enough.any(1)).tolist():
+                        best[d].add(i, dist[i][near_enough[i]], ids[near_enough[i]])
+        yield pd.concat([best[d].rows(qids) for d, (qids, _) in share.value.items()] or [_Best(0, 1).rows(np.zeros(0))])
 
-    found = corpus.filter("embedding is not null").select("chunk_id", "embedding").mapInPandas(near, "qid long, chunk_id long, dist double")
+    found = corpus.filter("embedding is not null").select("chunk_id", "embedding").mapInPandas(near, "qid long, chunk_id long, value double").withColumnRenamed("value", "dist")
     return rank(found, F.col("dist"), F.col("chunk_id"), limit=limit)
 
 
-def keyword_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, limit: int | None = None) -> DataFrame:
-    """(qid, chunk_id, terms, hits, rn): chunks with a word that starts with one of the query's terms.
+def keyword_scores(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    """(qid, chunk_id, terms, hits) of chunks with a word that starts with one of the query's terms: distinct terms and words met.
 
-    Rank by distinct terms met, then words met, then id. Prefix matching is an
-    equality: each word is cut to the lengths that the terms have and looked
-    up among the broadcast terms.
+    Prefix matching is an equality: a word that starts like some term is cut
+    to the lengths that such terms have and looked up among the broadcast
+    terms. Other words are dropped before anything moves.
     """
     terms = bounded(queries, options).select("qid", F.explode(F.array_distinct(F.transform(text.prefixes(F.col("query")), lambda x: F.lower(x)))).alias("term"))
-    lengths = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect()) or [1]
-    words = corpus.select("chunk_id", F.explode(text.lexemes(F.col("chunk_text"))).alias("word")).groupBy("chunk_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    cut = words.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).filter(F.length("word") >= F.col("n"))
-    met = cut.withColumn("term", F.substr(F.col("word"), F.lit(1), F.col("n"))).join(F.broadcast(terms), "term")
-    scored = met.groupBy("qid", "chunk_id").agg(F.count_distinct("term").alias("terms"), F.sum("tf").alias("hits"))
-    return rank(scored, F.desc("terms"), F.desc("hits"), F.col("chunk_id"), limit=limit or options.axis_limit)
+    heads = terms.groupBy(F.substring("term", 1, 2).alias("head")).agg(F.collect_set(F.length("term")).alias("lengths"))
+    words = corpus.select("chunk_id", F.explode(text.lexemes(F.col("chunk_text"))).alias("word")).withColumn("head", F.substring("word", 1, 2))
+    # terms have two characters or more, and the query set is bounded, so both sides that are broadcast are
+    words = words.join(F.broadcast(heads), "head").groupBy("chunk_id", "word", "lengths").agg(F.count(F.lit(1)).alias("tf"))
+    cut = words.withColumn("n", F.explode("lengths")).filter(F.length("word") >= F.col("n"))
+    met = cut.withColumn("term", F.substr(F.col("word"), F.lit(1), F.col("n"))).groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf")).join(F.broadcast(terms), "term")
+    return met.groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("hits"))
 
 
-def trigram_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, exact: bool = False) -> DataFrame:
-    """(qid, chunk_id, sim, rn): the share of the query's trigrams that a chunk holds, rounded to 6 places.
+def keyword_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, limit: int | None = None) -> DataFrame:
+    """(qid, chunk_id, terms, hits, rn): rank by distinct terms met, then words met, then id."""
+    return rank(keyword_scores(queries, corpus, options), F.desc("terms"), F.desc("hits"), F.col("chunk_id"), limit=limit or options.axis_limit)
+
+
+class _Grams:
+    """The distinct trigrams of all queries, and which queries have each."""
 
-    Distinct trigrams of chunks meet those of the broadcast queries by
-    equality, counts are summed per pair; ``exact`` replaces the share of the
-    pairs that pass with the similarity of the best stretch of words.
+    def __init__(self, of_query: list[np.ndarray]) -> None:
+        self.size = np.array([len(g) for g in of_query], np.int64)
+        self.all, at = np.unique(np.concatenate(of_query) if of_query else np.zeros(0, np.int64), return_inverse=True)
+        owner = np.repeat(np.arange(len(of_query)), self.size)
+        order = np.argsort(at, kind="stable")
+        self.owner, self.start = owner[order], np.searchsorted(at[order], np.arange(len(self.all) + 1))
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        """How many trigrams of each query the distinct ones of a text hold."""
+        at = np.searchsorted(self.all, own)
+        at = at[self.all[np.minimum(at, len(self.all) - 1)] == own]
+        n = self.start[at + 1] - self.start[at]
+        first = np.repeat(self.start[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        return np.bincount(self.owner[first + np.arange(n.sum())], minlength=len(self.size))
+
+
+def trigram_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, exact: bool = False) -> DataFrame:
+    """(qid, chunk_id, sim, rn): chunks that hold enough of the query's trigrams, rounded to 6 places; ids break ties.
+
+    The similarity is the share of the query's trigrams that a chunk holds.
+    With ``exact`` it is that of the best stretch of words (shared over all
+    trigrams of the query and the stretch, of words padded with blanks); the
+    share is an upper bound of it, so stretches are searched only where the
+    share could still reach a query's best.
+
+    An inverted list of the queries' trigrams goes to each task. A task
+    counts what a chunk shares with every query at once and keeps the best
+    ``axis_limit`` of each query, so that no row a shared trigram, and none a
+    pair, ever moves.
     """
-    grams = bounded(queries, options).select("qid", "query", similarity.trigrams(F.col("query")).alias("g"))
-    of_query = grams.select("qid", F.size("g").alias("n"), F.explode("g").alias("t"))
-    of_chunk = corpus.select("chunk_id", F.explode(similarity.trigrams(F.col("chunk_text"))).alias("t"))
-    met = of_chunk.join(F.broadcast(of_query), "t").groupBy("qid", "chunk_id", "n").agg(F.count(F.lit(1)).alias("k"))
-    scored = met.select("qid", "chunk_id", F.round(F.col("k") / F.col("n"), 6).alias("sim"))
-    if exact:
-        from ..functions.udfs import word_similarity_udf
+    limit, least = options.axis_limit, options.trigram_min_similarity
+    rows = bounded(queries, options).select("qid", "query", similarity.squeezed(F.col("query")).alias("s")).filter("s is not null").collect()
+    qids = np.array([r.qid for r in rows], np.int64)
+    of_query = [np.unique(grams.word_trigrams(r.query)) if exact else grams.trigrams(r.s) for r in rows]
+    share = corpus.sparkSession.sparkContext.broadcast((_Grams(of_query), of_query))
 
-        passed = scored.filter(F.col("sim") >= options.trigram_min_similarity).join(F.broadcast(grams.select("qid", "query")), "qid")
-        scored = passed.join(corpus.select("chunk_id", "chunk_text"), "chunk_id").select("qid", "chunk_id", F.round(word_similarity_udf("query", "chunk_text"), 6).alias("sim"))
-    return rank(scored.filter(F.col("sim") >= options.trigram_min_similarity), F.desc("sim"), F.col("chunk_id"), limit=options.axis_limit)
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, want = share.value
+        best, n = _Best(len(qids), limit), np.maximum(index.size, 1)
+        for pdf in batches:
+            for chunk, t in zip(pdf["chunk_id"], pdf["t"], strict=True):
+                own = grams.Text(t) if exact else None
+                k = index.shared(np.unique(own.ids) if exact else grams.trigrams(t)) if len(index.all) else np.zeros(len(qids))
+                for i in np.flatnonzero((k / n >= least - 1e-6) & (-k / n <= best.worst)).tolist():
+                    sim = grams.best_extent(want[i], own, max(least - 1e-6, min(1.0, -best.worst[i]) if best.worst[i] < np.inf else 0.0)) if exact else k[i] / n[i]
+                    if sim:
+                        best.add(i, np.array([-sim]), np.array([chunk]))
+        yield best.rows(qids)
+
+    texts = corpus.select("chunk_id", (F.col("chunk_text") if exact else similarity.squeezed(F.col("chunk_text"))).alias("t")).filter("t is not null")
+    found = texts.mapInPandas(near, "qid long, chunk_id long, value double").select("qid", "chunk_id", F.round(-F.col("value"), 6).alias("sim"))
+    return rank(found.filter(F.col("sim") >= least), F.desc("sim"), F.col("chunk_id"), limit=limit)
 
 
 def fuse(axes: dict[str, DataFrame], options: Options = DEFAULT) -> DataFrame:
@@ -120,15 +183,20 @@ def fuse(axes: dict[str, DataFrame], options: Options = DEFAULT) -> DataFrame:
     return rows.groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 10).alias("score"), *parts)
 
 
-def search_candidates(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, k: int = 5, trigram: bool = True) -> DataFrame:
-    """Fused candidates with rn. A query without a vector takes the keyword axis alone, in its own order."""
+def search_candidates(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, k: int = 5, trigram: bool = True, exact: bool = False) -> DataFrame:
+    """Fused candidates with rn. A query without a vector takes the keyword axis alone, in its own order.
+
+    The corpus is searched for words once, for all queries together.
+    """
     n = options.candidates(k)
-    with_vec, without = queries.filter("qvec is not null"), queries.filter("qvec is null")
-    axes = {"v": vector_axis(with_vec, corpus, options), "k": keyword_axis(with_vec, corpus, options)}
+    with_vec = queries.filter("qvec is not null")
+    words = keyword_axis(queries, corpus, options, limit=max(n, options.axis_limit)).join(F.broadcast(queries.select("qid", F.col("qvec").isNotNull().alias("__hybrid"))), "qid")
+    words = materialize(words, "keyword")
+    axes = {"v": vector_axis(with_vec, corpus, options), "k": words.filter(F.col("__hybrid") & (F.col("rn") <= options.axis_limit))}
     if trigram:
-        axes["t"] = trigram_axis(with_vec, corpus, options)
+        axes["t"] = trigram_axis(with_vec, corpus, options, exact)
     hybrid = rank(fuse(axes, options).select("qid", "chunk_id", "score"), F.desc("score"), F.col("chunk_id"), limit=n).withColumn("mode", F.lit("hybrid"))
-    only = keyword_axis(without, corpus, options, limit=n).select("qid", "chunk_id", F.lit(0.0).alias("score"), "rn", F.lit("keyword").alias("mode"))
+    only = words.filter(~F.col("__hybrid") & (F.col("rn") <= n)).select("qid", "chunk_id", F.lit(0.0).alias("score"), "rn", F.lit("keyword").alias("mode"))
     return hybrid.unionByName(only)
 
 
@@ -147,12 +215,16 @@ def rerank(candidates: DataFrame, score: Column, keep: int, options: Options = D
     return passed.withColumn("pos", order).filter(F.col("pos") <= keep)
 
 
-def drop_near_copies(ranked: DataFrame, limit: int, threshold: float = DEFAULT.dedup_similarity, body: str = "chunk_text") -> DataFrame:
+def drop_near_copies(ranked: DataFrame, limit: int, threshold: float = DEFAULT.dedup_similarity, body: str | Column = "chunk_text") -> DataFrame:
     """Per query, rows in order of pos whose trigram Jaccard to every row kept before stays under ``threshold``; ``limit`` at most.
 
-    A fold over the few rows of one query (``max_candidates`` bounds them). A threshold of 1 or more switches it off.
+    A fold over the few rows of one query (``max_candidates`` bounds them). A
+    threshold of 1 or more switches it off. ``body`` is the text to compare,
+    or a column of its trigrams.
     """
-    rows = ranked.withColumn("__g", similarity.trigrams(F.col(body)))
+    own = F.col(body) if isinstance(body, str) else body
+    is_text = dict(ranked.select(own.alias("b")).dtypes)["b"] == "string"
+    rows = ranked.withColumn("__g", similarity.trigrams(own) if is_text else own)
     packed = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk_id", F.col("__g").alias("g")))).alias("rows"))
     start = F.array().cast(packed.schema["rows"].dataType)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import pii, similarity, text
 from ..operators import retrieval as R
+from ..scratch import materialize
 from . import corpus
 from .corpus import CHUNKS_SQL, FILES_SQL, QUERIES_SQL
 from .registry import load, query
@@ -104,7 +105,7 @@ def multi_query_merge(spark, sf_dir):
 s AS (SELECT kw.qid, kw.chunk_id, kw.rn, round(kw.terms / (SELECT count(*) FROM terms t WHERE t.qid = kw.qid), 6) AS rerank_score FROM kw)
 SELECT qid, chunk_id, rn, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, rn) AS pos FROM s WHERE rerank_score >= 0.05 QUALIFY pos <= 10""")
 def rerank_overlap(spark, sf_dir):
-    q = corpus.queries(spark, sf_dir)
+    q = R.bounded(corpus.queries(spark, sf_dir))
     kw = R.keyword_axis(q, published(spark, sf_dir))
     n = q.select("qid", F.size(F.array_distinct(F.transform(text.prefixes(F.col("query")), lambda x: F.lower(x)))).alias("n"))
     return R.rerank(kw.join(F.broadcast(n), "qid"), F.round(F.col("terms") / F.col("n"), 6), 10).select("qid", "chunk_id", "rn", "rerank_score", "pos")
@@ -141,10 +142,12 @@ def cosine_neighbors(spark, sf_dir):
 def search(spark: SparkSession, q: DataFrame, c: DataFrame, k: int = 5, options=DEFAULT, mask=pii.mask_accounts) -> DataFrame:
     """Candidates, rerank by word overlap, near copies out, neighbours, masking, clipping: the whole search of a batch."""
     k = options.top_k(k)
-    found = R.search_candidates(q, c, options, k)
+    found = materialize(R.search_candidates(q, c, options, k), "candidates")
+    # the query set's size was checked by the axes; the trigrams of a chunk are made once
     bodies = found.join(c, "chunk_id").join(F.broadcast(q.select("qid", similarity.trigrams(F.col("query")).alias("__q"))), "qid")
-    ranked = R.rerank(bodies, F.round(similarity.containment(F.col("__q"), similarity.trigrams(F.col("chunk_text"))), 6), 2 * k, options).drop("__q")
-    kept = R.drop_near_copies(ranked, k, options.dedup_similarity)
+    bodies = materialize(bodies.withColumn("__own", similarity.trigrams(F.col("chunk_text"))), "bodies")
+    ranked = R.rerank(bodies, F.round(similarity.containment(F.col("__q"), F.col("__own")), 6), 2 * k, options).drop("__q")
+    kept = R.drop_near_copies(ranked, k, options.dedup_similarity, F.col("__own")).drop("__own")
     wide = R.expand_neighbors(kept, c, options.neighbor_window, options.result_max_chars)
     return wide.withColumn("chunk_text", text.clip(mask(F.col("chunk_text")), options.result_max_chars))
 
