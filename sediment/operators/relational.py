@@ -56,6 +56,11 @@ def append_with_ids(base: DataFrame, new: DataFrame, id: str, order: list[str])
     return base.unionByName(numbered.withColumn(id, (F.lit(top) + F.col("__no") + 1).cast(base.schema[id].dataType)).select(*base.columns))
 
 
+def retained(stored: DataFrame, modified: str, now: Column, hours: int) -> DataFrame:
+    """What a purge leaves of a store: rows changed in the last ``hours``; 0 or less keeps all. Rows without a time stay."""
+    return stored if hours <= 0 else stored.filter(F.col(modified).isNull() | (F.col(modified) >= now - F.make_dt_interval(hours=F.lit(hours))))
+
+
 def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 50, most: int = 500) -> DataFrame:
     """One page in a total order; offset at least 0, limit from 1 to ``most``."""
     return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))

@@ -8,7 +8,7 @@ than tasks x queries x limit rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Options
-from ..functions import grams, similarity, text
+from ..functions import grams, pii, similarity, text
 from ..scratch import materialize
+from . import answers
 
 
 def bounded(queries: DataFrame, options: Options = DEFAULT) -> DataFrame:
@@ -236,6 +237,77 @@ def drop_near_copies(ranked: DataFrame, limit: int, threshold: float = DEFAULT.d
     return ranked.join(kept, ["qid", "chunk_id"])
 
 
+def stage_counts(**stages: DataFrame) -> DataFrame:
+    """(qid, <stage>...): rows of each query after each stage, 0 where none is left.
+
+    That tells queries without candidates from those whose candidates all
+    fell at the rerank bound or as near copies.
+    """
+    rows = None
+    for name, df in stages.items():
+        part = df.select("qid", F.lit(name).alias("stage"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("qid").agg(*[F.count_if(F.col("stage") == n).alias(n) for n in stages])
+
+
+def diagnostics(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, k: int = 10, exact: bool = False) -> DataFrame:
+    """The search of a batch for an operator's eyes: fused candidates with the part of each axis and the first 300 characters, no neighbours."""
+    axes = {"v": vector_axis(queries.filter("qvec is not null"), corpus, options), "k": keyword_axis(queries, corpus, options), "t": trigram_axis(queries.filter("qvec is not null"), corpus, options, exact)}
+    top = rank(fuse(axes, options), F.desc("score"), F.col("chunk_id"), limit=options.top_k(k))
+    return top.join(corpus.select("chunk_id", F.substring(F.coalesce("chunk_text", F.lit("")), 1, 300).alias("chunk_text")), "chunk_id")
+
+
+def search_records(queries: DataFrame, records: DataFrame, options: Options = DEFAULT, k: int = 5, mask=pii.mask_pii, exact: bool = False) -> DataFrame:
+    """Past cases for each query: (qid, id, place, question, answer, handled_by, rerank_score).
+
+    records: id, question, answer, handled_by, embedding. Candidates are
+    ranked on question and answer clipped to ``result_max_chars`` each; then
+    come the label (the stored one, else by phrases), the clipped and masked
+    texts, and last the removal of near copies among what would be shown. The
+    label never decides what is found.
+    """
+    k = options.top_k(k)
+    cut = lambda c: text.clip(F.coalesce(c, F.lit("")), options.result_max_chars, "\n…(이하 생략)")
+    corpus = records.select(F.col("id").alias("chunk_id"), F.concat_ws("\n", F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))).alias("chunk_text"), "embedding")
+    found = materialize(search_candidates(queries, corpus, options, k, exact=exact), "candidates")
+    cases = records.select(F.col("id").alias("chunk_id"), cut(F.col("question")).alias("question"), cut(F.col("answer")).alias("answer"), answers.label(F.col("handled_by"), F.col("answer")).alias("handled_by"))
+    # the query set's size was checked by the axes
+    both = found.join(cases, "chunk_id").join(F.broadcast(queries.select("qid", similarity.trigrams(F.col("query")).alias("__q"))), "qid")
+    near = similarity.containment(F.col("__q"), similarity.trigrams(F.concat_ws("\n", "question", "answer")))
+    ranked = rerank(both, F.round(near, 6), 2 * k, options).drop("__q")
+    shown = ranked.withColumns({"question": mask(F.col("question")), "answer": mask(F.col("answer"))}).withColumn("__shown", F.concat_ws(" ", "question", "answer"))
+    return drop_near_copies(shown, k, options.dedup_similarity, "__shown").select("qid", F.col("chunk_id").alias("id"), "place", "question", "answer", "handled_by", "rerank_score", "mode")
+
+
+def prefetch(questions: DataFrame, manuals: Callable[[DataFrame], DataFrame], cases: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What to lay before each question: (qid, source, step, and what the searches give).
+
+    questions: qid, query, merged (the query with the turn before it), mode,
+    sources. ``manuals`` and ``cases`` search a batch (qid, query). Questions
+    to be executed get nothing. First the chosen sources are searched with the
+    question alone; where one source was chosen and gave nothing, the other
+    is; where still nothing was found and the merged query is another one,
+    both are searched with that. Each step is one batch of what is left.
+    """
+    ask = questions.filter(~F.col("mode").eqNullSafe(F.lit("execute"))).select("qid", "query", "merged", "sources")
+    both = {"manual": manuals, "voc": cases}
+
+    def step(no: int, left: DataFrame, query: str, wanted: Callable[[str], Column]) -> DataFrame:
+        rows = None
+        for name, search in both.items():
+            hits = search(left.filter(wanted(name)).select("qid", F.col(query).alias("query"))).withColumns({"source": F.lit(name), "step": F.lit(no)})
+            rows = hits if rows is None else rows.unionByName(hits, allowMissingColumns=True)
+        return materialize(rows, "prefetch")
+
+    chosen = lambda name: F.array_contains("sources", name)
+    first = step(1, ask, "query", chosen)
+    left = ask.join(first.select("qid"), "qid", "left_anti")
+    second = step(2, left, "query", lambda name: ~chosen(name) & (F.size("sources") == 1))
+    left = left.join(second.select("qid"), "qid", "left_anti").filter(F.col("merged") != F.col("query"))
+    third = step(3, left, "merged", lambda name: F.lit(True))
+    return first.unionByName(second).unionByName(third)
+
+
 def expand_neighbors(hits: DataFrame, corpus: DataFrame, window: int = 1, max_chars: int = 0) -> DataFrame:
     """Hits with the chunks beside them: those after first, then those before, each if it fits what the budget leaves.
 

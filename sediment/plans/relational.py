@@ -41,6 +41,18 @@ def stale_embeddings(spark, sf_dir):
     return O.page(c.filter(stale), [F.col("chunk_id")], 0, 1000, 1000).select("chunk_id", "embed_model")
 
 
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id FROM chunks WHERE embedding IS NULL")
+def unlimited_backlog(spark, sf_dir):
+    """A limit of 0 takes all that is waiting."""
+    return O.first_rows(corpus.chunks(spark, sf_dir).filter("embedding is null").select("chunk_id"), [F.col("chunk_id")], 0)
+
+
+@query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 72 HOUR")
+def retention_purge(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", "ts")
+    return O.retained(e, "ts", F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"), 72)
+
+
 @query("SELECT event_id, user_id FROM events WHERE CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts + INTERVAL 10 DAY END IS NULL OR CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts + INTERVAL 10 DAY END > TIMESTAMP '2024-01-25 00:00:00'")
 def ttl_filter(spark, sf_dir):
     e = load(spark, sf_dir, "events").withColumn("expires_at", F.when(F.col("event_id") % 3 != 0, F.col("ts") + F.expr("INTERVAL 10 DAY")))

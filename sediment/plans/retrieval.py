@@ -161,3 +161,67 @@ def full_search_pipeline(spark, sf_dir):
 def word_similarity_topk(spark, sf_dir):
     q = corpus.queries(spark, sf_dir).filter("qvec is not null")
     return R.trigram_axis(q, published(spark, sf_dir), exact=True)
+
+
+_AXIS3 = """parts AS (SELECT qid, chunk_id, 1.0::DOUBLE / (60 + rn) AS p, 'v' AS a FROM vec UNION ALL SELECT qid, chunk_id, 1.0::DOUBLE / (60 + rn), 'k' FROM kw UNION ALL SELECT qid, chunk_id, 1.0::DOUBLE / (60 + rn), 't' FROM tri),
+fused AS (SELECT qid, chunk_id, round(sum(p), 10) AS score, round(coalesce(sum(p) FILTER (WHERE a = 'v'), 0), 10) AS v_rrf, round(coalesce(sum(p) FILTER (WHERE a = 'k'), 0), 10) AS k_rrf, round(coalesce(sum(p) FILTER (WHERE a = 't'), 0), 10) AS t_rrf FROM parts GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rn FROM fused QUALIFY rn <= 10)"""
+
+
+@query(f"WITH {FILES_SQL}, {CHUNKS_SQL}, {QUERIES_SQL}, {_PUBLISHED}, {_VEC}, {_TERMS}, {_KW.format(limit=50)}, {_TRI}, {_AXIS3} SELECT t.*, substr(coalesce(p.chunk_text, ''), 1, 300) AS chunk_text FROM top t JOIN pub p USING (chunk_id)")
+def search_diagnostics(spark, sf_dir):
+    return R.diagnostics(corpus.queries(spark, sf_dir), published(spark, sf_dir))
+
+
+_NTERMS = "nt AS (SELECT qid, count(*) AS n FROM terms GROUP BY 1)"
+
+
+@query(f"""WITH {FILES_SQL}, {CHUNKS_SQL}, {QUERIES_SQL}, {_PUBLISHED}, {_TERMS}, {_KW.format(limit=50)}, {_NTERMS},
+s AS (SELECT kw.qid, kw.rn, round(kw.terms / nt.n, 6) AS score FROM kw JOIN nt USING (qid)),
+r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rn) AS pos FROM s WHERE score >= 0.05)
+SELECT kw.qid, count(*) AS candidates, any_value(coalesce(r.n, 0)) AS ranked, any_value(least(coalesce(r.n, 0), 10)) AS final FROM kw LEFT JOIN (SELECT qid, count(*) AS n FROM r GROUP BY 1) r USING (qid) GROUP BY 1""")
+def search_stage_counts(spark, sf_dir):
+    q = R.bounded(corpus.queries(spark, sf_dir))
+    kw = R.keyword_axis(q, published(spark, sf_dir))
+    n = q.select("qid", F.size(F.array_distinct(F.transform(text.prefixes(F.col("query")), lambda x: F.lower(x)))).alias("n"))
+    ranked = R.rerank(kw.join(F.broadcast(n), "qid"), F.round(F.col("terms") / F.col("n"), 6), DEFAULT.axis_limit)
+    return R.stage_counts(candidates=kw, ranked=ranked, final=ranked.filter("pos <= 10"))
+
+
+_ASKED = """asked AS (SELECT item_id AS qid, b.text AS whole, CASE item_id % 5 WHEN 0 THEN 'execute' ELSE 'search' END AS mode,
+  CASE item_id % 3 WHEN 0 THEN ['manual'] WHEN 1 THEN ['voc'] ELSE ['manual', 'voc'] END AS sources, CASE WHEN item_id % 4 = 1 THEN 'zzqx ' || CAST(item_id AS VARCHAR) ELSE split_part(b.text, '.', 1) END AS query FROM benchmark b)"""
+
+
+def _found(name: str, asked: str, docs: str) -> str:
+    """The best three of an axis by terms met, ids break ties."""
+    return f"""{name} AS (SELECT t.qid, w.id, count(DISTINCT t.term) AS terms, row_number() OVER (PARTITION BY t.qid ORDER BY count(DISTINCT t.term) DESC, CAST(sum(w.tf) AS BIGINT) DESC, w.id) AS rn
+  FROM (SELECT DISTINCT qid, term FROM (SELECT qid, lower(regexp_replace(unnest(regexp_extract_all({asked}, '[0-9A-Za-z가-힣_.-]+')), '[^0-9A-Za-z가-힣_]', '', 'g')) AS term FROM asked WHERE mode <> 'execute') WHERE length(term) >= 2) t
+  JOIN {docs} w ON starts_with(w.word, t.term) GROUP BY 1, 2 QUALIFY rn <= 3)"""
+
+
+@query(f"""WITH {FILES_SQL}, {CHUNKS_SQL}, {corpus.RECORDS_SQL}, {_PUBLISHED}, {_ASKED},
+mw AS (SELECT id, word, count(*) AS tf FROM (SELECT chunk_id AS id, unnest(regexp_extract_all(lower(chunk_text), '[0-9a-z가-힣_]+')) AS word FROM pub) GROUP BY 1, 2),
+vw AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(question || chr(10) || answer), '[0-9a-z가-힣_]+')) AS word FROM records) GROUP BY 1, 2),
+{_found("m1", "query", "mw")}, {_found("v1", "query", "vw")}, {_found("m3", "query || ' ' || whole", "mw")}, {_found("v3", "query || ' ' || whole", "vw")},
+s1 AS (SELECT qid, 'manual' AS source, id, rn FROM m1 JOIN asked USING (qid) WHERE list_contains(sources, 'manual') UNION ALL SELECT qid, 'voc', id, rn FROM v1 JOIN asked USING (qid) WHERE list_contains(sources, 'voc')),
+l2 AS (SELECT * FROM asked WHERE mode <> 'execute' AND qid NOT IN (SELECT qid FROM s1)),
+s2 AS (SELECT qid, 'manual' AS source, id, rn FROM m1 JOIN l2 USING (qid) WHERE sources = ['voc'] UNION ALL SELECT qid, 'voc', id, rn FROM v1 JOIN l2 USING (qid) WHERE sources = ['manual']),
+l3 AS (SELECT * FROM l2 WHERE qid NOT IN (SELECT qid FROM s2)),
+s3 AS (SELECT qid, 'manual' AS source, id, rn FROM m3 JOIN l3 USING (qid) UNION ALL SELECT qid, 'voc', id, rn FROM v3 JOIN l3 USING (qid))
+SELECT *, 1 AS step FROM s1 UNION ALL SELECT *, 2 FROM s2 UNION ALL SELECT *, 3 FROM s3""")
+def prefetch_routing(spark, sf_dir):
+    """Chosen sources, then the other, then both with the merged query; every fifth question is to be executed."""
+    i = F.col("item_id")
+    sources = F.when(i % 3 == 0, F.array(F.lit("manual"))).when(i % 3 == 1, F.array(F.lit("voc"))).otherwise(F.array(F.lit("manual"), F.lit("voc")))
+    bare = F.when(i % 4 == 1, F.concat(F.lit("zzqx "), i.cast("string"))).otherwise(F.split_part("text", F.lit("."), F.lit(1)))
+    asked = load(spark, sf_dir, "benchmark").select(i.alias("qid"), F.when(i % 5 == 0, "execute").otherwise("search").alias("mode"), sources.alias("sources"), bare.alias("query"), F.concat_ws(" ", bare, "text").alias("merged"))
+    r = corpus.records(spark, sf_dir).select(F.col("id").alias("chunk_id"), F.concat_ws("\n", "question", "answer").alias("chunk_text"))
+    by = lambda c: lambda q: R.keyword_axis(q, c, limit=3).select("qid", F.col("chunk_id").alias("id"), "rn")
+    return R.prefetch(asked, by(published(spark, sf_dir)), by(r))
+
+
+@query()
+def record_search_pipeline(spark, sf_dir):
+    r = corpus.records(spark, sf_dir)
+    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return R.search_records(corpus.queries(spark, sf_dir), r.join(e, "id", "left"))
