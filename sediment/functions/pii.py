@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 USER, NAME = "{사용자 id}", "{사용자 이름}"
 
+#: Fixed patterns, as the rules for masking state them; results must equal those of systems that mask by the same rules.
+#: An e-mail address: name, at sign, dotted domain with a last label of two letters or more.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 #: Endings after the dot that are files, domains or technical names, not accounts.
 NOT_ACCOUNT = (
@@ -15,8 +17,9 @@ NOT_ACCOUNT = (
     "sample template pem crt key pub service socket timer list path sys db dat dump hwp hwpx msg eml jar war exe bat cmd ps1 "
     "com net org io kr co jp cn us eu ai app cloud gov edu ac info biz local internal dev test stage prod"
 ).split()
-#: A word, a dot and a word, not part of a longer dotted token. \w takes Hangul too, so a particle right after ends the match.
+#: Fixed pattern: a word of 2 to 16, a dot and a word of 2 to 31, not part of a longer dotted token. \w takes Hangul too, so a particle right after ends the match.
 ACCOUNT = r"(?U)(?<![.A-Za-z0-9_-])(?<!\w)[A-Za-z][A-Za-z0-9_-]{1,15}\.(?!(?i:" + "|".join(NOT_ACCOUNT) + r")(?![\w-]))[A-Za-z][A-Za-z0-9_-]{1,30}(?!\.?[\w-])"
+#: Fixed pattern: an address, from its scheme or www. to white space, quote, angle or closing bracket; what it holds is no account.
 ADDRESS = r"(?:[A-Za-z][A-Za-z0-9+.\-]*://|www\.)[^\s<>\"')\]]+"
 
 #: Surnames, titles, labels before a name, and organisation endings.
@@ -25,6 +28,8 @@ TITLES = "님 씨 책임 선임 수석 프로 사원 주임 대리 과장 차장
 LABELS = "담당자 요청자 의뢰자 작성자 신청자 문의자 처리자 승인자 성명 이름".split()
 ORGANISATIONS = "사업부 본부 부문 센터 그룹 파트 모듈 부서 팀".split()
 
+#: Fixed patterns: a surname and one or two syllables before a title; a label, colon and one or two words of up to 12 letters;
+#: up to 15 letters and an organisation's ending, where the word ends or a particle follows.
 TITLED = rf"(?<![가-힣])[{SURNAMES}][가-힣]{{1,2}}(?=\s*({'|'.join(TITLES)}))"
 LABELLED = rf"({'|'.join(LABELS)})\s*[:：]\s*[A-Za-z가-힣]{{1,12}}(?:\s+[A-Za-z가-힣]{{1,12}})?"
 ORGANISATION = rf"[A-Za-z가-힣0-9]{{0,15}}?({'|'.join(ORGANISATIONS)})(?=$|[^A-Za-z0-9가-힣]|[은는이가을를의에도만과와로])"

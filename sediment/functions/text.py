@@ -84,25 +84,23 @@ def paragraphs(t: Column) -> Column:
 
 
 def sections(t: Column) -> Column:
-    """(title, body) of each section under a header line; a header that no line follows goes with its title."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"\n$", ""), "\n", -1)
-    none = F.lit(None).cast("string")
-    start = F.struct(
-        F.array().cast("array<struct<title:string,body:array<string>>>").alias("done"), none.alias("title"), F.array().cast("array<string>").alias("body")
-    )
+    """(title, body) of each section under a header line; a header that no line follows goes with its title.
 
-    def step(acc: Column, line: Column) -> Column:
-        closed = F.when(F.size(acc["body"]) > 0, F.concat(acc["done"], F.array(F.struct(acc["title"].alias("title"), acc["body"].alias("body"))))).otherwise(acc["done"])
-        return F.when(
-            line.rlike(HEADER),
-            F.struct(closed.alias("done"), F.btrim(F.regexp_replace(line, HEADER, ""), F.lit(" \t")).alias("title"), F.array().cast("array<string>").alias("body")),
-        ).otherwise(F.struct(acc["done"].alias("done"), acc["title"].alias("title"), F.concat(acc["body"], F.array(line)).alias("body")))
+    Header lines are found first; a body is the slice between two of them, so
+    that the cost is linear in the lines and no list grows line by line.
+    """
+    lines = F.split(F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"\n$", ""), "\n", -1)
 
-    def finish(acc: Column) -> Column:
-        rows = F.when(F.size(acc["body"]) > 0, F.concat(acc["done"], F.array(F.struct(acc["title"].alias("title"), acc["body"].alias("body"))))).otherwise(acc["done"])
-        return F.transform(rows, lambda s: F.struct(s["title"].alias("title"), F.array_join(s["body"], "\n").alias("body")))
+    def cut(own: Column) -> Column:
+        heads = F.filter(F.transform(own, lambda x, i: F.when(x.rlike(HEADER), i + 1)), lambda i: i.isNotNull())
+        # what stands before the first header has no title; each section ends where the next begins
+        starts, ends = F.concat(F.array(F.lit(0)), heads), F.concat(heads, F.array(F.size(own) + 1))
+        bounds = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("z")), lambda b: b["z"] - b["a"] > 1)
+        title = lambda a: F.when(a > 0, F.btrim(F.regexp_replace(F.get(own, a - 1), HEADER, ""), F.lit(" \t")))
+        return F.transform(bounds, lambda b: F.struct(title(b["a"]).alias("title"), F.array_join(F.slice(own, b["a"] + 1, b["z"] - b["a"] - 1), "\n").alias("body")))
 
-    return F.aggregate(lines, start, step, finish)
+    # a lambda's body is evaluated for each element, so the lines are bound to an outer variable first
+    return F.flatten(F.transform(F.array(lines), cut))
 
 
 def hard_cut(t: Column, size: int) -> Column:
@@ -146,9 +144,10 @@ def distinct_folded(tokens: Column) -> Column:
 
 def tokens(query: Column) -> Column:
     """Search tokens: each as written, then without its ending; two characters or more, in order, no repeats."""
-    raw = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
+    raw = F.array_distinct(F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1)))
     both = F.flatten(F.transform(raw, lambda x: F.array(x, strip_suffix(x))))
-    return distinct_folded(F.filter(both, lambda x: F.length(x) >= 2))
+    # all endings are Hangul; without it a token is its own stem
+    return distinct_folded(F.filter(F.when(query.rlike("[가-힣]"), both).otherwise(raw), lambda x: F.length(x) >= 2))
 
 
 def prefixes(query: Column) -> Column:

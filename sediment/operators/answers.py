@@ -21,6 +21,7 @@ OPERATOR_PHRASES = (
 LABELS = ("user", "operator", "unknown")
 #: Openings of a guide to documents.
 GUIDE_MARKERS = ("자세한 내용은 다음 문서", "가이드 문서:", "가이드 위치:")
+#: Fixed patterns: four groups of digits with dots between; a path from the root with one folder or more, not inside a word.
 IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 PATH = r"(?<![\w.])/(?:[\w.@+-]+/){1,}[\w.@+-]*"
 

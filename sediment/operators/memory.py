@@ -76,8 +76,29 @@ def history_problems(turns: DataFrame, most: int = 100, longest: int = 32_000, t
     return own.select("conv_id", why.alias("problem"))
 
 
+def read_through(chunks: DataFrame, budget: int, least: int) -> DataFrame:
+    """(chunk_id, file_id, body, partial): chunks of each file in order of (seq, chunk_id) while their characters fit ``budget``.
+
+    The first that does not fit is cut if more than ``least`` characters are
+    left. A chunk has a character or more (empty ones go), so the budget also
+    bounds how many chunks of a file can fit: tasks keep that many of each
+    file, lengths only, and texts are joined to the few that are shown.
+    """
+    sizes = chunks.select("file_id", "seq", "chunk_id", F.length("chunk_text").alias("n")).filter("n > 0")
+    order = Window.partitionBy("file_id").orderBy("seq", "chunk_id")
+    near = sizes.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= budget + 1)
+    placed = near.withColumn("used", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("left", F.lit(budget) - F.col("used") + F.col("n"))
+    shown = placed.filter((F.col("used") <= budget) | (F.col("left") > least)).select("chunk_id", "left", (F.col("used") > budget).alias("partial"))
+    cut = F.concat(F.substr("chunk_text", F.lit(1), F.col("left").cast("int")), F.lit("…"))
+    return shown.join(chunks.select("chunk_id", "file_id", "chunk_text"), "chunk_id").select("chunk_id", "file_id", F.when(F.col("partial"), cut).otherwise(F.col("chunk_text")).alias("body"), "partial")
+
+
 def memory_block(entries: DataFrame, group: str = "user_id") -> DataFrame:
-    """(group, block): a heading and one line for each entry in order of id; blank entries go."""
+    """(group, block): one line for each entry in order of id; blank entries go.
+
+    Entries of a group are gathered, so they must be few, as ``recent`` and
+    ``long_term`` give them.
+    """
     line = F.concat(F.lit("- ["), F.coalesce("kind", F.lit("fact")), F.lit("] "), F.btrim("content"))
     rows = entries.filter(F.length(F.btrim(F.coalesce("content", F.lit("")))) > 0).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))).alias("r"))
     return rows.select(group, F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("block"))

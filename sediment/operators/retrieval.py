@@ -8,6 +8,8 @@ than tasks x queries x limit rows.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +22,11 @@ from ..functions import grams, pii, similarity, text
 from ..scratch import materialize
 from . import answers
 
+#: Words of a lower-case text, as ``text.lexemes`` finds them.
+LEXEME = re.compile("[0-9a-z가-힣_]+")
+#: A term met outweighs any number of words met.
+_HITS = float(1 << 40)
+
 
 def bounded(queries: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """The query set, after its size is checked against the bound that broadcasting relies on."""
@@ -34,6 +41,13 @@ def rank(df: DataFrame, *order: Column, limit: int, group: str = "qid") -> DataF
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rn") <= limit)
 
 
+def parts(batches: Iterator[pd.DataFrame], rows: int = 128) -> Iterator[pd.DataFrame]:
+    """Batches cut to a number of rows, which bounds what a task holds for each query."""
+    for pdf in batches:
+        for k in range(0, len(pdf), rows):
+            yield pdf.iloc[k : k + rows]
+
+
 class _Best:
     """The best ``limit`` rows of each query so far: by ``value`` upwards, ids break ties."""
 
@@ -49,6 +63,13 @@ class _Best:
         if len(top) == self.limit:
             self.worst[q] = v[top[-1]]
 
+    def add_all(self, values: np.ndarray, ids: np.ndarray) -> None:
+        """Rows of ``values`` are ids, columns queries; values that are infinite are none."""
+        fits = (values <= self.worst) & (values < np.inf)
+        for q in np.flatnonzero(fits.any(0)).tolist():
+            own = fits[:, q]
+            self.add(q, values[own, q], ids[own])
+
     def rows(self, qids: np.ndarray) -> pd.DataFrame:
         n = [len(v) for v in self.value]
         return pd.DataFrame({"qid": np.repeat(qids, n).astype(np.int64), "chunk_id": np.concatenate([np.zeros(0, np.int64), *self.id]), "value": np.concatenate([np.zeros(0), *self.value])})
@@ -83,39 +104,15 @@ def vector_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAUL
                     norm = np.sqrt((m * m).sum(1))
                     ids, m = part["chunk_id"].to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
                     dist = np.round(1 - q @ m.T, 6) + 0.0
-                    near_enough = dist <= best[d].worst[:, None]
-                    for i in np.flatnonzero(near_enough.any(1)).tolist():
-                        best[d].add(i, dist[i][near_enough[i]], ids[near_enough[i]])
+                    best[d].add_all(dist.T, ids)
         yield pd.concat([best[d].rows(qids) for d, (qids, _) in share.value.items()] or [_Best(0, 1).rows(np.zeros(0))])
 
     found = corpus.filter("embedding is not null").select("chunk_id", "embedding").mapInPandas(near, "qid long, chunk_id long, value double").withColumnRenamed("value", "dist")
     return rank(found, F.col("dist"), F.col("chunk_id"), limit=limit)
 
 
-def keyword_scores(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT) -> DataFrame:
-    """(qid, chunk_id, terms, hits) of chunks with a word that starts with one of the query's terms: distinct terms and words met.
-
-    Prefix matching is an equality: a word that starts like some term is cut
-    to the lengths that such terms have and looked up among the broadcast
-    terms. Other words are dropped before anything moves.
-    """
-    terms = bounded(queries, options).select("qid", F.explode(F.array_distinct(F.transform(text.prefixes(F.col("query")), lambda x: F.lower(x)))).alias("term"))
-    heads = terms.groupBy(F.substring("term", 1, 2).alias("head")).agg(F.collect_set(F.length("term")).alias("lengths"))
-    words = corpus.select("chunk_id", F.explode(text.lexemes(F.col("chunk_text"))).alias("word")).withColumn("head", F.substring("word", 1, 2))
-    # terms have two characters or more, and the query set is bounded, so both sides that are broadcast are
-    words = words.join(F.broadcast(heads), "head").groupBy("chunk_id", "word", "lengths").agg(F.count(F.lit(1)).alias("tf"))
-    cut = words.withColumn("n", F.explode("lengths")).filter(F.length("word") >= F.col("n"))
-    met = cut.withColumn("term", F.substr(F.col("word"), F.lit(1), F.col("n"))).groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf")).join(F.broadcast(terms), "term")
-    return met.groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("hits"))
-
-
-def keyword_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, limit: int | None = None) -> DataFrame:
-    """(qid, chunk_id, terms, hits, rn): rank by distinct terms met, then words met, then id."""
-    return rank(keyword_scores(queries, corpus, options), F.desc("terms"), F.desc("hits"), F.col("chunk_id"), limit=limit or options.axis_limit)
-
-
 class _Grams:
-    """The distinct trigrams of all queries, and which queries have each."""
+    """The distinct values (trigrams, terms) of all queries, and which queries have each."""
 
     def __init__(self, of_query: list[np.ndarray]) -> None:
         self.size = np.array([len(g) for g in of_query], np.int64)
@@ -124,13 +121,71 @@ class _Grams:
         order = np.argsort(at, kind="stable")
         self.owner, self.start = owner[order], np.searchsorted(at[order], np.arange(len(self.all) + 1))
 
-    def shared(self, own: np.ndarray) -> np.ndarray:
-        """How many trigrams of each query the distinct ones of a text hold."""
+    def shared(self, own: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        """How many values of each query ``own`` (distinct) holds, or the sum of their weights."""
         at = np.searchsorted(self.all, own)
-        at = at[self.all[np.minimum(at, len(self.all) - 1)] == own]
+        have = self.all[np.minimum(at, len(self.all) - 1)] == own if len(self.all) else np.zeros(len(own), bool)
+        at = at[have]
         n = self.start[at + 1] - self.start[at]
         first = np.repeat(self.start[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        return np.bincount(self.owner[first + np.arange(n.sum())], minlength=len(self.size))
+        return np.bincount(self.owner[first + np.arange(n.sum())], None if weight is None else np.repeat(weight[have], n), len(self.size))
+
+
+class _Terms:
+    """The distinct prefix terms of all queries: their numbers by length and text."""
+
+    def __init__(self, of_query: list[list[str]]) -> None:
+        number: dict[str, int] = {}
+        self.index = _Grams([np.array([number.setdefault(t, len(number)) for t in terms], np.int64) for terms in of_query])
+        self.number = number
+        self.lengths: dict[str, list[int]] = {}
+        for t in number:
+            self.lengths.setdefault(t[:2], []).append(len(t))
+        self.lengths = {head: sorted(set(n)) for head, n in self.lengths.items()}
+
+    def met(self, word: str) -> list[int]:
+        """Numbers of the terms that the word starts with."""
+        return [self.number[word[:n]] for n in self.lengths.get(word[:2], ()) if n <= len(word) and word[:n] in self.number]
+
+
+def keyword_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, limit: int | None = None) -> DataFrame:
+    """(qid, chunk_id, terms, hits, rn): chunks with a word that starts with one of the query's terms.
+
+    Rank by distinct terms met, then words met, then id. An inverted list of
+    the queries' terms goes to each task; a task counts the words of a chunk,
+    adds them up for every query at once and keeps the best ``limit`` rows of
+    each, so that no row a word or a pair ever moves.
+    """
+    limit = limit or options.axis_limit
+    rows = bounded(queries, options).select("qid", F.array_distinct(F.transform(text.prefixes(F.col("query")), lambda x: F.lower(x))).alias("terms")).collect()
+    qids = np.array([r.qid for r in rows], np.int64)
+    share = corpus.sparkSession.sparkContext.broadcast(_Terms([r.terms or [] for r in rows]))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, best, seen = share.value, _Best(len(qids), limit), {}
+        for pdf in parts(batches):
+            values = np.full((len(pdf), len(qids)), np.inf)
+            for row, t in enumerate(pdf["t"]):
+                tf: dict[int, int] = {}
+                for word, n in Counter(LEXEME.findall(t)).items():
+                    if (own := seen.get(word)) is None:
+                        if len(seen) >= 1 << 20:
+                            seen.clear()
+                        own = seen[word] = terms.met(word)
+                    for k in own:
+                        tf[k] = tf.get(k, 0) + n
+                if tf:
+                    at = np.array(sorted(tf), np.int64)
+                    met, hits = terms.index.shared(at), terms.index.shared(at, np.array([tf[k] for k in at.tolist()], np.float64))
+                    values[row] = np.where(met > 0, -(met * _HITS + hits), np.inf)
+            best.add_all(values, pdf["chunk_id"].to_numpy())
+        yield best.rows(qids)
+
+    texts = corpus.filter("chunk_text is not null").select("chunk_id", F.lower("chunk_text").alias("t"))
+    found = texts.mapInPandas(near, "qid long, chunk_id long, value double").withColumn("value", -F.col("value"))
+    terms = F.floor(F.col("value") / _HITS)
+    scored = found.select("qid", "chunk_id", terms.cast("long").alias("terms"), (F.col("value") - terms * F.lit(_HITS)).cast("long").alias("hits"))
+    return rank(scored, F.desc("terms"), F.desc("hits"), F.col("chunk_id"), limit=limit)
 
 
 def trigram_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, exact: bool = False) -> DataFrame:
@@ -156,14 +211,19 @@ def trigram_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAU
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, want = share.value
         best, n = _Best(len(qids), limit), np.maximum(index.size, 1)
-        for pdf in batches:
-            for chunk, t in zip(pdf["chunk_id"], pdf["t"], strict=True):
+        for pdf in parts(batches):
+            values = np.full((len(pdf), len(qids)), np.inf)
+            for row, t in enumerate(pdf["t"]):
                 own = grams.Text(t) if exact else None
-                k = index.shared(np.unique(own.ids) if exact else grams.trigrams(t)) if len(index.all) else np.zeros(len(qids))
-                for i in np.flatnonzero((k / n >= least - 1e-6) & (-k / n <= best.worst)).tolist():
-                    sim = grams.best_extent(want[i], own, max(least - 1e-6, min(1.0, -best.worst[i]) if best.worst[i] < np.inf else 0.0)) if exact else k[i] / n[i]
-                    if sim:
-                        best.add(i, np.array([-sim]), np.array([chunk]))
+                at_most = index.shared(np.unique(own.ids) if exact else grams.trigrams(t)) / n
+                near_enough = at_most >= least - 1e-6
+                if exact:
+                    for i in np.flatnonzero(near_enough & (-at_most <= best.worst)).tolist():
+                        sim = grams.best_extent(want[i], own, max(least - 1e-6, 0.0 if best.worst[i] == np.inf else -best.worst[i]))
+                        values[row, i] = -sim if sim else np.inf
+                else:
+                    values[row] = np.where(near_enough, -at_most, np.inf)
+            best.add_all(values, pdf["chunk_id"].to_numpy())
         yield best.rows(qids)
 
     texts = corpus.select("chunk_id", (F.col("chunk_text") if exact else similarity.squeezed(F.col("chunk_text"))).alias("t")).filter("t is not null")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..operators import answers, memory
 from ..operators import relational as O
 from . import corpus
@@ -69,9 +70,12 @@ def prev_user_turn(spark, sf_dir):
     return t.select("id", F.md5(memory.retrieval_query(F.col("content"), F.col("previous"))).alias("q"))
 
 
-@query(f"WITH {TURNS_SQL} SELECT user_id, string_agg('- [' || role || '] ' || trim(content), chr(10) ORDER BY id) FILTER (WHERE trim(content) <> '') AS block FROM turns GROUP BY 1")
+@query(f"""WITH {TURNS_SQL}, l AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id DESC) <= 5)
+SELECT user_id, string_agg('- [' || role || '] ' || trim(content), chr(10) ORDER BY id) FILTER (WHERE trim(content) <> '') AS block FROM l GROUP BY 1""")
 def memory_blocks(spark, sf_dir):
-    return memory.memory_block(corpus.turns(spark, sf_dir).withColumn("kind", F.col("role")))
+    """The newest entries of each user, as many as long-term memory gives to a prompt."""
+    entries = corpus.turns(spark, sf_dir).withColumn("kind", F.col("role"))
+    return memory.memory_block(O.last_n(entries, ["user_id"], [F.desc("id")], DEFAULT.memory_top_k))
 
 
 @query(r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s*(?:[-*•]|[0-9]+[.)])\s*', ''), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS f FROM documents) SELECT doc_id, md5(array_to_string(f[1:7], '|')) AS facts FROM l")
@@ -88,21 +92,11 @@ def line_budget(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", b.alias("b")).select("doc_id", F.col("b.shown").alias("shown"), F.col("b.total").alias("total"), F.col("b.truncated").alias("truncated"))
 
 
-@query(f"""WITH {CHUNKS_SQL}, s AS (SELECT chunk_id, file_id, chunk_text, sum(length(chunk_text)) OVER w AS used, coalesce(sum(length(chunk_text)) OVER (PARTITION BY file_id ORDER BY seq, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks WINDOW w AS (PARTITION BY file_id ORDER BY seq, chunk_id ROWS UNBOUNDED PRECEDING))
+@query(f"""WITH {CHUNKS_SQL}, s AS (SELECT chunk_id, file_id, chunk_text, sum(length(chunk_text)) OVER w AS used, coalesce(sum(length(chunk_text)) OVER (PARTITION BY file_id ORDER BY seq, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks WHERE length(chunk_text) > 0 WINDOW w AS (PARTITION BY file_id ORDER BY seq, chunk_id ROWS UNBOUNDED PRECEDING))
 SELECT chunk_id, file_id, CASE WHEN used <= 8000 THEN md5(chunk_text) ELSE md5(substr(chunk_text, 1, CAST(8000 - before AS BIGINT)) || '…') END AS body, used > 8000 AS partial FROM s WHERE used <= 8000 OR (before < 7800 AND before <= 8000)""")
 def read_through(spark, sf_dir):
-    """Chunks of a file in order under a budget of characters; the first that does not fit is cut if over 200 are left.
-
-    Sums over a file are windows; files are bounded by what one upload holds.
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("file_id").orderBy("seq", "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = corpus.chunks(spark, sf_dir).withColumn("used", F.sum(F.length("chunk_text")).over(w)).withColumn("before", F.col("used") - F.length("chunk_text"))
-    partial = F.col("used") > 8000
-    kept = c.filter(~partial | (F.lit(8000) - F.col("before") > 200))
-    body = F.when(partial, F.concat(F.substr("chunk_text", F.lit(1), (F.lit(8000) - F.col("before")).cast("int")), F.lit("…"))).otherwise(F.col("chunk_text"))
-    return kept.select("chunk_id", "file_id", F.md5(body).alias("body"), partial.alias("partial"))
+    """Chunks of a file in order under a budget of characters; the first that does not fit is cut if over 200 are left."""
+    return memory.read_through(corpus.chunks(spark, sf_dir), 8000, 200).select("chunk_id", "file_id", F.md5("body").alias("body"), "partial")
 
 
 @query(f"WITH {RECORDS_SQL} SELECT id, CASE WHEN coalesce(handled_by, '') <> '' THEN handled_by WHEN contains(replace(answer || CASE WHEN id % 3 = 0 THEN ' 설정을 변경 했습니다' ELSE '' END, ' ', ''), '설정을변경') THEN 'operator' ELSE 'unknown' END AS label FROM records")

@@ -16,7 +16,7 @@ FILES_SQL = """files AS (SELECT source AS file_id, 'Title ' || source AS title,
 CHUNKS_SQL = """chunks AS (SELECT d.doc_id AS chunk_id, d.source AS file_id, CAST(floor(d.doc_id / 20) AS BIGINT) AS seq, d.lang AS doc_title, CAST(d.doc_id % 7 + 1 AS BIGINT) AS page_no,
   d.text AS chunk_text, e.embedding, CASE WHEN e.embedding IS NULL THEN NULL WHEN d.doc_id % 5 = 0 THEN 'old-model' ELSE 'bge-m3' END AS embed_model, len(e.embedding) AS embed_dim
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
-QUERIES_SQL = """queries AS (SELECT b.item_id AS qid, split_part(b.text, '.', 1) AS query, e.embedding AS qvec FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id * 7 + 3)"""
+QUERIES_SQL = """queries AS (SELECT b.item_id AS qid, b.text AS query, e.embedding AS qvec FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id * 7 + 3)"""
 TURNS_SQL = """turns AS (SELECT conv_id * 100 + turn AS id, conv_id, CAST(conv_id % 17 AS VARCHAR) AS user_id, turn, role, text AS content FROM conversations)"""
 RECORDS_SQL = """records AS (SELECT q.conv_id * 100 + q.turn AS id, q.text AS question, a.text AS answer, 'batch-' || CAST(q.conv_id % 9 AS VARCHAR) AS batch_id, q.conv_id % 2 = 0 AS resolved,
   CASE q.conv_id % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'operator' WHEN 2 THEN '' END AS handled_by, 'file-' || CAST(q.conv_id % 3 AS VARCHAR) AS source_file
@@ -40,9 +40,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sentence of each benchmark passage is a question."""
+    """Each benchmark passage, whole, is a question."""
     b, e = load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return b.join(e, F.col("vec_id") == F.col("item_id") * 7 + 3, "left").select(F.col("item_id").alias("qid"), F.split_part("text", F.lit("."), F.lit(1)).alias("query"), F.col("embedding").alias("qvec"))
+    return b.join(e, F.col("vec_id") == F.col("item_id") * 7 + 3, "left").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), F.col("embedding").alias("qvec"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,7 +189,7 @@ def search_stage_counts(spark, sf_dir):
 
 
 _ASKED = """asked AS (SELECT item_id AS qid, b.text AS whole, CASE item_id % 5 WHEN 0 THEN 'execute' ELSE 'search' END AS mode,
-  CASE item_id % 3 WHEN 0 THEN ['manual'] WHEN 1 THEN ['voc'] ELSE ['manual', 'voc'] END AS sources, CASE WHEN item_id % 4 = 1 THEN 'zzqx ' || CAST(item_id AS VARCHAR) ELSE split_part(b.text, '.', 1) END AS query FROM benchmark b)"""
+  CASE item_id % 3 WHEN 0 THEN ['manual'] WHEN 1 THEN ['voc'] ELSE ['manual', 'voc'] END AS sources, CASE WHEN item_id % 4 = 1 THEN 'zzqx ' || CAST(item_id AS VARCHAR) ELSE b.text END AS query FROM benchmark b)"""
 
 
 def _found(name: str, asked: str, docs: str) -> str:
@@ -213,7 +213,7 @@ def prefetch_routing(spark, sf_dir):
     """Chosen sources, then the other, then both with the merged query; every fifth question is to be executed."""
     i = F.col("item_id")
     sources = F.when(i % 3 == 0, F.array(F.lit("manual"))).when(i % 3 == 1, F.array(F.lit("voc"))).otherwise(F.array(F.lit("manual"), F.lit("voc")))
-    bare = F.when(i % 4 == 1, F.concat(F.lit("zzqx "), i.cast("string"))).otherwise(F.split_part("text", F.lit("."), F.lit(1)))
+    bare = F.when(i % 4 == 1, F.concat(F.lit("zzqx "), i.cast("string"))).otherwise(F.col("text"))
     asked = load(spark, sf_dir, "benchmark").select(i.alias("qid"), F.when(i % 5 == 0, "execute").otherwise("search").alias("mode"), sources.alias("sources"), bare.alias("query"), F.concat_ws(" ", bare, "text").alias("merged"))
     r = corpus.records(spark, sf_dir).select(F.col("id").alias("chunk_id"), F.concat_ws("\n", "question", "answer").alias("chunk_text"))
     by = lambda c: lambda q: R.keyword_axis(q, c, limit=3).select("qid", F.col("chunk_id").alias("id"), "rn")

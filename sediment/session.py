@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "6g", app: str = "sediment") -> SparkSession:
@@ -18,3 +18,12 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "6g
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores is dealt out to all of them; larger tables stay as they are read.
+
+    A small file is often one row group, which one task would read and work on alone.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
