@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.udfs import clean, pack_paragraphs, sections_of
+from .tables import MAX_BYTES, check_uploads
 
 SECTIONS = "file string, section_no int, section_title string, page_no int, chunk_text string"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -82,6 +84,41 @@ def read_chunks(spark: SparkSession, path: str, glob: str = "*", size: int = 150
     return files.select("path", "content").mapInPandas(run, SECTIONS)
 
 
+def under(root: str, path: str) -> str:
+    """The folder or file ``path`` under ``root``; an error if it lies outside.
+
+    Folders are taken apart by name, so a path can't climb out; on a local
+    file system links are followed first, so none can lead out either.
+    """
+    parts: list[str] = []
+    for p in (path or "").strip("/").split("/"):
+        if p == "..":
+            if not parts:
+                raise ValueError(f"{path} lies outside the root")
+            parts.pop()
+        elif p not in ("", "."):
+            parts.append(p)
+    full = "/".join([root.rstrip("/"), *parts])
+    local = full.removeprefix("file://").removeprefix("file:")
+    if "://" not in local:
+        top, real = os.path.realpath(root.removeprefix("file://").removeprefix("file:")), os.path.realpath(local)
+        if real != top and not real.startswith(top.rstrip(os.sep) + os.sep):
+            raise ValueError(f"{path} lies outside the root")
+    return full
+
+
+def listing(spark: SparkSession, root: str, path: str = "", glob: str = "*") -> DataFrame:
+    """(path, length, modificationTime) of the files under a folder of the root; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(under(root, path))
+    return files.select("path", "length", "modificationTime")
+
+
+def read_under(spark: SparkSession, root: str, path: str, extensions: tuple[str, ...], most: int = MAX_BYTES) -> DataFrame:
+    """binaryFile rows of files under a folder of the root, with the problem that an upload of each would have."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(under(root, path))
+    return check_uploads(files, extensions, most)
+
+
 def stage(uploads: DataFrame, existing: DataFrame, now: Column) -> DataFrame:
     """Staging table after new uploads: expired rows go, the rest stays."""
     return existing.filter(F.col("expires_at") > now).unionByName(uploads)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sediment.config import DEFAULT
-from sediment.functions import pii, similarity, text, udfs
+from sediment.functions import grams, pii, similarity, text, udfs
 from sediment.operators import answers, charts, policy
 from sediment.operators.relational import line_budget
 
@@ -153,7 +158,39 @@ def test_line_budget(spark):
     assert one(spark, text.fence_length, "a ``` b ````") == 5 and one(spark, text.fence_length, "a") == 3
 
 
-def test_word_similarity():
+def brute_similarity(query, t):
+    """Over all stretches of the text's trigrams."""
+    grams = lambda s: [f"  {w} "[i : i + 3] for w in re.findall(r"\w+", s.lower()) for i in range(len(w) + 1)]
+    want, own, best = set(grams(query)), grams(t), 0.0
+    for i in range(len(own) if want else 0):
+        seen, shared = set(), 0
+        for x in own[i:]:
+            shared += x in want and x not in seen
+            seen.add(x)
+            best = max(best, shared / (len(want) + len(seen) - shared))
+    return best
+
+
+def test_word_similarity_is_that_of_the_best_stretch():
+    assert udfs.word_similarity("cat", "a car") == pytest.approx(0.5)
     assert udfs.word_similarity("server location", "x " * 200 + "server location table") > 0.9
-    assert udfs.word_similarity("", "x") == 0.0 and udfs.word_similarity("abc", "zzz") == 0.0
     assert DEFAULT.top_k(9999) == 20 and DEFAULT.top_k(0) == 1 and DEFAULT.candidates(500) == 100
+    assert udfs.word_similarity("", "x") == udfs.word_similarity("x", "") == 0 and udfs.word_similarity("Same words", "has the same WORDS in it") == 1
+    rng, words = random.Random(1), "cat car cart dog doge a the then éa 서버 위치 x1".split()
+    for _ in range(300):
+        q, t = (" ".join(rng.choice(words) for _ in range(rng.randint(0, n))) for n in (5, 50))
+        want = brute_similarity(q, t)
+        assert udfs.word_similarity(q, t) == pytest.approx(want)
+        found = grams.best_extent(np.unique(grams.word_trigrams(q)), grams.Text(t), 0.3)
+        assert found == pytest.approx(want if want >= 0.3 else 0)
+
+
+def test_sections_are_linear_and_complete(spark):
+    cases = {"": [], "a\nb": [(None, "a\nb")], "# T\nx\ny\n## U \n\nz\n# V": [("T", "x\ny"), ("U", "\nz")], "p\r\n# A\r\nq\r\n": [(None, "p"), ("A", "q")]}
+    for t, want in cases.items():
+        got = one(spark, lambda c: text.sections(c), t)
+        assert [(s.title, s.body) for s in got] == want or (t == "" and [(s.title, s.body) for s in got] == [(None, "")]), t
+    long = "\n".join(f"# H{k}\nline {k}" if k % 3 == 0 else f"more {k}" for k in range(40_000))
+    began = time.perf_counter()
+    assert len(one(spark, lambda c: text.sections(c), long)) == 13_334
+    assert time.perf_counter() - began < 30

@@ -250,3 +250,65 @@ def test_registry(spark):
     rec = spark.createDataFrame([(1, "q", "a", "user"), (2, "q", "a", "user")], "id long, question string, answer string, handled_by string")
     out = {r.id: (r.answer, r.handled_by) for r in registry.edit_records(rec, rec.filter("id = 1").withColumn("answer", F.lit("new"))).collect()}
     assert out == {1: ("new", None), 2: ("a", "user")}
+
+
+def test_prefetch_routes_and_falls_back(spark):
+    calls = []
+
+    def search(name, hits):
+        def run(q):
+            asked = q.collect()
+            calls.append((name, sorted((r.qid, r.query) for r in asked)))
+            return spark.createDataFrame([(r.qid, f"{name}:{r.query}") for r in asked if any(w in r.query for w in hits)], "qid long, hit string")
+
+        return run
+
+    questions = spark.createDataFrame(
+        [(1, "abbr", "before abbr", "search", ["manual"]), (2, "nothing", "login nothing", "search", ["manual", "voc"]), (3, "run it", "run it", "execute", ["manual"]), (4, "case", "case", "search", ["manual"]), (5, "empty", "empty", "search", ["voc"])],
+        "qid long, query string, merged string, mode string, sources array<string>",
+    )
+    got = sorted((r.qid, r.source, r.step, r.hit) for r in R.prefetch(questions, search("m", ["abbr", "login"]), search("v", ["case"])).collect())
+    assert got == [(1, "manual", 1, "m:abbr"), (2, "manual", 3, "m:login nothing"), (4, "voc", 2, "v:case")]
+    assert calls == [("m", [(1, "abbr"), (2, "nothing"), (4, "case")]), ("v", [(2, "nothing"), (5, "empty")]), ("m", [(5, "empty")]), ("v", [(4, "case")]), ("m", [(2, "login nothing")]), ("v", [(2, "login nothing")])]
+
+
+def test_record_search_labels_clips_masks_and_never_filters_by_label(spark):
+    long = "disk quota is full " * 200
+    rows = [(1, "disk quota is full", "확인 결과 증설 했습니다", None, [1.0, 0.0]), (2, "disk quota is full?", "ask kim.minsu please", "user", [1.0, 0.1]), (3, long, "an answer of its own", "", [0.9, 0.1]), (4, "disk quota is full", "확인 결과 증설 했습니다", "unknown", [1.0, 0.0])]
+    records = spark.createDataFrame(rows, "id long, question string, answer string, handled_by string, embedding array<double>")
+    queries = spark.createDataFrame([(9, "disk quota is full", [1.0, 0.0])], "qid long, query string, qvec array<double>")
+    got = {r.id: r for r in R.search_records(queries, records).collect()}
+    assert set(got) == {1, 2, 3} and got[1].handled_by == "operator" and got[2].handled_by == "user" and got[3].handled_by == "unknown"
+    assert "kim.minsu" not in got[2].answer and got[3].question.endswith("…(이하 생략)") and len(got[3].question) < 1520
+    for label in ("user", "operator", "unknown", None):
+        relabelled = records.withColumn("handled_by", F.lit(label).cast("string"))
+        assert {r.id for r in R.search_records(queries, relabelled).collect()} == set(got)
+
+
+def test_stage_counts_tell_where_candidates_fell(spark):
+    rows = lambda *q: spark.createDataFrame([(x,) for x in q], "qid long")
+    got = {r.qid: (r.candidates, r.ranked, r.final) for r in R.stage_counts(candidates=rows(1, 1, 2, 3), ranked=rows(1, 2), final=rows(1)).collect()}
+    assert got == {1: (2, 1, 1), 2: (1, 1, 0), 3: (1, 0, 0)}
+
+
+def test_folders_under_a_root(spark, tmp_path):
+    (tmp_path / "root/in").mkdir(parents=True)
+    (tmp_path / "root/in/a.md").write_text("# T\nx")
+    (tmp_path / "root/in/b.xlsx").write_bytes(b"no zip")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "root/link").symlink_to(tmp_path / "other")
+    root = str(tmp_path / "root")
+    assert documents.under(root, "/in/../in/a.md").endswith("root/in/a.md")
+    for bad in ("..", "in/../../other", "link", "link/x"):
+        with pytest.raises(ValueError, match="outside"):
+            documents.under(root, bad)
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in documents.listing(spark, root, "in").collect()) == ["a.md", "b.xlsx"]
+    got = {r.path.rsplit("/", 1)[-1]: r.problem for r in documents.read_under(spark, root, "in", (".md", ".xlsx")).collect()}
+    assert got == {"a.md": None, "b.xlsx": "content"}
+
+
+def test_retention_and_unlimited(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-03 00:00:00"), (3, None)], "k long, t string").withColumn("t", F.to_timestamp_ntz("t"))
+    now = F.lit("2024-01-03 12:00:00").cast("timestamp_ntz")
+    assert {r.k for r in O.retained(rows, "t", now, 24).collect()} == {2, 3} and O.retained(rows, "t", now, 0).count() == 3
+    assert O.first_rows(rows, [F.col("k")], 0).count() == 3 and [r.k for r in O.first_rows(rows, [F.desc("k")], 2).collect()] == [3, 2]
