@@ -30,22 +30,24 @@ def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Colum
     """Cuts a text, as ``bytes_of`` gives it, at places that its content defines, so that equal passages give equal chunks wherever they stand.
 
     Where no such place comes in ``most`` bytes, the cut is made there. A
-    text of ASCII only needs no bytes and a shorter pattern that cuts alike.
+    text of ASCII only needs no bytes and a shorter pattern that cuts alike;
+    in others, eight bytes that may be marked are asked for first.
     """
     cut = lambda t, marked: F.regexp_extract_all(t, F.lit(rf"(?s).{{{least},{most}}}?{marked}{{8}}|.{{1,{most}}}"), F.lit(0))
-    return F.when(F.octet_length(text) == F.length(text), cut(text, _ASCII)).otherwise(cut(bytes_of(text), f"(?:{_ASCII}|{_OTHER})"))
+    return F.when(F.octet_length(text) == F.length(text), cut(text, _ASCII)).otherwise(cut(bytes_of(text), rf"(?=[{_ASCII[1:-1]}\x80-\xff]{{8}})(?:{_ASCII}|{_OTHER})"))
 
 
 def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are compared after each run of white space is made one space. Every
-    text is cut into content-defined chunks; equal chunks are brought together
-    as whole strings once, which verifies that a 64-bit identifier stands for
+    text is cut into content-defined chunks where it is read, and stays there:
+    what is written of a chunk is a 64-bit identifier and its SHA-256. Chunks
+    are made distinct by both, which verifies that an identifier stands for
     one chunk only. A document is then its ordered list of identifiers, and
-    only these lists are grouped and joined; no long text moves again. Where
-    an identifier turns out to stand for several chunks, the documents that
-    hold it carry the SHA-256 of each chunk beside their list.
+    only these lists are grouped and joined; no text moves. Where an
+    identifier turns out to stand for several chunks, the documents that hold
+    it carry the SHA-256 of each chunk beside their list.
 
     A null text counts as empty, and its list of chunks is empty. Of equal
     texts one row stays, one with the smallest id; nulls come after all ids,
@@ -54,17 +56,16 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     Other columns are not read.
     """
     base = docs.select(F.col(id).alias("id"), normalize_space(F.col(text)).alias("text"))
-    cut = base.withColumn("chunks", chunks(F.col("text"), least, most))
-    store = cut.select(F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
-    clashes = materialize(store.groupBy(F.xxhash64("chunk").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "clashes")
-    recipe = F.transform("chunks", lambda c: F.xxhash64(c))
-    rows = cut.select("id", F.sha2(F.col("text"), 256).alias("text_sha256"), recipe.alias("recipe"), F.transform("chunks", lambda c: F.sha2(c, 256)).alias("__proof"))
+    part = F.transform(chunks(F.col("text"), least, most), lambda c: F.struct(F.xxhash64(c).alias("h"), F.unhex(F.sha2(c, 256)).alias("d")))
+    rows = materialize(base.select("id", F.sha2(F.col("text"), 256).alias("text_sha256"), part.alias("parts")), "recipes").select("*", row_place().alias("place"))
+    store = rows.select(F.explode("parts").alias("c")).select("c.*").groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"))
+    clashes = materialize(store.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "clashes")
+    recipe, proof = F.col("parts.h"), F.array_join(F.transform("parts", lambda c: F.hex(c["d"])), "")
     if clashes.isEmpty():
-        rows = rows.select("id", "text_sha256", "recipe", F.lit("").alias("proof"))
+        rows = rows.select("id", "place", "text_sha256", recipe.alias("recipe"), F.lit("").alias("proof"))
     else:
-        held = rows.select(F.col("recipe").alias("held"), F.explode("recipe").alias("h")).join(clashes, "h").select("held").distinct()
-        rows = rows.join(held, F.col("recipe") == F.col("held"), "left").select("id", "text_sha256", "recipe", F.when(F.col("held").isNotNull(), F.array_join("__proof", "")).otherwise("").alias("proof"))
-    rows = materialize(rows, "recipes").select("*", row_place().alias("place"))
+        held = rows.select("place", F.explode(recipe).alias("h")).join(clashes, "h").select(F.col("place").alias("held")).distinct()
+        rows = rows.join(held, F.col("place") == F.col("held"), "left").select("id", "place", "text_sha256", recipe.alias("recipe"), F.when(F.col("held").isNotNull(), proof).otherwise("").alias("proof"))
     first = F.coalesce(F.min_by("place", "id"), F.min("place"))
     groups = materialize(rows.groupBy("recipe", "proof").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), first.alias("first")), "groups")
     return rows.join(groups, ["recipe", "proof"]).select(F.col("id").alias(id), "keep_id", "group_size", (F.col("place") == F.col("first")).alias("kept"), "text_sha256")
