@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import discard, materialize, scratch_path  # noqa: F401
+from ..session import spread
 
 #: The white space of every operator here: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -15,7 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def bound_arrow(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
