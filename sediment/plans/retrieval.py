@@ -208,7 +208,7 @@ l2 AS (SELECT * FROM asked WHERE mode <> 'execute' AND qid NOT IN (SELECT qid FR
 s2 AS (SELECT qid, 'manual' AS source, id, rn FROM m1 JOIN l2 USING (qid) WHERE sources = ['voc'] UNION ALL SELECT qid, 'voc', id, rn FROM v1 JOIN l2 USING (qid) WHERE sources = ['manual']),
 l3 AS (SELECT * FROM l2 WHERE qid NOT IN (SELECT qid FROM s2)),
 s3 AS (SELECT qid, 'manual' AS source, id, rn FROM m3 JOIN l3 USING (qid) UNION ALL SELECT qid, 'voc', id, rn FROM v3 JOIN l3 USING (qid))
-SELECT *, 1 AS step FROM s1 UNION ALL SELECT *, 2 FROM s2 UNION ALL SELECT *, 3 FROM s3""")
+SELECT *, CAST(1 AS BIGINT) AS step FROM s1 UNION ALL SELECT *, CAST(2 AS BIGINT) FROM s2 UNION ALL SELECT *, CAST(3 AS BIGINT) FROM s3""")
 def prefetch_routing(spark, sf_dir):
     """Chosen sources, then the other, then both with the merged query; every fifth question is to be executed."""
     i = F.col("item_id")
