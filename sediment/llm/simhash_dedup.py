@@ -300,7 +300,7 @@ def confirmed(dealt: DataFrame, sets: DataFrame, group: list[str], likeness: flo
         tied = np.flatnonzero(root != np.arange(len(node)))
         return pa.table({"a": node[tied], "b": node[root[tied]]})
 
-    return materialize(dealt.join(sets.select("node", "shingles"), "node").groupBy(*group).applyInArrow(run, "a long, b long"), "confirmed")
+    return materialize(dealt.hint("merge").join(sets.select("node", "shingles"), "node").groupBy(*group).applyInArrow(run, "a long, b long"), "confirmed")
 
 
 def _blocks(n: Column, size: Column) -> Column:
@@ -350,7 +350,8 @@ def alike_classes(rows: DataFrame, text: DataFrame, words: int, max_bits: int, l
     several = members.filter((F.col("n") > 2) & (F.col("node") != F.col("lead")))
     wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(several.select("node")).distinct()
     wanted = materialize(nodes.select("node", "place").join(wanted, "node"), "wanted")
-    sets = materialize(text.join(wanted, "place").select("node", _sets(F.col("text"), words).alias("shingles")), "sets")
+    # merged at every size, so that small tables show what large ones cost
+    sets = materialize(text.join(wanted.hint("merge"), "place").select("node", _sets(F.col("text"), words).alias("shingles")), "sets")
 
     per = materialize(stars.groupBy("b").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("nb")), "blocks")
     rays = stars.join(per, "b").select(F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), F.col("nb")).alias("block"), F.col("a").alias("node"))
@@ -396,4 +397,4 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     else:
         classes, of = fingerprint_components(rows.select("id", "fp"), max_bits).select("fp", "component_id"), "fp"
     stay = rows.join(classes, of).filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", of).agg(F.min("place").alias("__stays"))
-    return printed.join(materialize(stay.select("__stays"), "stay"), F.col("__place") == F.col("__stays"), "left_semi").select(*docs.columns)
+    return printed.join(materialize(stay.select("__stays"), "stay").hint("merge"), F.col("__place") == F.col("__stays"), "left_semi").select(*docs.columns)
