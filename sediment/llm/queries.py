@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_oracle, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash_dedup, source_mix, warc
+from . import best_fit, exact_dedup, fill_middle, filter_audit, language_id, license_oracle, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash_dedup, source_mix, warc
 from .common import table
 
 
@@ -28,10 +28,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, failed.alias("base_failed"), "kept")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    rebuilt = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = best_fit.pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return best_fit.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_secret_scan, op2_line_dedup, op3_source_mix, op4_packing, op5_warc, op6_simhash_dedup, op7_exact_dedup, op8_license_scan, op9_language_id, op10_quality_rules, pipeline)
+    named = (op1_secret_scan, op2_line_dedup, op3_source_mix, op4_packing, op5_warc, op6_simhash_dedup, op7_exact_dedup, op8_license_scan, op9_language_id, op10_quality_rules, op11_fill_middle, op12_best_fit_packing, op13_filter_audit, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -131,5 +146,35 @@ FROM v
 """
 
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^ 	
+]+') AS ws, row_number() OVER () AS rid FROM d),
+least_id AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t),
+g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(g.toxic, 0) AS toxic, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+  regexp_matches(t, '[#$%&*|]'), coalesce(low < w.doc_id, low IS NOT NULL)] AS fails FROM w JOIN least_id USING (t) LEFT JOIN g ON g.doc_id = w.doc_id),
+m AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (SELECT [a.i, b.i, c.i, e.i, h.i] AS o FROM letters a JOIN letters b ON b.i <> a.i JOIN letters c ON c.i NOT IN (a.i, b.i) JOIN letters e ON e.i NOT IN (a.i, b.i, c.i) JOIN letters h ON h.i NOT IN (a.i, b.i, c.i, e.i)),
+s AS (SELECT o, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step FROM orders),
+x AS (SELECT part, filter_order, step, n, good, toxic, fails[o[step]] AS own, len(list_filter(o[1:step - 1], lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda y: y)) = 1 AS single FROM m, s),
+r AS (SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND NOT own), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND own), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (WHERE gone AND own), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (WHERE own AND single), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND own AND good = 1), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND own AND toxic = 1), 0) AS BIGINT) AS toxic_lost FROM x GROUP BY 1, 2, 3)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op5_warc": _OP5, "op7_exact_dedup": _OP7, "op8_license_scan": license_oracle.sql(), "op10_quality_rules": _OP10}
+    return {"op2_line_dedup": _OP2, "op5_warc": _OP5, "op7_exact_dedup": _OP7, "op8_license_scan": license_oracle.sql(), "op10_quality_rules": _OP10, "op11_fill_middle": _OP11, "op13_filter_audit": _OP13}
