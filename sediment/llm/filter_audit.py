@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..scratch import scratch_path
+from ..streaming.state import rocksdb
 from .common import bound_arrow
 
 #: The filters; filter k is bit k of a mask of what a document fails.
@@ -150,14 +151,9 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     def write(df: DataFrame, batch: int) -> None:
         df.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{into}/batch={batch}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with rocksdb(spark):
         stream = changes.writeStream.foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start()
         stream.awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
     written = spark.read.schema(COUNTED).parquet(f"{into}/batch=*") if stream.lastProgress else spark.createDataFrame([], COUNTED)
     return written.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).filter("n <> 0")
 
