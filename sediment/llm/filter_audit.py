@@ -20,8 +20,8 @@ from .common import bound_arrow
 #: The filters; filter k is bit k of a mask of what a document fails.
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
-#: Micro-batches that the files are read in, texts that a task combines before it hands them on, groups for rows that need no state.
-BATCHES, HELD, DEALT = 4, 1 << 15, 1024
+#: Micro-batches that the files are read in, texts that a task combines before it hands them on, rows of the input to a bucket of state.
+BATCHES, HELD, BUCKET = 4, 1 << 15, 64
 
 COUNTED = "part string, mask int, good boolean, toxic boolean, n long"
 
@@ -86,37 +86,44 @@ def combined(rows: DataFrame, held: int = HELD) -> DataFrame:
 
 
 class LeastIds(StatefulProcessor):
-    """State of a text: the smallest id so far, and how many rows with it count without E, by part and labels.
+    """State of a bucket of texts: the smallest id of each so far, and how many rows with it count without E, by part and labels.
 
     When a smaller id arrives, those rows are taken from the counters of
     their mask and added to those of the mask with E.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.least = handle.getValueState("least", "id long, rows string")
+        self.texts = handle.getValueState("texts", "least string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
         out: dict[tuple, int] = defaultdict(int)
-        rows = list(rows)
-        texts = [r for r in rows if r.is_text]
+        least, touched = None, False
         for r in rows:
-            if not r.is_text:
-                out[r.part, r.mask, r.good, r.toxic] += r.n
-        if texts:
-            mask, old = texts[0].mask, self.least.get()
-            low, held = (old[0], {tuple(k): n for *k, n in json.loads(old[1])}) if old else (texts[0].id, {})
-            for r in texts:
-                if _after(low, r.id):
-                    for (part, good, toxic), n in held.items():
-                        out[part, mask, good, toxic] -= n
-                        out[part, mask | COPY, good, toxic] += n
-                    low, held = r.id, {}
-                copy = 0 if r.id == low else COPY
-                out[r.part, mask | copy, r.good, r.toxic] += r.n
-                if not copy:
-                    held[r.part, r.good, r.toxic] = held.get((r.part, r.good, r.toxic), 0) + r.n
-            self.least.update((low, json.dumps([[*k, n] for k, n in held.items()])))
-        for (part, mask, good, toxic), n in out.items():
+            own = (r.part, r.good, r.toxic)
+            if r.key is None:  # a copy, whatever comes
+                out[r.mask, own] += r.n
+                continue
+            if least is None:
+                # text: [smallest id, [part, good, toxic, rows]...]
+                least = json.loads(old[0]) if (old := self.texts.get()) else {}
+            touched, at = True, r.key.hex()
+            if at not in least:
+                least[at] = [r.id]
+            elif _after(least[at][0], r.id):
+                for *held, n in least[at][1:]:
+                    out[r.mask, tuple(held)] -= n
+                    out[r.mask | COPY, tuple(held)] += n
+                least[at] = [r.id]
+            if r.id == least[at][0]:
+                out[r.mask, own] += r.n
+                held = {tuple(k): n for *k, n in least[at][1:]}
+                held[own] = held.get(own, 0) + r.n
+                least[at] = [r.id, *([*k, n] for k, n in held.items())]
+            else:
+                out[r.mask | COPY, own] += r.n
+        if touched:
+            self.texts.update((json.dumps(least, separators=(",", ":")),))
+        for (mask, (part, good, toxic)), n in out.items():
             if n:
                 yield Row(part=part, mask=mask, good=good, toxic=toxic, n=n)
 
@@ -127,7 +134,9 @@ class LeastIds(StatefulProcessor):
 def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(part, mask, good, toxic, n) of all documents in the Parquet files at ``path``, by a stream that ends when all are read.
 
-    The files come in about ``batches`` micro-batches. A micro-batch's changes
+    The files come in about ``batches`` micro-batches. Texts meet in buckets
+    of about ``BUCKET``, as many as the row count asks for, so that state is
+    read and written once a bucket and not once a text. A micro-batch's changes
     of the counters are written under its number, so that one which is done
     again after a failure replaces its own; state and progress are kept in
     the shared folder, as are the changes.
@@ -144,9 +153,11 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
     # rows without an id have no label; they meet none, each under a number of its own
     met = combined(rows).withColumns({"has": F.col("id").isNotNull(), "to": F.coalesce("id", "place")}).join(known.withColumn("has", F.lit(True)).withColumnRenamed("l_id", "to"), ["has", "to"], "left")
-    group = F.coalesce("key", (F.col("place") % DEALT).cast("string").cast("binary"))
-    keyed = met.select(group.alias("group"), F.col("key").isNotNull().alias("is_text"), "mask", "id", "part", "n", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
-    changes = keyed.groupBy("group").transformWithState(LeastIds(), COUNTED, "Append", "None")
+    buckets = max(1, files.count() // BUCKET)
+    # copies need no state and go to any bucket
+    bucket = F.pmod(F.when(F.col("key").isNull(), F.col("place")).otherwise(F.xxhash64("key")), F.lit(buckets))
+    keyed = met.select(bucket.alias("bucket"), "key", "mask", "id", "part", "n", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
+    changes = keyed.groupBy("bucket").transformWithState(LeastIds(), COUNTED, "Append", "None")
 
     def write(df: DataFrame, batch: int) -> None:
         df.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{into}/batch={batch}")
