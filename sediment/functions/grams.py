@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Stands where a text is shorter than three characters; no character has it.
 _NONE = (1 << 21) - 1
+#: Trigrams of a text in a block, blocks of a run in a table, cells of tables that are held at once.
+BLOCK, WIDE, CELLS = 32, 96, 1 << 22
 
 
 def _codes(text: str) -> np.ndarray:
@@ -43,62 +46,181 @@ def _before(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-class Text:
-    """The word trigrams of a text, and for each the last place where it stood before."""
+class Index:
+    """The distinct values (trigrams, terms) of all queries, and which queries have each."""
 
-    def __init__(self, text: str) -> None:
-        self.ids = word_trigrams(text)
-        self.last = _before(self.ids)
+    def __init__(self, of_query: list[np.ndarray]) -> None:
+        self.size = np.array([len(g) for g in of_query], np.int64)
+        self.all, at = np.unique(np.concatenate(of_query) if of_query else np.zeros(0, np.int64), return_inverse=True)
+        owner = np.repeat(np.arange(len(of_query)), self.size)
+        order = np.argsort(at, kind="stable")
+        self.owner, self.start = owner[order], np.searchsorted(at[order], np.arange(len(self.all) + 1))
+
+    def met(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``own``, query) for each query that has the value at that place, places in order."""
+        if not len(self.all) or not len(own):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.all, own), len(self.all) - 1)
+        places = np.flatnonzero(self.all[at] == own)
+        at = at[places]
+        n = self.start[at + 1] - self.start[at]
+        first = np.repeat(self.start[at] - (np.cumsum(n) - n), n)
+        return np.repeat(places, n), self.owner[first + np.arange(n.sum())]
+
+    def shared(self, own: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        """How many values of each query ``own`` (distinct) holds, or the sum of their weights."""
+        places, queries = self.met(own)
+        return np.bincount(queries, None if weight is None else weight[places], len(self.size))
 
 
-def best_extent(want: np.ndarray, text: Text, least: float = 0.0, rows: int = 1 << 18) -> float:
-    """Shared over all trigrams of a query and that stretch of the text where the share is largest; 0 if it stays under ``least``.
+def _in_stretches(k: int, owner: np.ndarray, rows: int, block: np.ndarray, back: np.ndarray, wide: int) -> np.ndarray:
+    """[row, first block, further blocks]: distinct values in the stretch of blocks, for ``rows`` sets of places.
 
-    ``want`` are the query's distinct word trigrams, in order. A stretch that
-    is best begins and ends at trigrams of the query, and has at most as many
-    others as the best share so far allows; all such stretches are compared.
+    block: of each place; back: how many blocks before it its value last stood.
     """
-    n = len(want)
-    if not n or not len(text.ids):
-        return 0.0
-    hit = want[np.minimum(np.searchsorted(want, text.ids), n - 1)] == text.ids
-    places = np.flatnonzero(hit)
-    if not len(places):
-        return 0.0
-    best = 0.0
-    # stretches of a few lengths give a share to start from
-    fresh = np.concatenate(([0], np.cumsum(hit)))
-    for size in (n, max(1, n // 2)):
-        size = min(size, len(text.ids))
-        starts = places[places + size <= len(text.ids)]
-        if len(starts):
-            a = int(starts[(fresh[starts + size] - fresh[starts]).argmax()])
-            own, new = hit[a : a + size], text.last[a : a + size] < a
-            shared = int((own & new).sum())
-            best = max(best, shared / (n + int((~own & new).sum())))
-    floor = max(best, least)
-    # no stretch with fewer trigrams of the query than this reaches the floor
-    need = max(1, int(np.ceil(floor * n - 1e-9)))
-    if len(places) < need:
-        return best if best >= least else 0.0
-    # others in a stretch: shared / (n + others) > floor; repeats lengthen it without counting, so lengths go by places of others that are new
-    width, k = 64, 0
-    starts = places
-    while len(starts) and k < len(text.ids):
-        part = max(1, rows // width)
-        alive = []
-        for x in range(0, len(starts), part):
-            own = starts[x : x + part]
-            at = own[:, None] + np.arange(width)
-            inside = at < len(text.ids)
-            at = np.minimum(at, len(text.ids) - 1)
-            new = inside & (text.last[at] < own[:, None])
-            h = hit[at]
-            shared, others = np.cumsum(new & h, 1), np.cumsum(new & ~h, 1)
-            best = max(best, float((shared / (n + others))[h & inside].max(initial=0.0)))
-            # what comes after could at best share all that is left
-            more = inside[:, -1] & (n / (n + others[:, -1]) > max(best, least))
-            alive.append(own[more])
-        starts, width = np.concatenate(alive), width * 2
-        k = width // 2
-    return best if best >= least else 0.0
+    news = back > 0
+    at = (owner[news] * k + block[news]) * (wide + 1) + np.minimum(back[news], wide + 1) - 1
+    count = np.bincount(at, minlength=rows * k * (wide + 1)).astype(np.int32).reshape(rows, k, wide + 1)
+    # what last stood more than e blocks before is new in a stretch that began e blocks before
+    new = count[:, :, ::-1].cumsum(2, np.int32)[:, :, ::-1]
+    ends = np.arange(k)[:, None] + np.arange(wide + 1)
+    inside = ends < k
+    return np.where(inside, new[:, np.minimum(ends, k - 1), np.arange(wide + 1)], 0).cumsum(2, np.int32)
+
+
+class Extents:
+    """A text's best stretches for many queries: shared over all trigrams of the query and the stretch, where that is largest.
+
+    The word trigrams of the text lie in blocks. A table of the distinct
+    trigrams in each run of blocks, all and those of each query, bounds every
+    stretch that begins in a block from above: what the run holds of the query,
+    over the query and the others in the blocks strictly inside. Blocks are
+    then searched place by place in descending order of their bound, until no
+    bound is above the best share found.
+    """
+
+    def __init__(self, text: str, index: Index) -> None:
+        self.ids, self.index = word_trigrams(text), index
+        self.last = _before(self.ids)
+        self.places, self.owners = index.met(self.ids)
+        first = self.last[self.places] < 0
+        #: Distinct trigrams of each query that the whole text holds.
+        self.held = np.bincount(self.owners[first], minlength=len(index.size))
+
+    def runs(self, queries: np.ndarray, floor: np.ndarray) -> Iterator[tuple]:
+        """(query, its floor, bounds, share of its best run of blocks, places of its trigrams) for each query that a bound lets reach its floor.
+
+        bounds are by first block and further blocks, the last column of all
+        stretches that are longer. The share of a run is a lower bound, since
+        runs of blocks are stretches themselves.
+        """
+        k = -(-len(self.ids) // BLOCK)
+        if not k or not len(queries):
+            return
+        wide = min(k - 1, max(WIDE, int(2.5 * self.index.size[queries].max() / floor.min()) // BLOCK + 4))
+        block = np.arange(len(self.ids)) // BLOCK
+        back = np.where(self.last < 0, wide + 1, block - self.last // BLOCK)
+        total = _in_stretches(k, np.zeros(len(self.ids), np.int64), 1, block, back, wide)[0]
+        step = max(1, CELLS // (k * (wide + 2)))
+        for x in range(0, len(queries), step):
+            own = queries[x : x + step]
+            row = np.full(len(self.index.size), -1)
+            row[own] = np.arange(len(own))
+            mine = row[self.owners] >= 0
+            at, rows = self.places[mine], row[self.owners[mine]]
+            hits = _in_stretches(k, rows, len(own), block[at], back[at], wide)
+            n = np.maximum(self.index.size[own], 1).astype(np.int32)[:, None, None]
+            over = total - hits
+            over += n  # the query and the others
+            whole = (hits / over).max((1, 2))
+            inner = np.broadcast_to(n, over.shape).copy()
+            if wide > 1:
+                inner[:, :-1, 2:] = over[:, 1:, : wide - 1]
+            bound = np.zeros((len(own), k, wide + 2))
+            np.divide(hits, inner, out=bound[:, :, :-1])
+            if wide < k - 1:  # longer stretches hold the others of the run that is one shorter, and all that the text shares at most
+                bound[:, :-1, -1] = np.where(np.arange(1, k) + wide < k, self.held[own][:, None] / over[:, 1:, wide - 1], 0)
+            bound[hits[:, :, 0] == 0] = 0  # the best begin with a trigram of the query
+            places = np.split(at[np.argsort(rows, kind="stable")], np.cumsum(np.bincount(rows, minlength=len(own)))[:-1])
+            for i in np.flatnonzero(bound.max((1, 2)) >= floor[x : x + step] - 1e-9).tolist():
+                yield int(own[i]), float(floor[x + i]), bound[i], float(whole[i]), places[i]
+
+    def best(self, queries: np.ndarray, floor: np.ndarray) -> Iterator[tuple[int, float]]:
+        """(query, largest share) of those of ``queries`` whose share is ``floor`` or more."""
+        for q, least, bound, share, places in self.runs(queries, floor):
+            share = self._searched(places, int(self.index.size[q]), bound, share, least, int(self.held[q]))
+            if share >= least - 1e-9:
+                yield q, share
+
+    def _searched(self, places: np.ndarray, n: int, bound: np.ndarray, share: float, least: float, held: int) -> float:
+        """The largest share, by pairs of first and last block in descending order of ``bound``; what is less than ``share`` or ``least`` is not looked for."""
+        above = np.flatnonzero(bound > max(share + 1e-12, least - 1e-9))
+        if not len(above):
+            return share
+        hit = np.zeros(len(self.ids), bool)
+        hit[places] = True
+        of_block, columns = places // BLOCK, bound.shape[1]
+        at = bound.ravel()[above]
+        for k in np.argsort(-at, kind="stable").tolist():
+            if at[k] <= share + 1e-12:
+                break
+            first, more = divmod(int(above[k]), columns)
+            starts = places[of_block == first]
+            if more == columns - 1:
+                share = self._from(starts, hit, n, share, max(share, least - 1e-9), held)
+            else:
+                share = max(share, self._between(starts, first * BLOCK, more * BLOCK, hit, n))
+        return share
+
+    def _between(self, starts: np.ndarray, a: int, more: int, hit: np.ndarray, n: int) -> float:
+        """The largest share of stretches that begin at ``starts``, in the block from ``a``, and end in the block ``more`` places later."""
+        z = a + more
+        ends = hit[z : z + BLOCK]
+        here = np.flatnonzero(ends)
+        if not len(here):
+            return 0.0
+        new = self.last[z : z + BLOCK] < starts[:, None]
+        if not more:
+            new &= np.arange(z, z + len(ends)) >= starts[:, None]
+        s, o = np.cumsum(new[:, here], 1), np.cumsum(new & ~ends, 1)[:, here]
+        if more:
+            before = (self.last[a : a + BLOCK] < starts[:, None]) & (np.arange(a, a + BLOCK) >= starts[:, None])
+            own = hit[a : a + BLOCK]
+            shared, others = (before & own).sum(1), (before & ~own).sum(1)
+            if more > BLOCK:
+                # between the two, what last stood before the start is new; what stood since the first block's end is not
+                last = self.last[a + BLOCK : z]
+                fresh = last < a + BLOCK
+                since = (np.maximum(last[fresh], a - 1) - (a - 1)) * 2 + hit[a + BLOCK : z][fresh]
+                upto = np.bincount(since, minlength=2 * (BLOCK + 1)).reshape(-1, 2).cumsum(0)[starts - a]
+                shared, others = shared + upto[:, 1], others + upto[:, 0]
+            s, o = s + shared[:, None], o + others[:, None]
+        return float((s / (n + o)).max())
+
+    def _from(self, starts: np.ndarray, hit: np.ndarray, n: int, best: float, floor: float, held: int, width: int = 192) -> float:
+        """The largest share of stretches that begin at ``starts``; pieces of them are added while one can still reach ``floor``."""
+        shared, others = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
+        at = int(starts[0])
+        while len(starts) and at < len(self.ids):
+            to = min(at + width, len(self.ids))
+            new = self.last[at:to] < starts[:, None]
+            if starts[-1] > at:
+                new &= np.arange(at, to) >= starts[:, None]
+            ends = hit[at:to]
+            here = np.flatnonzero(ends)
+            s = np.cumsum(new[:, here], 1, np.int16) + shared[:, None]
+            o = np.cumsum(new & ~ends, 1, np.int16) + others[:, None]
+            if len(here):
+                best = max(best, float((s / (n + o[:, here])).max()))
+                shared = s[:, -1]
+            others, at = o[:, -1], to
+            # what comes after could at best share all that the text holds
+            more = held / (n + others) > max(best, floor)
+            starts, shared, others = starts[more], shared[more], others[more]
+        return best
+
+
+def best_extent(want: np.ndarray, text: str, least: float = 0.0) -> float:
+    """The largest share of one query's distinct word trigrams in a text; 0 if it is under ``least``."""
+    found = list(Extents(text, Index([want])).best(np.zeros(1, np.int64), np.array([max(least, 1e-9)]))) if len(want) else []
+    return found[0][1] if found else 0.0

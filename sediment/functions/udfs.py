@@ -62,7 +62,7 @@ def unescape(t: pd.Series) -> pd.Series:
 
 def word_similarity(query: str, text: str) -> float:
     """Shared trigrams over all trigrams of the query and the best stretch of the text; those of each word with two blanks before and one after."""
-    return grams.best_extent(np.unique(grams.word_trigrams(query)), grams.Text(text))
+    return grams.best_extent(np.unique(grams.word_trigrams(query)), text)
 
 
 @F.pandas_udf(T.DoubleType())

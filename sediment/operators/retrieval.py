@@ -24,8 +24,12 @@ from . import answers
 
 #: Words of a lower-case text, as ``text.lexemes`` finds them.
 LEXEME = re.compile("[0-9a-z가-힣_]+")
-#: A term met outweighs any number of words met.
-_HITS = float(1 << 40)
+#: Chunks whose runs of blocks tell what the best stretches have to reach.
+FIRST = 4096
+#: What a task sends of a query's best rows.
+KEPT = "qid long, chunk_id long, value double, extra long"
+#: Fixed values of the published rank: weight of a word without a label, the limit of the sum of 1/j^2, positions that a word keeps, and the last position there is.
+WORD_WEIGHT, SQUARES, POSITIONS, LAST_POSITION = 0.1, 1.64493406685, 256, 16383
 
 
 def bounded(queries: DataFrame, options: Options = DEFAULT) -> DataFrame:
@@ -48,31 +52,32 @@ def parts(batches: Iterator[pd.DataFrame], rows: int = 128) -> Iterator[pd.DataF
             yield pdf.iloc[k : k + rows]
 
 
-class _Best:
-    """The best ``limit`` rows of each query so far: by ``value`` upwards, ids break ties."""
+class Best:
+    """The best ``limit`` rows of each query so far: by ``value`` upwards, ids break ties; ``extra`` goes along."""
 
     def __init__(self, queries: int, limit: int) -> None:
         self.limit = limit
-        self.value, self.id = [np.zeros(0)] * queries, [np.zeros(0, np.int64)] * queries
+        self.value, self.id, self.extra = [np.zeros(0)] * queries, [np.zeros(0, np.int64)] * queries, [np.zeros(0, np.int64)] * queries
         self.worst = np.full(queries, np.inf)
 
-    def add(self, q: int, value: np.ndarray, ids: np.ndarray) -> None:
-        v, i = np.concatenate((self.value[q], value)), np.concatenate((self.id[q], ids))
+    def add(self, q: int, value: np.ndarray, ids: np.ndarray, extra: np.ndarray) -> None:
+        v, i, x = np.concatenate((self.value[q], value)), np.concatenate((self.id[q], ids)), np.concatenate((self.extra[q], extra))
         top = np.lexsort((i, v))[: self.limit]
-        self.value[q], self.id[q] = v[top], i[top]
+        self.value[q], self.id[q], self.extra[q] = v[top], i[top], x[top]
         if len(top) == self.limit:
             self.worst[q] = v[top[-1]]
 
-    def add_all(self, values: np.ndarray, ids: np.ndarray) -> None:
+    def add_all(self, values: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
         """Rows of ``values`` are ids, columns queries; values that are infinite are none."""
         fits = (values <= self.worst) & (values < np.inf)
         for q in np.flatnonzero(fits.any(0)).tolist():
             own = fits[:, q]
-            self.add(q, values[own, q], ids[own])
+            self.add(q, values[own, q], ids[own], extra[own, q] if extra is not None else np.zeros(own.sum(), np.int64))
 
     def rows(self, qids: np.ndarray) -> pd.DataFrame:
         n = [len(v) for v in self.value]
-        return pd.DataFrame({"qid": np.repeat(qids, n).astype(np.int64), "chunk_id": np.concatenate([np.zeros(0, np.int64), *self.id]), "value": np.concatenate([np.zeros(0), *self.value])})
+        flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        return pd.DataFrame({"qid": np.repeat(qids, n).astype(np.int64), "chunk_id": flat(self.id, np.int64), "value": flat(self.value, np.float64), "extra": flat(self.extra, np.int64)})
 
 
 def vector_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, block: int = 2048) -> DataFrame:
@@ -94,7 +99,7 @@ def vector_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAUL
     share = corpus.sparkSession.sparkContext.broadcast(by_dim)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = {d: _Best(len(qids), limit) for d, (qids, _) in share.value.items()}
+        best = {d: Best(len(qids), limit) for d, (qids, _) in share.value.items()}
         for pdf in batches:
             for d, own in pdf.groupby(pdf["embedding"].map(len)):
                 qids, q = share.value.get(d, (np.zeros(0, np.int64), None))
@@ -105,38 +110,18 @@ def vector_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAUL
                     ids, m = part["chunk_id"].to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
                     dist = np.round(1 - q @ m.T, 6) + 0.0
                     best[d].add_all(dist.T, ids)
-        yield pd.concat([best[d].rows(qids) for d, (qids, _) in share.value.items()] or [_Best(0, 1).rows(np.zeros(0))])
+        yield pd.concat([best[d].rows(qids) for d, (qids, _) in share.value.items()] or [Best(0, 1).rows(np.zeros(0))])
 
-    found = corpus.filter("embedding is not null").select("chunk_id", "embedding").mapInPandas(near, "qid long, chunk_id long, value double").withColumnRenamed("value", "dist")
+    found = corpus.filter("embedding is not null").select("chunk_id", "embedding").mapInPandas(near, KEPT).drop("extra").withColumnRenamed("value", "dist")
     return rank(found, F.col("dist"), F.col("chunk_id"), limit=limit)
 
 
-class _Grams:
-    """The distinct values (trigrams, terms) of all queries, and which queries have each."""
-
-    def __init__(self, of_query: list[np.ndarray]) -> None:
-        self.size = np.array([len(g) for g in of_query], np.int64)
-        self.all, at = np.unique(np.concatenate(of_query) if of_query else np.zeros(0, np.int64), return_inverse=True)
-        owner = np.repeat(np.arange(len(of_query)), self.size)
-        order = np.argsort(at, kind="stable")
-        self.owner, self.start = owner[order], np.searchsorted(at[order], np.arange(len(self.all) + 1))
-
-    def shared(self, own: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-        """How many values of each query ``own`` (distinct) holds, or the sum of their weights."""
-        at = np.searchsorted(self.all, own)
-        have = self.all[np.minimum(at, len(self.all) - 1)] == own if len(self.all) else np.zeros(len(own), bool)
-        at = at[have]
-        n = self.start[at + 1] - self.start[at]
-        first = np.repeat(self.start[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        return np.bincount(self.owner[first + np.arange(n.sum())], None if weight is None else np.repeat(weight[have], n), len(self.size))
-
-
 class _Terms:
     """The distinct prefix terms of all queries: their numbers by length and text."""
 
     def __init__(self, of_query: list[list[str]]) -> None:
         number: dict[str, int] = {}
-        self.index = _Grams([np.array([number.setdefault(t, len(number)) for t in terms], np.int64) for terms in of_query])
+        self.index = grams.Index([np.array([number.setdefault(t, len(number)) for t in terms], np.int64) for terms in of_query])
         self.number = number
         self.lengths: dict[str, list[int]] = {}
         for t in number:
@@ -148,86 +133,153 @@ class _Terms:
         return [self.number[word[:n]] for n in self.lengths.get(word[:2], ()) if n <= len(word) and word[:n] in self.number]
 
 
+def occurrence_weights() -> np.ndarray:
+    """The weight of a word by its number of positions, from 0 to POSITIONS: the j-th adds 1/j^2 of a word's weight, all over the limit of that sum."""
+    j = np.arange(1, POSITIONS + 1, dtype=np.float64)
+    return np.concatenate(([0.0], np.cumsum(WORD_WEIGHT / (j * j)) / SQUARES))
+
+
+def positions(words: list[str]) -> Counter:
+    """Positions of each word; those after the last position there is share that one."""
+    n = Counter(words[: LAST_POSITION - 1])
+    n.update(set(words[LAST_POSITION - 1 :]))
+    return n
+
+
 def keyword_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, limit: int | None = None) -> DataFrame:
-    """(qid, chunk_id, terms, hits, rn): chunks with a word that starts with one of the query's terms.
+    """(qid, chunk_id, score, terms, rn): chunks with a word that starts with one of the query's terms.
+
+    The score is the published rank of a query of alternatives: each word of
+    the chunk that a term meets adds a weight that grows with its positions,
+    and the sum is divided by the number of terms; rounded to 8 places, ids
+    break ties. terms counts the terms that were met.
 
-    Rank by distinct terms met, then words met, then id. An inverted list of
-    the queries' terms goes to each task; a task counts the words of a chunk,
-    adds them up for every query at once and keeps the best ``limit`` rows of
-    each, so that no row a word or a pair ever moves.
+    An inverted list of the queries' terms goes to each task; a task counts
+    the words of a chunk, adds them up for every query at once and keeps the
+    best ``limit`` rows of each, so that no row a word or a pair ever moves.
+    ``postings`` is the way for a corpus that is searched often.
     """
     limit = limit or options.axis_limit
-    rows = bounded(queries, options).select("qid", F.array_distinct(F.transform(text.prefixes(F.col("query")), lambda x: F.lower(x))).alias("terms")).collect()
+    rows = _with_terms(queries, options).collect()
     qids = np.array([r.qid for r in rows], np.int64)
     share = corpus.sparkSession.sparkContext.broadcast(_Terms([r.terms or [] for r in rows]))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, best, seen = share.value, _Best(len(qids), limit), {}
+        terms, best, seen, weights = share.value, Best(len(qids), limit), {}, occurrence_weights().tolist()
+        size = np.maximum(terms.index.size, 1)
         for pdf in parts(batches):
-            values = np.full((len(pdf), len(qids)), np.inf)
+            values, met = np.full((len(pdf), len(qids)), np.inf), np.zeros((len(pdf), len(qids)), np.int64)
             for row, t in enumerate(pdf["t"]):
-                tf: dict[int, int] = {}
-                for word, n in Counter(LEXEME.findall(t)).items():
+                sums: dict[int, float] = {}
+                for word, n in positions(LEXEME.findall(t)).items():
                     if (own := seen.get(word)) is None:
                         if len(seen) >= 1 << 20:
                             seen.clear()
                         own = seen[word] = terms.met(word)
                     for k in own:
-                        tf[k] = tf.get(k, 0) + n
-                if tf:
-                    at = np.array(sorted(tf), np.int64)
-                    met, hits = terms.index.shared(at), terms.index.shared(at, np.array([tf[k] for k in at.tolist()], np.float64))
-                    values[row] = np.where(met > 0, -(met * _HITS + hits), np.inf)
-            best.add_all(values, pdf["chunk_id"].to_numpy())
+                        sums[k] = sums.get(k, 0.0) + weights[min(n, POSITIONS)]
+                if sums:
+                    at = np.array(sorted(sums), np.int64)
+                    met[row] = terms.index.shared(at)
+                    score = np.round(terms.index.shared(at, np.array([sums[k] for k in at.tolist()])) / size, 8)
+                    values[row] = np.where(met[row] > 0, -score, np.inf)
+            best.add_all(values, pdf["chunk_id"].to_numpy(), met)
         yield best.rows(qids)
 
     texts = corpus.filter("chunk_text is not null").select("chunk_id", F.lower("chunk_text").alias("t"))
-    found = texts.mapInPandas(near, "qid long, chunk_id long, value double").withColumn("value", -F.col("value"))
-    terms = F.floor(F.col("value") / _HITS)
-    scored = found.select("qid", "chunk_id", terms.cast("long").alias("terms"), (F.col("value") - terms * F.lit(_HITS)).cast("long").alias("hits"))
-    return rank(scored, F.desc("terms"), F.desc("hits"), F.col("chunk_id"), limit=limit)
+    scored = texts.mapInPandas(near, KEPT).select("qid", "chunk_id", (-F.col("value")).alias("score"), F.col("extra").alias("terms"))
+    return rank(scored, F.desc("score"), F.col("chunk_id"), limit=limit)
+
 
+def _with_terms(queries: DataFrame, options: Options) -> DataFrame:
+    """(qid, terms) of the checked query set, terms in lower case without repeats."""
+    return bounded(queries, options).select("qid", F.array_distinct(F.transform(text.prefixes(F.col("query")), lambda x: F.lower(x))).alias("terms"))
 
-def trigram_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, exact: bool = False) -> DataFrame:
-    """(qid, chunk_id, sim, rn): chunks that hold enough of the query's trigrams, rounded to 6 places; ids break ties.
 
-    The similarity is the share of the query's trigrams that a chunk holds.
-    With ``exact`` it is that of the best stretch of words (shared over all
-    trigrams of the query and the stretch, of words padded with blanks); the
-    share is an upper bound of it, so stretches are searched only where the
-    share could still reach a query's best.
+#: Characters of a word that name the partition of its postings; no term is shorter.
+HEAD = 2
+
+
+def postings(corpus: DataFrame, path: str) -> DataFrame:
+    """The positional index of a corpus, written to ``path`` by head of the word: (word, chunk_id, positions, weight, head).
+
+    positions are those of the word in its chunk, at most POSITIONS of them.
+    Rows are spread by head and split where a head has too many, so that a
+    frequent word is not one task's. A null text has no rows; an index that
+    is there already is replaced.
+    """
+    words = corpus.filter("chunk_text is not null").select("chunk_id", F.posexplode(text.lexemes(F.col("chunk_text"))).alias("i", "word"))
+    at = words.filter(F.length("word") >= HEAD).select("chunk_id", "word", F.least(F.col("i") + 1, F.lit(LAST_POSITION)).alias("at"))
+    per = at.groupBy("word", "chunk_id").agg(F.slice(F.array_sort(F.collect_set("at")), 1, POSITIONS).alias("positions"))
+    weights = F.lit(occurrence_weights().tolist())
+    rows = per.select("word", "chunk_id", "positions", F.element_at(weights, F.size("positions") + 1).alias("weight"), F.substring("word", 1, HEAD).alias("head"))
+    rows.hint("rebalance", "head").write.mode("overwrite").partitionBy("head").parquet(path)
+    return corpus.sparkSession.read.schema("word string, chunk_id long, positions array<int>, weight double, head string").parquet(path)
+
+
+def keyword_postings(queries: DataFrame, index: DataFrame, options: Options = DEFAULT, limit: int | None = None) -> DataFrame:
+    """The rows of ``keyword_axis`` from ``postings``: only the partitions of the terms' heads are read, and of them no positions."""
+    terms = _with_terms(queries, options).withColumn("n", F.size("terms")).select("qid", "n", F.explode("terms").alias("term")).withColumn("head", F.substring("term", 1, HEAD))
+    # the query set was checked, so its terms are few enough to ship
+    met = index.select("word", "chunk_id", "weight", "head").join(F.broadcast(terms), "head").filter(F.startswith("word", F.col("term")))
+    per = met.groupBy("qid", "chunk_id").agg((F.sum("weight") / F.any_value("n")).alias("s"), F.count_distinct("term").alias("terms"))
+    return rank(per.select("qid", "chunk_id", F.round("s", 8).alias("score"), "terms"), F.desc("score"), F.col("chunk_id"), limit=limit or options.axis_limit)
+
+
+def trigram_axis(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, exact: bool = True) -> DataFrame:
+    """(qid, chunk_id, sim, rn): chunks with a stretch of words that is like the query, similarity rounded to 6 places; ids break ties.
+
+    The similarity is that of the best stretch: trigrams shared over all
+    trigrams of the query and the stretch, of words padded with blanks.
+    Without ``exact`` it is the share of the query's trigrams that a chunk
+    holds anywhere, an upper bound that costs one count.
 
     An inverted list of the queries' trigrams goes to each task. A task
-    counts what a chunk shares with every query at once and keeps the best
-    ``axis_limit`` of each query, so that no row a shared trigram, and none a
-    pair, ever moves.
+    counts what a chunk shares with every query at once, in blocks, and
+    searches stretches only where the bound of its blocks reaches the
+    ``axis_limit``-th best so far; it keeps that many rows a query, so that no
+    row a shared trigram, and none a pair, ever moves. The similarities of
+    runs of blocks of the first ``FIRST`` chunks tell each task from the start
+    what its rows have to reach; they leave no chunk out that could be among
+    the best.
     """
     limit, least = options.axis_limit, options.trigram_min_similarity
     rows = bounded(queries, options).select("qid", "query", similarity.squeezed(F.col("query")).alias("s")).filter("s is not null").collect()
     qids = np.array([r.qid for r in rows], np.int64)
-    of_query = [np.unique(grams.word_trigrams(r.query)) if exact else grams.trigrams(r.s) for r in rows]
-    share = corpus.sparkSession.sparkContext.broadcast((_Grams(of_query), of_query))
+    index = grams.Index([np.unique(grams.word_trigrams(r.query)) if exact else grams.trigrams(r.s) for r in rows])
+    texts = corpus.select("chunk_id", (F.col("chunk_text") if exact else similarity.squeezed(F.col("chunk_text"))).alias("t")).filter("t is not null")
+    floor = np.full(len(qids), least - 1e-6)
+    share = corpus.sparkSession.sparkContext.broadcast((index, floor))
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, want = share.value
-        best, n = _Best(len(qids), limit), np.maximum(index.size, 1)
+    def near(batches: Iterator[pd.DataFrame], runs: bool = False) -> Iterator[pd.DataFrame]:
+        index, floor = share.value
+        best, n = Best(len(qids), limit), np.maximum(index.size, 1)
         for pdf in parts(batches):
             values = np.full((len(pdf), len(qids)), np.inf)
             for row, t in enumerate(pdf["t"]):
-                own = grams.Text(t) if exact else None
-                at_most = index.shared(np.unique(own.ids) if exact else grams.trigrams(t)) / n
-                near_enough = at_most >= least - 1e-6
-                if exact:
-                    for i in np.flatnonzero(near_enough & (-at_most <= best.worst)).tolist():
-                        sim = grams.best_extent(want[i], own, max(least - 1e-6, 0.0 if best.worst[i] == np.inf else -best.worst[i]))
-                        values[row, i] = -sim if sim else np.inf
-                else:
-                    values[row] = np.where(near_enough, -at_most, np.inf)
+                if not exact:
+                    at_most = index.shared(grams.trigrams(t)) / n
+                    values[row] = np.where(at_most >= floor, -at_most, np.inf)
+                    continue
+                own = grams.Extents(t, index)
+                reach = np.maximum(floor, np.where(np.isinf(best.worst), 0, -best.worst - 1e-6))
+                asked = np.flatnonzero(own.held / n >= reach)
+                found = ((q, whole) for q, _, _, whole, _ in own.runs(asked, reach[asked])) if runs else own.best(asked, reach[asked])
+                for q, sim in found:
+                    values[row, q] = -sim if runs else -np.round(sim, 6)
+                if row % 16 == 15:
+                    best.add_all(values[row - 15 : row + 1], pdf["chunk_id"].to_numpy()[row - 15 : row + 1])
+                    values[row - 15 : row + 1] = np.inf
             best.add_all(values, pdf["chunk_id"].to_numpy())
         yield best.rows(qids)
 
-    texts = corpus.select("chunk_id", (F.col("chunk_text") if exact else similarity.squeezed(F.col("chunk_text"))).alias("t")).filter("t is not null")
-    found = texts.mapInPandas(near, "qid long, chunk_id long, value double").select("qid", "chunk_id", F.round(-F.col("value"), 6).alias("sim"))
+    if exact:
+        first = texts.limit(FIRST).repartition(corpus.sparkSession.sparkContext.defaultParallelism).mapInPandas(lambda b: near(b, True), KEPT)
+        worst = rank(first, F.col("value"), F.col("chunk_id"), limit=limit).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("v")).filter(F.col("n") == limit).collect()
+        at = {r.qid: -r.v for r in worst}
+        floor = np.maximum(floor, [at.get(q, 0.0) - 1e-6 for q in qids.tolist()])
+        share = corpus.sparkSession.sparkContext.broadcast((index, floor))
+    found = texts.mapInPandas(near, KEPT).select("qid", "chunk_id", F.round(-F.col("value"), 6).alias("sim"))
     return rank(found.filter(F.col("sim") >= least), F.desc("sim"), F.col("chunk_id"), limit=limit)
 
 
@@ -244,7 +296,7 @@ def fuse(axes: dict[str, DataFrame], options: Options = DEFAULT) -> DataFrame:
     return rows.groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 10).alias("score"), *parts)
 
 
-def search_candidates(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, k: int = 5, trigram: bool = True, exact: bool = False) -> DataFrame:
+def search_candidates(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, k: int = 5, trigram: bool = True, exact: bool = True) -> DataFrame:
     """Fused candidates with rn. A query without a vector takes the keyword axis alone, in its own order.
 
     The corpus is searched for words once, for all queries together.
@@ -310,14 +362,14 @@ def stage_counts(**stages: DataFrame) -> DataFrame:
     return rows.groupBy("qid").agg(*[F.count_if(F.col("stage") == n).alias(n) for n in stages])
 
 
-def diagnostics(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, k: int = 10, exact: bool = False) -> DataFrame:
+def diagnostics(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, k: int = 10, exact: bool = True) -> DataFrame:
     """The search of a batch for an operator's eyes: fused candidates with the part of each axis and the first 300 characters, no neighbours."""
     axes = {"v": vector_axis(queries.filter("qvec is not null"), corpus, options), "k": keyword_axis(queries, corpus, options), "t": trigram_axis(queries.filter("qvec is not null"), corpus, options, exact)}
     top = rank(fuse(axes, options), F.desc("score"), F.col("chunk_id"), limit=options.top_k(k))
     return top.join(corpus.select("chunk_id", F.substring(F.coalesce("chunk_text", F.lit("")), 1, 300).alias("chunk_text")), "chunk_id")
 
 
-def search_records(queries: DataFrame, records: DataFrame, options: Options = DEFAULT, k: int = 5, mask=pii.mask_pii, exact: bool = False) -> DataFrame:
+def search_records(queries: DataFrame, records: DataFrame, options: Options = DEFAULT, k: int = 5, mask=pii.mask_pii, exact: bool = True) -> DataFrame:
     """Past cases for each query: (qid, id, place, question, answer, handled_by, rerank_score).
 
     records: id, question, answer, handled_by, embedding. Candidates are

@@ -45,6 +45,12 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(e, F.col("vec_id") == F.col("item_id") * 7 + 3, "left").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), F.col("embedding").alias("qvec"))
 
 
+def dimension(spark: SparkSession, sf_dir: str) -> int:
+    """The commonest dimension of the vectors."""
+    first = load(spark, sf_dir, "embeddings").filter("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return first["d"] if first else 0
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "conv_id", (F.col("conv_id") % 17).cast("string").alias("user_id"), "turn", "role", F.col("text").alias("content"))
 

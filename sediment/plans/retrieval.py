@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import pii, similarity, text
 from ..operators import retrieval as R
-from ..scratch import materialize
+from ..operators import vector_index
+from ..scratch import materialize, scratch_path
 from . import corpus
 from .corpus import CHUNKS_SQL, FILES_SQL, QUERIES_SQL
 from .registry import load, query
@@ -20,9 +21,13 @@ _VEC = """vec AS (SELECT qid, chunk_id, dist, row_number() OVER (PARTITION BY qi
 #: The benchmark's texts have no Hangul, so no ending is stripped and SQL may leave that step out.
 _TERMS = """qtok AS (SELECT qid, lower(regexp_replace(unnest(regexp_extract_all(query, '[0-9A-Za-z가-힣_.-]+')), '[^0-9A-Za-z가-힣_]', '', 'g')) AS term FROM queries),
 terms AS (SELECT DISTINCT qid, term FROM qtok WHERE length(term) >= 2),
-words AS (SELECT chunk_id, word, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(chunk_text), '[0-9a-z가-힣_]+')) AS word FROM pub) GROUP BY 1, 2)"""
-_KW = """kw AS (SELECT qid, chunk_id, terms, hits, row_number() OVER (PARTITION BY qid ORDER BY terms DESC, hits DESC, chunk_id) AS rn FROM (
-  SELECT t.qid, w.chunk_id, count(DISTINCT t.term) AS terms, CAST(sum(w.tf) AS BIGINT) AS hits FROM terms t JOIN words w ON starts_with(w.word, t.term) GROUP BY 1, 2) QUALIFY rn <= {limit})"""
+{words}"""
+#: Positions of each word, 16383 being the last there is, and the weight they give it.
+_WORDS = """{name} AS (SELECT {id}, word, (SELECT list_sum(list_transform(range(1, tf + 1), lambda j: 0.1::DOUBLE / (j * j)))) / 1.64493406685::DOUBLE AS weight FROM (
+  SELECT {id}, word, least(count(DISTINCT least(pos, 16383)), 256) AS tf FROM (SELECT {id}, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT {id}, regexp_extract_all(lower({text}), '[0-9a-z가-힣_]+') AS ws FROM {rows})) GROUP BY 1, 2))"""
+_TERMS = _TERMS.format(words=_WORDS.format(name="words", id="chunk_id", text="chunk_text", rows="pub"))
+_KW = """kw AS (SELECT qid, chunk_id, score, terms, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rn FROM (
+  SELECT t.qid, w.chunk_id, round(sum(w.weight) / any_value(t.n), 8) AS score, count(DISTINCT t.term) AS terms FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM terms) t JOIN words w ON starts_with(w.word, t.term) GROUP BY 1, 2) QUALIFY rn <= {limit})"""
 
 
 def _squeezed(x: str) -> str:
@@ -51,11 +56,25 @@ def vector_topk(spark, sf_dir):
     return R.vector_axis(corpus.queries(spark, sf_dir), published(spark, sf_dir))
 
 
+@query(f"WITH {FILES_SQL}, {CHUNKS_SQL}, {QUERIES_SQL}, {_PUBLISHED}, {_VEC} SELECT qid, chunk_id, dist, rn FROM vec")
+def vector_index_topk(spark, sf_dir):
+    """The vector axis from an inverted file; cells that can't hold a nearer row are not read."""
+    c, q = published(spark, sf_dir), corpus.queries(spark, sf_dir)
+    return vector_index.search(q, vector_index.build(c, scratch_path(spark, "cells"), corpus.dimension(spark, sf_dir)))
+
+
 @query(f"WITH {FILES_SQL}, {CHUNKS_SQL}, {QUERIES_SQL}, {_PUBLISHED}, {_TERMS}, {_KW.format(limit=50)} SELECT * FROM kw")
 def keyword_prefix_topk(spark, sf_dir):
     return R.keyword_axis(corpus.queries(spark, sf_dir), published(spark, sf_dir))
 
 
+@query(f"WITH {FILES_SQL}, {CHUNKS_SQL}, {QUERIES_SQL}, {_PUBLISHED}, {_TERMS}, {_KW.format(limit=50)} SELECT * FROM kw")
+def keyword_postings_topk(spark, sf_dir):
+    """The keyword axis from a positional index, of which only the partitions of the terms are read."""
+    index = R.postings(published(spark, sf_dir), scratch_path(spark, "postings"))
+    return R.keyword_postings(corpus.queries(spark, sf_dir), index)
+
+
 @query(f"WITH {FILES_SQL}, {CHUNKS_SQL}, {QUERIES_SQL}, {_PUBLISHED}, {_TERMS}, {_KW.format(limit=25)} SELECT qid, chunk_id, rn, 'keyword' AS mode FROM kw")
 def keyword_only_fallback(spark, sf_dir):
     no_vector = corpus.queries(spark, sf_dir).withColumn("qvec", F.lit(None).cast("array<float>"))
@@ -65,7 +84,7 @@ def keyword_only_fallback(spark, sf_dir):
 @query(f"WITH {FILES_SQL}, {CHUNKS_SQL}, {QUERIES_SQL}, {_PUBLISHED}, {_TRI} SELECT qid, chunk_id, sim, rn FROM tri")
 def trigram_containment_topk(spark, sf_dir):
     q = corpus.queries(spark, sf_dir).filter("qvec is not null")
-    return R.trigram_axis(q, published(spark, sf_dir))
+    return R.trigram_axis(q, published(spark, sf_dir), exact=False)
 
 
 _FUSED2 = """fused AS (SELECT coalesce(v.qid, k.qid) AS qid, coalesce(v.chunk_id, k.chunk_id) AS chunk_id,
@@ -85,10 +104,18 @@ def rrf_two_axis(spark, sf_dir):
 @query(f"WITH {FILES_SQL}, {CHUNKS_SQL}, {QUERIES_SQL}, {_PUBLISHED}, {_VEC}, {_TERMS}, {_KW.format(limit=50)}, {_TRI}, {_FUSED3} SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rn FROM fused QUALIFY rn <= 10")
 def rrf_three_axis_containment(spark, sf_dir):
     q, c = corpus.queries(spark, sf_dir), published(spark, sf_dir)
-    axes = {"v": R.vector_axis(q, c), "k": R.keyword_axis(q, c), "t": R.trigram_axis(q.filter("qvec is not null"), c)}
+    axes = {"v": R.vector_axis(q, c), "k": R.keyword_axis(q, c), "t": R.trigram_axis(q.filter("qvec is not null"), c, exact=False)}
     return R.rank(R.fuse(axes).select("qid", "chunk_id", "score"), F.desc("score"), F.col("chunk_id"), limit=10)
 
 
+@query()
+def rrf_three_axis(spark, sf_dir):
+    """The fused search of the three axes, the third by best stretches."""
+    q, c = corpus.queries(spark, sf_dir), published(spark, sf_dir)
+    axes = {"v": R.vector_axis(q, c), "k": R.keyword_axis(q, c), "t": R.trigram_axis(q.filter("qvec is not null"), c)}
+    return R.rank(R.fuse(axes), F.desc("score"), F.col("chunk_id"), limit=10)
+
+
 _Q2 = "SELECT qid % 3 AS question, qid AS query_no, chunk_id, rn AS chunk_rank FROM kw"
 
 
@@ -160,7 +187,7 @@ def full_search_pipeline(spark, sf_dir):
 @query()
 def word_similarity_topk(spark, sf_dir):
     q = corpus.queries(spark, sf_dir).filter("qvec is not null")
-    return R.trigram_axis(q, published(spark, sf_dir), exact=True)
+    return R.trigram_axis(q, published(spark, sf_dir))
 
 
 _AXIS3 = """parts AS (SELECT qid, chunk_id, 1.0::DOUBLE / (60 + rn) AS p, 'v' AS a FROM vec UNION ALL SELECT qid, chunk_id, 1.0::DOUBLE / (60 + rn), 'k' FROM kw UNION ALL SELECT qid, chunk_id, 1.0::DOUBLE / (60 + rn), 't' FROM tri),
@@ -170,7 +197,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk
 
 @query(f"WITH {FILES_SQL}, {CHUNKS_SQL}, {QUERIES_SQL}, {_PUBLISHED}, {_VEC}, {_TERMS}, {_KW.format(limit=50)}, {_TRI}, {_AXIS3} SELECT t.*, substr(coalesce(p.chunk_text, ''), 1, 300) AS chunk_text FROM top t JOIN pub p USING (chunk_id)")
 def search_diagnostics(spark, sf_dir):
-    return R.diagnostics(corpus.queries(spark, sf_dir), published(spark, sf_dir))
+    return R.diagnostics(corpus.queries(spark, sf_dir), published(spark, sf_dir), exact=False)
 
 
 _NTERMS = "nt AS (SELECT qid, count(*) AS n FROM terms GROUP BY 1)"
@@ -193,15 +220,14 @@ _ASKED = """asked AS (SELECT item_id AS qid, b.text AS whole, CASE item_id % 5 W
 
 
 def _found(name: str, asked: str, docs: str) -> str:
-    """The best three of an axis by terms met, ids break ties."""
-    return f"""{name} AS (SELECT t.qid, w.id, count(DISTINCT t.term) AS terms, row_number() OVER (PARTITION BY t.qid ORDER BY count(DISTINCT t.term) DESC, CAST(sum(w.tf) AS BIGINT) DESC, w.id) AS rn
-  FROM (SELECT DISTINCT qid, term FROM (SELECT qid, lower(regexp_replace(unnest(regexp_extract_all({asked}, '[0-9A-Za-z가-힣_.-]+')), '[^0-9A-Za-z가-힣_]', '', 'g')) AS term FROM asked WHERE mode <> 'execute') WHERE length(term) >= 2) t
-  JOIN {docs} w ON starts_with(w.word, t.term) GROUP BY 1, 2 QUALIFY rn <= 3)"""
+    """The best three of the keyword axis, ids break ties."""
+    return f"""{name} AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM (SELECT t.qid, w.id, round(sum(w.weight) / any_value(t.n), 8) AS score
+  FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM (SELECT DISTINCT qid, term FROM (SELECT qid, lower(regexp_replace(unnest(regexp_extract_all({asked}, '[0-9A-Za-z가-힣_.-]+')), '[^0-9A-Za-z가-힣_]', '', 'g')) AS term FROM asked WHERE mode <> 'execute') WHERE length(term) >= 2)) t
+  JOIN {docs} w ON starts_with(w.word, t.term) GROUP BY 1, 2) QUALIFY rn <= 3)"""
 
 
 @query(f"""WITH {FILES_SQL}, {CHUNKS_SQL}, {corpus.RECORDS_SQL}, {_PUBLISHED}, {_ASKED},
-mw AS (SELECT id, word, count(*) AS tf FROM (SELECT chunk_id AS id, unnest(regexp_extract_all(lower(chunk_text), '[0-9a-z가-힣_]+')) AS word FROM pub) GROUP BY 1, 2),
-vw AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(question || chr(10) || answer), '[0-9a-z가-힣_]+')) AS word FROM records) GROUP BY 1, 2),
+{_WORDS.format(name="mw", id="id", text="t", rows="(SELECT chunk_id AS id, chunk_text AS t FROM pub)")}, {_WORDS.format(name="vw", id="id", text="t", rows="(SELECT id, question || chr(10) || answer AS t FROM records)")},
 {_found("m1", "query", "mw")}, {_found("v1", "query", "vw")}, {_found("m3", "query || ' ' || whole", "mw")}, {_found("v3", "query || ' ' || whole", "vw")},
 s1 AS (SELECT qid, 'manual' AS source, id, rn FROM m1 JOIN asked USING (qid) WHERE list_contains(sources, 'manual') UNION ALL SELECT qid, 'voc', id, rn FROM v1 JOIN asked USING (qid) WHERE list_contains(sources, 'voc')),
 l2 AS (SELECT * FROM asked WHERE mode <> 'execute' AND qid NOT IN (SELECT qid FROM s1)),

@@ -181,10 +181,31 @@ def test_word_similarity_is_that_of_the_best_stretch():
         q, t = (" ".join(rng.choice(words) for _ in range(rng.randint(0, n))) for n in (5, 50))
         want = brute_similarity(q, t)
         assert udfs.word_similarity(q, t) == pytest.approx(want)
-        found = grams.best_extent(np.unique(grams.word_trigrams(q)), grams.Text(t), 0.3)
+        found = grams.best_extent(np.unique(grams.word_trigrams(q)), t, 0.3)
         assert found == pytest.approx(want if want >= 0.3 else 0)
 
 
+def test_best_stretches_of_long_texts_for_many_queries():
+    rng = random.Random(3)
+    for wide in (96, 3):  # the second leaves long stretches to their own bound
+        grams.WIDE = wide
+        for k in range(60):
+            letters = "abcdeé  " if k % 2 else "ab "
+            t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 600)))
+            t = t[:40] * 6 + t if k % 5 == 0 else t
+            asked = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(4)] + [t[20:70], t[5:9], ""]
+            wants = [np.unique(grams.word_trigrams(q)) for q in asked]
+            floor = (1e-9, 0.2, 0.4)[k % 3]
+            own = grams.Extents(t, grams.Index(wants))
+            got = dict(own.best(np.arange(len(asked)), np.full(len(asked), floor)))
+            for i, q in enumerate(asked):
+                want = brute_similarity(q, t)
+                assert got.get(i, 0) == pytest.approx(want if want >= floor else 0)
+            for i, _, bound, share, _ in own.runs(np.arange(len(asked)), np.full(len(asked), 1e-9)):
+                assert share - 1e-9 <= brute_similarity(asked[i], t) <= bound.max() + 1e-9
+    grams.WIDE = 96
+
+
 def test_sections_are_linear_and_complete(spark):
     cases = {"": [], "a\nb": [(None, "a\nb")], "# T\nx\ny\n## U \n\nz\n# V": [("T", "x\ny"), ("U", "\nz")], "p\r\n# A\r\nq\r\n": [(None, "p"), ("A", "q")]}
     for t, want in cases.items():

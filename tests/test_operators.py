@@ -39,7 +39,7 @@ def test_query_set_is_bounded(spark):
 def test_keyword_axis(spark):
     q = spark.createDataFrame([(1, "tw thre", None), (2, "!", None)], "qid long, query string, qvec array<float>")
     got = R.keyword_axis(q, corpus(spark)).orderBy("rn").collect()
-    assert [(r.chunk_id, r.terms, r.hits) for r in got] == [(2, 1, 2), (3, 1, 1)]
+    assert [(r.chunk_id, r.terms, r.score) for r in got] == [(2, 1, pytest.approx(0.1 * 1.25 / 1.64493406685 / 2, abs=1e-8)), (3, 1, pytest.approx(0.1 / 1.64493406685 / 2, abs=1e-8))]
     assert {(r.chunk_id, r["mode"]) for r in R.search_candidates(q, corpus(spark)).collect()} == {(2, "keyword"), (3, "keyword")}
 
 
