@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DEFAULT
 
@@ -25,26 +24,31 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
-def due_summaries(turns: DataFrame, every: int = DEFAULT.summarize_every, ttl_ms: int | None = 86_400_000) -> DataFrame:
-    """(conv_id, n, upto) each time a conversation has ``every`` turns since its last summary; the offset moves on.
+class _Due(StatefulProcessor):
+    def __init__(self, every: int, ttl_ms: int | None) -> None:
+        self.every, self.ttl_ms = every, ttl_ms
 
-    turns: conv_id, id. State is a count and the largest id, and goes after ``ttl_ms`` without turns (None, for streams that are drained: never).
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "n long, upto long", self.ttl_ms)
 
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        n, upto = held.get if held.exists else (0, 0)
-        out = []
-        for i in sorted(pd.concat(list(batches))["id"].tolist()):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        n, upto = self.now.get() or (0, 0)
+        for i in sorted(r.id for r in rows):
             n, upto = n + 1, max(upto, i)
-            if n >= every:
-                out.append((key[0], n, upto))
+            if n >= self.every:
+                yield Row(conv_id=key[0], n=n, upto=upto)
                 n = 0
-        held.update((n, upto))
-        if ttl_ms:
-            held.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(out, columns=["conv_id", "n", "upto"])
+        self.now.update((n, upto))
+
+    def close(self) -> None:
+        pass
+
 
-    return turns.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, n long, upto long", "n long, upto long", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
+def due_summaries(turns: DataFrame, every: int = DEFAULT.summarize_every, ttl_ms: int | None = 86_400_000) -> DataFrame:
+    """(conv_id, n, upto) each time a conversation has ``every`` turns since its last summary; the offset moves on.
+
+    turns: conv_id, id. State is a count and the largest id, and goes ``ttl_ms``
+    after it was last written (None, for streams that are drained: never). It
+    needs RocksDB: start streams under ``state.rocksdb``.
+    """
+    return turns.groupBy("conv_id").transformWithState(_Due(every, ttl_ms), "conv_id long, n long, upto long", "Append", "ProcessingTime" if ttl_ms else "None")

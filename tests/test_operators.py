@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zipfile
 
 import pytest
@@ -13,6 +14,7 @@ from sediment.operators import relational as O
 from sediment.operators import retrieval as R
 from sediment.sources import documents, tables
 from sediment.streaming import counters, text_streams
+from sediment.streaming.state import rocksdb
 
 CORPUS = "chunk_id long, file_id string, seq long, doc_title string, page_no int, chunk_text string, embedding array<float>"
 
@@ -189,22 +191,90 @@ def test_markers_do_not_depend_on_cuts():
         assert out + m.flush() == want
 
 
-def run_stream(spark, tmp_path, rows, build):
-    src = str(tmp_path / "in")
-    for k, part in enumerate(rows):
+def write_pieces(spark, src, parts, at=0):
+    for k, part in enumerate(parts, at):
         spark.createDataFrame(part, text_streams.SCHEMA).coalesce(1).write.parquet(f"{src}/{k}")
-    stream = spark.readStream.schema(text_streams.SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
-    q = build(stream).writeStream.format("memory").queryName(f"s{abs(hash(src))}").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted(map(tuple, spark.table(f"s{abs(hash(src))}").collect()))
-    return {k: "".join(d for r, _, d in got if r == k) for k in {r for r, _, _ in got}}
-
-
-def test_stateful_streams(spark, tmp_path):
-    rows = [[("r", 0, "partial", "see cha"), ("q", 0, "partial", "x")], [("r", 1, "partial", "rt://fedcba9876543210"), ("q", 1, "final", "xy")], [("r", 2, "end", " ok"), ("q", 2, "end", "")]]
-    assert run_stream(spark, tmp_path / "a", rows, lambda s: text_streams.replace_markers(s, {"fedcba9876543210": "IMG"}, None)) == {"r": "see IMG ok", "q": "xxy"}
-    assert run_stream(spark, tmp_path / "b", rows, lambda s: text_streams.new_text(s, None))["q"] == "xy"
-    assert run_stream(spark, tmp_path / "c", rows, lambda s: text_streams.hold_until_end(s, str.upper, None))["r"] == "SEE CHART://FEDCBA9876543210 OK"
+
+
+def run_stream(spark, tmp_path, build, out="out"):
+    """What a stream over the pieces in the folder writes, and has written, under its checkpoint."""
+    stream = spark.readStream.schema(text_streams.SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    with rocksdb(spark):
+        q = build(stream).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / out), "parquet")
+        assert q.awaitTermination(240)
+    return sorted(map(tuple, spark.read.schema(text_streams.OUT).parquet(str(tmp_path / out)).collect()))
+
+
+BUILDS = {
+    "markers": lambda s: text_streams.replace_markers(s, {"fedcba9876543210": "IMG"}, None),
+    "new": lambda s: text_streams.new_text(s, None),
+    "whole": lambda s: text_streams.hold_until_end(s, str.upper, None),
+}
+PIECES = [
+    [("r", 0, "partial", "see cha"), ("q", 0, "partial", "x"), ("e", 0, "partial", "half chart")], [("r", 1, "partial", "rt://fedcba9876543210"), ("q", 1, "final", "xy"), ("e", 1, "error", ":/")],
+    [("r", 2, "end", " ok"), ("q", 2, "end", ""), ("z", 0, "partial", None)],
+]
+WANT = {
+    "markers": {"r": "see IMG ok", "q": "xxy", "e": "half chart:/"},
+    "new": {"r": "see chart://fedcba9876543210", "q": "xy", "e": "half chart"},  # what ends a message repeats it
+    "whole": {"r": "SEE CHART://FEDCBA9876543210 OK", "q": "XXY"},
+}
+
+
+def texts(rows):
+    return {k: "".join(d for r, _, d in rows if r == k) for k in {r for r, _, _ in rows}}
+
+
+@pytest.mark.parametrize("name", list(BUILDS))
+def test_stateful_streams_go_on_after_a_restart(spark, tmp_path, name):
+    """Stopped in the middle of each request and started from the checkpoint, a stream writes the same rows as one that ran through."""
+    through, stopped = tmp_path / "through", tmp_path / "stopped"
+    write_pieces(spark, str(through / "in"), PIECES)
+    whole = run_stream(spark, through, BUILDS[name])
+    assert texts(whole) == WANT[name]
+    for k, part in enumerate(PIECES):
+        write_pieces(spark, str(stopped / "in"), [part], k)
+        got = run_stream(spark, stopped, BUILDS[name])
+    assert got == whole
+
+
+def test_a_timer_ends_requests_that_are_cut_off(spark, tmp_path):
+    """What waited for more goes out when no more came, and the state is gone; a whole that was never reviewed stays unsaid."""
+    write_pieces(spark, str(tmp_path / "in"), [[("r", 4, "partial", "see chart:/"), ("q", 0, "partial", "done"), ("q", 1, "end", "")]])
+    source = spark.readStream.schema(text_streams.SCHEMA).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    streams = {"cut_markers": text_streams.replace_markers(source, {}, 1500), "cut_whole": text_streams.hold_until_end(source, str.upper, 1500)}
+    for name, out in streams.items():
+        with rocksdb(spark):
+            q = out.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(processingTime="300 milliseconds").start()
+        try:
+            until = time.monotonic() + 90
+            rows = lambda: sorted((r.request_id, r.seq, r.delta) for r in spark.table(name).collect())  # noqa: B023, E731
+            want = [("q", 0, "done"), ("r", 4, "chart:/"), ("r", 4, "see ")] if name == "cut_markers" else [("q", 1, "DONE")]
+            gone = lambda: q.lastProgress and q.lastProgress.stateOperators and q.lastProgress.stateOperators[0].customMetrics.get("numExpiredTimers", 0) + q.lastProgress.stateOperators[0].numRowsTotal == 0  # noqa: B023, E731
+            while time.monotonic() < until and not (rows() == want and gone()):
+                time.sleep(0.5)
+            assert rows() == want and gone()
+        finally:
+            q.stop()
+
+
+def test_summary_counts_are_forgotten_after_their_time(spark, tmp_path):
+    """State TTL: a conversation that was quiet for too long counts from nothing."""
+    due = {}
+    for name, ttl in (("short", 2000), ("long", 600_000)):
+        top = tmp_path / name
+        source = lambda: spark.readStream.schema("conv_id long, id long").option("recursiveFileLookup", "true").parquet(str(top / "in"))  # noqa: B023, E731
+        for k, ids in enumerate(([1, 2], [3], [4, 5])):
+            spark.createDataFrame([(1, i) for i in ids], "conv_id long, id long").coalesce(1).write.parquet(str(top / "in" / str(k)))
+            with rocksdb(spark):
+                q = counters.due_summaries(source(), 3, ttl).writeStream.option("checkpointLocation", str(top / "c")).trigger(processingTime="200 milliseconds").start(str(top / "out"), "parquet")
+            until = time.monotonic() + 60
+            while time.monotonic() < until and not sum(p.numInputRows for p in q.recentProgress):
+                time.sleep(0.2)
+            q.stop()
+            time.sleep(2.5 if name == "short" else 0)  # longer than the state lives
+        due[name] = [tuple(r) for r in spark.read.schema("conv_id long, n long, upto long").parquet(str(top / "out")).collect()]
+    assert due == {"short": [], "long": [(1, 3, 3)]}
 
 
 def test_publish_rolls_back(spark):
