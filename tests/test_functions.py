@@ -215,3 +215,14 @@ def test_sections_are_linear_and_complete(spark):
     began = time.perf_counter()
     assert len(one(spark, lambda c: text.sections(c), long)) == 13_334
     assert time.perf_counter() - began < 30
+
+
+def test_only_small_tables_of_few_files_are_dealt_out(spark, tmp_path):
+    from sediment.session import spread
+
+    path = str(tmp_path / "a b%20c")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    moved = lambda df: "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    assert moved(spread(table)) and not moved(spread(table, most=100))
+    assert spread(spark.range(3)).count() == 3
