@@ -85,8 +85,10 @@ def _unpacked(data: bytes) -> np.ndarray:
 def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES, k: int = CENTROIDS, margin: float = MARGIN) -> Model:
     """Fits on about ``sample`` texts of each label.
 
-    Labels are counted, which sets for each a bound on the hash of the text;
-    texts under it are counted into n-gram vectors where they are read. One
+    The different texts of each label are counted, which sets for each a bound
+    on the hash of the text, so that a label of few texts that are repeated
+    often keeps all of them. Texts under the bound are made one for each
+    label, in tasks first, and counted into n-gram vectors. One
     sum gives the inverse document frequencies, and one task a label finds
     its centroids; only these, 64 KB a label, reach the driver. More than
     ``languages`` labels are an error. Rows whose text or label is null, or
@@ -96,14 +98,14 @@ def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     spark = labelled.sparkSession
     bound_arrow(spark)
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    labels = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(languages + 1).collect()
+    labels = rows.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t"), 0.02).alias("n")).limit(languages + 1).collect()
     if len(labels) > languages:
         raise ValueError(f"more than {languages} labels; fit with a larger ``languages``")
     if not labels:
         return Model(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
     shares = spark.createDataFrame([(r["l"], min(1.0, 1.2 * sample / r["n"])) for r in labels], "of string, share double")
     # one row a label, at most ``languages``
-    picked = rows.join(F.broadcast(shares), F.col("l") == F.col("of")).filter(in_share(F.col("share"), F.col("t"))).select("l", "t")
+    picked = rows.join(F.broadcast(shares), F.col("l") == F.col("of")).filter(in_share(F.col("share"), F.col("t"))).select("l", "t").distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

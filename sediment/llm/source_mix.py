@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import number_rows
-from .common import hash128, materialize
+from .common import hash128, materialize, row_place
 
 #: Documents that one task balances at a time.
 BLOCK = 4096
@@ -183,6 +183,26 @@ def _hashes(docs: DataFrame, seed: int, columns: tuple[str, ...]) -> tuple[Colum
     return hash128(F.lit(seed), *parts)
 
 
+def salted(sizes: DataFrame, block: int) -> DataFrame:
+    """``sizes``, as ``materialize`` has read them, with salt: a number by place for rows that repeat hashes often, else 0.
+
+    Rows are dealt to blocks by hash and salt, so that equal rows spread over
+    blocks like any others. Those that occur less than an eighth of a block
+    keep to their hash, which no layout of files changes.
+    """
+    hot = sizes.groupBy(F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 8 > block).drop("n")
+    hot = materialize(hot, "hot")
+    if hot.isEmpty():
+        return sizes.withColumn("salt", F.lit(0).cast("long"))
+    placed = sizes.withColumn("salt", F.xxhash64(row_place()))
+    met = placed.join(hot, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
+    return met.withColumn("salt", F.when(F.col("h1").isNotNull(), F.col("salt")).otherwise(0)).drop("h1", "h2")
+
+
+def block_of(level: int) -> Column:
+    return F.pmod(F.xxhash64("k2", "salt", F.lit(level)), F.col("blocks"))
+
+
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = BLOCK, seed: int = 17, identity: tuple[str, ...] | None = None) -> DataFrame:
     """One row per row of ``docs``: id, k1, k2 (hashes of the row), size, source_size, target, copies, taken.
 
@@ -202,7 +222,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
     Null and empty texts have size 0, are taken as 0 words and take no part in
     the balancing. A null source is a source of its own, the last. Repeated
-    rows are documents of their own. Null ids are kept. The hashes are of id
+    rows are documents of their own, and those that fill much of a block
+    spread over all of them. Null ids are kept. The hashes are of id
     and text, or of the columns named in ``identity``; others are not read.
     ``block`` must be 8 or more, so that each level has fewer open documents.
     """
@@ -210,11 +231,12 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
         raise ValueError("block must be 8 or more")
     k1, k2 = _hashes(docs, seed, identity or (id, text))
     sizes = materialize(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), k1.alias("k1"), k2.alias("k2"), word_count(F.col(text)).alias("size")), "sizes")
+    sizes = salted(sizes, block)
     targets = source_targets(sizes, weights, most)
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     copies = F.least(F.floor(ratio + _TINY), F.lit(most))
     targets = targets.withColumn("whole", copies.cast("long")).withColumn("part", F.when(ratio - copies > _TINY, ratio - copies).otherwise(0.0)).withColumnRenamed("source", "of")
-    names = ["id", "source", "k1", "k2", "size", "source_size", "target", "whole", "p", "blocks", "spare"]
+    names = ["id", "source", "k1", "k2", "salt", "size", "source_size", "target", "whole", "p", "blocks", "spare"]
 
     def joined(to: DataFrame, part: Column) -> DataFrame:
         rows = sizes.join(to, F.col("source").eqNullSafe(F.col("of"))).withColumn("p", F.when(F.col("size") > 0, part).otherwise(0.0))
@@ -232,7 +254,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     while True:
         # what the first level has settled waits for its source's last block
         ready, waiting = live.filter(open_ | (F.col("blocks") == 1)), live.filter(~open_ & (F.col("blocks") > 1))
-        dealt = ready.withColumn("block", F.pmod(F.xxhash64("k2", F.lit(level)), F.col("blocks")))
+        dealt = ready.withColumn("block", block_of(level))
         moved = materialize(dealt.groupBy("source", "block").applyInArrow(_balanced(block, level == 0), dealt.schema).drop("block"), "flight")
         goes_on = (F.col("blocks") > 1) & (open_ | F.col("spare"))
         settled = settled.unionByName(moved.filter(~goes_on))
