@@ -161,9 +161,9 @@ def spread(p: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
 
 def _balanced(block: int, first: bool):
     def run(group: pa.Table) -> pa.Table:
-        k1, k2, size, p = (group.column(c).to_numpy() for c in ("k1", "k2", "size", "p"))
+        k1, k2, salt, size, p = (group.column(c).to_numpy() for c in ("k1", "k2", "salt", "size", "p"))
         blocks, own = group.column("blocks")[0].as_py(), group.column("block")[0].as_py()
-        order = np.lexsort((k2, k1))
+        order = np.lexsort((salt, k2, k1))
         moved, spare = flight(p[order], size[order], int(k1[order[0]])), np.zeros(len(p), bool)
         if blocks == 1:
             moved = landing(moved, size[order], float(np.dot(p, size)))
