@@ -120,6 +120,14 @@ def ungrounded_values(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.size(answers.ungrounded(F.col("text"), F.split_part("text", F.lit("\n"), F.lit(1)), (answers.IP,))).alias("n"))
 
 
+@query(r"""WITH p AS (SELECT page_id, html, list_distinct(regexp_extract_all(html, '(?:^|[^\w.])(/(?:[\w.@+-]+/)+[\w.@+-]*)', 1)) AS found, split_part(html, chr(10), 1) AS said FROM pages)
+SELECT page_id, list_sort(list_filter(found, lambda v: NOT contains(said, v))) AS paths FROM p""")
+def ungrounded_paths(spark, sf_dir):
+    """Paths of a page that its first line does not name."""
+    bad = answers.ungrounded(F.col("html"), F.split_part("html", F.lit("\n"), F.lit(1)), (answers.PATH,))
+    return load(spark, sf_dir, "pages").select("page_id", F.array_sort(bad).alias("paths"))
+
+
 @query(r"""WITH b AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')) AS bad FROM documents)
 SELECT doc_id, md5(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: len(list_filter(bad, lambda v: contains(x, v))) = 0), chr(10)), '^\s+|\s+$', '', 'g')) AS h FROM b""")
 def line_filter(spark, sf_dir):

@@ -190,6 +190,22 @@ def word_similarity_topk(spark, sf_dir):
     return R.trigram_axis(q, published(spark, sf_dir))
 
 
+_COPIES = f"""r AS MATERIALIZED (SELECT kw.qid, kw.rn AS pos, kw.chunk_id, g FROM kw JOIN (SELECT chunk_id, {_grams("s")} AS g FROM (SELECT chunk_id, {_squeezed("chunk_text")} AS s FROM pub)) USING (chunk_id) WHERE kw.rn <= 20),
+fold(qid, pos, kept) AS (SELECT DISTINCT qid, 0::BIGINT, [] :: STRUCT(chunk_id BIGINT, g VARCHAR[])[] FROM r
+  UNION ALL SELECT f.qid, r.pos, CASE WHEN len(f.kept) >= 10 OR len(list_filter(f.kept, lambda k: len(list_intersect(k.g, r.g)) / (len(k.g) + len(r.g) - len(list_intersect(k.g, r.g))) >= 0.85)) > 0 THEN f.kept ELSE list_append(f.kept, struct_pack(chunk_id := r.chunk_id, g := r.g)) END
+  FROM fold f JOIN r ON r.qid = f.qid AND r.pos = f.pos + 1)"""
+
+
+@query(f"""WITH RECURSIVE {FILES_SQL}, {CHUNKS_SQL}, {QUERIES_SQL}, {_PUBLISHED}, {_TERMS}, {_KW.format(limit=50)}, {_COPIES},
+l AS (SELECT qid, kept FROM fold QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pos DESC) = 1)
+SELECT qid, unnest(list_transform(kept, lambda k: k.chunk_id)) AS chunk_id, unnest(range(1, len(kept) + 1)) AS place FROM l""")
+def near_copies_dropped(spark, sf_dir):
+    """The best twenty of the keyword axis without those too like one kept before, ten at most."""
+    c = published(spark, sf_dir)
+    ranked = R.keyword_axis(corpus.queries(spark, sf_dir), c).filter("rn <= 20").withColumnRenamed("rn", "pos").join(c.select("chunk_id", "chunk_text"), "chunk_id")
+    return R.drop_near_copies(ranked, 10).select("qid", "chunk_id", "place")
+
+
 _AXIS3 = """parts AS (SELECT qid, chunk_id, 1.0::DOUBLE / (60 + rn) AS p, 'v' AS a FROM vec UNION ALL SELECT qid, chunk_id, 1.0::DOUBLE / (60 + rn), 'k' FROM kw UNION ALL SELECT qid, chunk_id, 1.0::DOUBLE / (60 + rn), 't' FROM tri),
 fused AS (SELECT qid, chunk_id, round(sum(p), 10) AS score, round(coalesce(sum(p) FILTER (WHERE a = 'v'), 0), 10) AS v_rrf, round(coalesce(sum(p) FILTER (WHERE a = 'k'), 0), 10) AS k_rrf, round(coalesce(sum(p) FILTER (WHERE a = 't'), 0), 10) AS t_rrf FROM parts GROUP BY 1, 2),
 top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rn FROM fused QUALIFY rn <= 10)"""

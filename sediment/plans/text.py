@@ -74,7 +74,17 @@ def hard_cut_chunks(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.hard_cut(F.col("text"), 1500)).alias("seq", "piece")).select("doc_id", F.col("seq").cast("long").alias("seq"), F.sha2("piece", 256).alias("h"))
 
 
-@query()
+#: The fold over paragraphs, on a text of pieces parted by U+0001; pieces cut hard; each with what follows the first blank in the end of the one before it.
+_PACKED = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, CASE WHEN length(t) <= 1500 THEN t ELSE list_reduce(string_split(t, chr(10) || chr(10)), lambda a, x: CASE
+  WHEN string_split(a, chr(1))[-1] <> '' AND length(string_split(a, chr(1))[-1]) + length(x) + 2 <= 1500 THEN a || chr(10) || chr(10) || x WHEN string_split(a, chr(1))[-1] = '' THEN a || x ELSE a || chr(1) || x END) END AS packed, length(t) <= 1500 AS short FROM d),
+c AS (SELECT doc_id, CASE WHEN short THEN [packed] ELSE flatten(list_transform(string_split(packed, chr(1)), lambda x: list_transform(range(0, length(x), 1500), lambda i: substr(x, i + 1, 1500)))) END AS cut FROM p),
+e AS (SELECT doc_id, unnest(range(len(cut))) AS seq, cut FROM c),
+o AS (SELECT doc_id, seq, cut[seq + 1] AS own, CASE WHEN seq > 0 THEN right(cut[seq], 200) END AS tail FROM e)
+SELECT doc_id, seq, CASE WHEN tail IS NULL THEN own ELSE CASE WHEN strpos(tail, ' ') BETWEEN 1 AND length(tail) - 1 THEN substr(tail, strpos(tail, ' ') + 1) ELSE tail END || chr(10) || own END AS chunk_text FROM o"""
+
+
+@query(_PACKED)
 def packed_chunks(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(udfs.pack_paragraphs_udf("text")).alias("seq", "chunk_text"))
 
