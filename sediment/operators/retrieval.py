@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Options
@@ -362,6 +362,26 @@ def stage_counts(**stages: DataFrame) -> DataFrame:
     return rows.groupBy("qid").agg(*[F.count_if(F.col("stage") == n).alias(n) for n in stages])
 
 
+class StageCounters:
+    """Rows of each stage of a search, counted while it runs: no job and no exchange of their own.
+
+    ``of`` marks a stage; ``totals`` waits for the job that runs the search to
+    end, and tells searches without candidates from those whose candidates
+    fell at the rerank bound or as near copies. A stage that runs twice, as
+    where two jobs read one lazy plan, is counted by the first.
+    """
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def of(self, stage: str, df: DataFrame) -> DataFrame:
+        self.seen[stage] = Observation(stage)
+        return df.observe(self.seen[stage], F.count(F.lit(1)).alias("rows"))
+
+    def totals(self) -> dict[str, int]:
+        return {stage: seen.get["rows"] for stage, seen in self.seen.items()}
+
+
 def diagnostics(queries: DataFrame, corpus: DataFrame, options: Options = DEFAULT, k: int = 10, exact: bool = True) -> DataFrame:
     """The search of a batch for an operator's eyes: fused candidates with the part of each axis and the first 300 characters, no neighbours."""
     axes = {"v": vector_axis(queries.filter("qvec is not null"), corpus, options), "k": keyword_axis(queries, corpus, options), "t": trigram_axis(queries.filter("qvec is not null"), corpus, options, exact)}

@@ -166,15 +166,21 @@ def cosine_neighbors(spark, sf_dir):
     return e.join(n, "vec_id").select(F.col("vec_id").alias("a"), "b", F.round(similarity.cosine(F.col("embedding"), F.col("y")), 6).alias("cos"))
 
 
-def search(spark: SparkSession, q: DataFrame, c: DataFrame, k: int = 5, options=DEFAULT, mask=pii.mask_accounts) -> DataFrame:
-    """Candidates, rerank by word overlap, near copies out, neighbours, masking, clipping: the whole search of a batch."""
+def search(spark: SparkSession, q: DataFrame, c: DataFrame, k: int = 5, options=DEFAULT, mask=pii.mask_accounts, counters: R.StageCounters | None = None) -> DataFrame:
+    """Candidates, rerank by word overlap, near copies out, neighbours, masking, clipping: the whole search of a batch.
+
+    ``counters`` counts candidates, ranked and final rows as the search runs.
+    """
     k = options.top_k(k)
-    found = materialize(R.search_candidates(q, c, options, k), "candidates")
+    seen = counters.of if counters else lambda _, df: df
+    found = materialize(seen("candidates", R.search_candidates(q, c, options, k)), "candidates")
     # the query set's size was checked by the axes; the trigrams of a chunk are made once
     bodies = found.join(c, "chunk_id").join(F.broadcast(q.select("qid", similarity.trigrams(F.col("query")).alias("__q"))), "qid")
     bodies = materialize(bodies.withColumn("__own", similarity.trigrams(F.col("chunk_text"))), "bodies")
     ranked = R.rerank(bodies, F.round(similarity.containment(F.col("__q"), F.col("__own")), 6), 2 * k, options).drop("__q")
-    kept = R.drop_near_copies(ranked, k, options.dedup_similarity, F.col("__own")).drop("__own")
+    if counters:  # near copies are met by a join with what is ranked, which would count it twice
+        ranked = materialize(seen("ranked", ranked), "ranked")
+    kept = seen("final", R.drop_near_copies(ranked, k, options.dedup_similarity, F.col("__own")).drop("__own"))
     wide = R.expand_neighbors(kept, c, options.neighbor_window, options.result_max_chars)
     return wide.withColumn("chunk_text", text.clip(mask(F.col("chunk_text")), options.result_max_chars))
 
@@ -231,6 +237,19 @@ def search_stage_counts(spark, sf_dir):
     return R.stage_counts(candidates=kw, ranked=ranked, final=ranked.filter("pos <= 10"))
 
 
+@query(f"""WITH {FILES_SQL}, {CHUNKS_SQL}, {QUERIES_SQL}, {_PUBLISHED}, {_TERMS}, {_KW.format(limit=50)}, {_NTERMS},
+s AS (SELECT kw.qid, kw.rn, round(kw.terms / nt.n, 6) AS score FROM kw JOIN nt USING (qid)), r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rn) AS pos FROM s WHERE score >= 0.05)
+SELECT (SELECT count(*) FROM kw) AS candidates, (SELECT count(*) FROM r) AS ranked, (SELECT count(*) FROM r WHERE pos <= 10) AS final""")
+def search_stage_totals(spark, sf_dir):
+    """The counters of one running search."""
+    q, counters = R.bounded(corpus.queries(spark, sf_dir)), R.StageCounters()
+    kw = counters.of("candidates", R.keyword_axis(q, published(spark, sf_dir)))
+    n = q.select("qid", F.size(F.array_distinct(F.transform(text.prefixes(F.col("query")), lambda x: F.lower(x)))).alias("n"))
+    ranked = counters.of("ranked", R.rerank(kw.join(F.broadcast(n), "qid"), F.round(F.col("terms") / F.col("n"), 6), DEFAULT.axis_limit))
+    materialize(counters.of("final", ranked.filter("pos <= 10")), "searched")
+    return spark.createDataFrame([counters.totals()], "candidates long, ranked long, final long")
+
+
 _ASKED = """asked AS (SELECT item_id AS qid, b.text AS whole, CASE item_id % 5 WHEN 0 THEN 'execute' ELSE 'search' END AS mode,
   CASE item_id % 3 WHEN 0 THEN ['manual'] WHEN 1 THEN ['voc'] ELSE ['manual', 'voc'] END AS sources, CASE WHEN item_id % 4 = 1 THEN 'zzqx ' || CAST(item_id AS VARCHAR) ELSE b.text END AS query FROM benchmark b)"""
 

@@ -65,6 +65,22 @@ def test_keyword_rank_and_its_index_are_the_published_one(spark, words, tmp_path
     assert R.keyword_postings(q, R.postings(corpus.limit(0), str(tmp_path / "none"))).collect() == []
 
 
+def test_stages_are_counted_by_the_search_itself(spark, words):
+    """The counted plan has the exchanges of the plain one, and the search gives the same rows."""
+    from sediment.plans.retrieval import search
+
+    q = spark.createDataFrame([(1, "server logs", None), (2, "서버 log", None), (3, "absent", None)], QUERIES)
+    c = words[1].selectExpr("chunk_id", "'f' AS file_id", "chunk_id AS seq", "'t' AS doc_title", "1 AS page_no", "chunk_text", "embedding")
+    counters = R.StageCounters()
+    rows = R.keyword_axis(q, c)
+    assert read_files(counters.of("plain", rows)).count("Exchange") == read_files(rows).count("Exchange")
+    counters = R.StageCounters()
+    got = search(spark, q, c, counters=counters).select("qid", "chunk_id", "place").collect()
+    assert sorted(got) == sorted(search(spark, q, c).select("qid", "chunk_id", "place").collect())
+    seen = counters.totals()
+    assert list(seen) == ["candidates", "ranked", "final"] and seen["candidates"] >= seen["ranked"] >= seen["final"] == len(got) > 0
+
+
 def vectors(n, dim, seed=3, groups=20):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(groups, dim))
