@@ -166,7 +166,7 @@ def _balanced(block: int, first: bool):
         order = np.lexsort((salt, k2, k1))
         moved, spare = flight(p[order], size[order], int(k1[order[0]])), np.zeros(len(p), bool)
         if blocks == 1:
-            moved = landing(moved, size[order], float(np.dot(p, size)))
+            moved = landing(moved, size[order], float(np.dot(p[order], size[order])))
         elif first and own * (share := max(2, block // blocks)) < block:
             spare[order] = spread(moved, size[order], share)
         out = np.empty(len(p))
