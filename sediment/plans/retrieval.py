@@ -166,14 +166,14 @@ def cosine_neighbors(spark, sf_dir):
     return e.join(n, "vec_id").select(F.col("vec_id").alias("a"), "b", F.round(similarity.cosine(F.col("embedding"), F.col("y")), 6).alias("cos"))
 
 
-def search(spark: SparkSession, q: DataFrame, c: DataFrame, k: int = 5, options=DEFAULT, mask=pii.mask_accounts, counters: R.StageCounters | None = None) -> DataFrame:
+def search(spark: SparkSession, q: DataFrame, c: DataFrame, k: int = 5, options=DEFAULT, mask=pii.mask_accounts, counters: R.StageCounters | None = None, exact: bool = True) -> DataFrame:
     """Candidates, rerank by word overlap, near copies out, neighbours, masking, clipping: the whole search of a batch.
 
     ``counters`` counts candidates, ranked and final rows as the search runs.
     """
     k = options.top_k(k)
     seen = counters.of if counters else lambda _, df: df
-    found = materialize(seen("candidates", R.search_candidates(q, c, options, k)), "candidates")
+    found = materialize(seen("candidates", R.search_candidates(q, c, options, k, exact=exact)), "candidates")
     # the query set's size was checked by the axes; the trigrams of a chunk are made once
     bodies = found.join(c, "chunk_id").join(F.broadcast(q.select("qid", similarity.trigrams(F.col("query")).alias("__q"))), "qid")
     bodies = materialize(bodies.withColumn("__own", similarity.trigrams(F.col("chunk_text"))), "bodies")
@@ -190,6 +190,12 @@ def full_search_pipeline(spark, sf_dir):
     return search(spark, corpus.queries(spark, sf_dir), published(spark, sf_dir)).select("qid", "chunk_id", "place", "mode", "rerank_score", "chunk_text", "expanded")
 
 
+@query()
+def full_search_containment(spark, sf_dir):
+    """The whole search where the third axis is the share of the question's trigrams, which costs one count a chunk."""
+    return search(spark, corpus.queries(spark, sf_dir), published(spark, sf_dir), exact=False).select("qid", "chunk_id", "place", "mode", "rerank_score", "chunk_text", "expanded")
+
+
 @query()
 def word_similarity_topk(spark, sf_dir):
     q = corpus.queries(spark, sf_dir).filter("qvec is not null")
