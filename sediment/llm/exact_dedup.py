@@ -43,8 +43,8 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     Texts are compared after each run of white space is made one space. Every
     text is cut into content-defined chunks where it is read, and stays there:
     what is written of a chunk is a 64-bit identifier and its SHA-256. Chunks
-    are made distinct by both, which verifies that an identifier stands for
-    one chunk only. A document is then its ordered list of identifiers, and
+    are made distinct by both, which verifies, by digest and not by bytes, that
+    an identifier stands for one chunk only. A document is then its ordered list of identifiers, and
     only these lists are grouped and joined; no text moves. Where an
     identifier turns out to stand for several chunks, the documents that hold
     it carry the SHA-256 of each chunk beside their list.
@@ -52,7 +52,7 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     A null text counts as empty, and its list of chunks is empty. Of equal
     texts one row stays, one with the smallest id; nulls come after all ids,
     and a group of null ids only has a null keep_id. Of rows that repeat the
-    id that stays one is marked kept, the first in the files of the recipes.
+    id that stays any one is marked kept.
     Other columns are not read.
     """
     base = docs.select(F.col(id).alias("id"), normalize_space(F.col(text)).alias("text"))

@@ -23,7 +23,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def ngram_counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Counts of the byte n-grams of one to three bytes of the lower-case text, letters and blanks only, by hashed bucket."""
+    """Counts of the n-grams of two and three bytes of the lower-case text, letters and blanks only, by hashed bucket."""
     b = np.frombuffer((" " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     out = np.zeros(buckets, np.float32)
     shift = np.uint32(32 - int(buckets).bit_length() + 1)
