@@ -21,6 +21,7 @@ SUFFIXES = (
     "은 는 이 가 을 를 의 에 도 만 과 와 로 야 요"
 ).split()
 
+#: The patterns that the required output of cleaning forces.
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 COMMENT = r"(?s)<!--.*?-->"
 SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
