@@ -26,11 +26,12 @@ SPELLINGS = (
 )
 #: The addresses that the Free Software Foundation has had, as they stand in words; all become one.
 ADDRESS = r"(?:675 mass ave cambridge ma 02139|59 temple place(?: suite 330)? boston ma 02111 1307|51 franklin st(?:reet)?(?: fifth floor)? boston ma 02110 1301)(?: usa)?"
-#: Lines that only name a holder or reserve rights, with any comment sign before them, wherever they stand.
-HOLDER = r"^[^a-z0-9]*(?:copyright(?: \(c\)|:| ©| [0-9<\[{(])|\(c\)|©|all rights reserved)[^\n]{0,200}\z"
-#: Among the first HEAD lines also those that name a holder without a sign or year; a sentence goes on otherwise.
-HEAD_HOLDER = r"^[^a-z0-9]*copyright (?!(?:notices?|holders?|owners?|laws?|licenses?|statements?|interests?|and|or|in|is|to|of|as)\b)[^\n]{0,200}\z"
-HEAD = 8
+#: Lines that name a holder with a sign or year, or reserve rights, after any comment sign, wherever they stand.
+HOLDER = r"^[^a-z0-9]*(?:copyright(?: \(c\)|:| ©| [0-9<\[{(])|\(c\)|©|all rights reserved)"
+#: Lines that name one without a sign or year, unless a sentence goes on in them.
+UNSIGNED = r"^[^a-z0-9]*copyright (?!(?:notices?|holders?|owners?|laws?|licenses?|statements?|interests?|and|or|in|is|to|of|as)\b)"
+#: A line of more than eight words that is no copyright line: prose, which may go on in the next line.
+PROSE = r"^(?![^a-z0-9]*(?:copyright|\(c\)|©))[^a-z0-9]*(?:[a-z0-9]+[^a-z0-9]+){8}[a-z0-9]"
 #: How a notice of one line leads up to a licence's name, in canonical words.
 LEAD = r"^(?:spdx license identifier |(?:this [a-z]+ is )?(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?)"
 
@@ -44,10 +45,22 @@ def _words(t: Column) -> Column:
     return F.btrim(F.regexp_replace(t, r"[\x00-\x2f\x3a-\x60\x7b-\x{bf}\x{2000}-\x{206f}]+", " "), F.lit(" "))
 
 
+def _with_last(lines: Column) -> Column:
+    """(line, last): each line with the one before it, the first with an empty one."""
+    # bound to a variable, so that the text is split once
+    bound = F.transform(F.array(lines), lambda ls: F.zip_with(ls, F.slice(F.concat(F.array(F.lit("")), ls), 1, F.size(ls)), lambda x, y: F.struct(x.alias("line"), y.alias("last"))))
+    return F.element_at(bound, 1)
+
+
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling, and words of letters and digits with one space between."""
+    """Lower case, no copyright lines, one spelling, and words of letters and digits with one space between.
+
+    Copyright lines go whole, however long and wherever they stand: those with
+    a sign or year, and those with neither unless the line before is prose,
+    whose sentence they may carry on.
+    """
     t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    lines = F.filter(F.split(t, "\n", -1), lambda x, i: ~(x.rlike(HOLDER) | ((i < HEAD) & x.rlike(HEAD_HOLDER))))
+    lines = F.transform(F.filter(_with_last(F.split(t, "\n", -1)), lambda x: ~(x["line"].rlike(HOLDER) | (x["line"].rlike(UNSIGNED) & ~x["last"].rlike(PROSE)))), lambda x: x["line"])
     marked = F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("(c)")) | F.contains(t, F.lit("©")) | F.contains(t, F.lit("all rights reserved"))
     words = _words(F.when(marked, F.array_join(lines, "\n")).otherwise(t))
     return F.when(F.contains(words, F.lit(" boston ma ")) | F.contains(words, F.lit(" mass ave ")), F.regexp_replace(words, ADDRESS, "fsf address")).otherwise(words)

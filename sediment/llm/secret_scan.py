@@ -18,8 +18,8 @@ from .common import bound_arrow
 
 #: Kinds in the order in which spans with one start are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh_key")
-#: Characters of the longest encoded key that is looked for: 48 KB of key, several times the largest in use.
-LONGEST = 1 << 16
+#: No structure that is looked for has more members on one level; a walk over a candidate stops there.
+MEMBERS = 32
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -29,11 +29,14 @@ _DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 #: Where an encoded key may start: a run whose first bytes are a DER sequence (in base64 or hexadecimal) or the OpenSSH
 #: container; runs start at a character outside the alphabet or after a line feed that is written as an escape.
 _START64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))(?:M[A-P][A-Za-z0-9+/_-]{14}|b3BlbnNzaC1rZXktdjEA)")
-_START16 = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{22}")
+_START16 = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{22}|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100)")
 _RUN64, _RUN16 = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+")
 #: How an encoded key goes on in the next line.
 _WRAP = re.compile(r"(?:\r?\n[\x20\t]*|(?:\\r)?\\n)(?=[A-Za-z0-9+/_-])")
 _SSH = b"openssh-key-v1\0"
+#: How a JSON object starts in base64: a brace, then a quote, a space, a tab, a line feed or a carriage return.
+_OBJECTS = ("eyJ", "eyA", "ewk", "ewo", "ew0")
+_OBJECT = re.compile("|".join(_OBJECTS))
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
@@ -58,12 +61,17 @@ def _header(data: bytes, at: int) -> tuple[int, int, int] | None:
     return (data[at], at + 2 + k, n) if n >= 0x80 and n >> 8 * (k - 1) else None
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, value) of the DER values that fill ``data`` exactly; None if they don't."""
-    out, at = [], 0
+def der_items(data: bytes | memoryview, most: int | None = MEMBERS) -> list[tuple[int, memoryview]] | None:
+    """(tag, value) of the DER values that fill ``data`` exactly; None if they don't, or if they are more than ``most``.
+
+    Values are views: only headers are read, however long a value is.
+    """
+    data = memoryview(data)
+    out: list[tuple[int, memoryview]] = []
+    at = 0
     while at < len(data):
         head = _header(data, at)
-        if head is None or head[1] + head[2] > len(data):
+        if head is None or head[1] + head[2] > len(data) or len(out) == most:
             return None
         out.append((head[0], data[head[1] : head[1] + head[2]]))
         at = head[1] + head[2]
@@ -72,13 +80,18 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 def well_formed(data: bytes, depth: int = 0) -> bool:
     """DER values, nested to any sensible depth, that fill ``data`` exactly."""
-    items = der_items(data) if depth < 12 else None
+    items = der_items(data, None) if depth < 12 else None
     return items is not None and all(well_formed(v, depth + 1) for tag, v in items if tag & 0x20)
 
 
+def _positive(v: bytes | memoryview) -> bool:
+    """The content of a positive DER integer, which is written in the fewest bytes."""
+    return 0 < v[0] < 0x80 or len(v) > 1 and v[0] == 0 and v[1] >= 0x80
+
+
 def _integers(items: list[tuple[int, bytes]], n: int, least: int) -> bool:
     """``n`` or more positive integers after a small version, of which the first has ``least`` bytes or more."""
-    return len(items) >= n and all(t == 2 and v for t, v in items[:n]) and len(items[0][1]) == 1 and items[0][1][0] <= 1 and all(v[0] < 0x80 and any(v) for _, v in items[1:n]) and len(items[1][1]) >= least
+    return len(items) >= n and all(t == 2 and v for t, v in items[:n]) and len(items[0][1]) == 1 and items[0][1][0] <= 1 and all(_positive(v) for _, v in items[1:n]) and len(items[1][1]) >= least
 
 
 def _private(items: list[tuple[int, bytes]]) -> bool:
@@ -91,10 +104,10 @@ def _private(items: list[tuple[int, bytes]]) -> bool:
         return items[0][1] == b"\x01" and 16 <= len(items[1][1]) <= 72 and all(t in (0xA0, 0xA1) and well_formed(v) for t, v in items[2:]) and _bits(items[2:])
     if tags[:3] == [2, 0x30, 4]:
         kind = der_items(items[1][1])
-        return items[0][1] in (b"\0", b"\x01") and all(t in (0xA0, 0x81, 0xA1) for t in tags[3:]) and bool(kind) and kind[0][0] == 6 and all(well_formed(v) for t, v in kind if t & 0x20) and _inner(kind[0][1], items[2][1])
+        return items[0][1] in (b"\0", b"\x01") and all(t in (0xA0, 0x81, 0xA1) for t in tags[3:]) and bool(kind) and kind[0][0] == 6 and all(well_formed(v) for t, v in kind if t & 0x20) and _inner(bytes(kind[0][1][:16]), items[2][1])
     if tags == [0x30, 4]:
         kind = der_items(items[0][1])
-        return bool(kind) and kind[0][0] == 6 and kind[0][1].startswith(_ENCRYPTED) and len(kind) == 2 and well_formed(kind[1][1]) and len(items[1][1]) >= 16
+        return bool(kind) and kind[0][0] == 6 and bytes(kind[0][1][:16]).startswith(_ENCRYPTED) and len(kind) == 2 and well_formed(kind[1][1]) and len(items[1][1]) >= 16
     return False
 
 
@@ -128,11 +141,11 @@ def is_private_key(data: bytes) -> bool:
 
 
 def _fields(data: bytes, at: int, n: int | None = None) -> tuple[list[bytes], int]:
-    """Up to ``n`` length-prefixed fields from ``at`` and where they end; -1 if one is cut."""
+    """Up to ``n`` length-prefixed fields from ``at`` and where they end; -1 if one is cut or they are more than MEMBERS."""
     out: list[bytes] = []
     while (n is None and at < len(data)) or (n is not None and len(out) < n):
         size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
+        if at + 4 + size > len(data) or len(out) == MEMBERS:
             return out, -1
         out.append(data[at + 4 : at + 4 + size])
         at += 4 + size
@@ -141,7 +154,8 @@ def _fields(data: bytes, at: int, n: int | None = None) -> tuple[list[bytes], in
 
 def ssh_key_end(data: bytes) -> int:
     """Where the OpenSSH private key container at the start of ``data`` ends; -1 unless its nested lengths hold."""
-    if not data.startswith(_SSH):
+    data = memoryview(data)
+    if data[: len(_SSH)] != _SSH:
         return -1
     (*names, _), at = _fields(data, len(_SSH), 3) if len(data) > 32 else ([b""], -1)
     keys = int.from_bytes(data[at : at + 4], "big") if at >= 0 else 0
@@ -150,7 +164,7 @@ def ssh_key_end(data: bytes) -> int:
     public, at = _fields(data, at + 4, keys)
     for p in public if at >= 0 else [b""]:
         own, end = _fields(p, 0)
-        if end != len(p) or len(own) < 2 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", own[0]):
+        if end != len(p) or len(own) < 2 or len(own[0]) > 64 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", own[0]):
             return -1
     private, at = _fields(data, at, 1)
     if at < 0 or len(private[0]) < 16 or len(private[0]) % 8:
@@ -160,23 +174,29 @@ def ssh_key_end(data: bytes) -> int:
 
 def is_signed_token(head: str, body: str, signature: str) -> bool:
     """The first part decodes to a JSON object that names an algorithm, the second to a JSON object, and there is a signature unless the algorithm is none."""
+    first = _object(head)
+    return first is not None and isinstance(first.get("alg"), str) and (first["alg"] == "none") == (not signature) and _object(body) is not None
+
+
+def _object(part: str) -> dict | None:
     try:
-        first, second = (json.loads(base64.urlsafe_b64decode(x + "=" * (-len(x) % 4))) for x in (head, body))
+        out = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
     except (ValueError, binascii.Error, RecursionError):
-        return False
-    return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict) and (first["alg"] == "none") == (not signature)
+        return None
+    return out if isinstance(out, dict) else None
 
 
 def _tokens(text: str) -> Iterator[tuple[str, int, int]]:
-    """Signed tokens; each part of a dotted run is decoded twice at most."""
+    """Signed tokens. In a part of a dotted run a header is looked for at the first place of each way in which an object starts, so a part is decoded a fixed number of times."""
     for m in _DOTTED.finditer(text):
-        if "eyJ" not in m[0] or m[0].count(".") < 2:
+        if m[0].count(".") < 2 or not _OBJECT.search(m[0]):
             continue
         parts, at, k = m[0].split("."), m.start(), 0
         while k + 2 < len(parts):
-            j = parts[k].find("eyJ")
+            places = sorted(parts[k].find(o) for o in _OBJECTS)
             # a header with an algorithm has 14 characters or more
-            if 0 <= j <= len(parts[k]) - 14 and is_signed_token(parts[k][j:], parts[k + 1], parts[k + 2]):
+            j = next((j for j in places if 0 <= j <= len(parts[k]) - 14 and is_signed_token(parts[k][j:], parts[k + 1], parts[k + 2])), None)
+            if j is not None:
                 end = at + sum(map(len, parts[k : k + 3])) + 2
                 yield "jwt", at + j, end
                 at, k = end + 1, k + 3
@@ -187,7 +207,8 @@ def _tokens(text: str) -> Iterator[tuple[str, int, int]]:
 class _Lines:
     """The encoded characters of wrapped lines from ``at`` on, joined, and the place of each in the text."""
 
-    def __init__(self, text: str, at: int, run: re.Pattern) -> None:
+    def __init__(self, text: str, at: int, run: re.Pattern, width: int) -> None:
+        self.width, self.bytes = width, {}
         self.places, self.offsets, parts, n = [], [], [], 0
         while m := run.match(text, at):
             self.places.append(at)
@@ -199,6 +220,14 @@ class _Lines:
             at = wrap.end()
         self.joined, self.end = "".join(parts), at
 
+    def data(self, offset: int) -> memoryview:
+        """What the characters from ``offset`` on decode to; all offsets of one phase share the bytes."""
+        group, size = (4, 3) if self.width == 6 else (2, 1)
+        phase = offset % group
+        if phase not in self.bytes:
+            self.bytes[phase] = memoryview((_base64 if self.width == 6 else _base16)(self.joined[phase:]))
+        return self.bytes[phase][offset // group * size :]
+
     def offset(self, at: int) -> int:
         k = bisect_right(self.places, at) - 1
         return self.offsets[k] + at - self.places[k]
@@ -214,31 +243,33 @@ def _keys(text: str) -> Iterator[tuple[str, int, int]]:
     """Private keys in base64 (either alphabet) or hexadecimal, in one run or in wrapped lines.
 
     A candidate starts at the start of a run. A DER header states how long
-    the key is, and that many characters are decoded, whatever follows in the
-    next lines; an OpenSSH container ends where its fields do. No start costs
-    more than LONGEST characters, and a confirmed key is not searched again.
+    the key is, whatever follows in the next lines; an OpenSSH container ends
+    where its fields do. The lines of a block are decoded once (once for each
+    phase in which a candidate lies in it), and candidates are views of that:
+    a start costs the headers of its members, however long a key it states.
+    A confirmed key is not searched again.
     """
     for start, run, width in ((_START64, _RUN64, 6), (_START16, _RUN16, 4)):
-        decode, done, lines = _base64 if width == 6 else bytes.fromhex, 0, None
+        done, lines = 0, None
         for m in start.finditer(text):
             at = m.start()
             if at < done:
                 continue
             if lines is None or at >= lines.end:
-                lines = _Lines(text, at, run)
+                lines = _Lines(text, at, run, width)
             o = lines.offset(at)
-            if ssh := m[0][0] == "b":
-                # names come first; what has none is not decoded further
-                named = 4 <= int.from_bytes(decode(lines.joined[o : o + 28])[15:19], "big") <= 64
-                end = ssh_key_end(decode(lines.joined[o : o + LONGEST])) if named else -1
+            if ssh := m[0][0] in "b6":
+                end = ssh_key_end(lines.data(o))
             else:
-                head = _header(decode(m[0][: len(m[0]) // 4 * 4]), 0)
-                end = head[1] + head[2] if head else -1
+                # the first octets: a sequence that fits what follows, and in it a version or a sequence
+                first = _base64(m[0]) if width == 6 else bytes.fromhex(m[0])
+                head = _header(first, 0)
+                end = head[1] + head[2] if head and first[head[1]] in (2, 0x30) else -1
             need = -(-8 * end // width)
-            if not 24 <= end or need > min(LONGEST, len(lines.joined) - o):
+            if not 24 <= end or need > len(lines.joined) - o:
                 continue
             stop, line_ends = lines.place(o + need)
-            if not line_ends or not (ssh or is_private_key(decode(lines.joined[o : o + need])[:end])):
+            if not line_ends or not (ssh or is_private_key(lines.data(o)[:end])):
                 continue
             pad = -need % 4 if width == 6 else 0
             while pad and text[stop : stop + 1] == "=":
@@ -247,6 +278,10 @@ def _keys(text: str) -> Iterator[tuple[str, int, int]]:
             done = stop
 
 
+def _base16(text: str) -> bytes:
+    return bytes.fromhex(text[: len(text) // 2 * 2])
+
+
 def _base64(text: str) -> bytes:
     """Of either alphabet; what is left after whole bytes is dropped."""
     text = text.replace("-", "+").replace("_", "/")
@@ -263,7 +298,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
-    if "eyJ" in text:
+    if _OBJECT.search(text):
         out += _tokens(text)
     out += _keys(text)
     return sorted(set(out), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -285,9 +320,10 @@ def secret_spans(docs: DataFrame, text: str = "text", into: str = "secret_spans"
     level, octet strings of PKCS#8 included (RSA, DSA, elliptic curves,
     Edwards curves, encrypted keys); ``ssh_key`` an OpenSSH private key
     container whose length-prefixed fields fit; ``jwt`` a token whose header
-    is JSON with an algorithm and whose body is JSON. Public keys and
-    certificates are no secrets and are not reported. The cost is linear in
-    the text, whatever it holds.
+    is JSON with an algorithm, with any white space, and whose body is JSON.
+    Public keys and certificates are no secrets and are not reported. No
+    candidate is too long. The cost is linear in the text and in the members
+    of its candidates.
 
     Null and empty texts have no spans. Each row is scanned whole and by
     itself, so repeated rows repeat their result; all columns of ``docs`` stay

@@ -202,6 +202,30 @@ def test_signed_tokens():
         assert found(bad) == []
 
 
+@pytest.mark.parametrize("head", ['{"alg":"HS256"}', '{ "alg": "HS256" }', '{\n  "alg": "HS256"\n}', '{\r\n"alg":"HS256"}', '{\t"alg":"HS256"}'])
+def test_headers_with_white_space(head):
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    token = f"{part(head)}.{part('{ }')}.c2ln"
+    assert found(f"x {token} y") == [("jwt", token)] and found(f"{'ewkx' if token[:3] != 'ewk' else 'ewox'}-{token}") == [("jwt", token)]
+
+
+def test_ssh_keys_in_hexadecimal():
+    for text in (ssh().hex(), ssh().hex().upper()):
+        wrapped = "\n".join(text[k : k + 64] for k in range(0, len(text), 64))
+        assert found(f"({text})") == [("ssh_key", text)] and found(f"{wrapped}\nzz") == [("ssh_key", wrapped)]
+
+
+@pytest.mark.parametrize("n", [30_000, 60_000, 400_000])
+def test_keys_of_any_length(n):
+    other = bytes.fromhex("06042b060102")
+    key = der(0x30, integer(0), der(0x30, other), der(4, der(4, RNG.randbytes(n))))
+    one = base64.b64encode(key).decode()
+    wrapped = "\n".join(one[k : k + 64] for k in range(0, len(one), 64))
+    assert found(f"{wrapped}\n-----END") == [("der", wrapped)] and found(key.hex()) == [("der", key.hex())]
+    data = ssh(public=field(b"ssh-rsa") + field(RNG.randbytes(n)))
+    assert [k for k, _ in found(base64.b64encode(data).decode())] == ["ssh_key"]
+
+
 def test_random_bytes_are_no_secrets():
     rng = random.Random(1)
     for _ in range(300):
@@ -209,7 +233,7 @@ def test_random_bytes_are_no_secrets():
         assert found(base64.b64encode(data).decode()) == [] and found(base64.b64encode(der(0x30, data)).decode()) == []
 
 
-@pytest.mark.parametrize("line", ["abcdefghijklmnopqrst\n", "A" * 64 + "\n", "MIICdgIBADANBgkqhkiG9w0BAQEFAASCAmAwggJcAgEAAoGBAL" + "A" * 14 + "\n", "eyJ", "eyJ.", "30820400", "password  ", "token=:"])
+@pytest.mark.parametrize("line", ["abcdefghijklmnopqrst\n", "A" * 64 + "\n", "MIICdgIBADANBgkqhkiG9w0BAQEFAASCAmAwggJcAgEAAoGBAL" + "A" * 14 + "\n", "eyJ", "eyJ.", "30820400", "password  ", "token=:", "MILvyAIBADANBgkqhkiG9w0BAQEFAASC77QwggJcAgEAAoGBAL" + "A" * 14 + "\n", "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAA" + "A" * 8 + "\n", "ewo", "ewk.", "30840010000002010030"])
 def test_cost_is_linear_in_the_text(line):
     small, large = (line * (n // len(line)) for n in (250_000, 2_000_000))
     took = []

@@ -114,6 +114,9 @@ def test_licenses(spark):
         (104, "The MIT License (MIT)\n\nCopyright Jane Doe\nCopyright The X Authors. All rights reserved.\n\n" + textwrap.fill(mit, 40), "MIT"),
         (105, "# " + SHORT["BSD-2-Clause"].replace("\n", "\n# "), "BSD-2-Clause"),
         (106, "copyright notice and so on\n" + mit, None),
+        (107, "Copyright (c) 2020 " + ", ".join(f"Holder Number {k}" for k in range(40)) + "\n\n" + mit, "MIT"),
+        (108, "\n" * 8 + "Copyright Jane Doe\n\n" + mit, "MIT"),
+        (109, mit + "\n\nCopyright Jane Doe\nCopyright " + "John Roe, " * 30, "MIT"),
     ]
     for k, (i, t) in enumerate(LONG):
         texts += [(200 + 2 * k, t, i), (201 + 2 * k, t.replace("  ", " ").replace("\n", "\r\n"), i)]
@@ -141,9 +144,21 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_license_texts_keep_their_digests_when_wrapped_anew():
+    """Lines that wrapping makes start with the word copyright carry on a sentence, and are not taken for holders."""
+    known = {}
+    for i, t in license_texts.registry():
+        known.setdefault(license_oracle.digest(t), set()).add(i)
+    assert all(len(v) == 1 for v in known.values())
+    for i, t in license_texts.registry():
+        for width in (60, 72, 100):
+            again = "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False) for p in re.split(r"\n[ \t]*\n", t))
+            assert license_oracle.digest(again) == license_oracle.digest(t), (i, width)
+
+
 def test_license_sql_agrees_on_awkward_texts(spark):
     rng = random.Random(2)
-    parts = ["copyright", "Copyright", " (c) ", "©", "\n", "\n\n", "\r\n", " 2020 ", "holder", "Jane", "https://x", "licence", "&", "all rights reserved", "per cent", "é", "—", " ", "# ", "under", "Licensed under ", "the ", "MIT", "apache 2.0", "SPDX-License-Identifier: ", "Boston, MA", "51 Franklin St, ", "02110-1301", "x" * 190, "漢", "\t"]
+    parts = ["copyright", "Copyright", " (c) ", "©", "\n", "\n\n", "\r\n", " 2020 ", "holder", "Jane", "https://x", "licence", "&", "all rights reserved", "per cent", "é", "—", " ", "# ", "under", "Licensed under ", "the ", "MIT", "apache 2.0", "SPDX-License-Identifier: ", "Boston, MA", "51 Franklin St, ", "02110-1301", "x" * 190, "漢", "\t", "a b c d ", "e f g h i "]
     rows = [(k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for k in range(4000)] + [(-1, None), (-2, "")] + [(-10 - k, t) for k, (_, t) in enumerate(LONG)]
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}))
