@@ -7,10 +7,11 @@ import re
 
 from .license_texts import names, registry
 
-_SIGNED = re.compile(r"[^a-z0-9]*(copyright( \(c\)|:| ©| [0-9<\[{(])|\(c\)|©|all rights reserved)")
-_NAMED = re.compile(r"[^a-z0-9]*copyright ([a-z]+\b)?", re.A)
+_SIGNED = re.compile(r"[^a-z0-9]*(copyright( \(c\)|:| ©| [0-9<\[{(])|\(c\) *(copyright|[0-9<\[{©])|©|all rights reserved)")
+_NAMED = re.compile(r"[^a-z0-9]*(copyright |\(c\) *)([a-z]+\b)?", re.A)
 _SIGN = re.compile(r"[^a-z0-9]*(copyright|\(c\)|©)")
 _SENTENCE = "notice notices holder holders owner owners law laws license licenses statement statements interest interests and or in is to of as".split()
+_MEMBER = "you the under if any all each to in for by representations".split()
 
 
 def _low(t: str) -> str:
@@ -30,7 +31,7 @@ def canonical(t: str | None) -> str:
     for line in _low(t or "").split("\n"):
         prose = len(re.findall("[a-z0-9]+", last)) > 8 and not _SIGN.match(last)
         named, last = None if prose else _NAMED.match(line), line
-        if not (_SIGNED.match(line) or named and named[1] not in _SENTENCE):
+        if not (_SIGNED.match(line) or named and named[2] not in (_MEMBER if named[1][0] == "(" else _SENTENCE)):
             kept.append(line)
     out = words("\n".join(kept))
     for place in ("675 mass ave cambridge ma 02139", "59 temple place suite 330 boston ma 02111 1307", "59 temple place boston ma 02111 1307", *(f"51 franklin st{a}{b} boston ma 02110 1301" for a in ("reet", "") for b in (" fifth floor", ""))):
@@ -50,8 +51,9 @@ def sql() -> str:
 WITH known(digest, license_id) AS (VALUES {values(texts)}), named(name, license) AS (VALUES {values(known)}),
 low AS (SELECT row_number() OVER () AS rid, doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS ls FROM documents),
 kept AS (SELECT rid, doc_id, ls, array_to_string(list_filter(ls, lambda x, i: NOT (
-  regexp_matches(x, '^[^a-z0-9]*(copyright( \(c\)|:| ©| [0-9<\[{{(])|\(c\)|©|all rights reserved)')
-  OR regexp_matches(x, '^[^a-z0-9]*copyright ') AND (i = 1 OR len(regexp_extract_all(ls[i - 1], '[a-z0-9]+')) <= 8 OR regexp_matches(ls[i - 1], '^[^a-z0-9]*(copyright|\(c\)|©)')) AND NOT regexp_matches(x, '^[^a-z0-9]*copyright (notices?|holders?|owners?|laws?|licenses?|statements?|interests?|and|or|in|is|to|of|as)\b'))), chr(10)) AS t FROM low),
+  regexp_matches(x, '^[^a-z0-9]*(copyright( \(c\)|:| ©| [0-9<\[{{(])|\(c\) *(copyright|[0-9<\[{{©])|©|all rights reserved)')
+  OR regexp_matches(x, '^[^a-z0-9]*(copyright |\(c\))') AND (i = 1 OR len(regexp_extract_all(ls[i - 1], '[a-z0-9]+')) <= 8 OR regexp_matches(ls[i - 1], '^[^a-z0-9]*(copyright|\(c\)|©)')) AND NOT regexp_matches(x, '^[^a-z0-9]*copyright (notices?|holders?|owners?|laws?|licenses?|statements?|interests?|and|or|in|is|to|of|as)\b')
+    AND NOT regexp_matches(x, '^[^a-z0-9]*\(c\) *(you|the|under|if|any|all|each|to|in|for|by|representations)\b'))), chr(10)) AS t FROM low),
 lines AS (SELECT rid, unnest(ls) AS t FROM low),
 units AS (SELECT rid, 'text' AS part, t FROM kept UNION ALL SELECT rid, 'line', t FROM lines WHERE contains(t, 'under') OR contains(t, 'identifier')),
 spelt AS (SELECT rid, part, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, 'https://', 'http '), 'http://', 'http '), 'licence', 'license'), 'sub-licens', 'sublicens'), 'non-infring', 'noninfring'),

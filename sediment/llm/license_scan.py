@@ -27,9 +27,9 @@ SPELLINGS = (
 #: The addresses that the Free Software Foundation has had, as they stand in words; all become one.
 ADDRESS = r"(?:675 mass ave cambridge ma 02139|59 temple place(?: suite 330)? boston ma 02111 1307|51 franklin st(?:reet)?(?: fifth floor)? boston ma 02110 1301)(?: usa)?"
 #: Lines that name a holder with a sign or year, or reserve rights, after any comment sign, wherever they stand.
-HOLDER = r"^[^a-z0-9]*(?:copyright(?: \(c\)|:| ©| [0-9<\[{(])|\(c\)|©|all rights reserved)"
-#: Lines that name one without a sign or year, unless a sentence goes on in them.
-UNSIGNED = r"^[^a-z0-9]*copyright (?!(?:notices?|holders?|owners?|laws?|licenses?|statements?|interests?|and|or|in|is|to|of|as)\b)"
+HOLDER = r"^[^a-z0-9]*(?:copyright(?: \(c\)|:| ©| [0-9<\[{(])|\(c\) *(?:copyright|[0-9<\[{©])|©|all rights reserved)"
+#: Lines that name one with less: the word or the letter in brackets, unless a sentence or a member of a list goes on.
+UNSIGNED = r"^[^a-z0-9]*(?:copyright (?!(?:notices?|holders?|owners?|laws?|licenses?|statements?|interests?|and|or|in|is|to|of|as)\b)|\(c\) *+(?!(?:you|the|under|if|any|all|each|to|in|for|by|representations)\b))"
 #: A line of more than eight words that is no copyright line: prose, which may go on in the next line.
 PROSE = r"^(?![^a-z0-9]*(?:copyright|\(c\)|©))[^a-z0-9]*(?:[a-z0-9]+[^a-z0-9]+){8}[a-z0-9]"
 #: How a notice of one line leads up to a licence's name, in canonical words.
@@ -56,7 +56,7 @@ def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, one spelling, and words of letters and digits with one space between.
 
     Copyright lines go whole, however long and wherever they stand: those with
-    a sign or year, and those with neither unless the line before is prose,
+    a sign and year, and those with less unless the line before is prose,
     whose sentence they may carry on.
     """
     t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
