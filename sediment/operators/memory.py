@@ -24,6 +24,28 @@ def long_term(memory: DataFrame, now: Column, k: int = DEFAULT.memory_top_k, vec
     return last_n(near.filter("dist is not null"), ["user_id"], [F.col("dist"), F.col("id")], k)
 
 
+def recalled(memory: DataFrame, asks: DataFrame, now: Column, k: int = DEFAULT.memory_top_k) -> DataFrame:
+    """(ask_id, user_id, id, dist, rn): for each ask its user's ``k`` nearest live entries, or the newest if it has no vector.
+
+    asks: ask_id, user_id, vector (null: newest entries, dist null); ask_id is
+    unique. Entries that expired go, and for an ask with a vector those that
+    have none or none of any length. Ties go by id. A user without live
+    entries gives no rows; rows with a null user meet none.
+
+    Entries meet asks by user, so a batch of asks reads the memory once. Each
+    task keeps its ``k`` best of an ask before rows are dealt by ask (the limit
+    on the rank is pushed below that exchange), so a user who holds a third of
+    all entries sends ``k`` rows a task.
+    """
+    live = memory.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now)).select("user_id", "id", "updated_at", "embedding")
+    met = live.join(asks.select("ask_id", "user_id", "vector"), "user_id")
+    dist = F.round(1 - similarity.cosine(F.col("embedding"), F.col("vector")), 6)
+    near = met.withColumn("dist", F.when(F.col("vector").isNotNull(), dist)).filter(F.col("vector").isNull() | F.col("dist").isNotNull()).drop("embedding", "vector")
+    newest = F.when(F.col("dist").isNull(), F.col("updated_at"))
+    best = near.withColumn("rn", F.row_number().over(Window.partitionBy("ask_id").orderBy("dist", newest.desc_nulls_last(), F.when(F.col("dist").isNull(), -F.col("id")).otherwise(F.col("id"))))).filter(F.col("rn") <= k)
+    return best.select("ask_id", "user_id", "id", "dist", "rn")
+
+
 def counters(offered: DataFrame) -> DataFrame:
     """Per conversation: turns offered (what its counter adds) and stored (blank ones are not), which may differ."""
     return offered.groupBy("conv_id").agg(F.count(F.lit(1)).alias("offered"), F.count_if(F.length(F.btrim(F.coalesce("content", F.lit("")), F.lit(" \t\r\n"))) > 0).alias("stored"))

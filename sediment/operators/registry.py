@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sheets import write_sheets
 from . import policy
 
 ARGUMENT_TYPES = ("str", "int", "enum")
@@ -84,6 +85,51 @@ def bulk(rows: DataFrame, arguments: Column) -> DataFrame:
     return rows.withColumn("arguments", arguments).withColumn("problem", definition_problem(F.col("tool_name"), F.col("exec_command"), F.col("arguments"), F.col("host_mode")))
 
 
+#: Headings and labels of the form in which commands are exported and uploaded again.
+BASE_HEADINGS = ("이름", "설명", "실행 커맨드", "실행 위치", "활성", "필요 역할")
+ARGUMENT_HEADINGS = ("이름", "설명", "타입", "필수", "기본값", "선택지")
+TYPE_LABELS = {"str": "문자열", "int": "정수", "enum": "선택형"}
+HOST_LABELS = {"login_server": "로그인 서버", "target_server": "대상 서버"}
+ROLES = ("admin", "user")
+
+
+def command_rows(commands: DataFrame, slots: int = 4) -> DataFrame:
+    """Commands as rows of the form: six columns, then six for each of the first ``slots`` arguments.
+
+    commands: title, description, exec_command, host_mode, enabled,
+    required_roles (array), args (array of name, description, type, required,
+    default, choices). Nulls are empty cells; an unknown or missing type is
+    text, a missing host the login server, any other but it the target; an
+    unused slot has the labels of text and of not required.
+    """
+    empty = F.array().cast("array<string>")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    yes = lambda c: F.when(c, "Y").otherwise("N")
+    host = F.coalesce(F.nullif("host_mode", F.lit("")), F.lit("login_server"))
+    cells = [text(F.col("title")), text(F.col("description")), text(F.col("exec_command")), F.when(host == "login_server", HOST_LABELS["login_server"]).otherwise(HOST_LABELS["target_server"]), yes(F.col("enabled")), F.array_join(F.coalesce("required_roles", empty), ", ")]
+    names = list(BASE_HEADINGS)
+    for k in range(slots):
+        a = F.get("args", F.lit(k))
+        kind = F.when(a["type"] == "int", TYPE_LABELS["int"]).when(a["type"] == "enum", TYPE_LABELS["enum"]).otherwise(TYPE_LABELS["str"])
+        cells += [text(a["name"]), text(a["description"]), kind, yes(a["required"]), text(a["default"]), F.array_join(F.coalesce(a["choices"], empty), "\n")]
+        names += [f"인자{k + 1} {h}" for h in ARGUMENT_HEADINGS]
+    return commands.select(*[c.alias(n) for c, n in zip(cells, names, strict=True)])
+
+
+def form_lists(columns: list[str]) -> tuple[dict[str, list[str]], tuple[str, ...]]:
+    """Drop-down lists of the form's columns, and the columns that also take other values."""
+    lists = {"타입": list(TYPE_LABELS.values()), "필수": ["Y", "N"], "활성": ["Y", "N"], "실행 위치": list(HOST_LABELS.values()), "필요 역할": ["", *ROLES]}
+    field = {c: c.split(" ", 1)[-1] if c.startswith("인자") else c for c in columns}
+    return {c: lists[f] for c, f in field.items() if f in lists}, tuple(c for c, f in field.items() if f == "필요 역할")
+
+
+def export_commands(commands: DataFrame, path: str, slots: int = 4, mode: str = "overwrite") -> None:
+    """Workbooks of the form under ``path``, in order of title, with its drop-down lists."""
+    rows = command_rows(commands, slots)
+    lists, free = form_lists(rows.columns)
+    write_sheets(rows.orderBy(F.col(f"`{BASE_HEADINGS[0]}`")), path, lists, free, sheet="커맨드", mode=mode)
+
+
 def edit_records(records: DataFrame, edits: DataFrame) -> DataFrame:
     """Records after edits (id, question, answer): an edited one loses its label and vector."""
     e = edits.select("id", F.col("question").alias("__q"), F.col("answer").alias("__a"), F.lit(True).alias("__e"))

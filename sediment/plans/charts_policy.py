@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import charts, ingest, policy
+from ..operators import charts, ingest, policy, registry
+from ..scratch import scratch_path
+from ..sources import tables
 from .registry import load, query
 
 _POINTS = "points AS (SELECT strftime(o_orderdate, '%Y-%m') AS label, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS series_no, round(sum(CASE WHEN o_orderkey % 5 = 0 THEN -o_totalprice ELSE o_totalprice END), 2) AS value FROM orders GROUP BY 1, 2)"
@@ -109,6 +111,28 @@ def argument_slots(spark, sf_dir):
     return s.select("c_custkey", F.size("s").alias("n"), F.aggregate("s", F.lit(0), lambda a, x: F.when(x["name"] == "mode", F.size(x["choices"])).otherwise(a)).alias("n_choices"))
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 > 0 THEN 'path|' || c_name || '|' || CASE WHEN c_custkey % 4 = 2 THEN '정수' ELSE '문자열' END || '|Y|/tmp|' ELSE '||문자열|N||' END AS a1,
+  CASE WHEN c_custkey % 4 > 1 THEN 'mode||선택형|N||x: one' || chr(10) || 'y_x0041_<&>' ELSE '||문자열|N||' END AS a2, c_name, c_nationkey, c_mktsegment, c_acctbal FROM customer)
+SELECT 'cmd ' || k || '|' || c_name || ' & <' || c_mktsegment || '>|run ' || k || ' {path}|' || CASE WHEN k % 3 = 1 THEN '대상 서버' ELSE '로그인 서버' END || '|' || CASE WHEN c_acctbal > 0 THEN 'Y' ELSE 'N' END || '|' || CASE WHEN k % 5 = 0 THEN c_mktsegment || ', user' ELSE '' END
+  || '|' || a1 || '|' || a2 || '|||문자열|N|||||문자열|N||' AS cells, count(*) AS n FROM c GROUP BY 1""")
+def command_export(spark, sf_dir):
+    """Commands made of customers are written as workbooks and read again; a header row starts each workbook."""
+    k, lit = F.col("c_custkey"), lambda *x: F.array(*map(F.lit, x))
+    arg = lambda name, about, kind, required, default, choices: F.struct(F.lit(name).alias("name"), about.alias("description"), kind.alias("type"), F.lit(required).alias("required"), F.lit(default).cast("string").alias("default"), choices.alias("choices"))
+    path = arg("path", F.col("c_name"), F.when(k % 4 == 2, "int"), True, "/tmp", F.lit(None).cast("array<string>"))
+    mode = arg("mode", F.lit(None).cast("string"), F.lit("enum"), False, None, lit("x: one", "y_x0041_<&>"))
+    commands = load(spark, sf_dir, "customer").select(
+        F.concat(F.lit("cmd "), k).alias("title"), F.concat("c_name", F.lit(" & <"), "c_mktsegment", F.lit(">")).alias("description"), F.concat(F.lit("run "), k, F.lit(" {path}")).alias("exec_command"),
+        F.when(k % 3 == 1, "target_server").when(k % 3 == 2, "login_server").alias("host_mode"), (F.col("c_acctbal") > 0).alias("enabled"), F.when(k % 5 == 0, F.array("c_mktsegment", F.lit("user"))).alias("required_roles"),
+        F.when(k % 4 > 1, F.array(path, mode)).when(k % 4 == 1, F.array(path)).alias("args"),
+    )
+    out = scratch_path(spark, "command_export")
+    registry.export_commands(commands, out)
+    rows = tables.read_tables(spark, out, "*.xlsx").filter("row_no > 0")
+    cells = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.coalesce(F.get("cells", i), F.lit(""))), "|")
+    return rows.groupBy(cells.alias("cells")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _SHEET = """sheet AS (SELECT CAST(s_suppkey AS VARCHAR) AS file, r AS row_no, CASE WHEN r = 0 THEN ['A long report title that runs far over forty characters, really', ''] WHEN r = 1 THEN ['', ''] WHEN r = 2 + s_suppkey % 2 THEN ['name', 'value', 'kind']
   WHEN r = 2 THEN ['note', 'note'] ELSE [s_name || r, CASE WHEN r % 4 = 0 THEN '' ELSE CAST(s_acctbal AS VARCHAR) END, 'k'] END AS cells FROM supplier, (SELECT unnest(range(8)) AS r))"""
 

@@ -23,6 +23,22 @@ def long_term_recent(spark, sf_dir):
     return memory.long_term(m, F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"), 5).select("id", "user_id")
 
 
+_ASKS = """m AS (SELECT e.vec_id AS id, e.vec_id % 20 AS user_id, v.ts AS updated_at, CASE WHEN e.vec_id % 3 <> 0 THEN v.ts + INTERVAL 10 DAY END AS expires_at, CASE WHEN e.vec_id % 11 <> 0 THEN e.embedding END AS embedding FROM embeddings e JOIN events v ON v.event_id = e.vec_id),
+asks AS (SELECT vec_id AS ask_id, vec_id % 20 AS user_id, CASE WHEN vec_id % 2 = 0 THEN embedding END AS vector FROM embeddings WHERE vec_id % 25 < 2),
+met AS (SELECT a.ask_id, a.user_id, m.id, m.updated_at, a.vector IS NULL AS recent, CASE WHEN a.vector IS NOT NULL AND m.embedding IS NOT NULL THEN round(1 - list_cosine_similarity(CAST(m.embedding AS DOUBLE[]), CAST(a.vector AS DOUBLE[])), 6) + 0.0 END AS dist
+  FROM m JOIN asks a ON a.user_id = m.user_id WHERE m.expires_at IS NULL OR m.expires_at > TIMESTAMP '2024-01-25 00:00:00')"""
+
+
+@query(f"WITH {_ASKS} SELECT ask_id, user_id, id, dist, row_number() OVER (PARTITION BY ask_id ORDER BY dist, CASE WHEN recent THEN updated_at END DESC, CASE WHEN recent THEN -id ELSE id END) AS rn FROM met WHERE recent OR dist IS NOT NULL QUALIFY rn <= 5")
+def long_term_recalled(spark, sf_dir):
+    """Two asks a block of 25 vectors, every other by a vector; entries and vectors meet events by id."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 20).alias("user_id"))
+    asks = e.filter("vec_id % 25 < 2").select(F.col("vec_id").alias("ask_id"), "user_id", F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).alias("vector"))
+    m = e.join(load(spark, sf_dir, "events").select("event_id", "ts"), F.col("event_id") == F.col("vec_id"))
+    m = m.select(F.col("vec_id").alias("id"), "user_id", F.col("ts").alias("updated_at"), F.when(F.col("vec_id") % 3 != 0, F.col("ts") + F.expr("INTERVAL 10 DAY")).alias("expires_at"), F.when(F.col("vec_id") % 11 != 0, F.col("embedding")).alias("embedding"))
+    return memory.recalled(m, asks, F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
+
+
 @query("SELECT conv_id, count(*) AS offered, count(*) FILTER (WHERE turn % 3 <> 0 AND trim(text) <> '') AS stored FROM conversations GROUP BY 1")
 def turn_counters(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("turn") % 3 == 0, "  \n").otherwise(F.col("text")).alias("content"))

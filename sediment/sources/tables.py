@@ -48,6 +48,11 @@ def delimited(data: bytes, name: str) -> list[list[str]]:
     return [[c.strip() for c in row] for row in csv.reader(io.StringIO(text, newline=""), delimiter=sep)]
 
 
+def _unescaped(value: str) -> str:
+    """Characters that XML can't hold stand as _xHHHH_ in cells of text."""
+    return re.sub("_x(?![dD][89a-fA-F])([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), value) if "_x" in value else value
+
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -56,7 +61,7 @@ def spreadsheet(data: bytes) -> list[list[str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+            shared = [_unescaped("".join(t.text or "" for t in si.iter(f"{_NS}t"))) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
         sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
         rows: list[list[str]] = []
         for row in ElementTree.fromstring(z.read(sheets[0])).iter(f"{_NS}row"):
@@ -69,7 +74,7 @@ def spreadsheet(data: bytes) -> list[list[str]]:
                     at = at * 26 + ord(ch) - 64
                 cells += [""] * (max(at, len(cells) + 1) - len(cells))
                 v = c.find(f"{_NS}v")
-                value = "".join(t.text or "" for t in c.iter(f"{_NS}t")) if c.get("t") == "inlineStr" else (v.text or "" if v is not None else "")
+                value = _unescaped("".join(t.text or "" for t in c.iter(f"{_NS}t"))) if c.get("t") == "inlineStr" else (v.text or "" if v is not None else "")
                 cells[max(at, 1) - 1] = (shared[int(value)] if c.get("t") == "s" and value else value).strip()
             rows.append(cells)
     return rows
