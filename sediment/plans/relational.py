@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import pii
 from ..operators import relational as O
+from ..operators.keyed_table import KeyedTable
+from ..scratch import scratch_path
 from . import corpus
 from .corpus import CHUNKS_SQL, FILES_SQL, RECORDS_SQL
 from .registry import load, query
@@ -185,6 +187,21 @@ def _delta(c):
     return part(7, "*", 1, 1).unionByName(part(14, "**", 2, 2)).unionByName(part(50, "", 0, 1, 1_000_000))
 
 
+@query("""WITH delta AS (SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT -o_orderkey, 'N', o_totalprice FROM orders WHERE o_orderkey % 70 = 0 AND o_orderkey <> 0),
+u AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM delta) UNION ALL SELECT * FROM delta)
+SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'big' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM u""")
+def upsert_in_place(spark, sf_dir):
+    """Orders as a table in files, changed by an upsert and then by a conditional update."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    k = F.col("o_orderkey")
+    twice = o.filter(k % 50 == 0).select("o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    table = KeyedTable(scratch_path(spark, "orders"), ("o_orderkey",), o.schema, 16)
+    table.create(o)
+    table.upsert(twice.unionByName(o.filter((k % 70 == 0) & (k != 0)).select((-k).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_totalprice")))
+    table.update(spark, F.col("o_totalprice") > 400_000, {"o_orderstatus": F.lit("big")})
+    return table.read(spark)
+
+
 @query(f"WITH {_DELTA}, u AS (SELECT c_custkey, c_name, c_acctbal, 0 AS o FROM customer UNION ALL SELECT * FROM delta) SELECT c_custkey, c_name, c_acctbal FROM u QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o DESC) = 1")
 def upsert_latest(spark, sf_dir):
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
