@@ -236,8 +236,9 @@ s AS (SELECT kw.qid, kw.rn, round(kw.terms / nt.n, 6) AS score FROM kw JOIN nt U
 r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rn) AS pos FROM s WHERE score >= 0.05)
 SELECT kw.qid, count(*) AS candidates, any_value(coalesce(r.n, 0)) AS ranked, any_value(least(coalesce(r.n, 0), 10)) AS final FROM kw LEFT JOIN (SELECT qid, count(*) AS n FROM r GROUP BY 1) r USING (qid) GROUP BY 1""")
 def search_stage_counts(spark, sf_dir):
+    """Each stage is counted and read by the next, so the corpus is searched once and its candidates are written."""
     q = R.bounded(corpus.queries(spark, sf_dir))
-    kw = R.keyword_axis(q, published(spark, sf_dir))
+    kw = materialize(R.keyword_axis(q, published(spark, sf_dir)), "keyword")
     n = q.select("qid", F.size(F.array_distinct(F.transform(text.prefixes(F.col("query")), lambda x: F.lower(x)))).alias("n"))
     ranked = R.rerank(kw.join(F.broadcast(n), "qid"), F.round(F.col("terms") / F.col("n"), 6), DEFAULT.axis_limit)
     return R.stage_counts(candidates=kw, ranked=ranked, final=ranked.filter("pos <= 10"))
