@@ -109,6 +109,31 @@ def hard_cut(t: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(t) / size).cast("int") - 1)), lambda i: F.substr(t, i * size + 1, F.lit(size)))
 
 
+def packed(t: Column, size: int, overlap: int) -> Column:
+    """Pieces of whole paragraphs up to ``size``, longer ones cut hard, each with the end of the one before it; ``udfs.pack_paragraphs`` as an expression."""
+    t = F.coalesce(t, F.lit(""))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"))
+
+    def add(a: Column, p: Column) -> Column:
+        last = a["last"]
+        fits = (last != "") & (F.length(last) + F.length(p) + 2 <= size)
+        own = F.when(fits, F.concat(last, F.lit("\n\n"), p)).otherwise(p)
+        return F.struct(F.when(fits | (F.coalesce(last, F.lit("")) == ""), a["done"]).otherwise(F.concat(a["done"], F.array(last))).alias("done"), own.alias("last"))
+
+    whole = F.aggregate(F.split(t, "\n\n", -1), start, add, lambda a: F.concat(a["done"], F.array(a["last"])))
+    cut = F.when(F.length(t) <= size, F.array(t)).otherwise(F.flatten(F.transform(F.filter(whole, lambda p: p != ""), lambda p: hard_cut(p, size))))
+    if overlap <= 0:
+        return cut
+
+    def after(before: Column, own: Column) -> Column:
+        tail = F.right(before, F.lit(overlap))
+        at = F.instr(tail, " ")
+        return F.concat(F.when((at > 0) & (at < F.length(tail)), F.substr(tail, at + 1)).otherwise(tail), F.lit("\n"), own)
+
+    # the pieces are bound to an outer variable, as each looks at the one before it
+    return F.flatten(F.transform(F.array(cut), lambda c: F.transform(c, lambda own, i: F.when(i == 0, own).otherwise(after(F.get(c, i - 1), own)))))
+
+
 def clip(t: Column, n: int, marker: str = "…") -> Column:
     """The first ``n`` characters and the marker where the text is longer; 0 or less: no clipping."""
     return t if n <= 0 else F.when(F.length(t) > n, F.concat(F.substr(t, F.lit(1), F.lit(n)), F.lit(marker))).otherwise(t)

@@ -86,7 +86,7 @@ SELECT doc_id, seq, CASE WHEN tail IS NULL THEN own ELSE CASE WHEN strpos(tail,
 
 @query(_PACKED)
 def packed_chunks(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(udfs.pack_paragraphs_udf("text")).alias("seq", "chunk_text"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.packed(F.col("text"), 1500, 200)).alias("seq", "chunk_text"))
 
 
 @query("SELECT c_custkey, array_to_string(list_filter(['name: ' || trim(c_name), CASE WHEN c_custkey % 2 = 0 THEN 'segment: ' || trim(c_mktsegment) END], lambda x: x IS NOT NULL), chr(10)) AS body FROM customer")

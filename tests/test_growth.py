@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sediment.functions import text, udfs
 from sediment.plans import QUERIES
 
 
@@ -15,3 +16,13 @@ def plan(df):
 
 def test_stage_counts_search_the_corpus_once(spark, sf):
     assert "MapInPandas" not in plan(QUERIES["search_stage_counts"](spark, sf))
+
+
+def test_paragraphs_are_packed_without_python(spark, sf):
+    assert "Python" not in plan(QUERIES["packed_chunks"](spark, sf))
+    rng = random.Random(2)
+    texts = [None, "", "\n\n", "a" * 25, "\n\n" + "b " * 30, "x" * 12 + "\n\n"] + ["".join(rng.choice("ab é\n\n서") for _ in range(rng.randint(0, 90))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for size, overlap in ((10, 4), (20, 0), (7, 20)):
+        got = {r.id: r.p for r in rows.select("id", text.packed(F.col("t"), size, overlap).alias("p")).collect()}
+        assert got == {i: udfs.pack_paragraphs(t, size, overlap) for i, t in enumerate(texts)}
