@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import random
+import tracemalloc
 
 from pyspark.sql import functions as F
 
 from sediment.functions import text, udfs
 from sediment.plans import QUERIES
+from sediment.sources import sheets, tables
 
 
 def plan(df):
@@ -26,3 +29,18 @@ def test_paragraphs_are_packed_without_python(spark, sf):
     for size, overlap in ((10, 4), (20, 0), (7, 20)):
         got = {r.id: r.p for r in rows.select("id", text.packed(F.col("t"), size, overlap).alias("p")).collect()}
         assert got == {i: udfs.pack_paragraphs(t, size, overlap) for i, t in enumerate(texts)}
+
+
+def test_a_long_sheet_is_read_as_a_stream():
+    out = io.BytesIO()
+    sheets._workbook(out, "s", ["a", "b"], ([f"x{k}", "y" * 40] for k in range(60_000)), {}, set(), [])
+    data = out.getvalue()
+    tracemalloc.start()
+    try:
+        n = 0
+        for k, cells in enumerate(tables._sheet_rows(data)):
+            n += 1
+            assert cells == (["a", "b"] if k == 0 else [f"x{k - 1}", "y" * 40])
+        assert n == 60_001 and tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
