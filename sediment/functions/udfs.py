@@ -9,6 +9,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,9 +46,14 @@ def clean(text: str | None, strip_html: bool = True, collapse_space: bool = True
     return re.sub("\ue000(\\d+)\ue001", lambda m: code[int(m[1])], t).strip()
 
 
-@F.pandas_udf(T.StringType())
-def clean_text(t: pd.Series) -> pd.Series:
-    return t.map(clean)
+#: Texts of a batch that are Python strings at once.
+HELD = 256
+
+
+@F.arrow_udf(T.StringType())
+def clean_text(t: pa.Array) -> pa.Array:
+    pieces = [pa.array([clean(x) for x in t.slice(k, HELD).to_pylist()], pa.string()) for k in range(0, len(t), HELD)]
+    return pa.concat_arrays(pieces) if pieces else pa.array([], pa.string())
 
 
 @F.pandas_udf(T.StringType())

@@ -7,6 +7,7 @@ import random
 import tracemalloc
 
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from sediment.functions import text, udfs
 from sediment.operators import retrieval as R
@@ -55,3 +56,11 @@ def test_words_of_a_batch_are_never_all_python_texts(spark):
     want = sorted(map(tuple, R.keyword_axis(q, c).collect()))
     assert "MapInArrow" in plan(R.keyword_axis(q, c)) and len(want) == 100
     assert R.SEEN <= 1 << 16
+
+
+def test_texts_to_clean_stay_in_arrow(spark):
+    raw = [None, "", "<p>ａ&amp;b</p>"] + [f"<b>{k}</b> `<i>`" for k in range(1000)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(raw)], "id int, t string").coalesce(1)
+    got = rows.select("id", udfs.clean_text("t").alias("c"))
+    assert udfs.clean_text.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    assert {r.id: r.c for r in got.collect()} == {k: udfs.clean(t) for k, t in enumerate(raw)}
