@@ -6,11 +6,14 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 
 #: Stands where a text is shorter than three characters; no character has it.
 _NONE = (1 << 21) - 1
-#: Trigrams of a text in a block, blocks of a run in a table, cells of tables that are held at once.
-BLOCK, WIDE, CELLS = 32, 96, 1 << 22
+#: Trigrams of a text in a block, blocks of a run at first and at most, cells of tables and stretches that are held at once.
+BLOCK, NARROW, WIDE, CELLS, ROWS = 32, 16, 96, 1 << 22, 512
+#: Bounds are in single precision; this share of them covers their rounding.
+ROUNDING = 1e-6
 
 
 def _codes(text: str) -> np.ndarray:
@@ -37,15 +40,6 @@ def word_trigrams(text: str) -> np.ndarray:
     return _packed(c)[inside]
 
 
-def _before(ids: np.ndarray) -> np.ndarray:
-    """For each place the last place before it with the same value, or -1."""
-    order = np.argsort(ids, kind="stable")
-    out = np.full(len(ids), -1)
-    same = ids[order][1:] == ids[order][:-1]
-    out[order[1:][same]] = order[:-1][same]
-    return out
-
-
 class Index:
     """The distinct values (trigrams, terms) of all queries, and which queries have each."""
 
@@ -73,129 +67,160 @@ class Index:
         return np.bincount(queries, None if weight is None else weight[places], len(self.size))
 
 
-def _in_stretches(k: int, owner: np.ndarray, rows: int, block: np.ndarray, back: np.ndarray, wide: int) -> np.ndarray:
-    """[row, first block, further blocks]: distinct values in the stretch of blocks, for ``rows`` sets of places.
-
-    block: of each place; back: how many blocks before it its value last stood.
-    """
-    news = back > 0
-    at = (owner[news] * k + block[news]) * (wide + 1) + np.minimum(back[news], wide + 1) - 1
-    count = np.bincount(at, minlength=rows * k * (wide + 1)).astype(np.int32).reshape(rows, k, wide + 1)
-    # what last stood more than e blocks before is new in a stretch that began e blocks before
-    new = count[:, :, ::-1].cumsum(2, np.int32)[:, :, ::-1]
-    ends = np.arange(k)[:, None] + np.arange(wide + 1)
-    inside = ends < k
-    return np.where(inside, new[:, np.minimum(ends, k - 1), np.arange(wide + 1)], 0).cumsum(2, np.int32)
-
-
 class Extents:
     """A text's best stretches for many queries: shared over all trigrams of the query and the stretch, where that is largest.
 
-    The word trigrams of the text lie in blocks. A table of the distinct
-    trigrams in each run of blocks, all and those of each query, bounds every
-    stretch that begins in a block from above: what the run holds of the query,
-    over the query and the others in the blocks strictly inside. Blocks are
-    then searched place by place in descending order of their bound, until no
-    bound is above the best share found.
+    The word trigrams of the text lie in blocks. One product of matrices a
+    block tells for all queries at once how many distinct trigrams of each are
+    new in it for every first block before. Their sums bound every stretch
+    from above: what its run of blocks holds of the query, over the query and
+    the others in the blocks strictly inside. Only from first blocks whose
+    bound reaches the floor, and only as far as it does, stretches are
+    compared place by place. Runs start narrow and are widened for queries
+    that a longer one could serve.
     """
 
     def __init__(self, text: str, index: Index) -> None:
         self.ids, self.index = word_trigrams(text), index
-        self.last = _before(self.ids)
-        self.places, self.owners = index.met(self.ids)
-        first = self.last[self.places] < 0
+        order = np.argsort(self.ids, kind="stable")
+        own = self.ids[order]
+        begins = np.append(True, own[1:] != own[:-1])[: len(own)]
+        #: For each place the last place before it with the same trigram, or -1.
+        self.last = np.full(len(own), -1)
+        self.last[order[1:][~begins[1:]]] = order[:-1][~begins[1:]]
+        #: And the first after it, or the text's length. A stretch needs not reach it: without its first place it holds the same.
+        self.next = np.full(len(own), len(own))
+        self.next[order[:-1][~begins[1:]]] = order[1:][~begins[1:]]
+        self.number = np.zeros(len(own), np.int64)
+        self.number[order] = np.cumsum(begins) - 1
+        self.distinct = int(begins.sum())
+        self.values, self.owners = index.met(own[begins])
         #: Distinct trigrams of each query that the whole text holds.
-        self.held = np.bincount(self.owners[first], minlength=len(index.size))
+        self.held = np.bincount(self.owners, minlength=len(index.size))
+
+    def _hits(self, queries: np.ndarray) -> np.ndarray:
+        """[place, query]: 1 where the trigram is one of the query's; places fill whole blocks."""
+        row = np.full(len(self.index.size), -1)
+        row[queries] = np.arange(len(queries))
+        row = row[self.owners]
+        has = np.zeros((self.distinct, len(queries)), np.float32)
+        has[self.values[row >= 0], row[row >= 0]] = 1
+        out = np.zeros((-(-len(self.ids) // BLOCK) * BLOCK, len(queries)), np.float32)
+        np.take(has, self.number, 0, out=out[: len(self.ids)], mode="clip")
+        return out
+
+    def _bounds(self, hits: np.ndarray, n: np.ndarray, floor: np.ndarray, wide: int) -> tuple[np.ndarray, ...]:
+        """(bound, upto, whole, longer) by runs of at most ``wide`` blocks.
+
+        bound is [first block, query]; upto the farthest block after the first
+        in which a stretch that reaches the floor may end, or -1; whole the
+        share of each query's best run, which is a stretch itself; longer
+        says where a stretch beyond all runs may reach the floor.
+        """
+        k, of = len(hits) // BLOCK, hits.shape[1]
+        last = np.full(len(hits), len(hits))
+        last[: len(self.ids)] = self.last
+        starts = (np.arange(k)[:, None] - np.arange(wide)) * BLOCK
+        new = ((last.reshape(k, 1, BLOCK) < starts[:, :, None]) & (starts >= 0)[:, :, None]).astype(np.float32)
+        found, fresh = np.matmul(new, hits.reshape(k, BLOCK, of)), new.sum(2)
+        shared, total = np.zeros((k + 1, of), np.float32), np.zeros((k + 1, 1), np.float32)
+        bound, upto, whole = np.zeros((k, of), np.float32), np.full((k, of), -1, np.int32), np.zeros(of, np.float32)
+        others = [np.zeros_like(shared)] * 2  # of the runs one and two blocks shorter
+        for e in range(wide):
+            m = k - e
+            before = shared.copy() if e == wide - 1 else shared
+            shared[:m] += found[e:, e]
+            total[:m] += fresh[e:, e, None]
+            b = shared[:m] / (others[0][1 : m + 1] + n)
+            reach = b >= floor
+            if e:  # the best ends with a trigram that stands for the first time since its first block
+                reach &= found[e:, e - 1] > 0
+            np.maximum(bound[:m], b, out=bound[:m])
+            np.copyto(upto[:m], e, where=reach)
+            others = [others[1], total - shared]
+            np.maximum(whole, (shared[:m] / (others[1][:m] + n)).max(0), out=whole)
+        longer = np.zeros((k, of), bool)
+        if wide < k:
+            final = np.ones(len(hits), np.float32)
+            final[self.last[self.last >= 0]] = 0
+            after = (hits * final[:, None]).reshape(k, BLOCK, of).sum(1)[::-1].cumsum(0)[::-1]  # what stands in the block or after it
+            m = k - wide
+            b = after[:m] / (others[0][1 : m + 1] + n)
+            b[after[1 : m + 1] <= before[1 : m + 1]] = 0
+            after = np.append(self.next, np.zeros(len(hits) - len(self.ids), np.int64)).reshape(k, BLOCK).max(1)
+            b[after[:m] <= np.arange(wide, k) * BLOCK] = 0
+            longer[:m] = b >= floor
+            np.maximum(bound[:m], b, out=bound[:m])
+        return bound, upto, whole, longer
+
+    def _slices(self, queries: np.ndarray, floor: np.ndarray) -> Iterator[tuple]:
+        """(queries, sizes, floors, hits, blocks of the widest runs, (bound, upto, whole, longer)) of as many queries at once as ``CELLS`` lets."""
+        k = -(-len(self.ids) // BLOCK)
+        widest = min(k, max(2, min(WIDE, 4 * CELLS // max(1, len(self.ids)))))
+        step = max(1, CELLS // max(1, k * BLOCK))
+        for x in range(0, len(queries) if k else 0, step):
+            own, least = queries[x : x + step], np.maximum(floor[x : x + step] * (1 - ROUNDING) - 1e-9, 1e-12).astype(np.float32)
+            n, hits, wide = np.maximum(self.index.size[own], 1).astype(np.float32), self._hits(own), min(widest, NARROW)
+            out = self._bounds(hits, n, least, wide)
+            more = np.flatnonzero(out[3].any(0))
+            while len(more) and wide < widest:
+                wide = min(2 * wide, widest)
+                again = self._bounds(hits[:, more], n[more], least[more], wide)
+                for all_, part in zip(out, again, strict=True):
+                    all_[..., more] = part
+                more = more[again[3].any(0)]
+            yield own, self.index.size[own], floor[x : x + step], hits, widest, out
 
     def runs(self, queries: np.ndarray, floor: np.ndarray) -> Iterator[tuple]:
-        """(query, its floor, bounds, share of its best run of blocks, places of its trigrams) for each query that a bound lets reach its floor.
+        """(query, its floor, bounds by first block, share of its best run of blocks, farthest blocks) for each query that a bound lets reach its floor.
 
-        bounds are by first block and further blocks, the last column of all
-        stretches that are longer. The share of a run is a lower bound, since
-        runs of blocks are stretches themselves.
+        The share of a run is a lower bound, since runs of blocks are stretches themselves.
         """
-        k = -(-len(self.ids) // BLOCK)
-        if not k or not len(queries):
-            return
-        wide = min(k - 1, max(WIDE, int(2.5 * self.index.size[queries].max() / floor.min()) // BLOCK + 4))
-        block = np.arange(len(self.ids)) // BLOCK
-        back = np.where(self.last < 0, wide + 1, block - self.last // BLOCK)
-        total = _in_stretches(k, np.zeros(len(self.ids), np.int64), 1, block, back, wide)[0]
-        step = max(1, CELLS // (k * (wide + 2)))
-        for x in range(0, len(queries), step):
-            own = queries[x : x + step]
-            row = np.full(len(self.index.size), -1)
-            row[own] = np.arange(len(own))
-            mine = row[self.owners] >= 0
-            at, rows = self.places[mine], row[self.owners[mine]]
-            hits = _in_stretches(k, rows, len(own), block[at], back[at], wide)
-            n = np.maximum(self.index.size[own], 1).astype(np.int32)[:, None, None]
-            over = total - hits
-            over += n  # the query and the others
-            whole = (hits / over).max((1, 2))
-            inner = np.broadcast_to(n, over.shape).copy()
-            if wide > 1:
-                inner[:, :-1, 2:] = over[:, 1:, : wide - 1]
-            bound = np.zeros((len(own), k, wide + 2))
-            np.divide(hits, inner, out=bound[:, :, :-1])
-            if wide < k - 1:  # longer stretches hold the others of the run that is one shorter, and all that the text shares at most
-                bound[:, :-1, -1] = np.where(np.arange(1, k) + wide < k, self.held[own][:, None] / over[:, 1:, wide - 1], 0)
-            bound[hits[:, :, 0] == 0] = 0  # the best begin with a trigram of the query
-            places = np.split(at[np.argsort(rows, kind="stable")], np.cumsum(np.bincount(rows, minlength=len(own)))[:-1])
-            for i in np.flatnonzero(bound.max((1, 2)) >= floor[x : x + step] - 1e-9).tolist():
-                yield int(own[i]), float(floor[x + i]), bound[i], float(whole[i]), places[i]
+        for own, _, least, _, _, (bound, upto, whole, longer) in self._slices(queries, floor):
+            for i in np.flatnonzero(((upto >= 0) | longer).any(0)).tolist():
+                yield int(own[i]), float(least[i]), bound[:, i] * (1.0 + ROUNDING), float(whole[i]) * (1.0 - ROUNDING), upto[:, i]
 
     def best(self, queries: np.ndarray, floor: np.ndarray) -> Iterator[tuple[int, float]]:
         """(query, largest share) of those of ``queries`` whose share is ``floor`` or more."""
-        for q, least, bound, share, places in self.runs(queries, floor):
-            share = self._searched(places, int(self.index.size[q]), bound, share, least, int(self.held[q]))
-            if share >= least - 1e-9:
-                yield q, share
-
-    def _searched(self, places: np.ndarray, n: int, bound: np.ndarray, share: float, least: float, held: int) -> float:
-        """The largest share, by pairs of first and last block in descending order of ``bound``; what is less than ``share`` or ``least`` is not looked for."""
-        above = np.flatnonzero(bound > max(share + 1e-12, least - 1e-9))
-        if not len(above):
-            return share
-        hit = np.zeros(len(self.ids), bool)
-        hit[places] = True
-        of_block, columns = places // BLOCK, bound.shape[1]
-        at = bound.ravel()[above]
-        for k in np.argsort(-at, kind="stable").tolist():
-            if at[k] <= share + 1e-12:
-                break
-            first, more = divmod(int(above[k]), columns)
-            starts = places[of_block == first]
-            if more == columns - 1:
-                share = self._from(starts, hit, n, share, max(share, least - 1e-9), held)
-            else:
-                share = max(share, self._between(starts, first * BLOCK, more * BLOCK, hit, n))
-        return share
-
-    def _between(self, starts: np.ndarray, a: int, more: int, hit: np.ndarray, n: int) -> float:
-        """The largest share of stretches that begin at ``starts``, in the block from ``a``, and end in the block ``more`` places later."""
-        z = a + more
-        ends = hit[z : z + BLOCK]
-        here = np.flatnonzero(ends)
-        if not len(here):
-            return 0.0
-        new = self.last[z : z + BLOCK] < starts[:, None]
-        if not more:
-            new &= np.arange(z, z + len(ends)) >= starts[:, None]
-        s, o = np.cumsum(new[:, here], 1), np.cumsum(new & ~ends, 1)[:, here]
-        if more:
-            before = (self.last[a : a + BLOCK] < starts[:, None]) & (np.arange(a, a + BLOCK) >= starts[:, None])
-            own = hit[a : a + BLOCK]
-            shared, others = (before & own).sum(1), (before & ~own).sum(1)
-            if more > BLOCK:
-                # between the two, what last stood before the start is new; what stood since the first block's end is not
-                last = self.last[a + BLOCK : z]
-                fresh = last < a + BLOCK
-                since = (np.maximum(last[fresh], a - 1) - (a - 1)) * 2 + hit[a + BLOCK : z][fresh]
-                upto = np.bincount(since, minlength=2 * (BLOCK + 1)).reshape(-1, 2).cumsum(0)[starts - a]
-                shared, others = shared + upto[:, 1], others + upto[:, 0]
-            s, o = s + shared[:, None], o + others[:, None]
-        return float((s / (n + o)).max())
+        for own, n, least, hits, widest, (bound, upto, whole, longer) in self._slices(queries, floor):
+            hit = np.ascontiguousarray(hits[: len(self.ids)].T) > 0
+            # a stretch is better with the trigram of the query before it, unless it holds that already
+            begin = hit.copy()
+            begin[:, 1:] &= ~(hit[:, :-1] & (self.next[:-1] >= self.next[1:]))
+            share = whole.astype(np.float64) * (1 - ROUNDING)
+            self._placed(begin, hit, n, bound * (1.0 + ROUNDING), upto, share)
+            for i, block in np.argwhere(longer.T).tolist():
+                a = block * BLOCK
+                starts = a + np.flatnonzero(begin[i, a : a + BLOCK])
+                if len(starts := starts[self.next[starts] > a + BLOCK * widest]) and bound[block, i] * (1 + ROUNDING) > share[i]:
+                    share[i] = self._from(starts, hit[i], int(n[i]), share[i], max(share[i], least[i] - 1e-9), int(self.held[own[i]]))
+            for i in np.flatnonzero((share >= least - 1e-9) & (share > 0)).tolist():
+                yield int(own[i]), float(share[i])
+
+    def _placed(self, begin: np.ndarray, hit: np.ndarray, n: np.ndarray, bound: np.ndarray, upto: np.ndarray, share: np.ndarray) -> None:
+        """Raises ``share`` of each query to that of its best stretch within the runs of ``upto``, by descending bound of the first block."""
+        q, starts = np.nonzero(begin & np.repeat((upto >= 0).T, BLOCK, 1)[:, : len(self.ids)])
+        if not len(q):
+            return
+        block = starts // BLOCK
+        top, width = bound[block, q], np.minimum((block + upto[block, q] + 1) * BLOCK, self.next[starts]) - starts
+        order = np.argsort(-top, kind="stable")
+        most = int(width.max())
+        hit = np.pad(hit, ((0, 0), (0, most)))
+        last = np.pad(self.last.astype(np.int32), (0, most), constant_values=len(self.ids) + most)
+        rows = max(1, min(ROWS, CELLS // 8 // most))
+        for x in range(0, len(order), rows):
+            at = order[x : x + rows]
+            at = at[top[at] > share[q[at]]]
+            if not len(at):
+                continue
+            w, who = int(width[at].max()), q[at]
+            new = sliding_window_view(last, w)[starts[at]] < starts[at][:, None]
+            shared = np.cumsum(sliding_window_view(hit, w, 1)[who, starts[at]] & new, 1, np.int32)
+            over = np.cumsum(new, 1, np.int32)
+            over -= shared
+            over += n[who].astype(np.int32)[:, None]
+            np.maximum.at(share, who, (shared / over).max(1))
 
     def _from(self, starts: np.ndarray, hit: np.ndarray, n: int, best: float, floor: float, held: int, width: int = 192) -> float:
         """The largest share of stretches that begin at ``starts``; pieces of them are added while one can still reach ``floor``."""
@@ -215,7 +240,7 @@ class Extents:
                 shared = s[:, -1]
             others, at = o[:, -1], to
             # what comes after could at best share all that the text holds
-            more = held / (n + others) > max(best, floor)
+            more = (held / (n + others) > max(best, floor)) & (self.next[starts] > at)
             starts, shared, others = starts[more], shared[more], others[more]
         return best
 

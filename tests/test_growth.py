@@ -6,13 +6,15 @@ import io
 import random
 import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
-from sediment.functions import text, udfs
+from sediment.functions import grams, text, udfs
 from sediment.operators import retrieval as R
 from sediment.plans import QUERIES
 from sediment.sources import sheets, tables
+from test_functions import brute_similarity
 
 
 def plan(df):
@@ -64,3 +66,23 @@ def test_texts_to_clean_stay_in_arrow(spark):
     got = rows.select("id", udfs.clean_text("t").alias("c"))
     assert udfs.clean_text.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
     assert {r.id: r.c for r in got.collect()} == {k: udfs.clean(t) for k, t in enumerate(raw)}
+
+
+def test_best_stretches_of_many_queries_hold_narrow_tables_and_repeats_end_them():
+    """A text's bounds for many queries take few megabytes, and repeats are no stretches to search."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    asked = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(100)]
+    index = grams.Index([np.unique(grams.word_trigrams(q)) for q in asked])
+    long = " ".join(rng.choice(words) for _ in range(700))
+    tracemalloc.start()
+    try:
+        list(grams.Extents(long, index).runs(np.arange(100), np.full(100, 0.5)))
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+    repeats = "for " * 40 + asked[0][:60] + " for" * 40 + " oftiorly" * 30 + asked[1][20:80] + " x for" * 20
+    got = dict(grams.Extents(repeats, index).best(np.arange(8), np.full(8, 0.05)))
+    for i in range(8):
+        want = brute_similarity(asked[i], repeats)
+        assert abs(got.get(i, 0) - (want if want >= 0.05 else 0)) < 1e-9
