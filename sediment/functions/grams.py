@@ -61,6 +61,18 @@ class Index:
         first = np.repeat(self.start[at] - (np.cumsum(n) - n), n)
         return np.repeat(places, n), self.owner[first + np.arange(n.sum())]
 
+    def sums(self, row: np.ndarray, own: np.ndarray, weight: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """([row, query] sums of the weights, [row, query] numbers of distinct values) of the values that ``rows`` rows hold, for all of them at once."""
+        if not len(self.all):
+            return np.zeros((rows, len(self.size))), np.zeros((rows, len(self.size)), np.int64)
+        # numbers of values and rows in one, so that a value that a row has several times is met once
+        cells, at = np.unique(row * (int(self.all[-1]) + 1) + own, return_inverse=True)
+        row, own = np.divmod(cells, int(self.all[-1]) + 1)
+        places, queries = self.met(own)
+        at = np.bincount(at, weight, len(cells))[places]
+        flat, shape = row[places] * len(self.size) + queries, (rows, len(self.size))
+        return np.bincount(flat, at, rows * len(self.size)).reshape(shape), np.bincount(flat, None, rows * len(self.size)).reshape(shape)
+
     def shared(self, own: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
         """How many values of each query ``own`` (distinct) holds, or the sum of their weights."""
         places, queries = self.met(own)

@@ -65,6 +65,26 @@ def test_keyword_rank_and_its_index_are_the_published_one(spark, words, tmp_path
     assert R.keyword_postings(q, R.postings(corpus.limit(0), str(tmp_path / "none"))).collect() == []
 
 
+def test_postings_are_added_up_for_all_queries_at_once(spark, words, tmp_path):
+    """No join makes a row a query and posting: the plan's rows are those of distinct terms, however Arrow cuts them."""
+    q = spark.createDataFrame([(k, f"server logs {'ab' * (k % 3)} net", None) for k in range(40)] + [(90, "", None)], QUERIES)
+    index = R.postings(words[1], str(tmp_path / "postings"))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        want = sorted(map(tuple, R.keyword_axis(q, words[1]).collect()))
+        for rows in ("1", "7", kept):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            found = R.keyword_postings(q, index)
+            assert sorted(map(tuple, found.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    plan = read_files(R.keyword_postings(q, index))
+    assert "MapInArrow" in plan and "qid" not in plan.split("MapInArrow")[-1].split("\n", 1)[1]
+    assert R.keyword_postings(q.filter("qid = 90"), index).collect() == []
+    twice = R.postings(words[1].union(words[1]), str(tmp_path / "twice"))
+    assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, index.collect()))
+
+
 def test_stages_are_counted_by_the_search_itself(spark, words):
     """The counted plan has the exchanges of the plain one, and the search gives the same rows."""
     from sediment.plans.retrieval import search
