@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT
 from ..functions import similarity
+from ..scratch import materialize
 from .relational import last_n
 
+#: Entries of a slice and asks of a block, about.
+SLICE, BLOCK = 4096, 1024
+
 
 def recent(turns: DataFrame, n: int = DEFAULT.recent_turns) -> DataFrame:
     """The last ``n`` turns of each conversation and user."""
@@ -32,20 +40,71 @@ def recalled(memory: DataFrame, asks: DataFrame, now: Column, k: int = DEFAULT.m
     have none or none of any length. Ties go by id. A user without live
     entries gives no rows; rows with a null user meet none.
 
-    Entries meet asks by user, so a batch of asks reads the memory once. Each
-    task keeps its ``k`` best of an ask before rows are dealt by ask (the limit
-    on the rank is pushed below that exchange), so a user who holds a third of
-    all entries sends ``k`` rows a task.
+    Entries meet asks by user, so a batch of asks reads the memory once. A
+    user's asks are dealt to blocks and the entries to slices by hash, by how
+    many there are; a block meets a slice in one product of matrices, and
+    only the ``k`` best of each ask leave it. So a user who holds a third of
+    all entries is not one task's, and no row a pair is made, though each
+    entry is compared with each ask of its user.
     """
     live = memory.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now)).select("user_id", "id", "updated_at", "embedding")
-    met = live.join(asks.select("ask_id", "user_id", "vector"), "user_id")
-    dist = F.round(1 - similarity.cosine(F.col("embedding"), F.col("vector")), 6)
-    near = met.withColumn("dist", F.when(F.col("vector").isNotNull(), dist)).filter(F.col("vector").isNull() | F.col("dist").isNotNull()).drop("embedding", "vector")
+    live, asks = materialize(live.filter("user_id is not null"), "live"), asks.select("ask_id", "user_id", "vector")
+    parts = lambda df, size, name: df.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
+    sizes = parts(live, SLICE, "slices").join(parts(asks, BLOCK, "blocks"), "user_id")
+    dealt = lambda id, n: F.pmod(F.xxhash64(id), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    entries = live.join(sizes, "user_id").select(*live.columns, dealt("id", "slices").alias("slice"), every("blocks").alias("block"))
+    asked = asks.join(sizes, "user_id").select(*asks.columns, dealt("ask_id", "blocks").alias("block"), every("slices").alias("slice"))
+    kinds = {"ask_id": asks.schema["ask_id"].dataType, **{c: live.schema[c].dataType for c in ("user_id", "id")}, "dist": T.DoubleType(), "updated_at": live.schema["updated_at"].dataType}
+    out = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+    met = entries.groupBy("user_id", "slice", "block").cogroup(asked.groupBy("user_id", "slice", "block")).applyInArrow(lambda own, some: _nearest(own, some, k), out)
     newest = F.when(F.col("dist").isNull(), F.col("updated_at"))
-    best = near.withColumn("rn", F.row_number().over(Window.partitionBy("ask_id").orderBy("dist", newest.desc_nulls_last(), F.when(F.col("dist").isNull(), -F.col("id")).otherwise(F.col("id"))))).filter(F.col("rn") <= k)
+    best = met.withColumn("rn", F.row_number().over(Window.partitionBy("ask_id").orderBy("dist", newest.desc_nulls_last(), F.when(F.col("dist").isNull(), -F.col("id")).otherwise(F.col("id"))))).filter(F.col("rn") <= k)
     return best.select("ask_id", "user_id", "id", "dist", "rn")
 
 
+def _vectors(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, matrix, lengths) of the vectors by dimension, in double precision; those of no length or with a null go."""
+    flat = column.combine_chunks()
+    dims, out = pc.fill_null(pc.list_value_length(flat), 0).to_numpy(zero_copy_only=False), {}
+    for d in np.unique(dims[dims > 0]).tolist():
+        at = np.flatnonzero(dims == d)
+        values = flat.take(pa.array(at)).flatten()
+        whole = ~np.isin(np.arange(len(at)), np.flatnonzero(values.is_null().to_numpy(zero_copy_only=False)) // d)
+        m = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+        norm = np.sqrt((m * m).sum(1))
+        whole &= norm != 0
+        out[d] = at[whole], m[whole], norm[whole]
+    return out
+
+
+def _nearest(entries: pa.Table, asks: pa.Table, k: int, step: int = 64) -> pa.Table:
+    """The ``k`` nearest entries of a slice for each ask of a block, or the newest for an ask without a vector."""
+    ids, who, which, dist = entries["id"].to_numpy(), [], [], []
+    newest = pc.sort_indices(entries, [("updated_at", "descending"), ("id", "descending")]).to_numpy()[:k]
+    recent = np.flatnonzero(asks["vector"].is_null().to_numpy())
+    who.append(np.repeat(recent, len(newest)))
+    which.append(np.tile(newest, len(recent)))
+    dist.append(np.full(len(which[0]), np.nan))
+    own, wanted = _vectors(entries["embedding"]), _vectors(asks["vector"])
+    for d in own.keys() & wanted.keys():
+        (at, m, norm), (of, q, length) = own[d], wanted[d]
+        for x in range(0, len(of) if len(at) else 0, step):
+            far = np.round(1 - (q[x : x + step] @ m.T) / (length[x : x + step, None] * norm), 6) + 0.0
+            worst = np.partition(far, min(k, len(at)) - 1, 1)[:, min(k, len(at)) - 1]
+            for i, row in enumerate(far):
+                near = np.flatnonzero(~(row > worst[i]))
+                near = near[np.lexsort((ids[at[near]], row[near]))[:k]]
+                who.append(np.full(len(near), of[x + i]))
+                which.append(at[near])
+                dist.append(row[near])
+    who, which = pa.array(np.concatenate(who).astype(np.int64)), np.concatenate(which).astype(np.int64)
+    # a distance may be no number; only newest entries have none
+    none = np.arange(len(which)) < len(recent) * len(newest)
+    rows = entries.select(["user_id", "id", "updated_at"]).take(pa.array(which))
+    return pa.table({"ask_id": asks["ask_id"].take(who), "user_id": rows["user_id"], "id": rows["id"], "dist": pa.array(np.concatenate(dist), pa.float64(), mask=none), "updated_at": rows["updated_at"]})
+
+
 def counters(offered: DataFrame) -> DataFrame:
     """Per conversation: turns offered (what its counter adds) and stored (blank ones are not), which may differ."""
     return offered.groupBy("conv_id").agg(F.count(F.lit(1)).alias("offered"), F.count_if(F.length(F.btrim(F.coalesce("content", F.lit("")), F.lit(" \t\r\n"))) > 0).alias("stored"))

@@ -104,3 +104,30 @@ def test_recall_ranks_before_the_exchange(spark, sf):
 
     plan = queries()["long_term_recalled"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_recall_in_blocks_is_that_of_every_pair(spark, monkeypatch):
+    """However many slices and blocks a user's rows make, and no join makes a row a pair."""
+    entry = "id long, user_id string, updated_at timestamp_ntz, expires_at timestamp_ntz, embedding array<float>"
+    t = lambda k: __import__("datetime").datetime(2024, 1, 1 + k % 20)
+    odd = {3: None, 5: [0.0, 0.0], 7: [1.0], 9: [1.0, None], 11: []}
+    rows = [(k, "ab"[k % 3 == 0], t(k), None, odd.get(k, [float(k % 7), float(k % 5) - 2])) for k in range(120)]
+    asked = [(k, "abc"[k % 3], [None, [1.0, 0.5], [0.0, 0.0], [2.0], [-1.0, float(k)]][k % 5]) for k in range(60)]
+    m, asks = spark.createDataFrame(rows, entry), spark.createDataFrame(asked, "ask_id long, user_id string, vector array<float>")
+    want = []
+    for a, user, v in asked:
+        own = [r for r in rows if r[1] == user]
+        if v is None:
+            best = [(r[0], None) for r in sorted(own, key=lambda r: (r[2], r[0]), reverse=True)]
+        else:
+            norm = lambda x: sum(i * i for i in x) ** 0.5
+            fits = [r for r in own if r[4] and None not in r[4] and len(r[4]) == len(v) and norm(v) * norm(r[4]) > 0]
+            best = sorted(((r[0], round(1 - sum(x * y for x, y in zip(r[4], v, strict=True)) / (norm(v) * norm(r[4])), 6) + 0.0) for r in fits), key=lambda x: (x[1], x[0]))
+        want += [(a, user, i, d, n) for n, (i, d) in enumerate(best[:5], 1)]
+    for size in (1, 8, 4096):
+        monkeypatch.setattr(memory, "SLICE", size)
+        monkeypatch.setattr(memory, "BLOCK", size)
+        out = memory.recalled(m, asks, F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in sorted(out.collect(), key=lambda r: (r.ask_id, r.rn))] == want
+        assert "CoGroup" in plan
