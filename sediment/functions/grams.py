@@ -49,6 +49,7 @@ class Index:
         owner = np.repeat(np.arange(len(of_query)), self.size)
         order = np.argsort(at, kind="stable")
         self.owner, self.start = owner[order], np.searchsorted(at[order], np.arange(len(self.all) + 1))
+        self.table: np.ndarray | None = None
 
     def met(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``own``, query) for each query that has the value at that place, places in order."""
@@ -61,13 +62,27 @@ class Index:
         first = np.repeat(self.start[at] - (np.cumsum(n) - n), n)
         return np.repeat(places, n), self.owner[first + np.arange(n.sum())]
 
+    def counts(self, rows: list[np.ndarray]) -> np.ndarray:
+        """[row, query]: how many values of each query each row (distinct values) holds; one product of matrices where the queries' values make a table of ``CELLS`` at most."""
+        if not len(self.all) or len(self.all) * max(len(self.size), len(rows)) > CELLS:
+            return np.array([self.shared(own) for own in rows], np.int64).reshape(len(rows), len(self.size))
+        if self.table is None:
+            self.table = np.zeros((len(self.all), len(self.size)), np.float32)
+            self.table[np.repeat(np.arange(len(self.all)), np.diff(self.start)), self.owner] = 1
+        has = np.zeros((len(rows), len(self.all)), np.float32)
+        for i, own in enumerate(rows):
+            at = np.minimum(np.searchsorted(self.all, own), len(self.all) - 1)
+            has[i, at[self.all[at] == own]] = 1
+        return (has @ self.table).astype(np.int64)
+
     def sums(self, row: np.ndarray, own: np.ndarray, weight: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """([row, query] sums of the weights, [row, query] numbers of distinct values) of the values that ``rows`` rows hold, for all of them at once."""
+        """([row, query] sums of the weights, [row, query] numbers of distinct values) of the values, small numbers, that ``rows`` rows hold, for all of them at once."""
         if not len(self.all):
             return np.zeros((rows, len(self.size))), np.zeros((rows, len(self.size)), np.int64)
         # numbers of values and rows in one, so that a value that a row has several times is met once
-        cells, at = np.unique(row * (int(self.all[-1]) + 1) + own, return_inverse=True)
-        row, own = np.divmod(cells, int(self.all[-1]) + 1)
+        span = int(max(self.all[-1], own.max(initial=0))) + 1
+        cells, at = np.unique(row * span + own, return_inverse=True)
+        row, own = np.divmod(cells, span)
         places, queries = self.met(own)
         at = np.bincount(at, weight, len(cells))[places]
         flat, shape = row[places] * len(self.size) + queries, (rows, len(self.size))

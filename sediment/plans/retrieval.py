@@ -172,6 +172,8 @@ def search(spark: SparkSession, q: DataFrame, c: DataFrame, k: int = 5, options=
     ``counters`` counts candidates, ranked and final rows as the search runs.
     """
     k = options.top_k(k)
+    # three axes, the bodies and the neighbours read the chunks, which may be a join
+    c = materialize(c, "chunks")
     seen = counters.of if counters else lambda _, df: df
     found = materialize(seen("candidates", R.search_candidates(q, c, options, k, exact=exact)), "candidates")
     # the query set's size was checked by the axes; the trigrams of a chunk are made once

@@ -101,6 +101,37 @@ def test_stages_are_counted_by_the_search_itself(spark, words):
     assert list(seen) == ["candidates", "ranked", "final"] and seen["candidates"] >= seen["ranked"] >= seen["final"] == len(got) > 0
 
 
+def test_search_reads_its_chunks_once(spark, words):
+    """Axes, bodies and neighbours read what was written, not the plan that makes the chunks."""
+    from sediment.plans.retrieval import search
+
+    q = spark.createDataFrame([(1, "server logs", [1.0, 0.5]), (2, "서버 log", None)], QUERIES)
+    c = words[1].selectExpr("chunk_id", "'f' AS file_id", "chunk_id AS seq", "'t' AS doc_title", "1 AS page_no", "chunk_text", "embedding")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    assert search(spark, q, c.mapInPandas(count, c.schema), exact=False).count() > 0
+    assert made.value == len(words[0])
+
+
+def test_counts_of_many_rows_are_those_of_each():
+    from sediment.functions import grams
+
+    rng = np.random.default_rng(4)
+    for queries in ([], [[]], [[3, 5, 9], [], [5], list(range(0, 40, 3))]):
+        index = grams.Index([np.array(v, np.int64) for v in queries])
+        rows = [np.unique(rng.integers(0, 60, n)) for n in (0, 1, 7, 200)]
+        want = [[len(set(v) & set(r.tolist())) for v in queries] for r in rows]
+        assert index.counts(rows).tolist() == want
+        places = np.repeat(np.arange(4), [len(r) for r in rows])
+        sums, met = index.sums(places, np.concatenate(rows), np.full(len(places), 0.5), 4)
+        assert met.tolist() == want and (sums * 2).tolist() == want
+
+
 def vectors(n, dim, seed=3, groups=20):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(groups, dim))
