@@ -86,3 +86,30 @@ def test_best_stretches_of_many_queries_hold_narrow_tables_and_repeats_end_them(
     for i in range(8):
         want = brute_similarity(asked[i], repeats)
         assert abs(got.get(i, 0) - (want if want >= 0.05 else 0)) < 1e-9
+
+
+def test_best_runs_of_blocks_come_close_to_the_best_stretches():
+    """What the first chunks tell is a lower bound, near the best, also where repeats make stretches longer than any run."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    asked = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(6)]
+    index = grams.Index([np.unique(grams.word_trigrams(q)) for q in asked])
+    for t in (" ".join(rng.choice(words) for _ in range(300)), " ".join(words[:5] * 600 + words[5:12] + words[:5] * 200), "", "ab"):
+        own = grams.Extents(t, index)
+        low, best = own.shares(np.arange(6)), dict(own.best(np.arange(6), np.full(6, 1e-9)))
+        for i, q in enumerate(asked):
+            assert best.get(i, 0) * 0.5 <= low[i] <= best.get(i, 0) + 1e-9
+            if len(t) < 3000:
+                assert abs(best.get(i, 0) - brute_similarity(q, t)) < 1e-9
+
+
+def test_chunks_are_dealt_evenly_to_the_search_for_best_stretches(spark):
+    """A table in one part is searched by all cores, once for what rows have to reach and once for the rows."""
+    q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon")], "qid long, query string")
+    c = spark.createDataFrame([(k, f"alpha beta w{k} delta" + " epsilon" * (k % 3)) for k in range(400)], "chunk_id long, chunk_text string").coalesce(1)
+    found = R.trigram_axis(q, c)
+    want = [sorted((-round(brute_similarity(a, f"alpha beta w{k} delta" + " epsilon" * (k % 3)), 6), k) for k in range(400))[:50] for a in ("alpha beta gamma", "delta epsilon")]
+    got = [[(-r.sim, r.chunk_id) for r in sorted(found.filter(f"qid = {i}").collect(), key=lambda r: r.rn)] for i in (1, 2)]
+    assert got == want
+    p = plan(found)
+    assert "hashpartitioning(chunk_id" in p[p.index("MapInPandas") :]
