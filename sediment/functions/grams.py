@@ -11,7 +11,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 #: Stands where a text is shorter than three characters; no character has it.
 _NONE = (1 << 21) - 1
 #: Trigrams of a text in a block and in a coarse one, blocks of a run at first and at most, cells of tables, stretches and pairs that are held at once.
-BLOCK, COARSE, NARROW, WIDE, CELLS, ROWS, PAIRS = 32, 64, 40, 96, 1 << 22, 512, 1 << 12
+BLOCK, COARSE, NARROW, WIDE, CELLS, ROWS, PAIRS = 32, 64, 48, 96, 1 << 22, 512, 1 << 12
 #: Bounds are in single precision; this share of them covers their rounding.
 ROUNDING = 1e-6
 
@@ -192,15 +192,20 @@ class Extents:
             after[last] = held + inside[0][last + 1] >= least
         return (top >= least) | after, after, found, total
 
-    def _pairs(self, missed: np.ndarray, n: np.ndarray, held: np.ndarray, floor: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, ...]]:
+    def _pairs(self, missed: np.ndarray, n: np.ndarray, held: np.ndarray, floor: np.ndarray, wide: int, widest: int) -> Iterator[tuple[np.ndarray, ...]]:
         """(query, first block, bound, upto, whole, longer) of the pairs that the bound of runs of at most ``wide`` blocks lets reach the floor.
 
-        upto is the farthest block after the first in which such a stretch may
+        Queries that a longer run could serve are left to twice the width,
+        unless that is more than ``widest``. upto is the farthest block after the first in which such a stretch may
         end, or -1; whole the share of the pair's best run, which is a stretch
         itself; longer says whether a stretch beyond all runs may reach it.
         """
         reach, after, found, total = self._reach(missed, n, held, floor, BLOCK, wide)
         k = len(reach)
+        if wide < widest and after.any():
+            more = after.any(0)
+            yield from ((np.flatnonzero(more)[q], *rest) for q, *rest in self._pairs(missed[:, more], n[more], held[more], floor[more], min(2 * wide, widest), widest))
+            reach[:, more] = False
         q, first = np.nonzero(reach.T)
         step = max(1, CELLS // 32 // wide)
         for x in range(0, len(q), step):
@@ -228,13 +233,7 @@ class Extents:
             if not len(may):
                 continue
             own, below, least, n, held, missed = own[may], floor[x : x + step][may], least[may], n[may], held[may], missed[:, may]
-            pairs = [np.concatenate(y) for y in zip(*self._pairs(missed, n, held, least, wide), strict=True)]
-            while pairs and wide < widest and pairs[5].any():
-                more, wide = np.unique(pairs[0][pairs[5]]), min(2 * wide, widest)
-                stay = ~np.isin(pairs[0], more)
-                parts = [[y[stay] for y in pairs]]
-                parts += ([more[q], *rest] for q, *rest in self._pairs(missed[:, more], n[more], held[more], least[more], wide))
-                pairs = [np.concatenate(y) for y in zip(*parts, strict=True)]
+            pairs = [np.concatenate(y) for y in zip(*self._pairs(missed, n, held, least, wide, widest), strict=True)]
             if pairs and len(pairs[0]):
                 yield own, self.index.size[own], below, missed, widest, pairs
 

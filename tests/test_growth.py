@@ -103,7 +103,7 @@ def test_best_runs_of_blocks_come_close_to_the_best_stretches():
                 assert abs(best.get(i, 0) - brute_similarity(q, t)) < 1e-9
 
 
-def test_chunks_are_dealt_evenly_to_the_search_for_best_stretches(spark):
+def test_chunks_are_dealt_evenly_to_the_search_for_best_stretches(spark, monkeypatch):
     """A table in one part is searched by all cores, once for what rows have to reach and once for the rows."""
     q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon")], "qid long, query string")
     c = spark.createDataFrame([(k, f"alpha beta w{k} delta" + " epsilon" * (k % 3)) for k in range(400)], "chunk_id long, chunk_text string").coalesce(1)
@@ -113,3 +113,7 @@ def test_chunks_are_dealt_evenly_to_the_search_for_best_stretches(spark):
     assert got == want
     p = plan(found)
     assert "hashpartitioning(chunk_id" in p[p.index("MapInPandas") :]
+    # a first wave and the rest are the whole table, each chunk once
+    monkeypatch.setattr(R, "WAVED", 100)
+    waved = R.trigram_axis(q, c)
+    assert sorted(map(tuple, waved.collect())) == sorted(map(tuple, found.collect())) and "Union" in plan(waved)
