@@ -117,3 +117,7 @@ def test_chunks_are_dealt_evenly_to_the_search_for_best_stretches(spark, monkeyp
     monkeypatch.setattr(R, "WAVED", 100)
     waved = R.trigram_axis(q, c)
     assert sorted(map(tuple, waved.collect())) == sorted(map(tuple, found.collect())) and "Union" in plan(waved)
+
+
+def test_the_third_axis_of_the_fused_search_is_dealt_evenly(spark, sf):
+    assert "hashpartitioning(chunk_id" in plan(QUERIES["rrf_three_axis"](spark, sf))
